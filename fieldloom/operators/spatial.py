@@ -35,7 +35,7 @@ def nearest(queries: DataFrame, points: DataFrame, h: float, q_id: str = "qid",
         bins = [f"_b{a}" for a in axes]
         around = left
         for a, b in zip(axes, bins, strict=True):
-            around = around.withColumn(b, F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d, a=a: bin_of(F.col(a), h) + d)))
+            around = around.withColumn(b, F.explode(F.array(*[bin_of(F.col(a), h) + d for d in (-1, 0, 1)])))
         binned = targets.select("*", *[bin_of(F.col(f"_{a}"), h).alias(b) for a, b in zip(axes, bins, strict=True)])
         d2 = squared_distance([F.col(a) for a in axes], [F.col(f"_{a}") for a in axes])
         best = around.join(binned, bins).groupBy(q_id).agg(F.min(F.struct(d2.alias("d2"), F.col(p_id))).alias("best"))

@@ -1,10 +1,888 @@
-"""Registered queries of the library and their SQL."""
+"""Registered queries of the library over the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import fields as fl
+from .functions import vectors as ve
+from .functions.geometry import Hyperplane, Simplex
+from .operators import bits as bt
+from .operators import coo as cm
+from .operators import mesh as ms
+from .operators import spatial as sp
+from .operators import trees as tr
+from .operators import voronoi as vo
+from .operators.frame import ROW, BlockFrame, BlockVector, number_rows
+from .plans import assembly as asm
+from .plans import basis as ba
+from .plans import optimize as op
+from .plans import quadrature as qu
+from .plans import solve as so
+from .sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    """Six decimals, without negative zeros."""
+    return F.round(c, 6) + F.lit(0.0)
+
+
+# ---------------------------------------------------------------- shared relations
+
+C_SQL = "pts AS (SELECT c_custkey AS pid, (c_acctbal + 1000e0) / 11000e0 AS x, (c_custkey % 1009) / 1009e0 AS y FROM customer)"
+P_SQL = "pp AS (SELECT p_partkey AS pid, p_size / 51e0 AS x, (p_retailprice - 900e0) / 100e0 AS y FROM part)"
+T_SQL = P_SQL + ", t AS (SELECT a.pid, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, c.x AS x2, c.y AS y2 FROM pp a JOIN pp b ON b.pid = a.pid + 1 JOIN pp c ON c.pid = a.pid + 2)"
+M_SQL = (
+    "nodes AS (SELECT id AS node_id, (id % {m}) / {n}e0 AS x, (id // {m}) / {n}e0 AS y FROM range({m} * {m}) r(id)),"
+    " cells AS (SELECT id AS cell_id, (id // 2 // {n}) * {m} + (id // 2) % {n} AS v0,"
+    " (id // 2 // {n}) * {m} + (id // 2) % {n} + (CASE WHEN id % 2 = 0 THEN 1 ELSE {n} + 2 END) AS v1,"
+    " (id // 2 // {n}) * {m} + (id // 2) % {n} + (CASE WHEN id % 2 = 0 THEN {n} + 2 ELSE {n} + 1 END) AS v2 FROM range(2 * {n} * {n}) r(id))"
+)
+CELL_SQL = "2 * (CAST(floor(y * 16) AS BIGINT) * 16 + CAST(floor(x * 16) AS BIGINT)) + (CASE WHEN y * 16 - floor(y * 16) <= x * 16 - floor(x * 16) THEN 0 ELSE 1 END)"
+SIDES_SQL = "sides AS (SELECT cell_id, 0 AS side, least(v0, v1) AS n0, greatest(v0, v1) AS n1 FROM cells UNION ALL SELECT cell_id, 1, least(v0, v2), greatest(v0, v2) FROM cells UNION ALL SELECT cell_id, 2, least(v1, v2), greatest(v1, v2) FROM cells)"
+G_SQL = "g AS (SELECT cell_id, v0, v1, v2, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, c.x AS x2, c.y AS y2 FROM cells JOIN nodes a ON v0 = a.node_id JOIN nodes b ON v1 = b.node_id JOIN nodes c ON v2 = c.node_id)"
+
+
+def mesh_sql(n: int) -> str:
+    return M_SQL.replace("{m}", str(n + 1)).replace("{n}", str(n))
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("pid"), ((F.col("c_acctbal") + 1000.0) / 11000.0).alias("x"), ((k % 1009) / 1009.0).alias("y"))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), (F.col("p_size") / 51.0).alias("x"), ((F.col("p_retailprice") - 900.0) / 100.0).alias("y"))
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parts(spark, sf_dir)
+    at = lambda k: p.select((F.col("pid") - k).alias("pid"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    return at(0).join(at(1), "pid").join(at(2), "pid")
+
+
+def triangle() -> Simplex:
+    return Simplex([ve.vec(f"x{k}", f"y{k}") for k in range(3)])
+
+
+def frame(spark: SparkSession, sf_dir: str) -> BlockFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("size"), F.col("p_retailprice").alias("price"), "p_brand")
+    return BlockFrame.of(p, "p_partkey")
+
+
+FRAME_SQL = "f AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_id, p_partkey, CAST(p_size AS BIGINT) AS size, p_retailprice AS price, p_brand FROM part)"
+
+# ---------------------------------------------------------------- flagship
+
+
+@register(f"WITH {C_SQL} SELECT {CELL_SQL} AS cell_id, count(*) AS n, round(sum(x + y), 6) + 0e0 AS total FROM pts GROUP BY 1")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point location, P1 evaluation of u = x + y, and totals per cell."""
+    mesh, points = ms.square(spark, 16), customers(spark, sf_dir)
+    hits = sp.locate_all(points, mesh, 1 / 16).groupBy("pid").agg(F.min(F.struct("cell_id", "z0", "z1", "z2", "v0", "v1", "v2")).alias("hit")).select("pid", "hit.*")
+    values = hits.select("pid", "cell_id", F.explode(F.array(*[F.struct(F.col(f"v{k}").alias("node_id"), F.col(f"z{k}").alias("z")) for k in range(3)])).alias("e")).select("pid", "cell_id", "e.*")
+    nodal = mesh.nodes.select("node_id", (F.col("x") + F.col("y")).alias("u"))
+    u = values.join(nodal, "node_id").groupBy("cell_id", "pid").agg(F.sum(F.col("z") * F.col("u")).alias("u"))
+    return u.groupBy("cell_id").agg(F.count("*").alias("n"), r6(F.sum("u")).alias("total"))
+
+
+# ---------------------------------------------------------------- frames
+
+
+@register(f"WITH {FRAME_SQL} SELECT row_id, size, price, size * price AS worth FROM f")
+def frame_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir).insert("worth", F.col("size") * F.col("price")).df.select(ROW, "size", "price", "worth")
+
+
+@register(f"WITH {FRAME_SQL}, n AS (SELECT count(*) AS n FROM f) SELECT row_id, CAST(size AS DOUBLE) AS block FROM f UNION ALL SELECT row_id + n, price FROM f, n")
+def frame_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir).insert("block", F.array(F.col("size").cast("double"), F.col("price"))).stack("block")
+
+
+@register(f"WITH {FRAME_SQL}, u AS (SELECT size, min(row_id) AS r FROM f GROUP BY size) SELECT row_number() OVER (ORDER BY r) - 1 AS row_id, size FROM u")
+def frame_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir).unique("size")
+
+
+@register(f"WITH {FRAME_SQL} SELECT row_id, size, price FROM f WHERE row_id = 7")
+def frame_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir).row(7).df.select(ROW, "size", "price")
+
+
+@register(f"WITH {FRAME_SQL} SELECT row_id, size, price FROM f WHERE row_id BETWEEN 10 AND 40")
+def frame_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir).range(10, 40).df.select(ROW, "size", "price")
+
+
+@register(f"WITH {FRAME_SQL} SELECT i.n_nationkey AS row_id, f.row_id AS source_id, size FROM nation i JOIN f ON f.row_id = (i.n_nationkey * 7) % 11")
+def frame_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), ((F.col("n_nationkey") * 7) % 11).cast("bigint").alias(ROW))
+    return frame(spark, sf_dir).gather(index).df.select(ROW, "source_id", "size")
+
+
+@register(f"WITH {FRAME_SQL}, n AS (SELECT count(*) AS n FROM f) SELECT 'head' AS side, row_id, size FROM f WHERE row_id <= 5 UNION ALL SELECT 'tail', row_id, size FROM f WHERE row_id >= 190")
+def frame_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frame(spark, sf_dir)
+    part = lambda name, v: v.df.select(F.lit(name).alias("side"), ROW, "size")
+    return part("head", f.head(5)).unionByName(part("tail", f.tail(190)))
+
+
+@register(f"WITH {FRAME_SQL} SELECT row_id, CAST(size AS DOUBLE) AS a, price AS b, CAST(size AS DOUBLE) * 2 AS c FROM f")
+def frame_hconcat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frame(spark, sf_dir).insert("one", F.array(F.col("size").cast("double"), F.col("price"))).insert("two", F.col("size").cast("double") * 2)
+    return f.get("one", "two").select(ROW, *[F.get("block", F.lit(i)).alias(n) for i, n in enumerate("abc")])
+
+
+@register(f"WITH {FRAME_SQL} SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, size, price FROM f WHERE size > 25")
+def frame_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir).where(F.col("size") > 25).extract().df.select(ROW, "size", "price")
+
+
+@register(f"WITH {FRAME_SQL} SELECT row_id, p_partkey, size, p_brand FROM f")
+def frame_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir).remove("price").df.select(ROW, "p_partkey", "size", "p_brand")
+
+
+@register(f"WITH {FRAME_SQL} SELECT row_id, price AS block FROM f")
+def frame_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir).insert("block", F.array(F.col("size").cast("double"), F.col("price"))).column("block", 1)
+
+
+@register("SELECT n_nationkey, n_name FROM nation")
+def frame_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BlockFrame.of(table(spark, sf_dir, "nation"), "n_nationkey").shuffle(3).df.select("n_nationkey", "n_name")
+
+
+@register(f"WITH {FRAME_SQL} SELECT count(*) AS n_rows, CAST(4 AS BIGINT) AS n_cols FROM f")
+def frame_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frame(spark, sf_dir)
+    return f.df.agg(F.count("*").alias("n_rows"), F.lit(len(f.columns)).cast("bigint").alias("n_cols"))
+
+
+V_SQL = "v AS (SELECT n_nationkey AS idx, CAST(n_regionkey AS DOUBLE) AS value FROM nation)"
+
+
+@register(f"WITH {V_SQL} SELECT 'at' AS part, CAST(idx - 10 AS BIGINT) AS idx, value FROM v WHERE idx BETWEEN 10 AND 19 UNION ALL SELECT 'head', idx, value FROM v WHERE idx < 5 UNION ALL SELECT 'tail', idx - 20, value FROM v WHERE idx >= 20")
+def block_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = BlockVector(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("idx"), F.col("n_regionkey").cast("double").alias("value")), 5, 5)
+    named = lambda n, d: d.select(F.lit(n).alias("part"), "idx", "value")
+    return named("at", v.blocks(2, 2)).unionByName(named("head", v.head(1))).unionByName(named("tail", v.tail(1)))
+
+
+# ---------------------------------------------------------------- sources
+
+
+@register("SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(p_size AS DOUBLE) / 4 END AS value FROM part")
+def csv_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    token = F.concat(F.lit(' "'), F.when(F.col("p_size") % 7 == 0, "NA").otherwise((F.col("p_size") / 4).cast("string")), F.lit('" '))
+    return table(spark, sf_dir, "part").select("p_partkey", files.clean(token).alias("value"))
+
+
+@register('SELECT CAST(p_size AS BIGINT) - 1 AS "row", p_partkey % 10 AS col, sum(p_retailprice) AS value FROM part GROUP BY 1, 2'.replace("sum(p_retailprice)", "round(sum(p_retailprice), 6) + 0e0"))
+def csv_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "part").select((F.col("p_size").cast("bigint") - 1).alias("row"), (F.col("p_partkey") % 10).alias("col"), F.col("p_retailprice").alias("value"))
+    return cm.Coo(t, 50, 10).summed().df.select("row", "col", r6("value").alias("value"))
+
+
+# ---------------------------------------------------------------- search
+
+
+@register(f"WITH {C_SQL}, {P_SQL}, d AS (SELECT pts.pid AS qid, pp.pid, (pts.x - pp.x) * (pts.x - pp.x) + (pts.y - pp.y) * (pts.y - pp.y) AS d2 FROM pts, pp), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, pid) AS n FROM d) SELECT qid, pid, round(d2, 12) AS d2 FROM k WHERE n = 1")
+def knn_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sp.nearest(customers(spark, sf_dir).withColumnRenamed("pid", "qid"), parts(spark, sf_dir), 1 / 64)
+    return found.select("qid", "pid", F.round("d2", 12).alias("d2"))
+
+
+@register("WITH e AS (SELECT vec_id, embedding FROM embeddings), d AS (SELECT q.vec_id, p.vec_id AS near_id, list_sum(list_transform(range(1, 65), lambda i: (CAST(q.embedding[i] AS DOUBLE) - p.embedding[i]) * (CAST(q.embedding[i] AS DOUBLE) - p.embedding[i]))) AS d2 FROM e q, e p WHERE q.vec_id % 20 = 0 AND p.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, near_id) AS n FROM d) SELECT vec_id, near_id, round(d2, 6) + 0e0 AS d2 FROM k WHERE n = 1")
+def knn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = sp.nearest_vectors(e.where("vec_id % 20 = 0"), e.withColumnRenamed("vec_id", "near_id"), "vec_id", "near_id", "embedding")
+    return found.select("vec_id", "near_id", r6("d2").alias("d2"))
+
+
+@register(f"WITH {C_SQL} SELECT pid FROM pts WHERE x BETWEEN 0.25e0 AND 0.5e0 AND y BETWEEN 0.1e0 AND 0.3e0")
+def range_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return customers(spark, sf_dir).where(sp.in_box(ve.vec("x", "y"), ve.vec(0.25, 0.1), ve.vec(0.5, 0.3))).select("pid")
+
+
+@register(f"WITH {C_SQL}, b AS (SELECT s_suppkey AS box_id, (s_acctbal + 1000e0) / 11000e0 AS lx, (s_suppkey % 97) / 97e0 AS ly FROM supplier) SELECT box_id, pid FROM pts JOIN b ON x BETWEEN lx AND lx + 0.05e0 AND y BETWEEN ly AND ly + 0.05e0")
+def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("box_id"), ((F.col("s_acctbal") + 1000.0) / 11000.0).alias("lx"), ((F.col("s_suppkey") % 97) / 97.0).alias("ly"))
+    return sp.range_join(customers(spark, sf_dir), s.withColumns({"ux": F.col("lx") + 0.05, "uy": F.col("ly") + 0.05}), 0.05)
+
+
+@register(f"WITH {C_SQL} SELECT pid, CAST({CELL_SQL} AS BIGINT) AS cell_id FROM pts")
+def locate_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.locate(customers(spark, sf_dir), ms.square(spark, 16), 1 / 16)
+
+
+LATTICE_SQL = "pts AS (SELECT p_partkey AS pid, p_size / 16e0 AS x, (p_partkey % 17) / 16e0 AS y FROM part WHERE p_size <= 16)"
+
+
+@register(f"WITH {LATTICE_SQL}, {mesh_sql(8)}, {G_SQL} SELECT pid, cell_id FROM pts JOIN g ON x >= least(x0, x1, x2) AND x <= greatest(x0, x1, x2) AND y >= least(y0, y1, y2) AND y <= greatest(y0, y1, y2) WHERE ((x1 - x) * (y2 - y) - (x2 - x) * (y1 - y)) >= 0 AND ((x2 - x) * (y0 - y) - (x0 - x) * (y2 - y)) >= 0 AND ((x0 - x) * (y1 - y) - (x1 - x) * (y0 - y)) >= 0")
+def locate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").where("p_size <= 16").select(F.col("p_partkey").alias("pid"), (F.col("p_size") / 16.0).alias("x"), ((F.col("p_partkey") % 17) / 16.0).alias("y"))
+    return sp.locate_all(p, ms.square(spark, 8), 1 / 8).select("pid", "cell_id")
+
+
+@register(f"WITH {mesh_sql(16)}, p AS (SELECT unnest([v0, v1, v2]) AS node_id, cell_id FROM cells) SELECT node_id, count(*) AS n_cells, min(cell_id) AS first_cell FROM p GROUP BY 1")
+def node_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.square(spark, 16).node_patch().groupBy("node_id").agg(F.count("*").alias("n_cells"), F.min("cell_id").alias("first_cell"))
+
+
+@register("SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_quantity < 5 OR l_quantity > 45 THEN -1 WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 25 THEN 1 ELSE 2 END AS BIGINT) AS cell_id FROM lineitem")
+def locate_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.locate_interval(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), [5, 10, 25, 45], "l_quantity").drop("l_quantity")
+
+
+@register(f"WITH {C_SQL}, q AS (SELECT pid, x * 2 - 0.5e0 AS x, y * 2 - 0.5e0 AS y FROM pts WHERE pid % 20 = 0) SELECT pid, round((greatest(0e0, -x, x - 1) * greatest(0e0, -x, x - 1)) + (greatest(0e0, -y, y - 1) * greatest(0e0, -y, y - 1)), 6) + 0e0 AS d2, round(greatest(0e0, least(1e0, x)), 6) + 0e0 AS px, round(greatest(0e0, least(1e0, y)), 6) + 0e0 AS py FROM q")
+def project_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = customers(spark, sf_dir).where("pid % 20 = 0").select("pid", (F.col("x") * 2 - 0.5).alias("x"), (F.col("y") * 2 - 0.5).alias("y"))
+    return sp.project(q, ms.square(spark, 4)).select("pid", *[r6(c).alias(c) for c in ("d2", "px", "py")])
+
+
+@register(SQL["project_exact"])
+def project_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = customers(spark, sf_dir).where("pid % 20 = 0").select("pid", (F.col("x") * 2 - 0.5).alias("x"), (F.col("y") * 2 - 0.5).alias("y"))
+    return sp.project_near(q, ms.square(spark, 4), 0.25).select("pid", *[r6(c).alias(c) for c in ("d2", "px", "py")])
+
+
+# ---------------------------------------------------------------- simplices and planes
+
+DET = "((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0))"
+
+
+@register(f"WITH {T_SQL} SELECT pid, round(abs({DET}) / 2, 6) + 0e0 AS measure FROM t")
+def simplex_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triangles(spark, sf_dir).select("pid", r6(triangle().measure()).alias("measure"))
+
+
+@register(f"WITH {T_SQL} SELECT pid, least(x0, x1, x2) AS lx, least(y0, y1, y2) AS ly, greatest(x0, x1, x2) AS ux, greatest(y0, y1, y2) AS uy FROM t")
+def simplex_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, high = triangle().bounding_box()
+    return triangles(spark, sf_dir).select("pid", low[0].alias("lx"), low[1].alias("ly"), high[0].alias("ux"), high[1].alias("uy"))
+
+
+@register(f"WITH {T_SQL} SELECT pid, round((x0 + x1 + x2) / 3, 6) + 0e0 AS bx, round((y0 + y1 + y2) / 3, 6) + 0e0 AS byy FROM t")
+def simplex_barycenter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = triangle().barycenter()
+    return triangles(spark, sf_dir).select("pid", r6(b[0]).alias("bx"), r6(b[1]).alias("byy"))
+
+
+Z1, Z2 = f"(((0.5e0 - x0) * (y2 - y0) - (x2 - x0) * (0.5e0 - y0)) / {DET})", f"(((x1 - x0) * (0.5e0 - y0) - (0.5e0 - x0) * (y1 - y0)) / {DET})"
+
+
+@register(f"WITH {T_SQL} SELECT pid, round(1 - {Z1} - {Z2}, 4) + 0e0 AS z0, round({Z1}, 4) + 0e0 AS z1, round({Z2}, 4) + 0e0 AS z2 FROM t WHERE abs({DET}) > 1e-2")
+def simplex_barycentric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = triangle().barycentric(ve.vec(0.5, 0.5))
+    return triangles(spark, sf_dir).where(triangle().measure() > 5e-3).select("pid", *[(F.round(c, 4) + 0.0).alias(f"z{i}") for i, c in enumerate(z)])
+
+
+B1, B2 = "((x1 * x1 + y1 * y1 - x0 * x0 - y0 * y0) / 2)", "((x2 * x2 + y2 * y2 - x0 * x0 - y0 * y0) / 2)"
+CX, CY = f"(({B1} * (y2 - y0) - {B2} * (y1 - y0)) / {DET})", f"((({B2}) * (x1 - x0) - {B1} * (x2 - x0)) / {DET})"
+
+
+@register(f"WITH {T_SQL} SELECT pid, round({CX}, 4) + 0e0 AS cx, round({CY}, 4) + 0e0 AS cy, round(sqrt(({CX} - x0) * ({CX} - x0) + ({CY} - y0) * ({CY} - y0)), 4) + 0e0 AS radius FROM t WHERE abs({DET}) > 1e-1")
+def simplex_circumcenter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = triangle().circumcenter()
+    return triangles(spark, sf_dir).where(triangle().measure() > 5e-2).select("pid", *[(F.round(v, 4) + 0.0).alias(n) for n, v in (("cx", c[0]), ("cy", c[1]), ("radius", triangle().circumradius()))])
+
+
+CODE_PTS = "pts AS (SELECT p_partkey AS pid, (p_size % 9 - 2) / 4e0 AS x, (p_partkey % 9 - 2) / 4e0 AS y FROM part)"
+
+
+@register(f"WITH {CODE_PTS}, z AS (SELECT pid, 1 - x - y AS z0, x AS z1, y AS z2 FROM pts) SELECT pid, CAST(CASE WHEN least(z0, z1, z2) < 0 THEN 0 WHEN (CASE WHEN z0 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN z1 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN z2 <> 0 THEN 1 ELSE 0 END) = 1 THEN 3 WHEN z0 = 0 OR z1 = 0 OR z2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS code FROM z")
+def contains_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), ((F.col("p_size") % 9 - 2) / 4.0).alias("x"), ((F.col("p_partkey") % 9 - 2) / 4.0).alias("y"))
+    return p.select("pid", Simplex([ve.vec(0, 0), ve.vec(1, 0), ve.vec(0, 1)]).contains(ve.vec("x", "y")).alias("code"))
+
+
+@register(f"WITH {T_SQL} SELECT pid, unnest([0, 1, 2]) AS facet, unnest([round(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)),6)+0e0, round(sqrt((x2-x0)*(x2-x0)+(y2-y0)*(y2-y0)),6)+0e0, round(sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)),6)+0e0]) AS length FROM t")
+def simplex_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = F.array(*[r6(f.measure()) for f in triangle().facets()])
+    return triangles(spark, sf_dir).select("pid", F.posexplode(lengths).alias("facet", "length"))
+
+
+@register(f"WITH {C_SQL}, c AS (SELECT pid, greatest(0e0, least(1e0, (x - y + 1) / 2)) AS t, x * 2 AS x, y * 2 AS y FROM pts), n AS (SELECT pid, x, y, CASE WHEN x + y <= 1 THEN x ELSE greatest(0e0, least(1e0, (x - y + 1) / 2)) END AS px, CASE WHEN x + y <= 1 THEN y ELSE 1 - greatest(0e0, least(1e0, (x - y + 1) / 2)) END AS py FROM c) SELECT pid, round(px, 6) + 0e0 AS px, round(py, 6) + 0e0 AS py FROM n")
+def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = Simplex([ve.vec(0, 0), ve.vec(1, 0), ve.vec(0, 1)]).nearest([F.col("x") * 2, F.col("y") * 2])
+    return customers(spark, sf_dir).select("pid", r6(n[0]).alias("px"), r6(n[1]).alias("py"))
+
+
+@register(f"WITH {C_SQL}, d AS (SELECT *, (x + 2 * y + 2 * (x * y) - 2) / 9 AS s FROM pts) SELECT pid, round(x - s, 6) + 0e0 AS px, round(y - 2 * s, 6) + 0e0 AS py, round(x * y - 2 * s, 6) + 0e0 AS pz, round(abs(3 * s), 6) + 0e0 AS distance FROM d")
+def plane_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plane = Hyperplane.through([ve.vec(2, 0, 0), ve.vec(0, 1, 0), ve.vec(0, 0, 1)])
+    x = [F.col("x"), F.col("y"), F.col("x") * F.col("y")]
+    return customers(spark, sf_dir).select("pid", *[r6(c).alias(n) for n, c in zip(("px", "py", "pz"), plane.project(x), strict=True)], r6(plane.distance(x)).alias("distance"))
+
+
+# ---------------------------------------------------------------- meshes
+
+
+@register(f"WITH {mesh_sql(16)}, {SIDES_SQL}, e AS (SELECT n0, n1, min(cell_id * 3 + side) AS first, min(cell_id) AS cell_a, CASE WHEN count(*) > 1 THEN max(cell_id) ELSE -1 END AS cell_b, count(*) = 1 AS on_boundary FROM sides GROUP BY n0, n1) SELECT row_number() OVER (ORDER BY first) - 1 AS edge_id, n0, n1, cell_a, cell_b, on_boundary FROM e")
+def mesh_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.square(spark, 16).edges().drop("n_cells")
+
+
+@register(f"WITH {mesh_sql(16)}, {SIDES_SQL}, e AS (SELECT n0, n1, min(cell_id * 3 + side) AS first FROM sides GROUP BY n0, n1), i AS (SELECT row_number() OVER (ORDER BY first) - 1 AS edge_id, n0, n1 FROM e) SELECT cell_id, side, edge_id FROM sides JOIN i USING (n0, n1)")
+def cell_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.square(spark, 16).cell_edges()
+
+
+@register(f"WITH {mesh_sql(16)}, {SIDES_SQL} SELECT a.cell_id, CAST(2 - a.side AS INTEGER) AS opposite, coalesce(b.cell_id, -1) AS neighbor_id FROM sides a LEFT JOIN sides b ON a.n0 = b.n0 AND a.n1 = b.n1 AND a.cell_id <> b.cell_id")
+def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.square(spark, 16).neighbors()
+
+
+@register("SELECT id AS node_id FROM range(289) r(id) WHERE id % 17 IN (0, 16) OR id // 17 IN (0, 16)")
+def boundary_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.square(spark, 16).boundary_nodes()
+
+
+@register(f"WITH {mesh_sql(16)}, {SIDES_SQL} SELECT n0, n1 FROM sides GROUP BY n0, n1 HAVING count(*) = 1")
+def boundary_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.square(spark, 16).boundary_facets().select(F.col("s0").alias("n0"), F.col("s1").alias("n1"))
+
+
+@register(f"WITH {mesh_sql(16)}, b AS (SELECT id FROM range(289) r(id) WHERE id % 17 IN (0, 16) OR id // 17 IN (0, 16)) SELECT cell_id FROM cells WHERE (CASE WHEN v0 IN (SELECT id FROM b) THEN 1 ELSE 0 END) + (CASE WHEN v1 IN (SELECT id FROM b) THEN 1 ELSE 0 END) + (CASE WHEN v2 IN (SELECT id FROM b) THEN 1 ELSE 0 END) >= 2")
+def cell_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.square(spark, 16).boundary_cells()
+
+
+@register("SELECT CAST(289 AS BIGINT) AS n_nodes, 0e0 AS min_x, 1e0 AS max_x, 0e0 AS min_y, 1e0 AS max_y")
+def mesh_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.square(spark, 16).range()
+
+
+@register("SELECT 'cells' AS what, CAST(162 AS BIGINT) AS n UNION ALL SELECT 'faces', 378 UNION ALL SELECT 'boundary faces', 108 UNION ALL SELECT 'edges', 279 UNION ALL SELECT 'surface cells', 108 UNION ALL SELECT 'surface nodes', 56")
+def solid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mesh = ms.cube(spark, 3)
+    faces, surface = mesh.facets(), mesh.surface()
+    count = lambda name, df: df.agg(F.lit(name).alias("what"), F.count("*").alias("n"))
+    out = count("cells", mesh.cells)
+    for name, df in (("faces", faces), ("boundary faces", faces.where("on_boundary")), ("edges", mesh.edges()), ("surface cells", surface.cells), ("surface nodes", surface.nodes)):
+        out = out.unionByName(count(name, df))
+    return out
+
+
+@register("SELECT id AS cell_id, id AS v0, id + 1 AS v1, round(2 + id * 0.3e0, 6) + 0e0 AS a, round(2 + (id + 1) * 0.3e0, 6) + 0e0 AS b FROM range(10) r(id)")
+def interval_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.interval(spark, 2, 5, 10).geometry().select("cell_id", "v0", "v1", r6("x0").alias("a"), r6("x1").alias("b"))
+
+
+NET = "cells AS (SELECT n_nationkey AS cell_id, 100 + n_regionkey AS v0, n_nationkey AS v1 FROM nation UNION ALL SELECT 1000 + s_suppkey, 10000 + s_suppkey, s_nationkey FROM supplier), e AS (SELECT cell_id, unnest([v0, v1]) AS node_id FROM cells)"
+
+
+@register(f"WITH {NET} SELECT DISTINCT CAST(a.cell_id AS BIGINT) AS cell_id, CAST(b.cell_id AS BIGINT) AS neighbor_id FROM e a JOIN e b ON a.node_id = b.node_id AND a.cell_id <> b.cell_id")
+def network_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("cell_id"), (100 + F.col("n_regionkey")).cast("bigint").alias("v0"), F.col("n_nationkey").cast("bigint").alias("v1"))
+    s = table(spark, sf_dir, "supplier").select((1000 + F.col("s_suppkey")).alias("cell_id"), (10000 + F.col("s_suppkey")).alias("v0"), F.col("s_nationkey").cast("bigint").alias("v1"))
+    return ms.network_adjacency(n.unionByName(s))
+
+
+@register(f"WITH {C_SQL}, c AS (SELECT *, {CELL_SQL} AS cell_id FROM pts), {mesh_sql(16)}, {G_SQL}, d AS (SELECT pid, unnest([v0, v1, v2]) AS node_id, unnest([0, 1, 2]) AS k, unnest([(x-x0)*(x-x0)+(y-y0)*(y-y0), (x-x1)*(x-x1)+(y-y1)*(y-y1), (x-x2)*(x-x2)+(y-y2)*(y-y2)]) AS d2 FROM c JOIN g USING (cell_id)), n AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d2, k) AS n FROM d) SELECT pid, node_id FROM n WHERE n = 1")
+def voronoi_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vo.locate(customers(spark, sf_dir), ms.square(spark, 16), 1 / 16)
+
+
+@register("SELECT id AS site, round(CASE WHEN id % 5 IN (0, 4) THEN 0.125e0 ELSE 0.25e0 END * CASE WHEN id // 5 IN (0, 4) THEN 0.125e0 ELSE 0.25e0 END, 6) + 0e0 AS measure FROM range(25) r(id)")
+def voronoi_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vo.measures(vo.cells(ms.square(spark, 4))).select("site", r6("measure").alias("measure"))
+
+
+@register("WITH s AS (SELECT DISTINCT p_size AS site_id FROM part), w AS (SELECT site_id, site_id / 1e0 AS x, lag(site_id) OVER (ORDER BY site_id) AS p, lead(site_id) OVER (ORDER BY site_id) AS n FROM s) SELECT CAST(site_id AS BIGINT) AS site_id, coalesce((x + p) / 2, 0e0) AS a, coalesce((x + n) / 2, 60e0) AS b, coalesce((x + n) / 2, 60e0) - coalesce((x + p) / 2, 0e0) AS measure FROM w")
+def voronoi_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = table(spark, sf_dir, "part").select(F.col("p_size").cast("bigint").alias("site_id"), F.col("p_size").cast("double").alias("x")).distinct()
+    return vo.intervals(sites, 0, 60).drop("x")
+
+
+# ---------------------------------------------------------------- fields
+
+
+@register(f"WITH {C_SQL} SELECT pid, round(x * x * y + 2 * x, 6) + 0e0 AS f, round((x * x * y + 2 * x) + (x - y), 6) + 0e0 AS s, round((x * x * y + 2 * x) * (x - y), 6) + 0e0 AS p, round((x + 1) / (y + 1), 6) + 0e0 AS q, round(-(x - y) + 3, 6) + 0e0 AS n FROM pts")
+def field_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, g = fl.ScalarField(lambda x, y: x * x * y + 2 * x, 2), fl.ScalarField(lambda x, y: x - y, 2)
+    q = fl.ScalarField(lambda x, y: x + 1, 2) / fl.ScalarField(lambda x, y: y + 1, 2)
+    at = ve.vec("x", "y")
+    return customers(spark, sf_dir).select("pid", *[r6(h(*at)).alias(n) for n, h in (("f", f), ("s", f + g), ("p", f * g), ("q", q), ("n", -g + 3.0))])
+
+
+@register(f"WITH {C_SQL} SELECT pid, round(sin(x * y), 6) + 0e0 AS s, round(cos(x + y), 6) + 0e0 AS c, round(tan(x / 2), 6) + 0e0 AS t, round(exp(x - y), 6) + 0e0 AS e, round(ln(x + 1), 6) + 0e0 AS l FROM pts")
+def field_unary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda f, g: fl.ScalarField(f, 2).map(g)(*ve.vec("x", "y"))
+    values = {"s": of(lambda x, y: x * y, F.sin), "c": of(lambda x, y: x + y, F.cos), "t": of(lambda x, y: x / 2, F.tan), "e": of(lambda x, y: x - y, F.exp), "l": of(lambda x, y: x + 1, F.log)}
+    return customers(spark, sf_dir).select("pid", *[r6(c).alias(n) for n, c in values.items()])
+
+
+@register(f"WITH {C_SQL} SELECT pid, round(2 * x * y + cos(x), 5) + 0e0 AS gx, round(x * x, 5) + 0e0 AS gy FROM pts")
+def field_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = fl.ScalarField(lambda x, y: x * x * y + F.sin(x), 2, h=1e-4).gradient()(*ve.vec("x", "y"))
+    return customers(spark, sf_dir).select("pid", (F.round(g[0], 5) + 0.0).alias("gx"), (F.round(g[1], 5) + 0.0).alias("gy"))
+
+
+@register(f"WITH {C_SQL} SELECT pid, round(2 * y * y, 6) + 0e0 AS xx, round(4 * x * y, 6) + 0e0 AS xy, round(2 * x * x + 2, 6) + 0e0 AS yy FROM pts")
+def field_hessian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = fl.ScalarField(lambda x, y: x * x * y * y + y * y, 2, h=1e-2).hessian()(*ve.vec("x", "y"))
+    return customers(spark, sf_dir).select("pid", *[r6(c).alias(n) for n, c in (("xx", h[0][0]), ("xy", h[0][1]), ("yy", h[1][1]))])
+
+
+@register(f"WITH {C_SQL} SELECT pid, round((x + y) * x + x * y * y, 6) + 0e0 AS d, round(3 * (x + y) - x, 6) + 0e0 AS a, round(3 * x * y - y, 6) + 0e0 AS b FROM pts")
+def vector_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = lambda f: fl.ScalarField(f, 2)
+    u, v = fl.VectorField([s(lambda x, y: x + y), s(lambda x, y: x * y)]), fl.VectorField([s(lambda x, y: x), s(lambda x, y: y)])
+    at, w = ve.vec("x", "y"), 3.0 * u - v
+    return customers(spark, sf_dir).select("pid", r6(u.dot(v)(*at)).alias("d"), r6(w[0](*at)).alias("a"), r6(w[1](*at)).alias("b"))
+
+
+@register(f"WITH {C_SQL} SELECT pid, round(x * x + y * y, 6) + 0e0 AS v0, round(y * x + y, 6) + 0e0 AS v1, round(x * x + y * y, 6) + 0e0 AS m00, round(x * y + y, 6) + 0e0 AS m01, round(y * y + 1, 6) + 0e0 AS m11 FROM pts")
+def matrix_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = lambda f: fl.ScalarField(f, 2)
+    m = fl.MatrixField([[s(lambda x, y: x), s(lambda x, y: y)], [s(lambda x, y: y), s(lambda x, y: 1.0)]])
+    at = ve.vec("x", "y")
+    v, p = m @ fl.VectorField([s(lambda x, y: x), s(lambda x, y: y)]), m @ m
+    return customers(spark, sf_dir).select("pid", *[r6(f(*at)).alias(n) for n, f in (("v0", v[0]), ("v1", v[1]), ("m00", p[0, 0]), ("m01", p[0, 1]), ("m11", p[1, 1]))])
+
+
+@register("SELECT event_id, CASE WHEN v <= -37 THEN 0 WHEN v <= 18 THEN round(ln(1 + exp(v)), 6) + 0e0 WHEN v <= 33.3e0 THEN round(v + exp(-v), 6) + 0e0 ELSE round(v, 6) END AS f FROM (SELECT event_id, value / 5 - 30 AS v FROM events)")
+def log1pexp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", r6(fl.log1pexp(F.col("value") / 5 - 30)).alias("f"))
+
+
+@register("SELECT l_orderkey, l_linenumber, abs(l_discount - l_tax) < 1e-7 OR abs(l_discount - l_tax) < greatest(abs(l_discount), abs(l_tax)) * 1e-7 AS same FROM lineitem")
+def almost_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fl.almost_equal(F.col("l_discount"), F.col("l_tax"), 1e-7).alias("same"))
+
+
+@register(f"WITH {C_SQL} SELECT pid, round(1 + 2 * x + 3 * x * x + 4 * y + 5 * x * y + 6 * y * y, 6) + 0e0 AS p, round(2 + 6 * x + 5 * y, 6) + 0e0 AS px, round(4 + 5 * x + 12 * y, 6) + 0e0 AS py FROM pts")
+def polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, at = fl.polynomial([1, 2, 3, 4, 5, 6], 2, 2), ve.vec("x", "y")
+    return customers(spark, sf_dir).select("pid", r6(p(*at)).alias("p"), *[r6(g).alias(n) for n, g in zip(("px", "py"), p.gradient()(*at), strict=True)])
+
+
+# ---------------------------------------------------------------- quadrature
+
+
+@register(f"WITH {mesh_sql(8)}, {G_SQL} SELECT cell_id, round(abs({DET}) / 2 * (x0 + x1 + x2 + y0 + y1 + y2) / 3, 12) + 0e0 AS integral FROM g")
+def quad_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = qu.integrate_cells(ms.square(spark, 8), lambda x, y: x + y)
+    return found.select("cell_id", (F.round("integral", 12) + 0.0).alias("integral"))
+
+
+@register("SELECT round(1e0 / 9 + 1e0 / 2, 9) AS integral")
+def quad_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = qu.integrate(ms.square(spark, 16), lambda x, y: x * x * y * y + y, nodes=12)
+    return found.select(F.round("integral", 9).alias("integral"))
+
+
+@register("SELECT round(1e0 / 4, 9) AS integral")
+def quad_solid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qu.integrate(ms.cube(spark, 2), lambda x, y, z: x * y + z * 0.0, nodes=4).select(F.round("integral", 9).alias("integral"))
+
+
+@register(f"WITH {mesh_sql(4)}, {G_SQL}, q AS (SELECT unnest([0, 1, 2]) AS iq, unnest([0.166666666666667e0, 0.666666666666667e0, 0.166666666666667e0]) AS a, unnest([0.166666666666667e0, 0.166666666666667e0, 0.666666666666667e0]) AS b) SELECT cell_id * 3 + iq AS qnode_id, round(x0 + (x1 - x0) * a + (x2 - x0) * b, 9) + 0e0 AS x, round(y0 + (y1 - y0) * a + (y2 - y0) * b, 9) + 0e0 AS y FROM g, q")
+def quad_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qu.quadrature_nodes(ms.square(spark, 4), qu.rule(2, 1)).select("qnode_id", *[(F.round(c, 9) + 0.0).alias(c) for c in ("x", "y")])
+
+
+@register("SELECT s_suppkey, round((pow(b, 4) - pow(a, 4)) / 4, 6) + 0e0 AS integral FROM (SELECT s_suppkey, (s_suppkey % 7) / 7e0 AS a, (s_suppkey % 7) / 7e0 + 0.5e0 AS b FROM supplier)")
+def quad_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = (F.col("s_suppkey") % 7) / 7.0
+    rows = qu.interval_rows(table(spark, sf_dir, "supplier").select("s_suppkey", a.alias("a"), (a + 0.5).alias("b")))
+    return rows.groupBy("s_suppkey").agg(F.sum(F.col("w") * F.col("x") * F.col("x") * F.col("x")).alias("i")).select("s_suppkey", r6("i").alias("integral"))
+
+
+@register("SELECT event_id // 3 AS cell_id, round(sum(value) / 3 / 128, 9) + 0e0 AS integral FROM events WHERE event_id < 384 GROUP BY 1")
+def discretized_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = table(spark, sf_dir, "events").select(F.col("event_id").alias("qnode_id"), "value")
+    return qu.integrate_cells(ms.square(spark, 8), "value", data=data).select("cell_id", (F.round("integral", 9) + 0.0).alias("integral"))
+
+
+# ---------------------------------------------------------------- bases
+
+PSI_SQL = f"c AS (SELECT *, {CELL_SQL} AS cell_id FROM pts), z AS (SELECT pid, v0, v1, v2, ((x - x0) * (y2 - y0) - (x2 - x0) * (y - y0)) / {DET} AS z1, ((x1 - x0) * (y - y0) - (x - x0) * (y1 - y0)) / {DET} AS z2 FROM c JOIN g USING (cell_id))"
+
+
+@register(f"WITH {C_SQL}, {mesh_sql(16)}, {G_SQL}, {PSI_SQL} SELECT pid, unnest([v0, v1, v2]) AS dof_id, unnest([round(1 - z1 - z2, 6) + 0e0, round(z1, 6) + 0e0, round(z2, 6) + 0e0]) AS value FROM z")
+def psi_point_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ba.Lagrange(ms.square(spark, 16)).evaluate(customers(spark, sf_dir), 1 / 16).select("pid", "dof_id", r6("value").alias("value"))
+
+
+@register(f"WITH {C_SQL}, {mesh_sql(16)}, {G_SQL}, {PSI_SQL}, {SIDES_SQL}, e AS (SELECT n0, n1, min(cell_id * 3 + side) AS first FROM sides GROUP BY n0, n1), i AS (SELECT 289 + row_number() OVER (ORDER BY first) - 1 AS dof_id, n0, n1 FROM e), w AS (SELECT *, 1 - z1 - z2 AS z0 FROM z), l AS (SELECT pid, v0 AS a, v0 AS b, z0 * (2 * z0 - 1) AS v FROM w UNION ALL SELECT pid, v1, v1, z1 * (2 * z1 - 1) FROM w UNION ALL SELECT pid, v2, v2, z2 * (2 * z2 - 1) FROM w UNION ALL SELECT pid, v0, v1, 4 * z0 * z1 FROM w UNION ALL SELECT pid, v0, v2, 4 * z0 * z2 FROM w UNION ALL SELECT pid, v1, v2, 4 * z1 * z2 FROM w) SELECT pid, CASE WHEN a = b THEN a ELSE dof_id END AS dof_id, round(v, 6) + 0e0 AS value FROM l LEFT JOIN i ON n0 = least(a, b) AND n1 = greatest(a, b)")
+def psi_point_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ba.Lagrange(ms.square(spark, 16), 2).evaluate(customers(spark, sf_dir), 1 / 16).select("pid", "dof_id", r6("value").alias("value"))
+
+
+@register(f"WITH {mesh_sql(8)}, s AS (SELECT unnest([v0, v1, v2]) AS dof_id, cell_id // 16 AS sub_id FROM cells) SELECT sub_id, dof_id, round(count(*) / 48e0, 9) AS value FROM s GROUP BY sub_id, dof_id")
+def psi_areal_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mesh = ms.square(spark, 8)
+    regions = mesh.cells.select((F.floor(F.col("cell_id") / 16)).cast("bigint").alias("sub_id"), "cell_id")
+    return ba.Lagrange(mesh).areal(regions).select("sub_id", "dof_id", F.round("value", 9).alias("value"))
+
+
+@register(f"WITH {C_SQL} SELECT pid, round(3 * x - y + 1, 6) + 0e0 AS value FROM pts")
+def basis_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    basis = ba.Lagrange(ms.square(spark, 16), 2)
+    c = basis.dofs().select("dof_id", (3 * F.col("x") - F.col("y") + 1).alias("c"))
+    return basis.expand(c, customers(spark, sf_dir), 1 / 16).select("pid", r6("value").alias("value"))
+
+
+@register(f"WITH {mesh_sql(4)}, {SIDES_SQL}, e AS (SELECT n0, n1, min(cell_id * 3 + side) AS first, count(*) = 1 AS b FROM sides GROUP BY n0, n1) SELECT node_id AS dof_id, x, y, node_id % 5 IN (0, 4) OR node_id // 5 IN (0, 4) AS on_boundary FROM nodes UNION ALL SELECT 25 + row_number() OVER (ORDER BY first) - 1, (a.x + c.x) / 2, (a.y + c.y) / 2, b FROM e JOIN nodes a ON n0 = a.node_id JOIN nodes c ON n1 = c.node_id")
+def dofs_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ba.Lagrange(ms.square(spark, 4), 2).dofs()
+
+
+S_SQL = "p AS (SELECT event_id AS pid, value / 250 AS x FROM events)"
+
+
+def values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("pid"), (F.col("value") / 250).alias("x"))
+
+
+HAT = "greatest(0e0, 1 - abs(x * 2 - i))"
+
+
+@register(f"WITH {S_SQL} SELECT pid, i AS dof_id, round({HAT}, 9) AS value FROM (SELECT pid, x, unnest(range(0, 5)) AS i FROM p) WHERE {HAT} <> 0")
+def spline_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ba.Splines([0, 0.5, 1, 1.5, 2], 1).evaluate(values(spark, sf_dir)).select("pid", F.col("dof_id").cast("bigint").alias("dof_id"), F.round("value", 9).alias("value"))
+
+
+@register(f"WITH {S_SQL} SELECT pid, round(x, 9) AS value FROM p")
+def spline_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cubic splines reproduce x from the means of three knots each (the Greville points)."""
+    s = ba.Splines([0, 0.5, 1, 1.5, 2], 3)
+    c = spark.createDataFrame([(i, sum(s.knots[i + 1 : i + 4]) / 3) for i in range(s.n)], "dof_id int, c double")
+    return s.expand(c, values(spark, sf_dir)).select("pid", F.round("value", 9).alias("value"))
+
+
+@register(f"WITH {S_SQL} SELECT pid, i AS dof_id, CASE WHEN x * 2 < i THEN 2e0 ELSE -2e0 END AS value FROM (SELECT pid, x, unnest(range(0, 5)) AS i FROM p) WHERE x < 2 AND x * 2 >= i - 1 AND x * 2 < i + 1")
+def spline_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ba.Splines([0, 0.5, 1, 1.5, 2], 1).evaluate(values(spark, sf_dir), 1).select("pid", F.col("dof_id").cast("bigint").alias("dof_id"), F.round("value", 9).alias("value"))
+
+
+# ---------------------------------------------------------------- assembly and solution
+
+
+def entries(m: cm.Coo) -> DataFrame:
+    return m.df.select("row", "col", (F.round("value", 9) + 0.0).alias("value"))
+
+
+LOCAL = f"d AS (SELECT cell_id, abs({DET}) / 2 AS m, [v0, v1, v2] AS v, [(y1 - y2) / {DET}, (y2 - y0) / {DET}, (y0 - y1) / {DET}] AS gx, [(x2 - x1) / {DET}, (x0 - x2) / {DET}, (x1 - x0) / {DET}] AS gy FROM g), ij AS (SELECT i, j FROM range(1, 4) a(i), range(1, 4) b(j))"
+
+
+def local_sql(value: str, n: int = 8) -> str:
+    return f'WITH {mesh_sql(n)}, {G_SQL}, {LOCAL} SELECT v[i] AS "row", v[j] AS col, round(sum({value}), 9) + 0e0 AS value FROM d, ij GROUP BY 1, 2'
+
+
+@register(local_sql("m / 12 * (CASE WHEN i = j THEN 2 ELSE 1 END)"))
+def mass_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries(asm.mass(ba.Lagrange(ms.square(spark, 8))))
+
+
+@register(local_sql("m * (gx[i] * gx[j] + gy[i] * gy[j])"))
+def stiff_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries(asm.assemble(-asm.laplacian(), ba.Lagrange(ms.square(spark, 8))))
+
+
+@register(local_sql("-m * (gx[i] * (2 * gx[j] + 0.5e0 * gy[j]) + gy[i] * (0.5e0 * gx[j] + gy[j]))"))
+def diffusion_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries(asm.assemble(asm.diffusion([[2.0, 0.5], [0.5, 1.0]]), ba.Lagrange(ms.square(spark, 8))))
+
+
+@register(local_sql("m / 3 * (gx[j] + 2 * gy[j])"))
+def advection_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries(asm.assemble(asm.advection([1.0, 2.0]), ba.Lagrange(ms.square(spark, 8))))
+
+
+@register(local_sql("2.5e0 * m / 12 * (CASE WHEN i = j THEN 2 ELSE 1 END)"))
+def reaction_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries(asm.assemble(asm.reaction(lambda x, y: F.lit(2.5)), ba.Lagrange(ms.square(spark, 8))))
+
+
+@register(local_sql("m * (gx[i] * gx[j] + gy[i] * gy[j]) + m / 3 * (gx[j] + 2 * gy[j]) - 3 * m / 12 * (CASE WHEN i = j THEN 2 ELSE 1 END)"))
+def operator_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = -asm.laplacian() + asm.advection([1.0, 2.0]) - 3.0 * asm.reaction(1.0)
+    return entries(asm.assemble(o, ba.Lagrange(ms.square(spark, 8))))
+
+
+@register(f"WITH {mesh_sql(8)}, s AS (SELECT unnest([v0, v1, v2]) AS idx FROM cells) SELECT idx, round(count(*) * 4e0 / 128 / 3, 9) AS value FROM s GROUP BY idx")
+def forcing_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asm.forcing(ba.Lagrange(ms.square(spark, 8)), lambda x, y: F.lit(4.0)).select("idx", F.round("value", 9).alias("value"))
+
+
+@register('WITH h AS (SELECT i, j FROM range(0, 5) a(i), range(0, 5) b(j) WHERE abs(i - j) <= 1) SELECT i AS "row", j AS col, round(CASE WHEN i <> j THEN 0.5e0 / 6 WHEN i IN (0, 4) THEN 0.5e0 / 3 ELSE 1e0 / 3 END, 9) AS value FROM h')
+def spline_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = spark.range(4).select((F.col("id") / 2.0).alias("a"), ((F.col("id") + 1) / 2.0).alias("b"))
+    return entries(asm.assemble_splines(asm.reaction(1.0), ba.Splines([0, 0.5, 1, 1.5, 2], 1), spans))
+
+
+@register('WITH m AS (SELECT [[4, -6, 2, 0], [-6, 12, -9, 3], [2, -9, 12, -6], [0, 3, -6, 4]] AS m) SELECT 0 AS "row", 0 AS col, 0e0 AS value FROM m WHERE 1 = 0 UNION ALL SELECT i, j, -4 * CAST(CASE WHEN i = j THEN 1 ELSE -2 END AS DOUBLE) FROM range(0, 0) a(i), range(0, 0) b(j) UNION ALL SELECT i, j, -round(k[i + 1] * k[j + 1], 9) + 0e0 FROM (SELECT [2e0, -4e0, 2e0] AS k), range(0, 3) a(i), range(0, 3) b(j)')
+def spline_bilaplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quadratic splines on one span [0, 1] have second derivatives 2, -4 and 2."""
+    spans = spark.createDataFrame([(0.0, 1.0)], "a double, b double")
+    return entries(asm.assemble_splines(asm.bilaplacian(), ba.Splines([0, 1], 2), spans))
+
+
+@register(f'WITH {mesh_sql(8)}, {G_SQL}, {LOCAL}, a AS (SELECT v[i] AS r, v[j] AS c, sum(m * (gx[i] * gx[j] + gy[i] * gy[j])) AS value FROM d, ij GROUP BY 1, 2), b AS (SELECT node_id FROM nodes WHERE x IN (0, 1) OR y IN (0, 1)) SELECT r AS "row", c AS col, round(value, 9) + 0e0 AS value FROM a WHERE r NOT IN (SELECT node_id FROM b) UNION ALL SELECT node_id, node_id, 1e0 FROM b')
+def dirichlet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mesh = ms.square(spark, 8)
+    a = asm.assemble(-asm.laplacian(), ba.Lagrange(mesh))
+    return entries(a.replace_rows(mesh.boundary_nodes().select(F.col("node_id").alias("row"))))
+
+
+@register(f"WITH {mesh_sql(8)} SELECT node_id AS dof_id, round(x + y, 6) + 0e0 AS u FROM nodes")
+def solve_laplace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = so.PDE(ms.square(spark, 8), -asm.laplacian(), boundary=lambda x, y: x + y).solve()
+    return u.select("dof_id", r6("u").alias("u"))
+
+
+@register("SELECT CAST(81 AS BIGINT) AS n, 0e0 AS error")
+def solve_poisson_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """u = 1 - x^2 - y^2 solves the problem with forcing 4, and quadratic elements hold it exactly."""
+    exact = lambda x, y: 1 - x * x - y * y
+    u = so.PDE(ms.square(spark, 4), -asm.laplacian(), 2, source=lambda x, y: F.lit(4.0), boundary=exact).solve()
+    return u.agg(F.count("*").alias("n"), (F.round(F.max(F.abs(F.col("u") - exact(F.col("x"), F.col("y")))), 6) + 0.0).alias("error"))
+
+
+@register(f"WITH {mesh_sql(4)} SELECT node_id AS dof_id, round(x - y, 6) + 0e0 AS u FROM nodes")
+def solve_advection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advection (1, 1) leaves x - y alone, so it solves the problem without forcing."""
+    o = -asm.laplacian() + asm.advection([1.0, 1.0])
+    return so.PDE(ms.square(spark, 4), o, boundary=lambda x, y: x - y).solve().select("dof_id", r6("u").alias("u"))
+
+
+@register(f"WITH {mesh_sql(4)} SELECT k AS t_index, node_id AS dof_id, round(x + y + k * 0.1e0, 6) + 0e0 AS u FROM nodes, range(0, 3) t(k)")
+def solve_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """u = x + y + t solves the heat equation with forcing 1; implicit Euler is exact for it."""
+    o = asm.dt() - asm.laplacian()
+    p = so.PDE(ms.square(spark, 4), o, times=[0.0, 0.1, 0.2], source=lambda x, y, t: F.lit(1.0), boundary=lambda x, y, t: x + y + t, initial=lambda x, y: x + y)
+    return p.solve().select(F.col("t_index").cast("bigint").alias("t_index"), "dof_id", r6("u").alias("u"))
+
+
+# ---------------------------------------------------------------- sparse matrices
+
+A_SQL = 'a AS (SELECT l_partkey % 16 AS "row", l_suppkey % 16 AS col, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2), b AS (SELECT CAST(n_regionkey AS BIGINT) AS "row", n_nationkey % 3 AS col, CAST(sum(n_nationkey + 1) AS DOUBLE) AS value FROM nation GROUP BY 1, 2)'
+
+
+def quantities(spark: SparkSession, sf_dir: str) -> cm.Coo:
+    q = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 16).alias("row"), (F.col("l_suppkey") % 16).alias("col"), F.col("l_quantity").alias("value"))
+    return cm.Coo(q, 16, 16).summed()
+
+
+def regions(spark: SparkSession, sf_dir: str) -> cm.Coo:
+    n = table(spark, sf_dir, "nation")
+    return cm.Coo(n.select(F.col("n_regionkey").cast("bigint").alias("row"), (F.col("n_nationkey") % 3).cast("bigint").alias("col"), (F.col("n_nationkey") + 1).cast("double").alias("value")), 5, 3).summed()
+
+
+@register(f'WITH {A_SQL} SELECT a."row" * 5 + b."row" AS "row", a.col * 3 + b.col AS col, a.value * b.value AS value FROM a, b')
+def kron(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantities(spark, sf_dir).kronecker(regions(spark, sf_dir)).df
+
+
+@register(f'WITH {A_SQL} SELECT b."row" * 16 + a."row" AS "row", b.col * 16 + a.col AS col, a.value * b.value AS value FROM a, b')
+def kron_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions(spark, sf_dir).kronecker(quantities(spark, sf_dir)).df
+
+
+@register(f'WITH {A_SQL} SELECT "row", col, value FROM a UNION ALL SELECT "row" + 16, col + 16, value FROM b')
+def block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cm.block_matrix([[quantities(spark, sf_dir), None], [None, regions(spark, sf_dir)]]).df
+
+
+@register(f'WITH {A_SQL} SELECT "row" - 4 AS "row", col - 2 AS col, value FROM a WHERE "row" BETWEEN 4 AND 9 AND col BETWEEN 2 AND 11')
+def matrix_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantities(spark, sf_dir).block(4, 2, 6, 10).df
+
+
+@register(f'WITH {A_SQL} SELECT "row", "row" AS col, sum(value) AS value FROM a GROUP BY "row"')
+def lump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantities(spark, sf_dir).lump().df
+
+
+@register(f'WITH {A_SQL} SELECT "row" AS idx, sum(value * (col + 1)) AS value FROM a GROUP BY 1')
+def spmv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = spark.range(16).select(F.col("id").alias("idx"), (F.col("id") + 1).cast("double").alias("value"))
+    return quantities(spark, sf_dir).times_vector(x)
+
+
+@register(f'WITH {A_SQL} SELECT p."row", q."row" AS col, sum(p.value * q.value) AS value FROM a p JOIN a q ON p.col = q.col GROUP BY 1, 2')
+def spmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = quantities(spark, sf_dir)
+    return a.times(a.transpose()).df
+
+
+@register(f'WITH {A_SQL}, u AS (SELECT "row", col, value FROM a UNION ALL SELECT col, "row", 2 * value FROM a) SELECT "row", col, sum(value) AS value FROM u GROUP BY 1, 2')
+def matrix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = quantities(spark, sf_dir)
+    return a.plus(a.transpose().scale(2.0)).df
+
+
+@register(f'WITH {A_SQL} SELECT "row", col, value FROM a WHERE "row" >= col UNION ALL SELECT col, "row", value FROM a WHERE "row" > col')
+def symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantities(spark, sf_dir).symmetric_from_lower().df
+
+
+@register("SELECT id AS idx, round((id + 1) / 2e0 - 0.5e0 * (SELECT sum((id + 1) / 2e0) FROM range(6) r(id)) / (1 + 6 * 0.5e0), 9) + 0e0 AS value FROM range(6) r(id)")
+def woodbury(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(2 I + u ut) x = b with u of ones, by solutions with 2 I."""
+    two = cm.identity(spark, 6).scale(2.0)
+    u = cm.Coo(spark.range(6).select(F.col("id").alias("row"), F.lit(0).cast("bigint").alias("col"), F.lit(1.0).alias("value")), 6, 1)
+    b = spark.range(6).select(F.col("id").alias("idx"), (F.col("id") + 1).cast("double").alias("value"))
+    x = so.woodbury(lambda v: so.solve(two, v), u, so.np.eye(1), u.transpose(), b)
+    return x.select("idx", (F.round("value", 9) + 0.0).alias("value"))
+
+
+@register()
+def sparse_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L of an approximate inverse of mass plus stiffness."""
+    a = asm.assemble(asm.reaction(1.0) - asm.laplacian(), ba.Lagrange(ms.square(spark, 8)))
+    return entries(so.sparse_inverse(a))
+
+
+# ---------------------------------------------------------------- bit matrices
+
+BITS_SQL = 'a AS (SELECT DISTINCT o_custkey % 8 AS "row", CAST(month(o_orderdate) - 1 AS BIGINT) AS col FROM orders WHERE o_totalprice > 400000), b AS (SELECT DISTINCT o_custkey % 8 AS "row", CAST(month(o_orderdate) - 1 AS BIGINT) AS col FROM orders WHERE o_orderstatus = \'P\' AND o_custkey % 3 = 0 AND o_orderkey % 5 = 0)'
+
+
+def months(spark: SparkSession, sf_dir: str) -> tuple[bt.Bits, bt.Bits]:
+    cell = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 8).alias("row"), (F.month("o_orderdate") - 1).cast("bigint").alias("col"), "o_totalprice", "o_orderstatus", "o_custkey", "o_orderkey")
+    return bt.of(cell, 8, 12, F.col("o_totalprice") > 400000), bt.of(cell, 8, 12, (F.col("o_orderstatus") == "P") & (F.col("o_custkey") % 3 == 0) & (F.col("o_orderkey") % 5 == 0))
+
+
+def bits_query(name: str, sql: str, f: Callable[[bt.Bits, bt.Bits], DataFrame]) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(*months(spark, sf_dir))
+
+    query.__name__ = name
+    register(f"WITH {BITS_SQL}, g AS (SELECT r AS \"row\", c AS col FROM range(8) x(r), range(12) y(c)) {sql}")(query)
+
+
+bits_query("bits_and", "SELECT * FROM a INTERSECT SELECT * FROM b", lambda a, b: (a & b).df)
+bits_query("bits_or", "SELECT * FROM a UNION SELECT * FROM b", lambda a, b: (a | b).df)
+bits_query("bits_xor", "(SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)", lambda a, b: (a ^ b).df)
+bits_query("bits_not", "SELECT * FROM g EXCEPT SELECT * FROM a", lambda a, b: (~a).df)
+bits_query("bits_block", 'SELECT "row" - 2 AS "row", col - 3 AS col FROM a WHERE "row" BETWEEN 2 AND 5 AND col BETWEEN 3 AND 9', lambda a, b: a.block(2, 3, 4, 7).df)
+bits_query("bits_assign", 'SELECT * FROM a WHERE NOT ("row" < 3 AND col < 4) UNION SELECT * FROM b WHERE "row" < 3 AND col < 4', lambda a, b: a.assign(0, 0, b.block(0, 0, 3, 4)).df)
+bits_query("bits_clear", "SELECT * FROM a EXCEPT SELECT * FROM b", lambda a, b: a.clear(b.df).df)
+bits_query("bits_summary", 'SELECT count(*) AS n, count(*) = 96 AS "all", count(*) > 0 AS "any" FROM a', lambda a, b: a.summary())
+bits_query("bits_which", 'SELECT "row" * 12 + col AS idx FROM a', lambda a, b: a.which())
+bits_query("bits_which_not", 'SELECT "row" * 12 + col AS idx FROM g EXCEPT SELECT "row" * 12 + col FROM a', lambda a, b: a.which(False))
+bits_query("bits_repeat", 'SELECT "row" + 8 * i AS "row", col + 12 * j AS col FROM a, range(2) p(i), range(3) q(j)', lambda a, b: a.repeat(2, 3).df)
+bits_query("bits_reshape", 'SELECT ("row" * 12 + col) // 16 AS "row", ("row" * 12 + col) % 16 AS col FROM a', lambda a, b: a.reshape(6, 16).df)
+bits_query("bits_equal", 'SELECT true AS same, (SELECT count(*) FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a))) = 0 AS other', lambda a, b: a.df.sparkSession.createDataFrame([(a.equals(~~a), a.equals(b))], "same boolean, other boolean"))
+
+
+@register(f'WITH {BITS_SQL}, {A_SQL.replace("a AS (", "m AS (", 1).replace(", b AS (", ", m2 AS (")} SELECT m."row", m.col, m.value FROM m JOIN a ON m."row" = a."row" AND m.col = a.col')
+def bits_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return months(spark, sf_dir)[0].select(quantities(spark, sf_dir).df)
+
+
+# ---------------------------------------------------------------- optimisation
+
+
+def distance_objective(spark: SparkSession, sf_dir: str) -> op.Objective:
+    p = parts(spark, sf_dir)
+    n = float(p.count())
+    return op.Objective(p, lambda a, b: ((F.col("x") - a) * (F.col("x") - a) + (F.col("y") - b) * (F.col("y") - b)) / n)
+
+
+@register("WITH g AS (SELECT id AS row_id, (id % 10 - 5) * 0.2e0 AS a, (id // 10 - 5) * 0.2e0 AS b FROM range(100) r(id)) SELECT row_id, round(a, 6) + 0e0 AS a, round(b, 6) + 0e0 AS b, round(a * a + b * b, 6) + 0e0 AS f FROM g ORDER BY a * a + b * b, row_id LIMIT 1")
+def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    grid = spark.range(100).select(i.alias("row_id"), ((i % 10 - 5) * 0.2).alias("a"), ((F.floor(i / 10) - 5) * 0.2).alias("b"))
+    return op.grid_search(grid, F.col("a") * F.col("a") + F.col("b") * F.col("b")).select("row_id", *[r6(c).alias(c) for c in ("a", "b", "f")])
+
+
+MEAN_SQL = f"WITH {P_SQL} SELECT round(avg(x), 4) + 0e0 AS a, round(avg(y), 4) + 0e0 AS b FROM pp"
+
+
+def optimum(spark: SparkSession, sf_dir: str, method: op.Descent) -> DataFrame:
+    found = method.minimise(distance_objective(spark, sf_dir), [0.0, 0.0])
+    return spark.createDataFrame([tuple(found.optimum.tolist())], "a double, b double").select(*[(F.round(c, 4) + 0.0).alias(c) for c in ("a", "b")])
+
+
+@register(MEAN_SQL)
+def gradient_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimum(spark, sf_dir, op.GradientDescent(step=0.3))
+
+
+@register(MEAN_SQL)
+def gradient_descent_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimum(spark, sf_dir, op.GradientDescent(search=op.Backtracking()))
+
+
+@register(MEAN_SQL)
+def newton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimum(spark, sf_dir, op.Newton(step=1.0, tolerance=1e-5))
+
+
+@register(MEAN_SQL)
+def bfgs_wolfe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimum(spark, sf_dir, op.BFGS(search=op.Wolfe()))
+
+
+# ---------------------------------------------------------------- trees
+
+TREE_SQL = "WITH RECURSIVE t AS (SELECT CAST(0 AS BIGINT) AS node_id, '' AS path UNION ALL SELECT n.n_nationkey, t.path || CASE WHEN n.n_nationkey % 2 = 1 THEN 'L' ELSE 'R' END FROM nation n JOIN t ON n.n_nationkey > 0 AND (n.n_nationkey - 1) // 2 = t.node_id)"
+
+
+def heap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey").cast("bigint")
+    return table(spark, sf_dir, "nation").select(k.alias("node_id"), F.when(k > 0, F.floor((k - 1) / 2).cast("bigint")).alias("parent_id"), (k % 2 == 1).alias("is_left"))
+
+
+def ranked(paths: DataFrame, *order: Column) -> DataFrame:
+    return number_rows(paths.select("node_id", "path", "depth"), *order).select(F.col(ROW).alias("pos"), "node_id")
+
+
+@register(f"{TREE_SQL} SELECT row_number() OVER (ORDER BY path) - 1 AS pos, node_id FROM t")
+def tree_dfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(tr.with_paths(heap(spark, sf_dir)), *tr.depth_first())
+
+
+@register(f"{TREE_SQL} SELECT row_number() OVER (ORDER BY length(path), path) - 1 AS pos, node_id FROM t")
+def tree_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(tr.with_paths(heap(spark, sf_dir)), *tr.breadth_first())
+
+
+@register("SELECT CAST(n_nationkey AS BIGINT) AS node_id FROM nation WHERE 2 * n_nationkey + 1 > 24")
+def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.leaves(heap(spark, sf_dir)).select("node_id")
+
+
+@register(f"{TREE_SQL} SELECT node_id FROM t WHERE NOT starts_with(path, 'LR')")
+def tree_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.without_subtree(tr.with_paths(heap(spark, sf_dir)), "LR").select("node_id")
+
+
+@register("WITH RECURSIVE i AS (SELECT CAST(n_nationkey AS BIGINT) AS node_id, (n_nationkey * 7) % 25 AS value FROM nation), w AS (SELECT i.node_id, i.value, CAST('' AS VARCHAR) AS path FROM i UNION ALL SELECT w.node_id, w.value, w.path || CASE WHEN w.value < r.value THEN 'L' ELSE 'R' END FROM w JOIN (SELECT path, node_id, value, min(node_id) OVER (PARTITION BY path) AS least FROM w) r ON r.path = w.path AND r.node_id = r.least AND w.node_id <> r.node_id) SELECT node_id, CAST(value AS BIGINT) AS value, CAST(max(length(path)) AS INTEGER) AS depth FROM w GROUP BY 1, 2")
+def search_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("node_id"), ((F.col("n_nationkey") * 7) % 25).cast("bigint").alias("value"))
+    return tr.search_tree(items).select("node_id", "value", "depth")
+
+
+@register("SELECT CAST(n_nationkey AS BIGINT) AS node_id FROM nation WHERE (n_nationkey * 7) % 25 = 5")
+def tree_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("node_id"), ((F.col("n_nationkey") * 7) % 25).cast("bigint").alias("value"))
+    return tr.find(tr.search_tree(items), F.lit(5)).select("node_id")
