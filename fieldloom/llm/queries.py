@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import castore, media, mixing, packing, quality, rules, simhash, toxicity
+from . import castore, langid, media, mixing, packing, quality, rules, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,20 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return found.select("page_id", "host", "declared", "text_lang", "lang", "probability")
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl log that ``pages`` implies, resolved; headers as one text, bodies as digest and size."""
+    records = warc.crawl_of(table(spark, sf_dir, "pages"))
+    bodies = records.select("record_id", F.md5("html").alias("body_md5"), F.char_length("html").cast("bigint").alias("body_chars"))
+    found = warc.with_bodies(warc.resolve(records), bodies, ["body_md5", "body_chars"])
+    headers = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return found.select("record_id", F.col("key").alias("canonical_url"), "status", "source", "verdict", headers.alias("headers"), "body_md5", "body_chars")
+
+
 def op5_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return castore.verify(castore.build(table(spark, sf_dir, "documents"), end_id=2))
 
@@ -54,7 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_media_columns, op2_quality_classifier, op5_content_store, op6_packing, op7_toxicity, op8_simhash, op9_quality_rules, op10_mixing)
+    f.__name__: f for f in (op1_media_columns, op2_quality_classifier, op3_language_id, op4_warc_revisits, op5_content_store, op6_packing, op7_toxicity, op8_simhash, op9_quality_rules, op10_mixing)
 }
 
 SQL: dict[str, str] = {}
@@ -98,3 +112,35 @@ SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, CAST(n_copie
        CAST('0x' || substr(md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || copy), 1, 15) AS BIGINT) AS order_key
 FROM (SELECT *, unnest(range(0, n_copies)) AS copy FROM draw WHERE n_copies > 0)
 """
+
+SQL["op4_warc_revisits"] = r"""
+WITH p AS (SELECT page_id, url, html, '"' || md5(coalesce(html, '')) || '"' AS tag, strftime(make_timestamp((page_id * 60 - 86400) * 1000000), '%d %b %Y %H:%M:%S') AS day FROM pages),
+k AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+    regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?', 2), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?', 3), '^\?', ''), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[a-z]+|gclid|fbclid|ref|sessionid)(=|$)'))) AS q
+  FROM p),
+c AS (SELECT *, CASE WHEN url IS NOT NULL AND host <> '' THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS key FROM k),
+full_ AS (SELECT 2 * page_id AS record_id, page_id * 60 AS at, * FROM c),
+back AS (SELECT 2 * page_id + 1 AS record_id, page_id * 60 + 86400 AS at, *, CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '"0"' WHEN page_id % 2 = 0 THEN 'W/' || tag ELSE tag END AS sent FROM c),
+found AS (
+  SELECT b.record_id, max_by(f.page_id, f.at * 1000000000 + f.record_id) AS src FROM back b JOIN full_ f ON f.key = b.key AND f.at <= b.at GROUP BY b.record_id),
+j AS (
+  SELECT b.*, s.page_id AS src, s.tag AS stag, s.day AS sday, s.html AS shtml,
+    CASE WHEN s.page_id IS NULL THEN 'no earlier response'
+         WHEN b.sent IS NOT NULL AND regexp_replace(b.sent, '^W/', '') <> s.tag THEN 'validators differ'
+         WHEN b.sent IS NULL AND b.page_id > s.page_id THEN 'validators differ' ELSE 'resolved' END AS verdict
+  FROM back b LEFT JOIN found f ON f.record_id = b.record_id LEFT JOIN c s ON s.page_id = f.src)
+SELECT record_id, key AS canonical_url, CAST(200 AS INTEGER) AS status, CAST(NULL AS BIGINT) AS source, 'response' AS verdict,
+  'ETag: ' || tag || chr(10) || 'Last-Modified: ' || day || chr(10) || 'Content-Type: text/html' || chr(10) || 'Cache-Control: max-age=60' AS headers, md5(html) AS body_md5, CAST(length(html) AS BIGINT) AS body_chars
+FROM full_
+UNION ALL
+SELECT record_id, key, CAST(304 AS INTEGER), CASE WHEN verdict = 'resolved' THEN 2 * src END, verdict,
+  CASE WHEN verdict = 'resolved' AND sent IS NULL THEN 'cache-control: max-age=90' || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || stag || chr(10) || 'last-modified: ' || day
+       WHEN verdict = 'resolved' THEN 'cache-control: max-age=90' || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || sent || chr(10) || 'last-modified: ' || sday
+       WHEN sent IS NULL THEN 'Last-Modified: ' || day || chr(10) || 'Cache-Control: max-age=90'
+       ELSE 'ETag: ' || sent || chr(10) || 'Cache-Control: max-age=90' || chr(10) || 'Content-Type: text/plain' END,
+  CASE WHEN verdict = 'resolved' THEN md5(shtml) END, CASE WHEN verdict = 'resolved' THEN CAST(length(shtml) AS BIGINT) END
+FROM j
+""".replace("\\\\", "\\")
