@@ -2,46 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; with texts of some KB a batch stays at a few MB.
-BATCH_ROWS = 512
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the session's file system is closed."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+from ..sources.shared import new_path, shared_dir, written
 
+__all__ = ["base_columns", "new_path", "shared_dir", "small_batches", "text_groups", "written"]
 
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows and bytes of one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits a Python worker."""
+    """Bound the rows and bytes of an Arrow batch, so that a batch of long texts fits a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def base_columns(docs: DataFrame, *names: str) -> DataFrame:
@@ -51,7 +27,7 @@ def base_columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[(docs[n] if n in have else F.lit(None)).cast(kinds[n]).alias(n) for n in names])
 
 
-def text_groups(texts: list[str | None], chars: int = 2_000_000):
+def text_groups(texts: list[str | None], chars: int = 6_000_000):
     """(first, last) bounds of runs of texts with about ``chars`` characters; a longer text is a run of its own."""
     begin = total = 0
     for i, t in enumerate(texts):

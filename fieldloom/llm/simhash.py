@@ -170,7 +170,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
 
 def keep_one(docs: DataFrame, words: int = 3, threshold: int = 2) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (of repeated ids, one row)."""
-    found = near_duplicates(docs, words, threshold)
-    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("kept_id"))
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), same, "left_semi").dropDuplicates(["doc_id"])
+    found = written(near_duplicates(docs, words, threshold), "groups")
+    ids = written(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
+    of = lambda k: docs.join(k, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    repeated = ids.where("n > 1").drop("n")
+    if repeated.isEmpty():
+        return of(ids)
+    return of(ids.where("n = 1")).unionByName(of(repeated).dropDuplicates(["doc_id"]))
