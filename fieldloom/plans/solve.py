@@ -40,19 +40,20 @@ def solve(a: Coo, b: DataFrame, symmetric: bool = True, tolerance: float = 1e-12
         a, b = t.times(a), t.times_vector(b)
     a = Coo(written(a.df, "matrix"), a.n_rows, a.n_cols)
     state = written(_filled(b, a.n_rows).select("idx", F.lit(0.0).alias("x"), F.col("value").alias("r"), F.col("value").alias("p")), "cg")
-    rr = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
-    goal = rr * tolerance * tolerance
+    goal = None
     for _ in range(most):
-        if rr <= goal or rr == 0:
-            break
         q = a.times_vector(state.select("idx", F.col("p").alias("value"))).withColumnRenamed("value", "q")
         step = written(state.join(q, "idx", "left").select("idx", "x", "r", "p", F.coalesce("q", F.lit(0.0)).alias("q")), "cg")
-        pq, rq, qq = step.agg(F.sum(F.col("p") * F.col("q")), F.sum(F.col("r") * F.col("q")), F.sum(F.col("q") * F.col("q"))).first()
+        rr, pq, rq, qq = step.agg(*[F.sum(F.col(u) * F.col(v)) for u, v in ("rr", "pq", "rq", "qq")]).first()
+        goal = rr * tolerance * tolerance if goal is None else goal
+        state = step.drop("q")
+        if rr <= goal or not pq:
+            break
         alpha = rr / pq
-        after = max(rr - 2 * alpha * rq + alpha * alpha * qq, 0.0)
+        # the next squared residual, from the sums of this pass; the true one follows with the next
+        beta = max(rr - 2 * alpha * rq + alpha * alpha * qq, 0.0) / rr
         r = F.col("r") - alpha * F.col("q")
-        state = step.select("idx", (F.col("x") + alpha * F.col("p")).alias("x"), r.alias("r"), (r + (after / rr) * F.col("p")).alias("p"))
-        rr = after
+        state = step.select("idx", (F.col("x") + alpha * F.col("p")).alias("x"), r.alias("r"), (r + beta * F.col("p")).alias("p"))
     return state.select("idx", F.col("x").alias("value"))
 
 
