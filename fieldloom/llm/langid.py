@@ -53,7 +53,8 @@ def trigrams(text: str) -> np.ndarray:
 def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
     """(languages, BUCKETS) log probabilities of trigrams, from documents with a known language."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isin(*languages) & F.col("text").isNotNull())
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_DOCUMENTS)
+    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_DOCUMENTS)
+    sample = known.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most MOST_DOCUMENTS ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS), np.int64)
