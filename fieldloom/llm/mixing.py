@@ -19,7 +19,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEED = 20240229
+from .common import written
+
+#: Up to so many sources, their rates (some tens of bytes each) are broadcast; more are joined by a shuffle that splits skewed partitions.
+SEED, FEW_SOURCES = 20240229, 50_000
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -57,7 +60,9 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, rows:
 
     Output files are range-partitioned by order_key and sorted: a global shuffle.
     """
-    found = rates(docs, weights, rows).select(F.col("source").alias("mix_source"), "rate")
+    found = written(rates(docs, weights, rows).select(F.col("source").alias("mix_source"), "rate"), "rates")
+    if found.count() <= FEW_SOURCES:
+        found = F.broadcast(found)
     joined = docs.join(found, docs["source"].eqNullSafe(F.col("mix_source"))).drop("mix_source")
     most = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
     drawn = joined.withColumn("n_copies", inverse_poisson(uniform(F.col(key), seed), F.col("rate"), most))
