@@ -1,6 +1,6 @@
 """Content-addressed token store: rolling-hash chunks, unique chunks once, document recipes, Merkle manifests.
 
-Layout of a store (Parquet): ``objects/kind=chunk`` (key, ids, n_tokens), each different chunk once; ``recipes`` (part, row,
+Layout of a store (Parquet): ``objects``, of kind "chunk" (key, ids, n_tokens), each different chunk once; ``recipes`` (part, row,
 doc_id, n_tokens, start_in_part, chunks, lengths, root) in ascending doc_id order; ``manifest`` (part, n_docs, n_tokens,
 root), one Merkle root for each part of the recipes. A chunk's address is the BLAKE2b digest of its ids as little-endian
 unsigned 32-bit integers, so reading verifies itself.
@@ -15,6 +15,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from .common import base_columns, new_path, small_batches, text_groups
 from .packing import part_offsets
 from .tokens import default_tokenizer, encoder
 
-#: Chunk bounds in tokens: least, most, and the mask whose zero bits of the rolling hash make a cut (1 of 256 on average).
-LEAST, MOST, MASK, WINDOW = 64, 2048, np.uint64(0xFF << 40), 16
+#: Chunk bounds in tokens: least, most, and the mask whose zero bits of the rolling hash make a cut (1 of 512 on average).
+LEAST, MOST, MASK, WINDOW = 64, 4096, np.uint64(0x1FF << 54), 8
 RECIPES = "part int, row bigint, doc_id bigint, n_tokens bigint, start_in_part bigint, chunks array<binary>, lengths array<int>, root binary"
 MANIFEST = "part int, n_docs bigint, n_tokens bigint, root binary"
 OBJECTS = "kind string, key binary, ids binary, doc_id bigint, n_tokens bigint, chunks array<binary>, lengths array<int>"
@@ -45,7 +46,7 @@ def chunk_ends(ids: np.ndarray, table: np.ndarray) -> list[int]:
     g = table[ids]
     h = g.copy()
     for j in range(1, min(WINDOW, len(ids))):
-        h[j:] += g[:-j] << np.uint64(4 * j)
+        h[j:] += g[:-j] << np.uint64(8 * j)
     ends, begin, n = [], 0, len(ids)
     for c in (np.flatnonzero((h & MASK) == 0) + 1).tolist():
         while c - begin > MOST:
@@ -73,6 +74,7 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+@cache
 def crc_tables() -> np.ndarray:
     """[bit of the length][byte][value]: tables that append 2**bit zero bytes to a CRC-32 (its linear part)."""
     one = np.array([zlib.crc32(b"\0", i ^ 0xFFFFFFFF) ^ zlib.crc32(b"\0", 0xFFFFFFFF) for i in (1 << np.arange(32, dtype=np.uint64)).tolist()], np.uint32)
@@ -106,7 +108,7 @@ class Store:
     path: str
 
     def chunks(self) -> DataFrame:
-        return self.spark.read.schema("key binary, ids binary, n_tokens bigint").parquet(f"{self.path}/objects/kind=chunk").withColumnRenamed("key", "chunk_id")
+        return self.spark.read.schema(OBJECTS).parquet(f"{self.path}/objects").where("kind = 'chunk'").select(F.col("key").alias("chunk_id"), "ids", "n_tokens")
 
     def recipes(self) -> DataFrame:
         return self.spark.read.schema(RECIPES).parquet(f"{self.path}/recipes")
@@ -144,19 +146,19 @@ def build(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, path:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "key", "ids", "doc_id", "n_tokens", "chunks", "lengths"])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        seen = set()  # of the addresses of a partition
         for batch in batches:
-            keys, kinds = batch.column("key").to_pylist(), batch.column("kind").to_pylist()
             keep = []
-            for kind, key in zip(kinds, keys, strict=True):
-                keep.append(kind == "recipe" or key != last)
-                last = key if kind == "chunk" else last
-            yield batch.filter(pa.array(keep))
+            for kind, key in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), strict=True):
+                keep.append(kind == "recipe" or key not in seen)
+                if kind == "chunk":
+                    seen.add(key)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     rows = base_columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spread = F.when(F.col("kind") == "recipe", F.xxhash64("key", "doc_id")).otherwise(F.xxhash64("key"))
     one_pass = rows.mapInArrow(objects, OBJECTS).withColumn("spread", spread)
-    one_pass.repartition("spread").sortWithinPartitions("kind", "key").drop("spread").mapInArrow(once, OBJECTS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
+    one_pass.repartition("spread").drop("spread").mapInArrow(once, OBJECTS).write.option("compression", "lz4_raw").parquet(f"{path}/objects")
     made = spark.read.schema(OBJECTS).parquet(f"{path}/objects")
     made.where("kind = 'recipe'").select("doc_id", "n_tokens", "chunks", "lengths", F.col("key").alias("root")).repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").mapInArrow(_numbered, RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes")
     store = Store(spark, path)

@@ -10,7 +10,7 @@ from ..sources.shared import new_path, shared_dir, written
 __all__ = ["base_columns", "new_path", "shared_dir", "small_batches", "text_groups", "written"]
 
 #: Rows and bytes of one Arrow batch.
-BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -27,7 +27,7 @@ def base_columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[(docs[n] if n in have else F.lit(None)).cast(kinds[n]).alias(n) for n in names])
 
 
-def text_groups(texts: list[str | None], chars: int = 6_000_000):
+def text_groups(texts: list[str | None], chars: int = 1_000_000):
     """(first, last) bounds of runs of texts with about ``chars`` characters; a longer text is a run of its own."""
     begin = total = 0
     for i, t in enumerate(texts):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import base_columns, small_batches, text_groups, written
-from .tokens import default_tokenizer, encoder
+from .tokens import MEMO_WORDS, default_tokenizer, encoder
 
 TOKENS = "part int, start_in_part bigint, doc_id bigint, doc_tokens bigint, width int, ids binary"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, starts_document boolean, ends_document boolean"
@@ -32,13 +32,13 @@ def in_id_order(docs: DataFrame) -> DataFrame:
     return rows.repartitionByRange("doc_id", ties).sortWithinPartitions("doc_id", ties)
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Written table TOKENS: each document's ids with its end id, and the tokens before it in its partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, before = encoder(tokenizer, memo_words), TaskContext.get().partitionId(), 0
         size, end = enc.dtype.itemsize, np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
@@ -87,6 +87,6 @@ def cut(tokens: DataFrame, length: int) -> DataFrame:
     return placed.mapInArrow(pieces, PIECES)
 
 
-def pack(docs: DataFrame, length: int = 2048, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, length: int = 2048, tokenizer: str | None = None, end_id: int = 1, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Boundary records of ``docs`` packed into sequences of ``length`` tokens; only the last sequence needs padding."""
-    return cut(token_table(docs, tokenizer or default_tokenizer(), end_id), length)
+    return cut(token_table(docs, tokenizer or default_tokenizer(), end_id, memo_words), length)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
 #: A byte-level BPE with the usual pattern never joins what lies before and after the last space before a
 #: character that isn't white space, so words can be encoded apart. Runs of other white space stay inside a piece.
 CUT = re.compile(r" (?=\S)")
-#: White space other than single line ends between other characters.
-SPACE = re.compile(r"[^\S\n]|\n(?!\S)|^\n")
-MEMO_WORDS, MEMO_CHARS, TOGETHER = 400_000, 48, 2_000
+#: Latin letters at the start of a word; they never join what follows them.
+STEM = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+MEMO_WORDS, MEMO_CHARS = 400_000, 48
 
 
 def default_tokenizer() -> str:
@@ -21,60 +23,80 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Memo(dict):
+    """Ids of words as bytes, made where they are missing. It keeps the first words it meets, which are the frequent ones; others go with ``forget``."""
+
+    def __init__(self, make: Callable[[Memo, str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.passing = make, most, []
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.make(self, word)
+        if len(self) >= self.most or len(word) > MEMO_CHARS:
+            self.passing.append(word)
+        self[word] = out
+        return out
+
+    def forget(self) -> None:
+        for w in self.passing:
+            del self[w]
+        self.passing.clear()
+
+
 class WordEncoder:
     """``encode(texts)`` gives, for each text, its ids as little-endian bytes of ``dtype``, equal to those of encoding it whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.heads: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _learn(self, memo: dict[str, bytes], words: set[str], before: str) -> list[str]:
-        """Adds all of ``words`` to the memo. It keeps the first words it meets, which are the frequent ones; the others are returned, to go after this batch."""
-        new, passing = [], []
-        for w in words.difference(memo):
-            if len(w) > MEMO_CHARS or SPACE.search(w):
-                memo[w] = self._ids([before + w]).tobytes()
-                passing.append(w)
-            else:
-                new.append(w)
-        full = len(memo) >= MEMO_WORDS
-        for i in range(0, len(new), TOGETHER):
-            part = new[i : i + TOGETHER]
-            ids = self._ids([before + w for w in part])
-            lines = [*np.flatnonzero(ids == self.line).tolist(), len(ids)]  # a line end is a token of its own here
-            raw, size, begin, k = ids.tobytes(), self.dtype.itemsize, 0, -1
-            for w in part:
-                k += 1 + w.count("\n")
-                memo[w] = raw[begin * size : lines[k] * size]
-                begin = lines[k] + 1
-        return passing + new if full else passing
-
-    def _ids(self, words: list[str]) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that stand for themselves in the model's alphabet
+        self.alphabet = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(plain))}
+        self.heads, self.rest, self.tails = Memo(self._word, memo_words), Memo(self._word, memo_words), Memo(lambda _, w: self._ids(w), memo_words)
+
+    def _ids(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _letters(self, before: str, word: str) -> bytes:
+        """Ids of a blank (or nothing) and letters: one piece for the model, in its alphabet of bytes."""
+        if word.isascii():
+            piece = "\u0120" + word if before else word
+        else:
+            piece = (before + word).encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _word(self, memo: Memo, word: str) -> bytes:
+        """Letters go to the model as they are; letters and other characters behind them are put together from both."""
+        before = " " if memo is self.rest else ""
+        if word.isascii() and word.isalpha():
+            return self._letters(before, word)
+        m = STEM.match(word)
+        if not m or len(word) > MEMO_CHARS:
+            return self._ids(before + word)
+        if m.end() == len(word):
+            return self._letters(before, word)
+        return memo[m[0]] + self.tails[word[m.end() :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [CUT.split(t) for t in texts]
-        passing = self._learn(self.heads, {p[0] for p in pieces}, ""), self._learn(self.rest, set().union(*(p[1:] for p in pieces)), " ")
-        head, rest = self.heads.__getitem__, self.rest.__getitem__
-        out = [head(p[0]) + b"".join(map(rest, p[1:])) for p in pieces]
-        for memo, words in zip((self.heads, self.rest), passing, strict=True):
-            for w in words:
-                del memo[w]
+        head, rest, out = self.heads.__getitem__, self.rest.__getitem__, []
+        for t in texts:
+            p = CUT.split(t)
+            out.append(head(p[0]) + b"".join(map(rest, p[1:])))
+        for memo in (self.heads, self.rest, self.tails):
+            memo.forget()
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder (and memo) for each worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> WordEncoder:
+    """One encoder (and memo) for each worker process; ``memo_words`` words are some 200 bytes each."""
+    if (path, memo_words) not in _ENCODERS:
+        _ENCODERS[path, memo_words] = WordEncoder(path, memo_words)
+    return _ENCODERS[path, memo_words]
