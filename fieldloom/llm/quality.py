@@ -135,16 +135,19 @@ def learn(table: DataFrame, labels: DataFrame, label: str = "quality") -> Discri
 
 
 def scored(table: DataFrame, model: Discriminant | float) -> DataFrame:
-    """``table`` with score for x."""
-    schema = table.drop("x").schema.add("score", "double")
-    others = table.drop("x").columns
+    """``table`` with score for its statistics x, or where it has none for those of its text, in one pass."""
+    source = "x" if "x" in table.columns else "text"
+    others = table.drop(source).columns
+    schema = table.drop(source).schema.add("score", T.DoubleType())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column("x").to_pylist(), np.float64).reshape(-1, len(NAMES))
+            rows = b.column(source).to_pylist()
+            x = np.array(rows if source == "x" else [statistics(t) for t in rows], np.float64).reshape(-1, len(NAMES))
             s = model.score(x) if isinstance(model, Discriminant) else np.full(len(x), model)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(s)], names=[*others, "score"])
 
+    small_batches(table.sparkSession)
     return table.mapInArrow(score, schema)
 
 
@@ -156,9 +159,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows scored under ``least``. The model comes from labelled rows; the filter is beside each row."""
-    known = labels.select("doc_id").distinct()
-    sample = base_columns(docs, "doc_id", "text").join(known, "doc_id", "left_semi")
-    model = learn(statistic_table(sample), labels)
+    """``docs`` without the rows scored under ``least``. No text is shuffled: statistics are taken once to learn and once beside each row."""
+    model = learn(written(statistic_table(base_columns(docs, "doc_id", "text")), "statistics"), labels)
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
-    return scored(statistic_table(row), model).where(F.col("score") >= least).select("row.*")
+    return scored(row, model).where(F.col("score") >= least).select("row.*")

@@ -172,7 +172,8 @@ def keep_one(docs: DataFrame, words: int = 3, threshold: int = 2) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (of repeated ids, one row)."""
     found = written(near_duplicates(docs, words, threshold), "groups")
     ids = written(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
-    of = lambda k: docs.join(k, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    # as many ids as documents: never a broadcast, at any size
+    of = lambda k: docs.join(k.hint("merge"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
     repeated = ids.where("n > 1").drop("n")
     if repeated.isEmpty():
         return of(ids)
