@@ -117,14 +117,14 @@ class Store:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
 
 
-def build(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, path: str | None = None) -> Store:
-    """Encode ``docs`` and write a store under ``path`` (default: a fresh path in the shared folder)."""
+def build(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, path: str | None = None, memo_words: int = 600_000) -> Store:
+    """Encode ``docs`` and write a store under ``path`` (default: a fresh path in the shared folder); ``memo_words`` words of a worker's memo are some 200 bytes each."""
     spark = docs.sparkSession
     tokenizer, path = tokenizer or default_tokenizer(), path or new_path(spark, "castore")
     small_batches(spark)
 
     def objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = encoder(tokenizer), set()
+        enc, seen = encoder(tokenizer, memo_words), set()
         table, end = gear(enc.tokenizer.get_vocab_size() + end_id + 1), np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
