@@ -23,6 +23,8 @@ from .common import written
 
 #: Up to so many sources, their rates (some tens of bytes each) are broadcast; more are joined by a shuffle that splits skewed partitions.
 SEED, FEW_SOURCES = 20240229, 50_000
+#: Up to this rate, the terms of the Poisson law are summed from zero copies.
+DIRECT = 500
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -31,15 +33,26 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
 
 
-def inverse_poisson(u: Column, rate: Column, most: Column) -> Column:
-    """The smallest k whose cumulative probability reaches ``u``; ``most`` bounds the terms (far in the tail)."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
+def inverse_poisson(u: Column, rate: Column) -> Column:
+    """The smallest k whose cumulative probability reaches ``u``.
+
+    Terms are summed from k = 0, or beyond rates of DIRECT, where exp(-rate) comes near the smallest doubles, from twelve
+    deviations and 20 below the mean; they end as far above it. What lies outside is far less than the smallest ``u``.
+    """
+    spread = 12 * F.sqrt(rate) + 20
+    large = rate > DIRECT
+    first = F.when(large, F.floor(rate - spread)).otherwise(0).cast("int")
+    f = F.greatest(F.floor(rate - spread), F.lit(1)).cast("double")
+    # log of the probability of f, with Stirling's series for its factorial
+    log_p = f * F.log(rate / f) - (rate - f) - 0.5 * F.log(2 * math.pi * f) - 1 / (12 * f) + 1 / (360 * f * f * f)
+    p = F.when(large, F.exp(log_p)).otherwise(F.exp(-rate))
+    start = F.struct(p.alias("p"), p.alias("c"), first.alias("k"))
 
     def step(a: Column, i: Column) -> Column:
         p = a["p"] * rate / i
         return F.struct(F.when(a["c"] < u, p).otherwise(a["p"]).alias("p"), F.when(a["c"] < u, a["c"] + p).otherwise(a["c"]).alias("c"), (a["k"] + F.when(a["c"] < u, 1).otherwise(0)).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["k"])
+    return F.aggregate(F.sequence(first + 1, F.ceil(rate + spread).cast("int")), start, step, lambda a: a["k"])
 
 
 def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, rows: float | None = None) -> DataFrame:
@@ -64,8 +77,7 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, rows:
     if found.count() <= FEW_SOURCES:
         found = F.broadcast(found)
     joined = docs.join(found, docs["source"].eqNullSafe(F.col("mix_source"))).drop("mix_source")
-    most = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
-    drawn = joined.withColumn("n_copies", inverse_poisson(uniform(F.col(key), seed), F.col("rate"), most))
+    drawn = joined.withColumn("n_copies", inverse_poisson(uniform(F.col(key), seed), F.col("rate")))
     copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("null")), "copy")), 1, 15), 16, 10).cast("bigint")
     placed = copies.withColumn("order_key", order)

@@ -1,6 +1,10 @@
 import hashlib
 import math
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
+
+from pyspark.sql import functions as F
 
 from fieldloom.llm import mixing
 
@@ -48,3 +52,28 @@ def test_odd_rows(odd, no_rows):
     assert mixing.replicate(no_rows).collect() == []
     assert {r.source for r in mixing.replicate(odd, {"s0": 1.0}, rows=200).collect()} == {"s0"}
     assert mixing.replicate(odd, {}).collect() == []
+
+
+def quantiles(rate):
+    """Cumulative probabilities by the log-gamma function, from far below the mean on, and their first k."""
+    low = max(0, int(rate - 15 * math.sqrt(rate)))
+    terms = [math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(low, int(rate + 15 * math.sqrt(rate)))]
+    return low, list(accumulate(terms))
+
+
+def test_large_rates(spark):
+    """Also where exp(-rate) is zero or no normal double."""
+    rates = [300.0, 499.5, 500.5, 720.0, 800.0, 100_000.0]
+    docs = spark.range(200).withColumn("u", mixing.uniform(F.col("id"), mixing.SEED)).crossJoin(spark.createDataFrame([(x,) for x in rates], "rate double"))
+    rows = docs.withColumn("k", mixing.inverse_poisson(F.col("u"), F.col("rate"))).collect()
+    for rate in rates:
+        low, cumulative = quantiles(rate)
+        own = [r for r in rows if r.rate == rate]
+        assert [r.k for r in own] == [low + bisect_left(cumulative, r.u) for r in own]
+        assert abs(sum(r.k for r in own) / len(own) - rate) < 5 * math.sqrt(rate / len(own))
+
+
+def test_a_rare_source_meets_its_share(spark):
+    docs = spark.range(40_020).selectExpr("id AS doc_id", "CASE WHEN id < 20 THEN 'rare' ELSE 'hot' END AS source")
+    n = {r.source: r["count"] for r in mixing.replicate(docs).groupBy("source").count().collect()}
+    assert abs(n["rare"] - 20_010) < 5 * math.sqrt(20_010)
