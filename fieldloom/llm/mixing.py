@@ -33,6 +33,11 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
 
 
+def shuffled(key: Column, copy: Column, seed: int = SEED) -> Column:
+    """The place of a copy in the global shuffle: 60 bits of an MD5 hash."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.coalesce(key.cast("string"), F.lit("null")), copy)), 1, 15), 16, 10).cast("bigint")
+
+
 def inverse_poisson(u: Column, rate: Column) -> Column:
     """The smallest k whose cumulative probability reaches ``u``.
 
@@ -79,8 +84,7 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, rows:
     joined = docs.join(found, docs["source"].eqNullSafe(F.col("mix_source"))).drop("mix_source")
     drawn = joined.withColumn("n_copies", inverse_poisson(uniform(F.col(key), seed), F.col("rate")))
     copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("null")), "copy")), 1, 15), 16, 10).cast("bigint")
-    placed = copies.withColumn("order_key", order)
+    placed = copies.withColumn("order_key", shuffled(F.col(key), F.col("copy"), seed))
     return placed.repartitionByRange("order_key").sortWithinPartitions("order_key")
 
 

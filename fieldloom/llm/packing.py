@@ -1,6 +1,6 @@
 """Packing by concatenate-and-cut: prefix sums over partition token totals give global offsets, then windows are cut.
 
-Pass 1 sorts documents by id in range partitions, encodes each once and writes the ids with the running token count inside
+Pass 1 sorts documents by id (or a given order) in range partitions, encodes each once and writes the ids with the running token count inside
 the partition. Pass 2 sums the partitions (one row each), adds the sum of the partitions before, and cuts every document
 where a multiple of the sequence length falls. No task sees more than its partition, and no id is encoded twice.
 
@@ -11,11 +11,11 @@ stay separate documents; an empty table gives no rows; columns other than doc_id
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import base_columns, small_batches, text_groups, written
@@ -25,14 +25,25 @@ TOKENS = "part int, start_in_part bigint, doc_id bigint, doc_tokens bigint, widt
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, starts_document boolean, ends_document boolean"
 
 
-def in_id_order(docs: DataFrame) -> DataFrame:
-    """doc_id and text (null: empty), range-partitioned and sorted by doc_id."""
-    ties = F.xxhash64("text")
-    rows = base_columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartitionByRange("doc_id", ties).sortWithinPartitions("doc_id", ties)
+def in_order(docs: DataFrame, order: Column | None = None) -> DataFrame:
+    """doc_id and text (null: empty), range-partitioned and sorted by ``order``, then doc_id."""
+    keys = [*([] if order is None else ["place"]), "doc_id", F.xxhash64("text")]
+    rows = base_columns(docs, "doc_id", "text") if order is None else docs.select("doc_id", "text", order.alias("place"))
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int, memo_words: int = MEMO_WORDS) -> DataFrame:
+def copies_apart(docs: DataFrame, place: Callable[[Column, Column], Column]) -> DataFrame:
+    """doc_id, text and place, a function of doc_id and of the copy's number among equal rows.
+
+    Equal rows are counted with partial sums, so a document with many copies is no large group.
+    """
+    counts = base_columns(docs, "doc_id", "text").groupBy("doc_id", "text").agg(F.count("*").cast("int").alias("n"))
+    copies = counts.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    return copies.select("doc_id", "text", place(F.col("doc_id"), F.col("copy")).alias("place"))
+
+
+def token_table(docs: DataFrame, tokenizer: str, end_id: int, memo_words: int = MEMO_WORDS, order: Column | None = None) -> DataFrame:
     """Written table TOKENS: each document's ids with its end id, and the tokens before it in its partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +64,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, memo_words: int =
                 )
 
     small_batches(docs.sparkSession)
-    return written(in_id_order(docs).mapInArrow(encode, TOKENS), "tokens", "zstd")
+    return written(in_order(docs, order).mapInArrow(encode, TOKENS), "tokens", "zstd")
 
 
 def part_offsets(totals: DataFrame, part: str = "part", n: str = "n") -> DataFrame:
@@ -87,6 +98,9 @@ def cut(tokens: DataFrame, length: int) -> DataFrame:
     return placed.mapInArrow(pieces, PIECES)
 
 
-def pack(docs: DataFrame, length: int = 2048, tokenizer: str | None = None, end_id: int = 1, memo_words: int = MEMO_WORDS) -> DataFrame:
-    """Boundary records of ``docs`` packed into sequences of ``length`` tokens; only the last sequence needs padding."""
-    return cut(token_table(docs, tokenizer or default_tokenizer(), end_id, memo_words), length)
+def pack(docs: DataFrame, length: int = 2048, tokenizer: str | None = None, end_id: int = 1, memo_words: int = MEMO_WORDS, order: Column | None = None) -> DataFrame:
+    """Boundary records of ``docs`` packed into sequences of ``length`` tokens; only the last sequence needs padding.
+
+    Documents follow each other by ``order`` (default: none), then by doc_id.
+    """
+    return cut(token_table(docs, tokenizer or default_tokenizer(), end_id, memo_words, order), length)

@@ -64,3 +64,12 @@ def test_odd_documents(spark, odd, no_rows):
     for df in (docs, no_rows.select(docs.columns)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, df, D).collect()
+
+
+def test_packing_keeps_the_shuffle_of_mixing(spark):
+    """Copies of a document are spread over the sequences, in the order of mixing."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat_ws(' ', array_repeat(concat('word ', id), 40)) AS text", "'en' AS lang", "CASE WHEN id = 7 THEN 'rare' ELSE 'hot' END AS source", "9L AS n_chars")
+    pieces = corpus_pipeline.packing_stage(spark, corpus_pipeline.mixing_stage(spark, docs, D), D).where("starts_document").collect()
+    found = [r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset))]
+    assert found == [r.doc_id for r in mixing.replicate(docs).orderBy("order_key").collect()]
+    assert found.count(7) > 100 and len({r.sequence_id for r in pieces if r.doc_id == 7}) > 0.8 * max(r.sequence_id for r in pieces)
