@@ -6,9 +6,10 @@ exploded and dealt globally in the order of a second hash. The draw depends on t
 lost executor or another partitioning give the same rows, and a hot source needs no group of its own: its rows are only
 counted, with partial sums.
 
-Defined cases: a null source is a source of its own; sources without a target weight (or with one of 0) get none of the
-output, unless no weights are given, when all sources weigh the same; repeated rows draw alike; null texts stay; an empty
-table gives none; all columns of the input are kept.
+Defined cases: a null source is a source of its own and never has a given weight, an empty name is an ordinary one; sources
+without a target weight (or with one of 0) get none of the output, unless no weights are given, when all sources weigh the
+same; repeated rows draw alike; null texts stay; an empty table gives none; all columns of the input are kept, but those
+named rate, n_copies, copy or order_key, which are replaced.
 """
 
 from __future__ import annotations
@@ -21,8 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Up to so many sources, their rates (some tens of bytes each) are broadcast; more are joined by a shuffle that splits skewed partitions.
-SEED, FEW_SOURCES = 20240229, 50_000
+#: Up to so many sources, their rates (some tens of bytes each) are broadcast; more are joined by a shuffle in which every
+#: source has SALTS keys, so that the rows of a hot one are spread.
+SEED, FEW_SOURCES, SALTS = 20240229, 50_000, 64
+#: What ``replicate`` adds.
+ADDED = ("rate", "n_copies", "copy", "order_key")
+#: Bits of an order key.
+KEY_BITS = 60
 #: Up to this rate, the terms of the Poisson law are summed from zero copies.
 DIRECT = 500
 
@@ -41,7 +47,7 @@ def shuffled(key: Column, copy: Column, seed: int = SEED) -> Column:
 def inverse_poisson(u: Column, rate: Column) -> Column:
     """The smallest k whose cumulative probability reaches ``u``.
 
-    Terms are summed from k = 0, or beyond rates of DIRECT, where exp(-rate) comes near the smallest doubles, from twelve
+    Both are read once for each term, so they should be columns of the row and no expressions. Terms are summed from k = 0, or beyond rates of DIRECT, where exp(-rate) comes near the smallest doubles, from twelve
     deviations and 20 below the mean; they end as far above it. What lies outside is far less than the smallest ``u``.
     """
     spread = 12 * F.sqrt(rate) + 20
@@ -67,7 +73,7 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, rows: flo
         counts = counts.withColumn("weight", F.lit(1.0))
     else:
         table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.create_map().cast("map<string,double>")
-        counts = counts.withColumn("weight", F.coalesce(F.try_element_at(table, F.coalesce("source", F.lit(""))).cast("double"), F.lit(0.0)))
+        counts = counts.withColumn("weight", F.when(F.col("source").isNull(), 0.0).otherwise(F.coalesce(F.try_element_at(table, F.col("source")).cast("double"), F.lit(0.0))))
     total = counts.agg(F.sum("n").alias("all_rows"), F.sum("weight").alias("all_weight"))
     out = F.col("all_rows") if rows is None else F.lit(float(rows))
     return counts.crossJoin(F.broadcast(total)).select("source", "n", F.coalesce(F.try_divide(out * F.col("weight"), F.col("all_weight") * F.col("n")), F.lit(0.0)).alias("rate"))
@@ -76,16 +82,29 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, rows: flo
 def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, rows: float | None = None, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """All columns of ``docs``, with rate, n_copies, copy (from 0) and order_key, once for each copy, in the order of order_key.
 
-    Output files are range-partitioned by order_key and sorted: a global shuffle.
+    Order keys are uniform, so their leading bits are the partition: a global shuffle without a pass that samples the keys.
     """
-    found = written(rates(docs, weights, rows).select(F.col("source").alias("mix_source"), "rate"), "rates")
+    found = written(rates(docs, weights, rows).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate")), "rates")
+    # drawn before the join, so that the sum over the terms reads a number and doesn't hash the key again for each
+    keyed = docs.withColumns({"_mix_u": uniform(F.col(key), seed), "_mix_key": F.col(key)})
+    same = F.col("source").eqNullSafe(F.col("_mix_source"))
     if found.count() <= FEW_SOURCES:
-        found = F.broadcast(found)
-    joined = docs.join(found, docs["source"].eqNullSafe(F.col("mix_source"))).drop("mix_source")
-    drawn = joined.withColumn("n_copies", inverse_poisson(uniform(F.col(key), seed), F.col("rate")))
+        joined = keyed.join(F.broadcast(found), same)
+    else:
+        salted = found.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("_mix_own", F.floor(F.col("_mix_u") * SALTS).cast("int")).join(salted, same & (F.col("_mix_own") == F.col("_mix_salt")))
+    kept = [c for c in docs.columns if c not in ADDED]
+    drawn = joined.select(*kept, "_mix_key", F.col("_mix_rate").alias("rate"), inverse_poisson(F.col("_mix_u"), F.col("_mix_rate")).alias("n_copies"))
     copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    placed = copies.withColumn("order_key", shuffled(F.col(key), F.col("copy"), seed))
-    return placed.repartitionByRange("order_key").sortWithinPartitions("order_key")
+    placed = copies.withColumn("order_key", shuffled(F.col("_mix_key"), F.col("copy"), seed)).drop("_mix_key")
+    return dealt(placed, "order_key")
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` in the order of a uniform key of KEY_BITS bits, whose leading bits are the partition."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.shiftright(F.shiftright(F.col(key), KEY_BITS - 32) * n, 32).cast("int")
+    return rows.repartitionById(n, part).sortWithinPartitions(key)
 
 
 def expected_rows(counts: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, float]:

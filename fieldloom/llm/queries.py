@@ -60,7 +60,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
-
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target shares of the output: every source the same, whatever it holds."""
     found = mixing.replicate(table(spark, sf_dir, "documents"))
@@ -103,10 +102,11 @@ r AS (SELECT source, CAST((SELECT sum(n) FROM n) AS DOUBLE) * weight / ((SELECT
 d AS (
   SELECT d.*, r.rate, (CAST(CAST('0x' || substr(md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5e0) / 4503599627370496e0 AS u
   FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-terms AS (SELECT source, k, exp(-rate) * pow(rate, k) / gamma(k + 1) AS p FROM r, range(0, 151) AS t(k)),
-c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+span AS (SELECT source, rate, CAST(greatest(0e0, floor(rate - 12 * sqrt(rate) - 20)) AS BIGINT) AS low, CAST(ceil(rate + 12 * sqrt(rate) + 20) AS BIGINT) AS high FROM r),
+terms AS (SELECT source, low, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM (SELECT *, unnest(range(low, high + 1)) AS k FROM span)),
+c AS (SELECT source, low, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
 draw AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.rate, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM d.source AND c.c < d.u AND c.k < 150) AS n_copies
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.rate, (SELECT min(c.low) + count(*) FILTER (WHERE c.c < d.u) FROM c WHERE c.source IS NOT DISTINCT FROM d.source) AS n_copies
   FROM d)
 SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, CAST(n_copies AS INTEGER) AS n_copies, CAST(copy AS INTEGER) AS copy,
        CAST('0x' || substr(md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || copy), 1, 15) AS BIGINT) AS order_key

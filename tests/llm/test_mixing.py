@@ -4,9 +4,10 @@ from bisect import bisect_left
 from collections import Counter
 from itertools import accumulate
 
+import duckdb
 from pyspark.sql import functions as F
 
-from fieldloom.llm import mixing
+from fieldloom.llm import mixing, queries
 
 from .conftest import ROWS
 
@@ -61,9 +62,9 @@ def quantiles(rate):
     return low, list(accumulate(terms))
 
 
-def test_large_rates(spark):
+def test_rates_of_all_sizes(spark):
     """Also where exp(-rate) is zero or no normal double."""
-    rates = [300.0, 499.5, 500.5, 720.0, 800.0, 100_000.0]
+    rates = [0.01, 1.0, 30.0, 300.0, 499.5, 500.5, 720.0, 800.0, 100_000.0, 1_000_000.0]
     docs = spark.range(200).withColumn("u", mixing.uniform(F.col("id"), mixing.SEED)).crossJoin(spark.createDataFrame([(x,) for x in rates], "rate double"))
     rows = docs.withColumn("k", mixing.inverse_poisson(F.col("u"), F.col("rate"))).collect()
     for rate in rates:
@@ -77,3 +78,29 @@ def test_a_rare_source_meets_its_share(spark):
     docs = spark.range(40_020).selectExpr("id AS doc_id", "CASE WHEN id < 20 THEN 'rare' ELSE 'hot' END AS source")
     n = {r.source: r["count"] for r in mixing.replicate(docs).groupBy("source").count().collect()}
     assert abs(n["rare"] - 20_010) < 5 * math.sqrt(20_010)
+
+
+def test_sql_and_spark_on_a_skewed_table(spark, tmp_path):
+    """One document of a rare source against 20,000 of the others: the rate of the rare one is 10,000.5."""
+    docs = spark.range(20_001).selectExpr("id AS doc_id", "concat('t', id % 7) AS text", "'en' AS lang", "CASE WHEN id = 5 THEN 'rare' ELSE 'hot' END AS source", "2L AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = c.execute(f"SELECT doc_id, source, n_copies, copy, order_key FROM ({queries.SQL['op10_mixing']})").fetchall()
+    found = [tuple(r) for r in queries.op10_mixing(spark, str(tmp_path)).select("doc_id", "source", "n_copies", "copy", "order_key").collect()]
+    assert sorted(found) == sorted(expected) and sum(r[0] == 5 for r in found) > 9_000
+
+
+def test_many_sources_are_joined_by_salted_keys(spark, odd, monkeypatch):
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 100 = 1 THEN NULL ELSE concat('s', id % 50) END AS source")
+    few = sorted(map(tuple, mixing.replicate(docs).collect()), key=str)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
+    assert sorted(map(tuple, mixing.replicate(docs).collect()), key=str) == few
+    assert mixing.replicate(odd.limit(0)).collect() == []
+
+
+def test_null_and_empty_sources(spark):
+    docs = spark.range(900).selectExpr("id AS doc_id", "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'a' END AS source", "7 AS rate", "'x' AS copy")
+    found = mixing.replicate(docs, {"": 1.0})
+    assert found.columns == ["doc_id", "source", "rate", "n_copies", "copy", "order_key"]
+    assert {r.source for r in found.collect()} == {""} and abs(found.count() - 900) < 150
