@@ -14,8 +14,11 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows and bytes of an Arrow batch, so that a batch of long texts fits a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+    """Bound the rows and bytes of an Arrow batch, so that a batch of long texts fits a Python worker.
+
+    The setting stays, since plans read it when they run; a smaller bound of the caller's is kept (0 or less is none).
+    """
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 

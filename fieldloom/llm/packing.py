@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import base_columns, small_batches, text_groups, written
-from .tokens import MEMO_WORDS, default_tokenizer, encoder
+from .common import base_columns, small_batches, written
+from .tokens import MEMO_WORDS, default_tokenizer, encoder, gathered
 
 TOKENS = "part int, start_in_part bigint, doc_id bigint, doc_tokens bigint, width int, ids binary"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, starts_document boolean, ends_document boolean"
@@ -50,18 +50,16 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, memo_words: int =
         from pyspark import TaskContext
 
         enc, part, before = encoder(tokenizer, memo_words), TaskContext.get().partitionId(), 0
-        size, end = enc.dtype.itemsize, np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b in text_groups(texts):
-                ids = [x + end for x in enc.encode(texts[a:b])]
-                n = np.array([len(x) // size for x in ids], np.int64)
-                starts = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(b - a, part, np.int32)), pa.array(starts), doc_ids.slice(a, b - a), pa.array(n), pa.array(np.full(b - a, size, np.int32)), pa.array(ids, pa.binary())],
-                    names=["part", "start_in_part", "doc_id", "doc_tokens", "width", "ids"],
-                )
+        size = enc.dtype.itemsize
+        for batch in gathered(batches):
+            ids, n = enc.ended(batch.column("text"), end_id)
+            starts = before + np.cumsum(n) - n
+            before += int(n.sum())
+            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(n) * size).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), part, np.int32)), pa.array(starts), batch.column("doc_id"), pa.array(n), pa.array(np.full(len(n), size, np.int32)), raw],
+                names=["part", "start_in_part", "doc_id", "doc_tokens", "width", "ids"],
+            )
 
     small_batches(docs.sparkSession)
     return written(in_order(docs, order).mapInArrow(encode, TOKENS), "tokens", "zstd")

@@ -4,8 +4,13 @@ from collections import Counter
 
 import numpy as np
 
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
 from fieldloom.llm import castore, packing
-from fieldloom.llm.tokens import default_tokenizer, encoder
+from fieldloom.llm.tokens import WordEncoder, default_tokenizer, encoder, gathered
 
 from .conftest import ROWS
 
@@ -61,14 +66,83 @@ def test_store_round_trip(odd):
     assert store.manifest().agg({"n_docs": "sum"}).first()[0] == len(ROWS)
 
 
-def test_damage_is_seen(spark, odd):
-    from pyspark.sql import functions as F
+@pytest.fixture(scope="module")
+def store(odd):
+    return castore.build(odd)
 
-    store = castore.build(odd)
-    chunks = store.chunks().withColumn("ids", F.when(F.col("n_tokens") > 50, F.expr("overlay(ids placing X'FFFF' from 1)")).otherwise(F.col("ids")))
-    damaged = castore.Store(spark, store.path)
-    damaged.chunks = lambda: chunks
-    assert {r.doc_id for r in castore.verify(damaged).collect() if not r.verified} >= {9, 10}
+
+def verified(store, **tables):
+    """verified by doc_id, after ``tables`` of a store were replaced."""
+    changed = castore.Store(store.spark, store.path)
+    for name, df in tables.items():
+        setattr(changed, name, lambda df=df: df)
+    return [(r.doc_id, r.verified) for r in castore.verify(changed).collect()]
+
+
+LONG = "n_tokens > 50"
+CHUNK_DAMAGE = {
+    "changed": lambda c: c.withColumn("ids", F.when(F.expr(LONG), F.expr("overlay(ids placing X'FFFF' from 1)")).otherwise(F.col("ids"))),
+    "emptied": lambda c: c.withColumn("ids", F.when(F.expr(LONG), F.lit(b"")).otherwise(F.col("ids"))),
+    "null": lambda c: c.withColumn("ids", F.when(F.expr(LONG), F.lit(None).cast("binary")).otherwise(F.col("ids"))),
+    "lengthened": lambda c: c.withColumn("ids", F.when(F.expr(LONG), F.concat("ids", F.lit(b"abc"))).otherwise(F.col("ids"))),
+    "no tokens": lambda c: c.withColumn("n_tokens", F.when(F.expr(LONG), 0).otherwise(F.col("n_tokens"))),
+    "lost": lambda c: c.where(f"NOT ({LONG})"),
+    "doubled": lambda c: c.unionByName(c.where(LONG)),
+}
+
+
+@pytest.mark.parametrize("kind", CHUNK_DAMAGE)
+def test_damaged_objects_are_seen(store, kind):
+    found = verified(store, chunks=CHUNK_DAMAGE[kind](store.chunks()))
+    assert {i for i, ok in found if not ok} == {9, 10} and len(found) == len(ROWS)
+
+
+def in_part_of_10(store, change):
+    """The recipes with ``change`` for document 10, and the doc_ids that may not be verified then: those of its part."""
+    part = store.recipes().where("doc_id = 10").first().part
+    return change(store.recipes()), {r.doc_id for r in store.recipes().where(F.col("part") == part).collect()}
+
+
+OF_10 = "doc_id <=> 10"
+RECIPE_DAMAGE = {
+    "lost": lambda r: r.where("NOT doc_id <=> 10"),
+    "doubled": lambda r: r.unionByName(r.where(OF_10)),
+    "ends": lambda r: r.withColumn("ends", F.when(F.expr(OF_10), F.transform("ends", lambda e: e - 1)).otherwise(F.col("ends"))),
+    "null chunks": lambda r: r.withColumn("chunks", F.when(~F.expr(OF_10), F.col("chunks"))),
+    "renamed": lambda r: r.withColumn("doc_id", F.when(F.expr(OF_10), 11).otherwise(F.col("doc_id"))),
+}
+
+
+@pytest.mark.parametrize("kind", RECIPE_DAMAGE)
+def test_damaged_recipes_are_seen(store, kind):
+    changed, part = in_part_of_10(store, RECIPE_DAMAGE[kind])
+    found = verified(store, recipes=changed)
+    if kind == "null chunks":  # the part's root holds the document's root, which is still there
+        part = {10}
+    assert {11 if i == 10 and kind == "renamed" else i for i in part} - ({10} if kind == "lost" else set()) == {i for i, ok in found if not ok}
+
+
+def test_a_recipe_with_the_root_of_another_is_seen(store):
+    """A whole recipe (chunks, ends and root) takes the place of another: every digest of its own is right."""
+    other = store.recipes().where("doc_id = 6").first()
+    take = lambda r: r.withColumns({c: F.when(F.expr(OF_10), F.lit(v)).otherwise(F.col(c)) for c, v in (("n_tokens", other.n_tokens), ("root", bytes(other.root)))} | {c: F.when(F.expr(OF_10), F.array(*[F.lit(bytes(x) if c == "chunks" else x) for x in other[c]])).otherwise(F.col(c)) for c in ("chunks", "ends")})
+    changed, part = in_part_of_10(store, take)
+    assert {i for i, ok in verified(store, recipes=changed) if not ok} == part
+
+
+def test_a_damaged_manifest_is_seen(store):
+    m = store.manifest()
+    for changed in (m.withColumn("root", F.lit(b"0" * 16)), m.withColumn("n_docs", F.lit(99).cast("bigint")), m.where("part <> 0"), m.limit(0)):
+        assert not any(ok for _, ok in verified(store, manifest=changed))
+    assert not any(ok for _, ok in verified(store, top=store.top().withColumn("root", F.lit(b"1"))))
+    assert all(ok for _, ok in verified(store))
+
+
+def test_streamed_roots():
+    leaves, stream = [bytes([k]) for k in range(40)], castore.MerkleStream()
+    for n, leaf in enumerate(leaves, 1):
+        stream.add(leaf)
+        assert stream.root() == castore.merkle(leaves[:n])
 
 
 def test_empty_store(no_rows):
