@@ -1,6 +1,6 @@
 """Byte-level BPE ids of whole texts by the tokenizers library, each different word of a batch once, with a bounded memo.
 
-Arrow splits texts at single blanks and finds the different words; only these go through Python, and numpy puts the ids of
+Arrow splits texts at single blanks, line ends and final marks and finds the different words; only these go through Python, and numpy puts the ids of
 the texts together. Texts with runs of white space or with special tokens are split by a regular expression instead. Both
 give the ids of encoding the whole text; special tokens of the vocabulary become their ids, as the library does by default.
 """
@@ -21,15 +21,17 @@ import pyarrow.compute as pc
 CUT = re.compile(r" (?=\S)")
 #: Latin letters at the start of a word; they never join what follows them.
 STEM = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
-MEMO_WORDS, MEMO_CHARS = 800_000, 48
+MEMO_WORDS, MEMO_CHARS = 600_000, 48
 #: Words of the dictionaries behind it, for odd texts and for the letters and marks that words are put together from.
 PART_WORDS = 50_000
-#: A blank that isn't a cut, or may not be one: before white space of any kind, or last.
-NO_CUT = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
+#: A blank or line end that isn't a cut, or may not be one: before white space of any kind, or last; and the mark below.
+NO_CUT = r"[ \n](?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)|\x01"
+#: Marks behind a word never join it; they become a word of their own, with a control character for the blank that they lack.
+MARKS, APART = r"(\p{L})([.,;:!?]+)( |\n|$)", "\\1 \x01\\2\\3"
 #: Words whose ids are put together at once.
 WORDS_AT_ONCE = 1 << 19
 #: Bytes of texts that are encoded together.
-GATHERED = 8 << 20
+GATHERED = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -100,7 +102,7 @@ class WordEncoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that stand for themselves in the model's alphabet
         self.alphabet = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(plain))}
         self.heads, self.rest, self.tails = Memo(self._word, PART_WORDS), Memo(self._word, PART_WORDS), Memo(lambda _, w: self._ids(w), PART_WORDS)
-        self.known = Known(lambda w: self._word(self.rest, w), self.dtype, memo_words)
+        self.known = Known(self._unit, self.dtype, memo_words)
 
     def _ids(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -125,6 +127,14 @@ class WordEncoder:
             return self._letters(before, word)
         return memo[m[0]] + self.tails[word[m.end() :]]
 
+    def _unit(self, word: str) -> bytes:
+        """A word after a blank; or, by its first character, marks behind a word, or a line end and the word after it."""
+        if word[:1] == "\x01":
+            return self.tails[word[1:]]
+        if word[:1] == "\n":
+            return self.tails["\n"] + self._word(self.heads, word[1:])
+        return self._word(self.rest, word)
+
     def _split(self, text: str) -> bytes:
         """A text without special tokens."""
         p = CUT.split(text)
@@ -141,8 +151,8 @@ class WordEncoder:
         return b"".join([*out, self._split(text[at:])])
 
     def _simple(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their number for each of ``texts``, in which every blank is a cut and no special token occurs."""
-        lists = pc.split_pattern(texts, " ")
+        """Ids and their number for each of ``texts``, in which every blank and line end is a cut and no special token occurs."""
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring_regex(texts, MARKS, APART), "\n", " \n"), " ")
         begins = lists.offsets.to_numpy()
         words = lists.values.slice(begins[0], begins[-1] - begins[0]).dictionary_encode()
         begins = begins[:-1] - begins[0]
