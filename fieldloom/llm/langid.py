@@ -1,14 +1,15 @@
 """Language of web pages by Bayesian evidence fusion.
 
 Four kinds of evidence meet in one posterior per page: the likelihood of its visible text under character-trigram models,
-the language that its markup declares, the suffix of its address, and a prior of its host. Likelihoods of declarations and
-suffixes and the host priors are counts of first-pass posteriors (text alone), added up by grouped aggregation. Priors are
-smoothed down a hierarchy: all pages, suffix, registered domain, host; every level is drawn towards the one above it by
-STRENGTH pages, and a page's own count is left out of its prior.
+the likelihoods of the language that its markup declares and of the suffix of its address, and a prior of its host. Likelihoods of
+declarations and suffixes and the host priors are counts of first-pass posteriors (text alone), added up by grouped aggregation.
+Priors are smoothed down a hierarchy: all pages, registered domain, host; every level is drawn towards the one above it by
+STRENGTH pages, and a page's own count is left out of its prior and of its likelihoods.
 
 Defined cases: a null html has no text and no declaration, a null url has no host and suffix, and such evidence is left out;
-a page without any evidence gets the prior of all pages; texts of any length are read whole (their likelihood is tempered to
-TEMPER effective trigrams, so that long texts don't drown the rest); every row gives one row; an empty table gives none;
+a page without any evidence gets the prior of all pages; texts of any length are read whole, in time proportional to their length
+whatever they hold (their likelihood is tempered to TEMPER effective trigrams, so that long texts don't drown the rest); markup
+that never ends is text, an unclosed script's contents too; every row gives one row; an empty table gives none;
 without training documents all languages of LANGUAGES weigh the same; other columns are ignored.
 
 The trigram models learn from at most MOST_DOCUMENTS documents, drawn by a hash of their id.
@@ -29,16 +30,51 @@ from .common import small_batches, written
 
 LANGUAGES = ("de", "en", "es", "fr")
 MOST_DOCUMENTS, BUCKETS, SMOOTH, TEMPER = 4_000, 1 << 14, 0.5, 200.0
-#: Pages that a level of the prior hierarchy weighs against its own counts; pseudo-counts of declarations and suffixes.
+#: Pages that a level of the prior hierarchy weighs against its own counts; pseudo-count of each declaration and suffix.
 STRENGTH, PSEUDO = 5.0, 1.0
-HIDDEN = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->")
-TAG = re.compile(r"(?s)<[^>]*>")
-DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2})""")
+HIDDEN = re.compile(r"(?i)(script|style|noscript)\b")
+CLOSERS = {k: re.compile(rf"(?i)</{k}\s*>") for k in ("script", "style", "noscript")}
+HTML = re.compile(r"(?i)<html\b")
+DECLARED = re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]{2})""")
+#: Character references of more digits than any character has.
+HUGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
+
+
+def declared(page: str | None) -> str | None:
+    """The two letters of the language that the first html tag declares."""
+    m = HTML.search(page or "")
+    if not m:
+        return None
+    end = page.find(">", m.end())
+    found = DECLARED.search(page, m.end(), len(page) if end < 0 else end)
+    return found[1].lower() if found else None
 
 
 def visible(page: str | None) -> str:
-    """The text that a reader of the page sees."""
-    return html.unescape(TAG.sub(" ", HIDDEN.sub(" ", page or "")))
+    """The text that a reader of the page sees. Each kind of closing mark is looked for from left to right once."""
+    page = page or ""
+    out, at, closers, ahead = [], 0, {}, {}
+
+    def closed(kind: str, begin: int) -> int:
+        """Where the next closing tag of an element ends, -1 if there is none."""
+        tags = closers.setdefault(kind, CLOSERS[kind].finditer(page))
+        m = ahead.get(kind) or next(tags, None)
+        while m and m.start() < begin:
+            m = next(tags, None)
+        ahead[kind] = m
+        return m.end() if m else -1
+
+    last_comment, last_tag = page.rfind("-->"), page.rfind(">")
+    while 0 <= (i := page.find("<", at)) < last_tag:
+        end = -1
+        if page.startswith("<!--", i) and last_comment >= i + 4:
+            end = page.find("-->", i + 4) + 3
+        elif m := HIDDEN.match(page, i + 1):
+            end = closed(m[1].lower(), m.end())
+        out.append(page[at:i])
+        at = end if end > 0 else page.find(">", i) + 1
+    out.append(page[at:])
+    return html.unescape(HUGE.sub("\ufffd", " ".join(out)))
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -79,15 +115,14 @@ def likelihoods(pages: DataFrame, model: np.ndarray) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            declared, n, logs = [], [], []
+            langs, n, logs = [], [], []
             for page in b.column("html").to_pylist():
-                m = DECLARED.search(page or "")
                 t = trigrams(visible(page))
                 log = model[:, t].sum(1) if len(t) else np.zeros(len(model))
-                declared.append(m[1].lower() if m else None)
+                langs.append(declared(page))
                 n.append(len(t))
                 logs.append((log * min(1.0, TEMPER / max(len(t), 1))).tolist())
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(declared, pa.string()), pa.array(n, pa.int64()), pa.array(logs, pa.list_(pa.float64()))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(langs, pa.string()), pa.array(n, pa.int64()), pa.array(logs, pa.list_(pa.float64()))], names=names)
 
     small_batches(pages.sparkSession)
     rows = pages.select(pages["page_id"].cast("bigint").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
@@ -119,36 +154,44 @@ def fuse(scored: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame
     k = len(languages)
     host, domain, suffix = address(F.col("url"))
     first = written(scored.withColumns({"host": host, "domain": domain, "suffix": suffix, "first": softmax(F.col("text"))}), "langid")
-    whole = first.agg(F.array(*[F.coalesce(F.sum(F.col("first")[i]), F.lit(0.0)) for i in range(k)]).alias("n_all"))
-    rows = first.crossJoin(F.broadcast(whole))  # one row
-    for key in ("suffix", "domain", "host", "declared"):
+    total = lambda name: F.array(*[F.coalesce(F.sum(F.col(name)[i]), F.lit(0.0)) for i in range(k)])
+    rows = first.crossJoin(F.broadcast(first.agg(total("first").alias("n_all"))))  # one row
+    for key in ("domain", "host"):
         rows = rows.join(sums(first, key, k), key, "left")
+    for key in ("declared", "suffix"):
+        counts = sums(first, key, k)
+        rows = rows.join(counts, key, "left").crossJoin(F.broadcast(counts.agg(total(f"n_{key}").alias(f"all_{key}"), F.count("*").alias(f"kinds_{key}"))))  # one row
     own = F.col("first")
     none = F.array(*[F.lit(0.0)] * k)
 
+    def without_own(counts: Column) -> Column:
+        return F.zip_with(F.coalesce(counts, own), own, lambda n, o: F.greatest(n - o, F.lit(0.0)))
+
     def level(counts: Column, above: Column) -> Column:
         """Counts without the page's own, drawn towards the level above."""
-        rest = F.zip_with(F.coalesce(counts, own), own, lambda n, o: F.greatest(n - o, F.lit(0.0)))
+        rest = without_own(counts)
         total = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(rest, above, lambda n, p: (n + STRENGTH * p) / (total + STRENGTH))
 
     prior = F.array(*[F.lit(1.0 / k)] * k)
-    for n, key in enumerate(("n_all", "n_suffix", "n_domain", "n_host")):
+    for n, key in enumerate(("n_all", "n_domain", "n_host")):
         rows = rows.withColumn(f"prior{n}", level(F.col(key), prior))
         prior = F.col(f"prior{n}")
 
-    def evidence(key: str, kinds: int) -> Column:
-        """Log of how likely a value is in each language, by the counts of first-pass posteriors; zero without a value."""
-        rest = F.zip_with(F.coalesce(F.col(f"n_{key}"), own), own, lambda n, o: F.greatest(n - o, F.lit(0.0)))
-        return F.when(F.col(key).isNull(), none).otherwise(F.zip_with(rest, F.col("n_all"), lambda n, a: F.log((n + PSEUDO) / (a + PSEUDO * kinds))))
+    def evidence(key: str) -> Column:
+        """Log of how likely a value is in each language among the pages that have one, by counts without the page's own; zero without a value."""
+        share = F.zip_with(without_own(F.col(f"n_{key}")), without_own(F.col(f"all_{key}")), lambda n, a: F.log((n + PSEUDO) / (a + PSEUDO * F.col(f"kinds_{key}"))))
+        return F.when(F.col(key).isNull(), none).otherwise(share)
 
-    logs = F.zip_with(F.zip_with("text", F.transform(prior, lambda p: F.log(p)), lambda a, b: a + b), evidence("declared", k + 1), lambda a, b: a + b)
+    logs = F.zip_with("text", F.transform(prior, lambda p: F.log(p)), lambda a, b: a + b)
+    for key in ("declared", "suffix"):
+        logs = F.zip_with(logs, evidence(key), lambda a, b: a + b)
     posterior = rows.withColumn("posterior", softmax(logs))
     names = F.array(*[F.lit(x) for x in languages])
     best = lambda a: F.get(names, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
     return posterior.select(
         "page_id", "host", "declared", F.when(F.col("n_trigrams") > 0, best(F.col("text"))).alias("text_lang"), best(F.col("posterior")).alias("lang"),
-        F.array_max("posterior").alias("probability"), "posterior", F.col("prior3").alias("host_prior"),
+        F.array_max("posterior").alias("probability"), "posterior", F.col("prior2").alias("host_prior"),
     )
 
 

@@ -138,12 +138,12 @@ def rows_mean(grey: np.ndarray) -> np.ndarray:
     return np.diff(at, axis=0) * SIDE / n
 
 
-def cosine_hash(pixels: np.ndarray) -> str:
-    """16 hex digits: which of the LOW x LOW lowest cosine coefficients of the grey image are over their median."""
+def cosine_hash(pixels: np.ndarray) -> bytes:
+    """LOW bytes: which of the LOW x LOW lowest cosine coefficients of the grey image are over their median."""
     grey = pixels.mean(axis=2, dtype=np.float64) if pixels.ndim == 3 and pixels.shape[2] > 1 else pixels.reshape(pixels.shape[:2]).astype(np.float64)
     small = rows_mean(grey) @ (ACROSS if grey.shape[1] == WIDTH else means(grey.shape[1])).T
     low = np.round(COSINES @ small @ COSINES.T, 6)
-    return np.packbits(low > np.median(low)).tobytes().hex()
+    return np.packbits(low > np.median(low)).tobytes()
 
 
 def payload(text: str | None) -> bytes:
@@ -167,9 +167,13 @@ def media_table(docs: DataFrame) -> DataFrame:
     return base_columns(docs, "doc_id", "text").mapInArrow(store, "doc_id bigint, n_bytes bigint, media binary")
 
 
+FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, hash binary, height bigint, fault string"
+
+
 def features(media: DataFrame) -> DataFrame:
-    """What the stored bytes (doc_id, n_bytes, media) hold: payload and file digests, and the cosine hash."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "fault"]
+    """What the stored bytes (doc_id, n_bytes, media) hold, as FEATURES: payload and file digests, and the cosine hash as a binary column."""
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [pa.field(n, kinds[k]) for n, k in (x.split() for x in FEATURES.split(", "))]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,11 +188,10 @@ def features(media: DataFrame) -> DataFrame:
                     found, seen = (None, None, None), (None, None, str(e))
                 out.append((doc_id, n, *found, len(png or b""), hashlib.sha256(png or b"").hexdigest(), *seen))
             if out:
-                kinds = [pa.string() if "sha" in x or x in ("feature", "fault") else pa.int64() for x in names]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), fields, strict=True)], names=[f.name for f in fields])
 
     small_batches(media.sparkSession)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, ", ".join(f"{x} {'string' if 'sha' in x or x in ('feature', 'fault') else 'bigint'}" for x in names))
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, FEATURES)
 
 
 def media_features(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.media_features(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height")
+    feature = F.lower(F.hex("hash")).alias("feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature, "hash", "height", "fault")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +34,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crawl log that ``pages`` implies, resolved; headers as one text, bodies as digest and size."""
     records = warc.crawl_of(table(spark, sf_dir, "pages"))
-    bodies = records.select("record_id", F.md5("html").alias("body_md5"), F.char_length("html").cast("bigint").alias("body_chars"))
-    found = warc.with_bodies(warc.resolve(records), bodies, ["body_md5", "body_chars"])
+    digested = records.withColumns({"body_md5": F.md5("html"), "body_chars": F.char_length("html").cast("bigint")})
+    found = warc.resolve(digested, payload=("body_md5", "body_chars"))
     headers = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
     return found.select("record_id", F.col("key").alias("canonical_url"), "status", "source", "verdict", headers.alias("headers"), "body_md5", "body_chars")
 

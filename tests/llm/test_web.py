@@ -1,5 +1,6 @@
 import re
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -35,27 +36,75 @@ def test_fusion_against_plain_python(spark):
         host = re.match(r"\w+://([^/]+)", url)[1]
         return host.split(".")[-1], ".".join(host.split(".")[-3:]), host
 
-    sums = [defaultdict(lambda: np.zeros(k)) for _ in range(4)]
+    names = ("domain", "host", "suffix", "declared")
+    sums = {n: defaultdict(lambda: np.zeros(k)) for n in names}
+    at = {}
     for r in rows:
-        for n, key in enumerate([*keys(r[1]), r[2]]):
-            if key is not None:
-                sums[n][key] = sums[n][key] + first[r[0]]
+        suffix, domain, host = keys(r[1])
+        at[r[0]] = {"domain": domain, "host": host, "suffix": suffix, "declared": r[2]}
+        for n in names:
+            if at[r[0]][n] is not None:
+                sums[n][at[r[0]][n]] = sums[n][at[r[0]][n]] + first[r[0]]
     whole = sum(first.values())
     for r in langid.fuse(scored).collect():
-        page = rows[r.page_id - 1]
+        page, mine = rows[r.page_id - 1], at[r.page_id]
         own, prior = first[r.page_id], np.full(k, 1 / k)
-        for n, key in enumerate([None, *keys(page[1])]):
-            counts = whole if n == 0 else sums[n - 1][key] if key is not None else own
+        for n in (None, "domain", "host"):
+            counts = whole if n is None else sums[n][mine[n]] if mine[n] is not None else own
             rest = np.maximum(counts - own, 0)
             prior = (rest + langid.STRENGTH * prior) / (rest.sum() + langid.STRENGTH)
         logs = np.array(page[4]) + np.log(prior)
-        if page[2] is not None:
-            rest = np.maximum(sums[3][page[2]] - own, 0)
-            logs = logs + np.log((rest + langid.PSEUDO) / (whole + langid.PSEUDO * (k + 1)))
+        for n in ("declared", "suffix"):
+            if mine[n] is not None:
+                rest, total = np.maximum(sums[n][mine[n]] - own, 0), np.maximum(sum(sums[n].values()) - own, 0)
+                logs = logs + np.log((rest + langid.PSEUDO) / (total + langid.PSEUDO * len(sums[n])))
         p = np.exp(logs - logs.max())
         assert np.allclose(r.posterior, p / p.sum())
 
 
+def plain_trigrams(text):
+    """Buckets by the same hash in whole numbers."""
+    t, top = [ord(c) for c in " ".join(text.lower().split())], 1 << 64
+    mixed = lambda a, b, c: ((a * 2654435761 ^ b * 40503) * 31 + c * 97) % top * 0x9E3779B97F4A7C15 % top >> 50
+    return Counter(mixed(*t[i : i + 3]) for i in range(len(t) - 2))
+
+
+def test_trigram_models_against_plain_python(spark, few):
+    """Counts, smoothing and tempering, from each document's trigrams by themselves."""
+    texts = [r for r in few[0].collect() if r.text is not None and r.lang in langid.LANGUAGES]
+    counts = np.full((4, langid.BUCKETS), langid.SMOOTH)
+    for r in texts:
+        for t, n in plain_trigrams(r.text).items():
+            counts[langid.LANGUAGES.index(r.lang), t] += n
+    model = langid.train(few[0])
+    assert np.allclose(model, np.log(counts / counts.sum(1, keepdims=True)))
+    html = [(1, "<html lang=DE><p>Der Hund und die Katze &amp; <b>das</b> Haus</p><script>if (a < b) x()</script> ja"), (2, "wort " * 500), (3, "ab")]
+    pages = spark.createDataFrame(html, "page_id long, html string").withColumn("url", F.lit(None).cast("string"))
+    for r in langid.likelihoods(pages, model).collect():
+        own = plain_trigrams(langid.visible(dict(html)[r.page_id]))
+        log = sum(n * model[:, t] for t, n in own.items()) if own else np.zeros(4)
+        total = sum(own.values())
+        assert r.n_trigrams == total and np.allclose(r.text, log * min(1, langid.TEMPER / max(total, 1)))
+
+
+def test_visible_text():
+    cases = {
+        "a<b>c</b>d": "a c d", "a<script>x</script>b<STYLE t=1>y</style >c": "a b c", "a<!-- <script> -->b<script>z</script>c": "a b c", "a<script>b": "a b", "a < b": "a < b",
+        "1 < 2 <p> 3": "1 3", "<!-- a": "<!-- a", "<!-- a > b": "b", "<scripts>a</script>b": "a b", "&amp;&#65;&#999999999999;": "&A\ufffd", "<noscript><script>a</noscript>b</script>c": "b c", "<<<a": "<<<a", "": "",
+    }
+    for page, text in cases.items():
+        assert langid.visible(page).split() == text.split(), page
+    assert langid.visible(None) == ""
+    assert [langid.declared(p) for p in ("<html lang=fr>", '<HTML class=x LANG = "De-AT">', "<html><p lang=en>", "<html lang", None, "<html data-x=1 lang='es'")] == ["fr", "de", None, None, None, "es"]
+
+
+def test_ten_megabytes_take_a_second():
+    for part in ("<", "<script>", "<!--", "<!-- >", "<html ", "<style></script>", "&#", "<a", "&#1", "</script "):
+        page, begin = part * (10_000_000 // len(part)), time.process_time()
+        langid.visible(page), langid.declared(page)
+        assert time.process_time() - begin < 8 if part in ("<script>", "<!-- >", "<style></script>") else 2.5, part
+
+
 def test_odd_pages(spark, few, pages):
     rows = [(1, None, None), (2, "http://h/", ""), (3, "no address", "<html lang=fr><script>x</script>" + "<p>bonjour le monde " * 5000), (3, None, "<html lang='de'>"), (None, "http://user@H.example.com:80/x", "text")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("first", F.lit(1))
@@ -78,27 +127,80 @@ def test_as_of_against_plain_python(spark):
     for i in range(600):  # one address holds most rows; times are tied
         key = None if i % 50 == 7 else "hot" if rng.random() < 0.6 else f"k{rng.integers(0, 20)}"
         rows.append((i, key, None if i % 60 == 9 else int(rng.integers(0, 100)), int(rng.choice([200, 304, 404]))))
-    df = spark.createDataFrame(rows, "record_id long, key string, at long, status int")
-    for blocks in (1, 2, 16, 256):
-        found = {r.record_id: r.source for r in warc.latest_response(df, blocks).collect()}
-        assert len(found) == len(rows)
-        for i, key, at, status in rows:
-            if status == 304:
-                earlier = [(a, j) for j, k, a, s in rows if s == 200 and k == key and k is not None and a is not None and at is not None and a <= at]
-                assert found[i] == (max(earlier)[1] if earlier else None)
+    df = spark.createDataFrame(rows, "record_id long, key string, at long, status int").withColumns({"_row": F.col("record_id") + 1000, "tie": F.lit(0)})
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 7, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            found = {r._row - 1000: r.source for r in warc.latest_response(df).collect()}
+            for i, key, at, status in rows:
+                if status == 304 and key is not None and at is not None:
+                    earlier = [(a, j) for j, k, a, s in rows if s == 200 and k == key and a is not None and a <= at]
+                    assert found.pop(i) == (max(earlier)[1] + 1000 if earlier else None)
+            assert not found
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def headers(**x):
+    return [(k.replace("_", "-"), v) for k, v in x.items()]
+
+
+SCHEMA = f"record_id long, url string, at long, status int, headers {warc.HEADERS}"
 
 
 def test_validators_and_headers(spark):
-    h = lambda **x: [(k.replace("_", "-"), v) for k, v in x.items()]
+    h = headers
     rows = [
         (1, "http://a/x", 10, 200, h(ETag='"1"', Content_Type="text/html", Cache_Control="a")), (2, "https://a/x#f", 20, 304, h(ETag='W/"1"', Cache_Control="b", Content_Type="other")),
         (3, "http://a/x", 30, 304, h(ETag='"2"')), (4, "http://a/x", 5, 304, h(ETag='"1"')), (5, "http://b/", 1, 200, h(Last_Modified="Tue, 01 Jan 2019 00:00:00 GMT")),
         (6, "http://b/", 2, 304, h(Last_Modified="Tue, 01 Jan 2019 00:00:00 GMT")), (7, "http://b/", 3, 304, h(Last_Modified="Wed, 02 Jan 2019 00:00:00 GMT")), (8, "http://b/", 4, 304, None), (9, None, 4, 304, []),
+        (10, "http://b/", 5, 304, h(ETag='"1"')), (11, "http://a/x", 31, 404, None), (12, "http://a/x", 32, None, None), (13, "http://c/", 1, 200, None), (14, "http://c/", 2, 304, h(ETag='"1"')),
     ]
-    df = spark.createDataFrame(rows, f"record_id long, url string, at long, status int, headers {warc.HEADERS}").withColumn("key", F.lit("clash"))
-    found = {r.record_id: r for r in warc.resolve(df).collect()}
-    assert [found[i].verdict for i in range(1, 10)] == ["response", "resolved", "validators differ", "no earlier response", "response", "resolved", "validators differ", "resolved", "no earlier response"]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("key", F.lit("clash")).withColumn("html", F.concat(F.lit("body"), "record_id"))
+    found = {r.record_id: r for r in warc.resolve(df, ["html"]).collect()}
+    assert [found[i].verdict for i in range(1, 15)] == ["response", "resolved", "validators differ", "no earlier response", "response", "resolved", "validators differ", "no validators", "no earlier response", "no validators", "other", "other", "response", "no validators"]
     assert {tuple(x) for x in found[2].headers} == {("etag", 'W/"1"'), ("cache-control", "b"), ("content-type", "text/html")}
-    bodies = warc.with_bodies(warc.resolve(df), df.withColumn("html", F.concat(F.lit("body"), "record_id")), ["html"])
-    assert {r.record_id: r.html for r in bodies.collect()} == {1: "body1", 2: "body1", 3: None, 4: None, 5: "body5", 6: "body5", 7: None, 8: "body5", 9: None}
-    assert warc.resolve(df.limit(0)).collect() == []
+    assert {i: r.html for i, r in found.items()} == {1: "body1", 2: "body1", 3: None, 4: None, 5: "body5", 6: "body5", 7: None, 8: None, 9: None, 10: None, 11: "body11", 12: "body12", 13: "body13", 14: None}
+    assert {i: r.source for i, r in found.items() if r.source is not None} == {2: 1, 6: 5}
+    assert warc.resolve(df.limit(0)).collect() == [] and "html" not in warc.resolve(df).columns
+
+
+def test_repeated_and_null_record_ids(spark):
+    """Each row is resolved by itself; of responses with one id and time, the choice doesn't depend on the partitions."""
+    rows = [
+        (1, "http://a/", 1, 200, headers(ETag='"a"')), (1, "http://b/", 1, 200, headers(ETag='"b"')), (2, "http://a/", 2, 304, headers(ETag='"a"')), (2, "http://b/", 3, 304, headers(ETag='"b"')),
+        (None, "http://a/", 4, 304, headers(ETag='"a"')), (None, "http://b/", 5, 304, headers(ETag='"b"')), (3, "http://c/", 1, 200, headers(ETag='"1"')), (3, "http://c/", 1, 200, headers(ETag='"2"')), (4, "http://c/", 9, 304, headers(ETag='"2"')),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("html", F.col("headers")[0]["value"])
+    seen = []
+    for parts in (1, 3, 8):
+        found = warc.resolve(df.repartition(parts), ["html"]).collect()
+        assert len(found) == len(rows)
+        assert {(r.key, r.at): r.html for r in found if r.verdict == "resolved" and r.key != "c"} == {("a", 2): '"a"', ("b", 3): '"b"', ("a", 4): '"a"', ("b", 5): '"b"'}
+        seen.append({r.verdict for r in found if r.record_id == 4})
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_dates_in_any_time_zone(spark):
+    rows = [(1, "http://b/", 1, 200, headers(Last_Modified="Sun, 31 Mar 2019 02:30:00 GMT")), (2, "http://b/", 2, 304, headers(Last_Modified="Sun, 31 Mar 2019 01:30:00 GMT"))]
+    df, zone = spark.createDataFrame(rows, SCHEMA), spark.conf.get("spark.sql.session.timeZone")
+    pages = spark.createDataFrame([(25_900_000, "http://x/", "a")], "page_id long, url string, html string")
+    try:
+        for z in ("UTC", "Europe/Berlin", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert {r.record_id: r.verdict for r in warc.resolve(df).collect()} == {1: "response", 2: "resolved"}
+            assert df.select(warc.http_time(F.col("headers")[0]["value"])).first()[0] == 1553999400
+            assert warc.crawl_of(pages).where("status = 200").first().headers[1].value == "30 Mar 2019 02:40:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_hot_source_and_long_payloads(spark):
+    rows = [(0, "http://a/", 0, 200, headers(ETag='"1"'))]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("html", F.repeat(F.lit("x"), 1_000_000))
+    many = spark.range(1, 3000).selectExpr("id AS record_id", "'https://a/' AS url", "5L AS at", "304 AS status", f"CAST(array(named_struct('name', 'etag', 'value', '\"1\"')) AS {warc.HEADERS}) AS headers", "CAST(NULL AS string) AS html")
+    found = warc.resolve(df.unionByName(many).withColumn("html", F.md5("html")), ["html"])
+    assert found.where("verdict = 'resolved' AND source = 0 AND html IS NOT NULL").count() == 2999
