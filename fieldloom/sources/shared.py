@@ -4,27 +4,74 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lists of paths written inside the ``scratch`` blocks that are open, innermost last.
+_OPEN: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where that is unset."""
+    """``spark.checkpoint.dir``; where that is unset, a folder of our own if the session is local, else an error.
+
+    On a cluster executors would write to a folder of their own machine, which the driver can't read.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the session's file system is closed."""
+    """A fresh path in the shared folder, removed when the session's file system is closed, or with the ``scratch`` block around."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    system, hadoop = _file_system(spark, path)
+    system.deleteOnExit(hadoop)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    system, hadoop = _file_system(spark, path)
+    system.delete(hadoop, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: int = 0) -> Iterator[list[str]]:
+    """Tables written inside are removed at the end, but for the last ``keep``, which belong to the block around.
+
+    What the block returns must read none of the removed ones. The list of paths is given, so that loops can drop what they are done with.
+    """
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.pop()
+        cut = len(paths) - keep
+        for p in paths[:cut]:
+            remove(spark, p)
+        if _OPEN:
+            _OPEN[-1].extend(paths[cut:])
+
+
+def drop_older(spark: SparkSession, paths: list[str], most: int) -> None:
+    """Removes all but the last ``most`` of a ``scratch`` block's tables."""
+    while len(paths) > most:
+        remove(spark, paths.pop(0))
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
