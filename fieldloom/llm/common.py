@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_path, shared_dir, written
+from ..sources.shared import new_path, scratch, shared_dir, written
 
-__all__ = ["base_columns", "new_path", "shared_dir", "small_batches", "text_groups", "written"]
+__all__ = ["base_columns", "new_path", "scratch", "shared_dir", "small_batches", "text_groups", "written"]
 
 #: Rows and bytes of one Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20

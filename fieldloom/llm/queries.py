@@ -57,8 +57,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), "v1")
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+    """The ledger is stored once; the policy and its ablation read the stored bits."""
+    found = rules.with_ablation(rules.stored_ledger(table(spark, sf_dir, "documents")), "v1")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "n_saved")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +95,8 @@ b AS (
          + (CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 10 * n_symbols > n_words THEN 8 ELSE 0 END)
          + (CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END) + (CASE WHEN 2 * n_upper > word_chars THEN 32 ELSE 0 END) AS BIGINT) AS fail_bits
   FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 43) = 0 AS kept, fail_bits FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 43) = 0 AS kept, fail_bits,
+  CASE WHEN bit_count(fail_bits & 43) = 1 THEN (SELECT count(*) FROM b o WHERE (o.fail_bits & 43) = (b.fail_bits & 43)) END AS n_saved FROM b
 """
 
 SQL["op10_mixing"] = f"""

@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import base_columns
+from .common import base_columns, written
 
 #: White space of the contract as characters, and the pattern of its runs.
 BLANKS, BLANK_RUN, WORD = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
@@ -85,6 +85,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return with_bits(measured(base_columns(docs, "doc_id", "text")))
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """As ``ledger``, written to the shared folder: policies and ablations read it and no text."""
+    return written(ledger(docs), "ledger")
+
+
 def with_bits(rows: DataFrame) -> DataFrame:
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
     total: Column = bits[0]
@@ -113,6 +118,16 @@ def ablations(rows: DataFrame, version: str = "v1", policies: Mapping[str, tuple
     return one.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"failed_{r}").alias("n_failed"), F.col(f"only_{r}").alias("n_only"), F.col(f"with_{r}").alias("with_bits")) for r in policies[version]])))
 
 
+def with_ablation(rows: DataFrame, version: str = "v1", policies: Mapping[str, tuple[str, ...]] = POLICIES) -> DataFrame:
+    """``rows`` of a stored ledger under a policy, with n_saved: how many documents the policy would keep more of without the rule that alone rejects this one (else null)."""
+    m = F.col("fail_bits").bitwiseAND(F.lit(mask(policies[version])).cast("bigint"))
+    # one row: the count of each rule, from the report of as many rows as the policy has rules
+    counts = ablations(rows, version, policies).agg(F.map_from_entries(F.collect_list(F.struct("rule", "n_only"))).alias("_counts"))
+    names = list(RULES)
+    alone = F.coalesce(*[F.when(m == F.lit(1 << names.index(r)).cast("bigint"), F.lit(r)) for r in policies[version]])
+    return apply_policy(rows, version, policies).crossJoin(F.broadcast(counts)).withColumn("n_saved", F.try_element_at("_counts", alone)).drop("_counts")
+
+
 def keep_passing(docs: DataFrame, version: str = "v1") -> DataFrame:
     """``docs`` without the rows that the policy rejects. Rules are evaluated beside the row, so nothing is shuffled."""
     row = F.struct(*[docs[c] for c in docs.columns])

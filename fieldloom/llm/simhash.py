@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import base_columns, small_batches, written
+from .common import base_columns, scratch, small_batches, written
 
 N, RADIUS, BLOCKS = 23, 3, (0, 23)
 #: Generator polynomial of the binary Golay code.
@@ -157,24 +158,39 @@ def components(edges: DataFrame) -> DataFrame:
     return mapping if mapping is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
+def roots_of(fps: DataFrame, threshold: int) -> DataFrame:
+    """fp, root: the smallest fingerprint of its component, for every different one of ``fps`` (fp)."""
+    with scratch(fps.sparkSession, keep=1):
+        classes = written(fps.select("fp").distinct(), "classes")
+        found = components(links(classes, threshold))
+        return written(classes.join(found.withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), one row for each row of ``docs``."""
     rows = written(fingerprints(docs, words), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes, threshold))
-    rooted = classes.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = least.join(roots_of(rows, threshold), "fp")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = written(rooted.join(ids, "root").select("fp", "component_id"), "class_ids")
     return rows.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 3, threshold: int = 2) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (of repeated ids, one row)."""
-    found = written(near_duplicates(docs, words, threshold), "groups")
-    ids = written(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
-    # as many ids as documents: never a broadcast, at any size
-    of = lambda k: docs.join(k.hint("merge"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = ids.where("n > 1").drop("n")
-    if repeated.isEmpty():
-        return of(ids)
-    return of(ids.where("n = 1")).unionByName(of(repeated).dropDuplicates(["doc_id"]))
+    """``docs`` with one row of each component: that of the smallest doc_id, null ids last, and of equal ids any one.
+
+    Rows have keys of their own, so that documents without an id or with the same one are told apart.
+    """
+    small_batches(docs.sparkSession)
+    names = [*docs.columns, "_fp"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fps, np.uint64).view(np.int64))], names=names)
+
+    rows = written(docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("_fp", LongType())])).withColumn("_row", F.monotonically_increasing_id()), "hashed", "zstd")
+    rooted = rows.select(F.col("_fp").alias("fp"), "doc_id", "_row").join(roots_of(rows.select(F.col("_fp").alias("fp")), threshold), "fp")
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    # as many keys as documents: never a broadcast, at any size
+    return rows.join(written(kept.select("_row"), "kept").hint("merge"), "_row", "left_semi").select(docs.columns)

@@ -5,9 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import mixing, quality, rules, simhash
+from fieldloom.llm import mixing, quality, rules
 from fieldloom.llm.tokens import default_tokenizer, encoder
 
+from .conftest import ROWS
+from .test_shingles import groups, plain
+
 D = "/root/testdata/sf0.001"
 
 
@@ -34,8 +37,8 @@ def test_filters(spark, stages):
     scores = quality.quality_scores(stages[0], spark.read.parquet(f"{D}/labels.parquet"))
     assert ids(stages[1]) == ids(scores.where("score >= 0.5"))
     assert ids(stages[2]) == ids(rules.apply_policy(rules.ledger(stages[1]), "v1").where("kept"))
-    groups = simhash.near_duplicates(stages[2])
-    assert ids(stages[3]) == sorted(r.component_id for r in groups.select("component_id").distinct().collect())
+    rows = [(r.doc_id, r.text) for r in stages[2].collect()]
+    assert ids(stages[3]) == groups(rows)
 
 
 def test_mixing_and_packing(stages):
@@ -60,10 +63,38 @@ def test_run_is_the_stages(spark, stages):
 
 
 def test_odd_documents(spark, odd, no_rows):
+    """Each stage on nulls, empty, long and repeated texts: what stays, and that rows stay whole."""
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for df in (docs, no_rows.select(docs.columns)):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, df, D).collect()
+    whole = {(i, t) for i, t in ROWS}
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, D)
+        assert stage(spark, no_rows.select(docs.columns), D).collect() == []
+        rows = found.collect()
+        if name == "packing":
+            enc = encoder(default_tokenizer())
+            assert sum(r.length for r in rows) == sum(len(x) // enc.dtype.itemsize + 1 for x in enc.encode([t or "" for _, t in ROWS]))
+            continue
+        assert found.columns == docs.columns and {(r.doc_id, r.text) for r in rows} <= whole
+        if name == "quality rules":
+            assert sorted((r.doc_id for r in rows), key=str) == sorted([1, 6, 7, 7, None], key=str)
+        if name == "near-duplicates":
+            assert sorted((r.doc_id for r in rows), key=str) == sorted([1, 2, 5, 6, 8, None, 9, 10], key=str)
+
+
+def test_near_copies_are_caught(spark):
+    """Of all pairs of similarity 0.8 or more, 0.9 at least (here: all) have one document left out, and only such documents go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    texts = {r.doc_id: plain(r.text) for r in docs.collect()}
+    kept = set(ids(corpus_pipeline.dedup_stage(spark, docs, "")))
+    holders = {}
+    for i, s in texts.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {(i, j) for own in holders.values() if len(own) <= 200 for i in own for j in own if i < j}
+    near = [(i, j) for i, j in pairs if 5 * len(texts[i] & texts[j]) >= 4 * len(texts[i] | texts[j])]
+    caught = sum(not {i, j} <= kept for i, j in near)
+    assert len(near) > 20 and caught >= 0.9 * len(near)
+    assert set(texts) - kept <= {j for p in near for j in p} | {i for i, s in texts.items() if not s}
 
 
 def test_packing_keeps_the_shuffle_of_mixing(spark):

@@ -57,6 +57,8 @@ def test_filter_keeps_rows_whole(odd, no_rows):
 
 
 def test_no_python_in_the_plan(odd):
+    for df in (rules.ledger(odd), rules.with_ablation(rules.stored_ledger(odd))):
+        assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
     plan = rules.apply_policy(rules.ledger(odd))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert kept_once(plan)
@@ -66,3 +68,14 @@ def test_no_python_in_the_plan(odd):
 def kept_once(plan):
     """Words are split in one place, not again for each measurement."""
     return len(re.findall(r"split\(trim", plan)) <= 1
+
+
+def test_stored_ledger_and_its_ablation(few, odd, no_rows):
+    for docs in (few[0], odd):
+        rows = rules.with_ablation(rules.stored_ledger(docs), "v2").collect()
+        kept = Counter(r.fail_bits for r in rows)
+        for r in rows:
+            alone = r.fail_bits.bit_count() == 1
+            assert r.n_saved == (kept[r.fail_bits] if alone else None) and r.kept == (r.fail_bits == 0)
+        assert sorted(map(tuple, rules.stored_ledger(docs).collect()), key=str) == sorted(map(tuple, rules.ledger(docs).collect()), key=str)
+    assert rules.with_ablation(rules.stored_ledger(no_rows)).collect() == []

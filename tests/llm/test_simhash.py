@@ -1,9 +1,13 @@
+import os
 from itertools import combinations
 
 import numpy as np
 from xxhash import xxh64_intdigest
 
+from pyspark.sql import functions as F
+
 from fieldloom.llm import simhash
+from fieldloom.llm.common import new_path
 
 from .conftest import ROWS
 
@@ -110,3 +114,20 @@ def test_documents(odd, no_rows):
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 7 not in ids and 6 in ids and None in ids
+
+
+def test_rows_without_an_id_or_with_the_same_one_are_told_apart(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (5, text(3)), (5, text(4)), (6, text(4)), (4, text(3)), (7, text(5)), (7, text(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_n", F.lit(1))
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs.repartition(3)).collect()), key=str)
+    assert kept == sorted([(None, text(1)), (None, text(2)), (4, text(3)), (5, text(4)), (7, text(5))], key=str)
+    assert simhash.keep_one(docs.limit(0)).collect() == []
+
+
+def test_scratch_tables_are_removed(spark, few):
+    root = new_path(spark, "x").rsplit("/", 1)[0].removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    assert simhash.near_duplicates(few[0]).count() == few[0].count()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before}
+    assert left == {"fingerprints", "roots", "class_ids"}
