@@ -1,20 +1,24 @@
 """Toxicity by a support vector machine with a gap-tolerant subsequence string kernel and Nyström landmarks.
 
-The kernel of two words counts their common subsequences of four letters (the start and the end of a word count as letters), each occurrence weighted by DECAY to the
-number of characters that it spans (at most SPAN, so gaps and inserted characters lower a match but don't end it), divided
-by what words of the two lengths have with themselves. Single letters with marks or blanks between them ("i d-i o t") are
-first joined to one word.
-
-Training: sentences of labelled documents, with their document's label. Words are counted per sentence and label in one
-grouped aggregation; words that toxic sentences have significantly more often are the witnesses of these sentences, and positive examples and landmarks;
-frequent and hash-drawn words of clean sentences are the negative ones. A squared-hinge machine is fitted on Nyström
-features. As the kernel's features are finite, the machine folds into one
-weight for each four-letter subsequence, so a text costs some table look-ups for each character. A document's score is the
-logistic of its highest word.
-
-The labelled rows learnt from are bounded: MOST_TOXIC and MOST_CLEAN documents, drawn by a hash of their id.
-
-Defined cases: a null or empty text, or one without letters, has the lowest value there is; a row without label isn't learnt
+A sentence's features are its subsequences of four letters (the start and the end of a word count as letters), each occurrence
+weighted by DECAY to the number of characters that it spans (at most SPAN, so gaps and inserted characters lower a match but
+don't end it) and divided by what a word of that length has with itself. Subsequences may run over one blank. Single letters with marks or
+blanks between them ("i d-i o t") and marks inside a word ("id*iot") are first joined to one word. The kernel of two
+sentences is the product of their features, so it sums the kernels of their words.
+
+Training: sentences of labelled documents, with their document's label; a document is a bag of sentences. Words that toxic sentences have
+significantly more often are counted in one grouped aggregation; they are the first landmarks, beside frequent and hash-drawn
+words of clean sentences. A squared-hinge machine is fitted to Nyström features of sentences: of toxic documents those
+with such a word, of clean ones WORST by hash. Then ROUNDS times every sentence of the sample is scored, the highest BEST of
+toxic documents become the positive ones, the highest WORST of every clean document join the negative ones, and their highest
+words the landmarks. As the features are finite, the machine folds into one weight for each four-letter subsequence, so a text
+costs some table look-ups for each character. A document's margin is that of its highest sentence; the logistic is fitted to
+documents of the sample that the machine hasn't seen, with both classes weighing the same.
+
+Bounds of the fit: MOST_TOXIC and MOST_CLEAN labelled documents, drawn by a hash of their id, LANDMARKS first landmarks, HARDER more in a
+round, BEST sentences of a toxic document and WORST of a clean one in a round. Every document is scored whole.
+
+Defined cases: a null or empty text, or one without letters, has the margin of a sentence without words; a row without label isn't learnt
 from; repeated rows are scored alike; without labels of both classes every score is the share of toxic labels (0 with none);
 an empty table gives no rows; columns other than doc_id and text (and toxic of the labels) are ignored.
 """
@@ -22,7 +26,7 @@ an empty table gives no rows; columns other than doc_id and text (and toxic of t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,15 +35,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import base_columns, small_batches, text_groups, written
+from .common import base_columns, scratch, small_batches, text_groups, written
 
 DECAY, SPAN, CLASSES, START, END = 0.6, 6, 41, 39, 40
 #: Log-likelihood ratio from which a word counts as a witness.
 LEAST_RATIO = 13.0
-MOST_TOXIC, MOST_CLEAN, MOST_WORDS, LANDMARKS = 6_000, 12_000, 4_000, 256
+MOST_TOXIC, MOST_CLEAN, LANDMARKS, HARDER, ROUNDS, BEST, WORST = 1_500, 3_500, 320, 80, 3, 3, 2
+#: One of so many documents of the sample is kept for the logistic.
+FOLDS = 5
 SENTENCE = re.compile(r"[^.!?|\n]+")
+STOPS = ".!?|\n"
 #: A single letter or digit, then marks or blanks, before another single one.
 LONE = re.compile(r"(?<![^\W_])([^\W_])[\W_]{1,3}(?=[^\W_](?![^\W_]))")
+#: Marks inside a word, other than those that end sentences and their parts.
+INNER = re.compile(r"(?<=[^\W_])(?:[^\w\s.!?|,;:]|_){1,2}(?=[^\W_])")
+WORD = re.compile(r"[^\W_]+")
 #: Distances of the other three letters from the first.
 STEPS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
 
@@ -58,26 +68,71 @@ def letter_classes() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def classes(text: str) -> np.ndarray:
     """Classes of the characters; that before a word is START, that after it END, if it isn't the START of the next."""
     if not _TABLE:
         _TABLE.append(letter_classes())
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = _TABLE[0][np.minimum(points, 0xFFFF)]
+    codes = _TABLE[0][np.minimum(_points(text), 0xFFFF)]
     blank = codes == 0
     codes[1:][blank[1:] & ~blank[:-1]] = END
     codes[:-1][blank[:-1] & ~blank[1:]] = START
     return codes
 
 
-def spaced(parts: list[str]) -> tuple[str, np.ndarray]:
-    """``parts`` in one string with room for START and END around each, and where they begin in it."""
-    return f" {'  '.join(parts)} ", np.concatenate([[0], np.cumsum([len(p) + 2 for p in parts])])
+def plain(text: str) -> str:
+    """Lower case, with spelt-out single letters and words with inner marks joined."""
+    return INNER.sub("", LONE.sub(r"\1", text.lower()))
+
 
+def sentences(text: str | None) -> list[str]:
+    """The different sentences of a text with a word in them, in plain form."""
+    return [s for s in dict.fromkeys(SENTENCE.findall(plain(text or ""))) if WORD.search(s)]
 
-def plain(text: str) -> str:
-    """Lower case, with spelt-out single letters joined."""
-    return LONE.sub(r"\1", text.lower())
+
+@dataclass
+class Layout:
+    """Texts in one array of classes, with the number of the word and of the sentence of each place, and where texts begin."""
+
+    codes: np.ndarray
+    words: np.ndarray
+    stops: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, parts: Sequence[str]) -> Layout:
+        """``parts`` in plain form. Blanks are doubled, so that there is room for END and START between words."""
+        doubled = [p.replace(" ", "  ").replace("\n", "\n\n") for p in parts]
+        joined = f" {'  '.join(doubled)} "
+        starts = np.concatenate([[0], np.cumsum([len(p) + 2 for p in doubled])]).astype(np.int64)
+        codes, stop = classes(joined), np.isin(_points(joined), [ord(c) for c in STOPS])
+        stop[starts[:-1]] = True
+        return cls(codes, np.cumsum((codes == 0) | (codes == START), dtype=np.int32), np.cumsum(stop, dtype=np.int32), starts)
+
+    def norms(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin, and the root of what each has with itself."""
+        begins = np.flatnonzero(self.codes == START)
+        if not len(begins):
+            return begins, np.ones(0)
+        letters = np.add.reduceat((self.codes > 0) & (self.codes < START), begins, dtype=np.int32)
+        return begins, np.sqrt(self_kernel(np.arange(letters.max() + 1)))[letters]
+
+    def matches(self) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+        """For each of STEPS: of all places the subsequence that begins there, whether it counts, and its weight."""
+        codes, words, letter = self.codes, self.words, (self.codes > 0) & (self.codes < START)
+        for x, y, z in STEPS:
+            n = len(codes) - z
+            if n <= 0:
+                continue
+            feature = ((codes[:n] * CLASSES + codes[x : n + x]) * CLASSES + codes[y : n + y]) * CLASSES + codes[z:]
+            apart = words[z:] - words[:n]
+            counts = (apart == 0) & (codes[:n] > 0)
+            if z == SPAN - 1:  # the least that two words and the blank between them take
+                counts |= (apart == 1) & letter[:n] & letter[x : n + x] & letter[y : n + y] & letter[z:] & (self.stops[z:] == self.stops[:n])
+            yield feature, counts, DECAY ** (z + 1)
 
 
 def self_kernel(lengths: np.ndarray) -> np.ndarray:
@@ -87,44 +142,38 @@ def self_kernel(lengths: np.ndarray) -> np.ndarray:
     return np.where(total > 0, total, 1.0)
 
 
-def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """place of the first letter, feature, weight of all subsequences inside words."""
-    blanks = np.cumsum((codes == 0) | (codes == START))
-    places, features, weights = [], [], []
-    for a, b, c in STEPS:
-        if len(codes) > c:
-            ok = np.flatnonzero((codes[:-c] > 0) & (blanks[c:] == blanks[:-c]))
-            places.append(ok)
-            features.append(((codes[ok] * CLASSES + codes[ok + a]) * CLASSES + codes[ok + b]) * CLASSES + codes[ok + c])
-            weights.append(np.full(len(ok), DECAY ** (c + 1)))
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(places), np.concatenate(features), np.concatenate(weights)
-
-
-def kernel(words: list[str], others: list[str]) -> np.ndarray:
-    """Normalised kernel matrix of two lists of words."""
-
-    def sparse(ws: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        text, at = spaced(ws)
-        p, f, v = subsequences(classes(text))
-        row = np.searchsorted(at, p, side="right") - 1
-        return row, f, v / np.sqrt(self_kernel([len(w) for w in ws]))[row]
-
-    ri, fi, vi = sparse(words)
-    rj, fj, vj = sparse(others)
+def features(parts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """part, feature, weight of all subsequences of sentences in plain form."""
+    at = Layout.of(parts)
+    begins, norms = at.norms()
+    places, found, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for feature, counts, weight in at.matches():
+        here = np.flatnonzero(counts)
+        places.append(here)
+        found.append(feature[here])
+        weights.append(weight / norms[np.searchsorted(begins, here, side="right") - 1])
+    place = np.concatenate(places)
+    return np.searchsorted(at.starts, place, side="right") - 1, np.concatenate(found), np.concatenate(weights)
+
+
+def kernel(parts: Sequence[str], others: Sequence[str]) -> np.ndarray:
+    """Kernel matrix of two lists of sentences in plain form."""
+    rj, fj, vj = features(others)
     known, inverse = np.unique(fj, return_inverse=True)
-    right = np.zeros((len(others), len(known)))
-    np.add.at(right, (rj, inverse), vj)
-    at = np.searchsorted(known, fi)
-    hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == fi) if len(known) else np.zeros(len(fi), bool)
-    out = np.zeros((len(words), len(others)))
-    order = np.argsort(ri[hit], kind="stable")
-    rows, cols, vals = ri[hit][order], at[hit][order], vi[hit][order]
-    bounds = np.searchsorted(rows, np.arange(len(words) + 1))
-    for i in np.flatnonzero(np.diff(bounds)):
-        s = slice(bounds[i], bounds[i + 1])
-        out[i] = right[:, cols[s]] @ vals[s]
+    right = np.zeros((len(known), len(others)))
+    np.add.at(right, (inverse, rj), vj)
+    out = np.zeros((len(parts), len(others)))
+    for a in range(0, len(parts) if len(known) else 0, 1000):
+        ri, fi, vi = features(parts[a : a + 1000])
+        at = np.minimum(np.searchsorted(known, fi), len(known) - 1)
+        hit = known[at] == fi
+        # of each sentence every feature once
+        both, inverse = np.unique(ri[hit] * len(known) + at[hit], return_inverse=True)
+        rows, cols, vals = both // len(known), both % len(known), np.bincount(inverse, vi[hit], minlength=len(both))
+        bounds = np.searchsorted(rows, np.arange(len(out[a : a + 1000]) + 1))
+        for i in np.flatnonzero(np.diff(bounds)):
+            own = slice(bounds[i], bounds[i + 1])
+            out[a + i] = vals[own] @ right[cols[own]]
     return out
 
 
@@ -144,30 +193,37 @@ class Machine:
         return out
 
 
+def word_sums(at: Layout, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin, and what each adds to its sentence's margin."""
+    begins, norms = at.norms()
+    if not len(begins):
+        return begins, np.zeros(0)
+    gain = np.zeros(len(at.codes), np.float32)
+    for feature, counts, weight in at.matches():
+        found = table[feature]
+        found[~counts] = 0
+        gain[: len(found)] += np.float32(weight) * found
+    return begins, np.add.reduceat(gain, begins) / norms
+
+
+def sentence_margins(at: Layout, table: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """text, margin of every sentence with a word."""
+    begins, sums = word_sums(at, table)
+    if not len(begins):
+        return np.zeros(0, np.int64), np.zeros(0)
+    own = at.stops[begins + 1]  # of the first letter
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    return np.searchsorted(at.starts, begins[first], side="right") - 1, np.add.reduceat(sums, first) + bias
+
+
 def margins(texts: list[str | None], table: np.ndarray, bias: float) -> np.ndarray:
-    """The highest margin of the words of each whole text; without words that of an empty word."""
+    """The highest margin of the sentences of each whole text; without words that of an empty sentence."""
     out = np.full(len(texts), bias)
     for a, b in text_groups(texts, 500_000):
-        parts = [plain(t or "").replace(" ", "  ").replace("\n", "\n\n") for t in texts[a:b]]
-        joined, starts = spaced(parts)
-        codes = classes(joined)
-        begins = np.flatnonzero(codes == START)
-        if not len(begins):
-            continue
-        words, gain = np.cumsum((codes == 0) | (codes == START), dtype=np.int32), np.zeros(len(codes), np.float32)
-        for x, y, z in STEPS:
-            if len(codes) > z:
-                n = len(codes) - z
-                f = ((codes[:n] * CLASSES + codes[x : n + x]) * CLASSES + codes[y : n + y]) * CLASSES + codes[z:]
-                found = table[f]
-                found[words[z:] != words[:n]] = 0
-                gain[:n] += np.float32(DECAY ** (z + 1)) * found
-        letters = np.add.reduceat((codes > 0) & (codes < START), begins, dtype=np.int32)
-        sums = np.add.reduceat(gain, begins) / np.sqrt(self_kernel(np.arange(letters.max() + 1)))[letters] + bias
-        first = np.searchsorted(begins, starts)
-        for i in range(b - a):
-            if first[i] < first[i + 1]:
-                out[a + i] = max(bias, sums[first[i] : first[i + 1]].max())
+        owner, found = sentence_margins(Layout.of([plain(t or "") for t in texts[a:b]]), table, bias)
+        if len(owner):
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            out[a + owner[first]] = np.maximum.reduceat(found, first)
     return out
 
 
@@ -201,53 +257,36 @@ def sentence_words(docs: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for s in dict.fromkeys(SENTENCE.findall(text or "")):
-                    key = xxh64_intdigest(" ".join(s.split())) >> 1
-                    out += [(key, label, w) for w in dict.fromkeys(re.findall(r"[^\W_]+", plain(s))) if len(w) <= 64]
+                for s in sentences(text):
+                    words = WORD.findall(s)
+                    key = xxh64_intdigest(" ".join(words)) >> 1
+                    out += [(key, label, w) for w in dict.fromkeys(words)]
             for i in range(0, len(out), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[i : i + 100_000], strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["sentence", "label", "word"])
 
     return docs.mapInArrow(split, "sentence bigint, label int, word string")
 
 
-def fit(words: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> Machine:
-    """The machine for (word, different sentences with it that are labelled toxic, the same for clean), and all such sentences."""
-    t, c = np.array([x[1] for x in words], np.float64), np.array([x[2] for x in words], np.float64)
-    lift = (t + 0.1) / (n_toxic + 1) / ((c + 0.5) / (n_clean + 1))
-    share = (n_toxic + 1) / (n_toxic + n_clean + 2)
-    total = np.maximum(t + c, 1)
-    ratio = 2 * (t * np.log(np.maximum(t / total, 1e-9) / share) + c * np.log(np.maximum(c / total, 1e-9) / (1 - share)))
-    positive = np.flatnonzero((t > total * share) & (ratio > LEAST_RATIO) & (lift > 4))
-    if not len(positive):
-        positive = np.argsort(-lift, kind="stable")[: max(1, len(words) // 100)]
-    positive = positive[np.argsort(-(t * np.log(np.maximum(lift, 1.001)))[positive], kind="stable")][:MOST_WORDS]
-    negative = np.flatnonzero((c > 0) & (lift < 3))
-    text = [x[0] for x in words]
-    good, bad = [text[i] for i in positive], [text[i] for i in negative]
-    y = np.r_[np.ones(len(good)), -np.ones(len(bad))]
-    weight = np.r_[np.sqrt(t[positive]) / np.sqrt(t[positive]).sum(), np.sqrt(c[negative]) / max(np.sqrt(c[negative]).sum(), 1)] * 2000
-    # half of the landmarks from either side; then twice the clean words with the highest margins become landmarks, too, and weigh more
-    marks = list(dict.fromkeys([*good[: LANDMARKS // 2], *bad[: LANDMARKS // 4], *bad[:: max(1, len(bad) // (LANDMARKS // 4))]]))[:LANDMARKS]
-    for again in (True, True, False):
-        k = kernel(marks, marks)
-        values, vectors = np.linalg.eigh((k + k.T) / 2)
-        keep = values > 1e-6 * values.max()
-        root = vectors[:, keep] / np.sqrt(values[keep])
-        x = kernel([*good, *bad], marks) @ root
-        v, bias = squared_hinge(x, y, weight)
-        high = (x[len(good) :] @ v + bias) * np.log1p(c[negative])
-        hard = np.argsort(-high, kind="stable")[: LANDMARKS // 4]
-        hard = hard[high[hard] > -0.2]
-        if again:
-            marks = list(dict.fromkeys([*marks, *(bad[i] for i in hard)]))
-            weight[len(good) + hard] = np.maximum(weight[len(good) + hard], c[negative][hard])
+def ratio(n_toxic: int, n_clean: int) -> Column:
+    """Log-likelihood ratio of a word's sentences with each label (columns t and c), negative for words of clean sentences."""
+    share, total = (n_toxic + 1) / (n_toxic + n_clean + 2), F.col("t") + F.col("c")
+    part = lambda n, s: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / total / s)).otherwise(0.0)
+    both = 2 * (part("t", share) + part("c", 1 - share))
+    return F.when(F.col("t") > total * share, both).otherwise(-both)
+
+
+def fit(parts: Sequence[str], labels: np.ndarray, marks: Sequence[str]) -> Machine:
+    """The folded machine of sentences in plain form (labels 1 and -1, both classes weighing the same) over the landmarks."""
+    k = kernel(marks, marks)
+    values, vectors = np.linalg.eigh((k + k.T) / 2)
+    keep = values > 1e-6 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    weight = np.where(labels > 0, 2000 / max((labels > 0).sum(), 1), 2000 / max((labels < 0).sum(), 1))
+    v, bias = squared_hinge(kernel(parts, marks) @ root, labels, weight)
     alpha = root @ v
-    joined, at = spaced(marks)
-    p, f, s = subsequences(classes(joined))
-    row = np.searchsorted(at, p, side="right") - 1
-    features, inverse = np.unique(f, return_inverse=True)
-    weights = np.bincount(inverse, s * alpha[row] / np.sqrt(self_kernel([len(m) for m in marks]))[row], minlength=len(features))
-    return Machine(features, weights, bias)
+    row, found, value = features(marks)
+    known, inverse = np.unique(found, return_inverse=True)
+    return Machine(known, np.bincount(inverse, value * alpha[row], minlength=len(known)), bias)
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
@@ -257,19 +296,68 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
 
 def margin_table(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, margin of every row."""
-    table, bias = machine.table(), machine.bias
-    features, weights = machine.features, machine.weights
-    del table
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Machine(features, weights, bias).table()
+        own = machine.table()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(margins(b.column("text").to_pylist(), own, bias))], names=["doc_id", "margin"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(margins(b.column("text").to_pylist(), own, machine.bias))], names=["doc_id", "margin"])
 
     small_batches(docs.sparkSession)
     return base_columns(docs, "doc_id", "text").mapInArrow(measure, T.StructType().add("doc_id", T.LongType()).add("margin", T.DoubleType()))
 
 
+def chosen_sentences(docs: DataFrame, witnesses: Sequence[str]) -> DataFrame:
+    """label, sentence, word (null), margin (null): of toxic documents (label, text) the first BEST sentences with a witness, of others WORST by hash."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        known = set(witnesses)
+        for b in batches:
+            out = []
+            for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
+                own = sentences(text)
+                take = [s for s in own if known.intersection(WORD.findall(s))][:BEST] if label else sorted(own, key=xxh64_intdigest)[:WORST]
+                out += [(label, s, None, None) for s in take]
+            yield _chosen(out)
+
+    return docs.mapInArrow(choose, CHOSEN)
+
+
+CHOSEN = "label int, sentence string, word string, margin double"
+
+
+def _chosen(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.float64()), strict=True)], names=["label", "sentence", "word", "margin"])
+
+
+def highest_sentences(docs: DataFrame, machine: Machine) -> DataFrame:
+    """CHOSEN: of every document (label, text) its highest sentence, of toxic ones up to BEST if over a margin of zero, of others up to WORST; with the highest word and the margin."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = machine.table()
+        for b in batches:
+            labels, texts = b.column("label").to_pylist(), b.column("text").to_pylist()
+            for first, last in text_groups(texts, 500_000):
+                own = [sentences(t) for t in texts[first:last]]
+                parts, doc = [s for ss in own for s in ss], np.repeat(np.arange(len(own)), [len(ss) for ss in own])
+                owner, m = sentence_margins(Layout.of(parts), table, machine.bias)
+                order = np.lexsort((-m, doc[owner]))
+                bounds, out = np.searchsorted(doc[owner][order], np.arange(len(own) + 1)), []
+                for k, label in enumerate(labels[first:last]):
+                    for rank, i in enumerate(order[bounds[k] : bounds[k + 1]][: BEST if label else WORST].tolist()):
+                        if not rank or not label or m[i] > 0:
+                            out.append((label, parts[owner[i]], float(m[i])))
+                words = [WORD.findall(s) for _, s, _ in out]
+                at = Layout.of([w for ws in words for w in ws])
+                sums = word_sums(at, table)[1].tolist()  # one word in each part
+                ends = np.cumsum([len(ws) for ws in words]).tolist()
+                yield _chosen([(label, s, max(zip(sums[e - len(ws) : e], ws, strict=True))[1], x) for (label, s, x), ws, e in zip(out, words, ends, strict=True)])
+
+    return docs.mapInArrow(choose, CHOSEN)
+
+
 def logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic of ``margin``, by Newton steps on the smoothed log loss of both classes alike."""
     n1, n0 = max(label.sum(), 1), max((1 - label).sum(), 1)
@@ -283,27 +371,57 @@ def logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def landmarks(sample: DataFrame) -> tuple[list[str], list[str]]:
+    """Witnesses of toxic sentences of ``sample`` (label, text), at most half of LANDMARKS, and as many words of clean ones."""
+    # different sentences, so that copies of a document don't lend weight to its rare words
+    pairs = written(sentence_words(sample).distinct(), "sentence_words")
+    n = {r.label: r.n for r in pairs.select("sentence", "label").distinct().groupBy("label").agg(F.count("*").alias("n")).collect()}
+    in_label = lambda k: F.count(F.when(F.col("label") == k, 1))
+    words = written(pairs.groupBy("word").agg(in_label(1).alias("t"), in_label(0).alias("c")).withColumn("ratio", ratio(n.get(1, 0), n.get(0, 0))), "words")
+    first = lambda rows, count, *order: [r.word for r in rows.orderBy(*order, "word").limit(count).collect()]
+    good = first(words.where(F.col("ratio") > LEAST_RATIO), LANDMARKS // 2, F.desc("ratio")) or first(words.where("t > 0"), LANDMARKS // 8, F.desc("ratio"))
+    clean = words.where((F.col("c") > 0) & (F.col("ratio") < 3))
+    return good, list(dict.fromkeys([*first(clean, LANDMARKS // 4, F.desc("c")), *first(clean, LANDMARKS // 4, F.xxhash64("word"))]))
+
+
+def train(sample: DataFrame) -> Machine:
+    """The machine for a bounded, written sample of documents (label, text)."""
+    good, clean = landmarks(sample)
+    marks = list(dict.fromkeys([*good, *clean]))
+    positive, negative, machine = [], {}, None
+    for k in range(ROUNDS + 1):
+        # at most BEST or WORST sentences of each document of the sample
+        rows = (chosen_sentences(sample, good) if machine is None else highest_sentences(sample, machine)).collect()
+        positive = sorted({r.sentence for r in rows if r.label}) or positive
+        fresh = [r for r in rows if not r.label and (r.margin is None or r.margin > -1)]
+        negative |= {r.sentence: None for r in sorted(fresh, key=lambda r: r.sentence)}
+        if k:
+            hard = sorted(fresh, key=lambda r: (-r.margin, r.word))
+            marks = list(dict.fromkeys([*marks, *list(dict.fromkeys(r.word for r in hard))[:HARDER]]))
+        parts = [*positive, *negative]
+        machine = fit(parts, np.r_[np.ones(len(positive)), -np.ones(len(negative))], marks)
+    return machine
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Machine | float:
     """The machine and its logistic from labelled rows that aren't held out."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     first = lambda label, most: known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = first(1, MOST_TOXIC).unionByName(first(0, MOST_CLEAN))
-    sample = written(base_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"), "toxicity_sample")
-    sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return 1.0 if n1 else 0.0
-    # different sentences, so that copies of a document don't lend weight to its rare words
-    pairs = written(sentence_words(sample).distinct(), "sentence_words")
-    in_label = lambda c, k: F.when(F.col("label") == k, F.col(c))
-    n1, n0 = pairs.agg(F.approx_count_distinct(in_label("sentence", 1), 0.02), F.approx_count_distinct(in_label("sentence", 0), 0.02)).first()
-    words = written(pairs.groupBy("word").agg(F.count(in_label("sentence", 1)).alias("t"), F.count(in_label("sentence", 0)).alias("c")), "words")
-    lift = (F.col("t") + 0.1) / (n1 + 1) / ((F.col("c") + 0.5) / (n0 + 1))
-    groups = [words.where(lift > 3).orderBy(F.desc(F.col("t") * F.log(lift)), "word").limit(MOST_WORDS), words.where((F.col("c") > 0) & (lift <= 3)).orderBy(F.desc("c"), "word").limit(MOST_WORDS), words.where((F.col("c") > 0) & (lift <= 3)).orderBy(F.xxhash64("word"), "word").limit(2 * MOST_WORDS)]
-    counts = {r.word: (r.word, r.t, r.c) for g in groups for r in g.collect()}
-    machine = fit(list(counts.values()), n1, n0)
-    found = margin_table(sample, machine).join(known, "doc_id").select("margin", "label").toPandas()
-    machine.slope, machine.shift = logistic(found["margin"].to_numpy(), found["label"].to_numpy())
+    with scratch(docs.sparkSession):
+        apart = F.pmod(F.xxhash64(F.lit("logistic"), "doc_id"), F.lit(FOLDS)) == 0
+        sample = written(base_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", apart.alias("apart")), "toxicity_sample")
+        found = {(r.label, r.apart): r.n for r in sample.groupBy("label", "apart").agg(F.count("*").alias("n")).collect()}
+        n1, n0 = (found.get((k, True), 0) + found.get((k, False), 0) for k in (1, 0))
+        if not n1 or not n0:
+            return 1.0 if n1 else 0.0
+        # both parts need both classes
+        split = all(found.get((k, side), 0) for k in (0, 1) for side in (True, False))
+        machine = train((sample.where("NOT apart") if split else sample).select("label", "text"))
+        rest = sample.where("apart") if split else sample
+        margin = margin_table(rest, machine).join(F.broadcast(chosen), "doc_id").select("margin", "label").toPandas()
+    machine.slope, machine.shift = logistic(margin["margin"].to_numpy(), margin["label"].to_numpy())
     return machine
 
 

@@ -1,4 +1,5 @@
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -81,8 +82,6 @@ def test_quality_filter(medium):
 
 def slow_kernel(a, b):
     """Common subsequences of four, START and END among them, by enumeration."""
-    from itertools import combinations
-
     def parts(w):
         w = [toxicity.START, *toxicity.classes(w).tolist(), toxicity.END] if w else []
         out = {}
@@ -104,27 +103,102 @@ def test_kernel_against_enumeration():
     assert fast[0, 1] > fast[0, 2] and np.allclose(fast, fast.T)
 
 
-def test_folded_machine_is_the_machine():
-    words = [("idiot", 30, 0), ("stupid", 25, 0), ("moron", 20, 0), *[(w, 1, 40) for w in ("the", "table", "window", "morning", "studio", "river")]]
-    machine = toxicity.fit(words, 100, 400)
-    texts = ["idiot", "window", "morn", "stupidly", "idxiot"]
-    fast = toxicity.margins(texts, machine.table(), machine.bias)
-    for t, m in zip(texts, fast, strict=True):
-        codes = toxicity.classes(f" {t} ")
-        p, f, v = toxicity.subsequences(codes)
-        slow = (machine.table()[f] * v).sum() / np.sqrt(toxicity.self_kernel(len(t))) + machine.bias
-        assert np.isclose(m, max(slow, machine.bias), atol=1e-4)
-    assert fast[0] > 0 > fast[1]
-    spelt = toxicity.margins(["say i d i o t now", "say i.d.i.o.t now", "idxiot", "river table", None, ""], machine.table(), machine.bias)
-    assert spelt[0] > 0.5 and spelt[1] > 0.5 and spelt[2] > spelt[3] and spelt[4] == spelt[5] == machine.bias
-
-
-def test_whole_texts_are_read():
-    machine = toxicity.fit([("idiot", 30, 0), ("moron", 20, 0), *[(w, 1, 40) for w in ("the", "table", "window", "river")]], 100, 400)
-    far = "the river " * 120_000 + "idiot"
+def slow_features(sentence):
+    """Of a plain sentence of words between single blanks or marks: subsequences inside words and over one blank, each in the share of the word that it begins in."""
+    out, letters = {}, toxicity.classes(sentence).tolist()
+    spans = [m.span() for m in toxicity.WORD.finditer(sentence)]
+    for k, (a, b) in enumerate(spans):
+        own = [toxicity.START, *letters[a:b], toxicity.END]
+        norm = np.sqrt(float(toxicity.self_kernel(b - a)))
+        near = k + 1 < len(spans) and sentence[b : spans[k + 1][0]] == " "
+        wide = [*letters[a:b], None, None, *letters[slice(*spans[k + 1])]] if near else []
+        for seq, over in ((own, False), (wide, True)):
+            for at in combinations(range(len(seq)), 4):
+                key = tuple(seq[i] for i in at)
+                if at[3] - at[0] < toxicity.SPAN and None not in key and (not over or at[0] < b - a < at[3]):
+                    out[key] = out.get(key, 0) + toxicity.DECAY ** (at[3] - at[0] + 1) / norm
+    return out
+
+
+SENTENCES = ["you are an idiot now", "wor thless", "worthless", "the river, table", "a b", "ab cd ef", "trash the crash", "x", "wor, thless", "idiot"]
+
+
+def test_sentence_kernel_against_enumeration():
+    own = [slow_features(s) for s in SENTENCES]
+    slow = [[sum(v * b.get(k, 0) for k, v in a.items()) for b in own] for a in own]
+    assert np.allclose(toxicity.kernel(SENTENCES, SENTENCES), slow)
+    assert slow[1][2] > slow[8][2] > 0
+
+
+def test_fit_against_the_dual_in_full():
+    """With every sentence a landmark, the machine is the kernel machine: its margins minimise the objective over all expansions."""
+    labels = np.array([1, 1, 1, -1, -1, -1, 1, -1, 1, 1])
+    machine = toxicity.fit(SENTENCES, labels, SENTENCES)
+    k = toxicity.kernel(SENTENCES, SENTENCES)
+    found = (toxicity.kernel(SENTENCES, SENTENCES) @ np.zeros(len(k))) + machine.bias
+    table = machine.table()
+    for i, s in enumerate(SENTENCES):
+        found[i] = sum(v * table[((a * 41 + b) * 41 + c) * 41 + d] for (a, b, c, d), v in slow_features(s).items()) + machine.bias
+    weight = np.where(labels > 0, 2000 / (labels > 0).sum(), 2000 / (labels < 0).sum())
+    # at the optimum alpha is twice weight times label times the hinge, by the derivative of the objective
+    alpha = 2 * weight * labels * np.maximum(0, 1 - labels * found)
+    assert np.allclose(k @ alpha + machine.bias, found, atol=1e-2) and abs(alpha.sum()) < 1e-2
+
+
+TOXIC = ["you idiot go", "such an idiot", "moron that you are", "what a moron", "idiot and moron", "a stupid idiot"]
+CLEAN = ["the river is wide", "a table in the morning", "more on the window", "studio near the river", "in the window", "stupendous table"]
+
+
+@pytest.fixture(scope="module")
+def machine():
+    return toxicity.fit([*TOXIC, *CLEAN], np.r_[np.ones(6), -np.ones(6)], ["idiot", "moron", "stupid", "river", "table", "the", "window", "morning", "studio"])
+
+
+def test_folded_margins_are_those_of_the_features(machine):
+    table = machine.table()
+    texts = ["idiot", "the window. you idiot! river", "wor thless|table\nmoron", "stupidly idxiot", "a-b c"]
+    for t, m in zip(texts, toxicity.margins(texts, table, machine.bias), strict=True):
+        best = max(sum(v * table[((a * 41 + b) * 41 + c) * 41 + d] for (a, b, c, d), v in slow_features(s).items()) for s in toxicity.sentences(t))
+        assert np.isclose(m, best + machine.bias, atol=1e-3)
+
+
+def test_gaps_and_inserted_characters(machine):
+    found = toxicity.margins(["say i d i o t now", "say i.d.i.o.t now", "id*iot", "mo_r*on", "idxiot here", "id iot", "river table", None, "", "..."], machine.table(), machine.bias)
+    assert (found[:4] > 0.5).all() and found[4] > found[6] and found[5] > found[6] and (found[7:] == machine.bias).all()
+
+
+def test_whole_texts_are_read(machine):
+    far = "the river. " * 100_000 + "idiot"
     assert toxicity.margins([far, "x"], machine.table(), machine.bias)[0] > 0.5
 
 
+def test_chosen_and_highest_sentences(spark, machine):
+    docs = spark.createDataFrame([(1, "The river. You idiot! What a moron. Idiot and moron. Such an idiot."), (0, "A window. More on the window. In the morning the river"), (1, None), (0, "..")], "label int, text string")
+    chosen = {(r.label, r.sentence.strip()) for r in toxicity.chosen_sentences(docs, ["idiot", "moron"]).collect()}
+    assert {s for k, s in chosen if k} == {"you idiot", "what a moron", "idiot and moron"} and len([s for k, s in chosen if not k]) == toxicity.WORST
+    table = machine.table()
+    found = toxicity.highest_sentences(docs, machine).collect()
+    for label in (0, 1):
+        own = toxicity.sentences(docs.where(f"label = {label} AND length(text) > 2").first().text)
+        score = {s.strip(): toxicity.margins([s], table, machine.bias)[0] for s in own}
+        best = sorted(score, key=score.get, reverse=True)[: toxicity.BEST if label else toxicity.WORST]
+        rows = {r.sentence.strip(): r for r in found if r.label == label}
+        assert set(rows) == {s for s in best if not label or score[s] > 0 or s == best[0]}
+        for s, r in rows.items():
+            assert np.isclose(r.margin, score[s], atol=1e-4) and r.word == max(toxicity.WORD.findall(s), key=lambda w: toxicity.margins([w], table, 0.0)[0])
+
+
+def test_words_of_sentences_are_counted(spark):
+    docs = spark.createDataFrame([(1, "Aa bb. Aa bb! cc"), (1, "aa  bb|cc dd"), (0, "Bb cc"), (0, None)], "label int, text string")
+    rows = toxicity.sentence_words(docs).distinct().groupBy("label", "word").count().collect()
+    assert {(r.label, r.word): r["count"] for r in rows} == {(1, "aa"): 1, (1, "bb"): 1, (1, "cc"): 2, (1, "dd"): 1, (0, "bb"): 1, (0, "cc"): 1}
+    counted = spark.createDataFrame([("w", 8, 2), ("v", 1, 9), ("u", 0, 5)], "word string, t long, c long").withColumn("r", toxicity.ratio(20, 60)).collect()
+    for r in counted:
+        share, n = 21 / 82, r.t + r.c
+        both = 2 * sum(x * np.log(x / n / s) for x, s in ((r.t, share), (r.c, 1 - share)) if x)
+        assert np.isclose(r.r, both if r.t > n * share else -both)
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -132,5 +206,5 @@ def test_toxicity_on_held_out_rows(spark):
     found = rows.join(labels, "doc_id").toPandas()
     assert (found.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in found.doc_id]).all()
     out = found[found.held_out]
-    assert auc(out.score.to_numpy(), out.toxic.to_numpy()) > 0.9
-    assert out[out.toxic == 1].predicted.mean() > 0.85 and out[out.toxic == 0].predicted.mean() < 0.12
+    assert auc(out.score.to_numpy(), out.toxic.to_numpy()) > 0.93
+    assert out[out.toxic == 1].predicted.mean() > 0.88 and out[out.toxic == 0].predicted.mean() < 0.04
