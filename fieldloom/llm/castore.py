@@ -200,19 +200,19 @@ def build(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, path:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "key", "ids", "doc_id", "n_tokens", "chunks", "ends"])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # rows come sorted by key
+        seen = set()  # the addresses of a partition, some tenth of its chunks' bytes
         for batch in batches:
             keep = []
             for kind, key in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), strict=True):
-                keep.append(kind == "recipe" or key != before)
+                keep.append(kind == "recipe" or key not in seen)
                 if kind == "chunk":
-                    before = key
+                    seen.add(key)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     rows = base_columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spread = F.when(F.col("kind") == "recipe", F.xxhash64("key", "doc_id")).otherwise(F.xxhash64("key"))
     one_pass = rows.mapInArrow(objects, OBJECTS).withColumn("spread", spread)
-    one_pass.repartition("spread").drop("spread").sortWithinPartitions("key").mapInArrow(once, OBJECTS).write.option("compression", "lz4_raw").parquet(f"{path}/objects")
+    one_pass.repartition("spread").drop("spread").mapInArrow(once, OBJECTS).write.option("compression", "lz4_raw").parquet(f"{path}/objects")
     made = spark.read.schema(OBJECTS).parquet(f"{path}/objects")
     made.where("kind = 'recipe'").select("doc_id", "n_tokens", "chunks", "ends", F.col("key").alias("root")).repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").mapInArrow(_numbered, RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes")
     store = Store(spark, path)

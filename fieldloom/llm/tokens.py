@@ -21,17 +21,17 @@ import pyarrow.compute as pc
 CUT = re.compile(r" (?=\S)")
 #: Latin letters at the start of a word; they never join what follows them.
 STEM = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
-MEMO_WORDS, MEMO_CHARS = 600_000, 48
+MEMO_WORDS, MEMO_CHARS = 500_000, 48
 #: Words of the dictionaries behind it, for odd texts and for the letters and marks that words are put together from.
-PART_WORDS = 50_000
+PART_WORDS = 30_000
 #: A blank or line end that isn't a cut, or may not be one: before white space of any kind, or last; and the mark below.
 NO_CUT = r"[ \n](?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)|\x01"
 #: Marks behind a word never join it; they become a word of their own, with a control character for the blank that they lack.
 MARKS, APART = r"(\p{L})([.,;:!?]+)( |\n|$)", "\\1 \x01\\2\\3"
 #: Words whose ids are put together at once.
-WORDS_AT_ONCE = 1 << 19
+WORDS_AT_ONCE = 1 << 17
 #: Bytes of texts that are encoded together.
-GATHERED = 4 << 20
+GATHERED = 3 << 20
 
 
 def default_tokenizer() -> str:
