@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import EPSILON, Vec
-from ..sources.shared import written
+from ..sources.shared import scratch, written
 from .mesh import Mesh
 
+#: Points of a grid cell from which the width is cut, and how often at most; rows of a block where every query meets every point.
+FULL, CUTS, BLOCK = 64, 12, 4096
+
 
 def bin_of(x: Column, h: float) -> Column:
     return F.floor(x / h).cast("bigint")
@@ -21,43 +28,84 @@ def squared_distance(a: Vec, b: Vec) -> Column:
     return out
 
 
-def nearest(queries: DataFrame, points: DataFrame, h: float, q_id: str = "qid", p_id: str = "pid", axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """q_id, p_id, d2: the nearest point of every query, of equal distances the smallest id.
+def usable(names: Sequence[str]) -> Column:
+    """Whether all coordinates are numbers."""
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double"))
+    return out
+
+
+def extent(points: DataFrame, axes: Sequence[str]) -> tuple[int, float]:
+    """Number of ``points`` and the largest side of the box around them."""
+    sides = [F.max(a) - F.min(a) for a in axes]
+    row = points.agg(F.count("*").alias("n"), (F.greatest(*sides) if len(sides) > 1 else sides[0]).cast("double").alias("side")).first()
+    return row["n"], row["side"] or 0.0
+
+
+def bin_width(points: DataFrame, axes: Sequence[str]) -> float:
+    """A width of bins that hold few of ``points`` (all different): a point each if they lie evenly, less until the fullest has FULL at most."""
+    n, side = extent(points, axes)
+    h = side / max(n, 1) ** (1 / len(axes)) or 1.0
+    for _ in range(CUTS):
+        fullest = points.groupBy(*[bin_of(F.col(a), h).alias(a) for a in axes]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if fullest <= FULL:
+            break
+        h /= max(8.0, (fullest / FULL) ** (1 / len(axes)))
+    return h
+
+
+def nearest(queries: DataFrame, points: DataFrame, h: float | None = None, q_id: str = "qid", p_id: str = "pid", axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """q_id, p_id, d2: the nearest point of every query, of equal distances the smallest id; one row for each row of ``queries``.
 
     Each round looks into the grid cells around a query; who finds a point nearer than the grid's width has the answer, the
-    others go on with a grid of twice the width. Rounds grow with the logarithm of the largest distance.
+    others go on with a grid of four times the width, until one that holds everything. The first width ``h`` comes from the number of points and their
+    extent, less where they are crowded. Rounds grow with the logarithm of the largest distance.
+
+    Queries with a null or NaN coordinate, and all queries if there is no point, have a null answer; points with such a coordinate are
+    ignored; of points of one place that of the smallest id counts; equal query ids are answered each by themselves.
     """
-    targets = points.select(p_id, *[F.col(a).alias(f"_{a}") for a in axes])
-    left, out = queries.select(q_id, *axes), None
-    if points.isEmpty():
-        return left.select(q_id, F.lit(None).cast("bigint").alias(p_id), F.lit(None).cast("double").alias("d2"))
-    while True:
-        bins = [f"_b{a}" for a in axes]
-        around = left
-        for a, b in zip(axes, bins, strict=True):
-            around = around.withColumn(b, F.explode(F.array(*[bin_of(F.col(a), h) + d for d in (-1, 0, 1)])))
-        binned = targets.select("*", *[bin_of(F.col(f"_{a}"), h).alias(b) for a, b in zip(axes, bins, strict=True)])
-        d2 = squared_distance([F.col(a) for a in axes], [F.col(f"_{a}") for a in axes])
-        best = around.join(binned, bins).groupBy(q_id).agg(F.min(F.struct(d2.alias("d2"), F.col(p_id))).alias("best"))
-        tried = written(left.join(best, q_id, "left"), "nearest")
-        done = F.col("best").isNotNull() & (F.col("best.d2") < h * h)
-        found = tried.where(done).select(q_id, F.col(f"best.{p_id}").alias(p_id), F.col("best.d2").alias("d2"))
-        out = found if out is None else out.unionByName(found)
-        left = tried.where(~done).select(q_id, *axes)
-        if left.isEmpty():
-            return out
-        h *= 2
+    spark, bins = queries.sparkSession, [f"_b{a}" for a in axes]
+    with scratch(spark, keep=1):
+        asked = written(queries.select(q_id, *axes).withColumn("_q", F.monotonically_increasing_id()), "queries")
+        targets = points.where(usable(axes)).groupBy(*[F.col(a).alias(f"_{a}") for a in axes]).agg(F.min(p_id).alias(p_id))
+        targets = written(targets, "targets")
+        named = [f"_{a}" for a in axes]
+        # the largest distance on an axis: from there on the bins around a query hold every point
+        far = extent(asked.where(usable(axes)).select(*axes).unionByName(targets.select(*[F.col(n).alias(a) for n, a in zip(named, axes, strict=True)])), axes)[1]
+        h, out = h or bin_width(targets, named), []
+        left = asked.where(usable(axes))
+        while not targets.isEmpty() and not left.isEmpty():
+            around = left
+            for a, b in zip(axes, bins, strict=True):
+                around = around.withColumn(b, F.explode(F.array(*[bin_of(F.col(a), h) + d for d in (-1, 0, 1)])))
+            binned = targets.select("*", *[bin_of(F.col(n), h).alias(b) for n, b in zip(named, bins, strict=True)])
+            d2 = squared_distance([F.col(a) for a in axes], [F.col(n) for n in named])
+            best = around.join(binned, bins).groupBy("_q").agg(F.min(F.struct(d2.alias("d2"), F.col(p_id))).alias("best"))
+            tried = written(left.join(best, "_q", "left"), "nearest")
+            done = F.lit(True) if h > far else F.coalesce(F.col("best.d2") < h * h, F.lit(False))
+            out.append(tried.where(done).select("_q", F.col(f"best.{p_id}").alias(p_id), F.col("best.d2").alias("d2")))
+            left = tried.where(~done).select(q_id, *axes, "_q")
+            h *= 4
+        if not out:
+            return written(asked.select(q_id, F.lit(None).cast(points.schema[p_id].dataType).alias(p_id), F.lit(None).cast("double").alias("d2")), "answers")
+        return written(asked.select("_q", q_id).join(reduce(DataFrame.unionByName, out), "_q", "left").select(q_id, p_id, "d2"), "answers")
 
 
 def nearest_vectors(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vector: str) -> DataFrame:
-    """The exact nearest vector for a stated set of queries against all rows, in one pass over ``points`` for each block of queries.
+    """The exact nearest other vector for a stated set of queries against all rows.
 
-    Both sides are vectors of many dimensions, where grids don't prune: queries meet every point by definition of the search.
-    The partial minimum stays on the side of the points, so one row per query and task is shuffled.
+    Both sides are vectors of many dimensions, where grids don't prune: queries meet every point by definition of the search. Queries
+    and points are dealt to blocks of some BLOCK rows each, so a task holds a block of queries and reads a block of points,
+    whatever their numbers. The partial minimum stays with the pair of blocks, so one row per query and block of points is shuffled.
+    Null vectors have no neighbour; queries without another vector are left out.
     """
-    a, b = F.col("_q"), F.col(vector)
-    d2 = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    pairs = points.select(p_id, vector).join(queries.select(F.col(q_id).alias("_id"), F.col(vector).alias("_q")), F.col(p_id) != F.col("_id"))
+    n_q, n_p = (max(1, math.ceil(df.count() / BLOCK)) for df in (queries, points))
+    own = queries.where(F.col(vector).isNotNull()).select(F.col(q_id).alias("_id"), F.col(vector).alias("_q"), F.pmod(F.xxhash64(q_id), F.lit(n_q)).alias("_bq"))
+    others = points.where(F.col(vector).isNotNull()).select(p_id, vector, F.pmod(F.xxhash64(p_id), F.lit(n_p)).alias("_bp"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    pairs = others.withColumn("_bq", every(n_q)).join(own.withColumn("_bp", every(n_p)), ["_bq", "_bp"]).where(F.col(p_id) != F.col("_id"))
+    d2 = F.aggregate(F.zip_with(F.col("_q"), F.col(vector), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     best = pairs.groupBy(F.col("_id").alias(q_id)).agg(F.min(F.struct(d2.alias("d2"), F.col(p_id))).alias("best"))
     return best.select(q_id, F.col(f"best.{p_id}").alias(p_id), F.col("best.d2").alias("d2"))
 
@@ -70,11 +118,19 @@ def in_box(point: Vec, low: Vec, high: Vec) -> Column:
     return out
 
 
-def range_join(points: DataFrame, boxes: DataFrame, h: float) -> DataFrame:
-    """box_id, pid of points (pid, x, y) in boxes (box_id, lx, ly, ux, uy): a box is replicated to the grid cells that it meets."""
+def range_join(points: DataFrame, boxes: DataFrame, h: float | None = None) -> DataFrame:
+    """box_id, pid of points (pid, x, y) in boxes (box_id, lx, ly, ux, uy): a box is replicated to the grid cells that it meets.
+
+    The cells are as wide as the mean side of the boxes, so a box meets some four, and points that it reads in vain are in proportion to those that it holds.
+    Points and boxes with a null or NaN are in none; empty boxes hold none.
+    """
+    sound = usable(["lx", "ly", "ux", "uy"]) & (F.col("lx") <= F.col("ux")) & (F.col("ly") <= F.col("uy"))
+    boxes = boxes.where(sound)
+    if h is None:
+        h = boxes.agg(F.avg(F.greatest(F.col("ux") - F.col("lx"), F.col("uy") - F.col("ly")))).first()[0] or 1.0
     span = lambda low, high: F.explode(F.sequence(bin_of(F.col(low), h), bin_of(F.col(high), h)))
     cells = boxes.withColumn("bx", span("lx", "ux")).withColumn("by", span("ly", "uy"))
-    binned = points.select("pid", "x", "y", bin_of(F.col("x"), h).alias("bx"), bin_of(F.col("y"), h).alias("by"))
+    binned = points.where(usable(["x", "y"])).select("pid", "x", "y", bin_of(F.col("x"), h).alias("bx"), bin_of(F.col("y"), h).alias("by"))
     hit = in_box([F.col("x"), F.col("y")], [F.col("lx"), F.col("ly")], [F.col("ux"), F.col("uy")])
     return binned.join(cells, ["bx", "by"]).where(hit).select("box_id", "pid")
 
@@ -110,22 +166,43 @@ def locate_interval(points: DataFrame, knots: list[float], x: str = "x") -> Data
 
 
 def project(points: DataFrame, mesh: Mesh, geometry: DataFrame | None = None) -> DataFrame:
-    """pid, cell_id, d2 and the nearest point of the mesh (px, ...), over all cells: the exact search of a few points.
+    """pid, cell_id, d2 and the nearest point of the mesh (px, ...), over all cells: exact.
 
-    Points meet all cells by definition; the minimum is taken before the shuffle.
+    The nearest vertex bounds the distance; only cells whose box is as near can be nearer. Grid cells are as wide as that distance (in powers of two, at least
+    the mean cell), so a point looks into three of them along each axis. Points with a null or NaN coordinate, and all points if the mesh has no cells, have
+    null answers; equal pids are answered each by themselves.
     """
-    axes = mesh.axes
-    cells = geometry if geometry is not None else mesh.geometry()
-    p = [F.col(f"_{a}") for a in axes]
-    named = points.select("pid", *[F.col(a).alias(f"_{a}") for a in axes])
-    on = mesh.simplex().nearest(p)
-    spot = F.struct(squared_distance(p, on).alias("d2"), "cell_id", *[c.alias(f"p{a}") for a, c in zip(axes, on, strict=True)])
-    best = cells.crossJoin(named).groupBy("pid").agg(F.min(spot).alias("best"))
-    return best.select("pid", "best.*")
-
-
-def project_near(points: DataFrame, mesh: Mesh, h: float) -> DataFrame:
-    """As ``project``, but only over the cells around the nearest node: equi-joins throughout."""
+    axes, spark = mesh.axes, points.sparkSession
+    low, high = mesh.simplex().bounding_box()
+    with scratch(spark, keep=1):
+        cells = (geometry if geometry is not None else mesh.geometry()).select("*", *[c.alias(f"_l{a}") for a, c in zip(axes, low, strict=True)], *[c.alias(f"_u{a}") for a, c in zip(axes, high, strict=True)])
+        cells = written(cells, "cells")
+        asked = written(points.select("pid", *[F.col(a).alias(f"_{a}") for a in axes]).withColumn("_q", F.monotonically_increasing_id()), "points")
+        corner = F.explode(F.array(*[F.struct(*[F.col(f"{a}{k}").alias(a) for a in axes]) for k in range(mesh.order + 1)]))
+        vertices = cells.select(corner.alias("c")).select("c.*").withColumn("pid", F.lit(0))
+        near = nearest(asked.select(F.col("_q").alias("qid"), *[F.col(f"_{a}").alias(a) for a in axes]), vertices, axes=tuple(axes)).select(F.col("qid").alias("_q"), F.sqrt("d2").alias("_r"))
+        width = cells.agg(F.avg(F.greatest(*[F.col(f"_u{a}") - F.col(f"_l{a}") for a in axes])) if len(axes) > 1 else F.avg(F.col(f"_u{axes[0]}") - F.col(f"_l{axes[0]}"))).first()[0] or 1.0
+        level = F.greatest(F.ceil(F.log2(F.greatest(F.col("_r"), F.lit(width)) / width)), F.lit(0)).cast("int")
+        around = written(asked.join(near, "_q").where("_r IS NOT NULL").withColumns({"_r": F.col("_r") * (1 + 1e-9), "_level": level}), "around")
+        levels = [r[0] for r in around.select("_level").distinct().collect()]  # powers of two between two lengths
+        bins, side = [f"_b{a}" for a in axes], lambda: F.lit(width) * F.pow(F.lit(2.0), F.col("_level"))
+        span = lambda a, b: F.explode(F.sequence(F.floor(a / side()).cast("bigint"), F.floor(b / side()).cast("bigint")))
+        # a mesh has few different levels, and a cell few grid cells on each
+        dealt = cells.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]))) if levels else cells.withColumn("_level", F.lit(0))
+        for a, b in zip(axes, bins, strict=True):
+            dealt = dealt.withColumn(b, span(F.col(f"_l{a}"), F.col(f"_u{a}")))
+            around = around.withColumn(b, span(F.col(f"_{a}") - F.col("_r"), F.col(f"_{a}") + F.col("_r")))
+        p = [F.col(f"_{a}") for a in axes]
+        gaps = [F.greatest(F.col(f"_l{a}") - F.col(f"_{a}"), F.col(f"_{a}") - F.col(f"_u{a}"), F.lit(0.0)) for a in axes]
+        close = reduce(lambda x, y: x + y, [g * g for g in gaps]) <= F.col("_r") * F.col("_r")
+        on = mesh.simplex().nearest(p)
+        spot = F.struct(squared_distance(p, on).alias("d2"), "cell_id", *[c.alias(f"p{a}") for a, c in zip(axes, on, strict=True)])
+        best = around.join(dealt, ["_level", *bins]).where(close).groupBy("_q").agg(F.min(spot).alias("best"))
+        return written(asked.select("_q", "pid").join(best, "_q", "left").select("pid", "best.*"), "projected")
+
+
+def project_near(points: DataFrame, mesh: Mesh, h: float | None = None) -> DataFrame:
+    """As ``project``, but only over the cells around the nearest node: equi-joins throughout. Points with a null or NaN coordinate are left out."""
     axes = mesh.axes
     near = nearest(points, mesh.nodes, h, "pid", "node_id", tuple(axes)).select("pid", "node_id")
     cells = near.join(mesh.node_patch(), "node_id").join(mesh.geometry(), "cell_id")

@@ -18,11 +18,15 @@ Coefficient = float | Sequence | Callable[..., Column | Sequence]
 
 @dataclass(frozen=True)
 class Term:
-    """kind: laplacian, diffusion, advection, reaction, bilaplacian or dt; parameter: a constant or a function of the coordinates."""
+    """kind: laplacian, diffusion, advection, reaction, bilaplacian or dt; parameter: a constant or a function of the coordinates.
+
+    symmetric: whether its form is; None where that isn't known, as of a diffusion whose matrix is a function.
+    """
 
     kind: str
     parameter: Coefficient | None = None
     factor: float = 1.0
+    symmetric: bool | None = True
 
 
 @dataclass(frozen=True)
@@ -45,7 +49,7 @@ class Operator:
 
     @property
     def is_symmetric(self) -> bool:
-        return all(t.kind != "advection" for t in self.terms)
+        return all(t.symmetric for t in self.terms)
 
     @property
     def is_parabolic(self) -> bool:
@@ -59,12 +63,16 @@ def laplacian() -> Operator:
     return Operator((Term("laplacian"),))
 
 
-def diffusion(k: Coefficient) -> Operator:
-    return Operator((Term("diffusion", k),))
+def diffusion(k: Coefficient, symmetric: bool | None = None) -> Operator:
+    """A matrix of numbers is compared with its transpose; of a function ``symmetric`` says that its values are."""
+    if symmetric is None and not callable(k):
+        numbers = all(isinstance(v, (int, float)) for r in k for v in r)
+        symmetric = numbers and all(k[i][j] == k[j][i] for i in range(len(k)) for j in range(i))
+    return Operator((Term("diffusion", k, symmetric=symmetric),))
 
 
 def advection(b: Coefficient) -> Operator:
-    return Operator((Term("advection", b),))
+    return Operator((Term("advection", b, symmetric=False),))
 
 
 def reaction(c: Coefficient) -> Operator:

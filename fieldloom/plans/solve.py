@@ -7,64 +7,119 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.coo import Coo
 from ..operators.mesh import Mesh
-from ..sources.shared import written
+from ..sources.shared import remove, scratch, written
 from .assembly import Operator, assemble, forcing, mass
 from .basis import Lagrange
 
-#: Systems of up to so many unknowns are solved at once on the driver: at most its square of numbers, 8 MB.
-SMALL = 1024
+#: Columns of a low-rank update; the inner system of that size is solved with numpy.
+MOST_COLUMNS = 1024
+
+
+class NotConverged(RuntimeError):
+    """An iteration ended before its residual was small enough."""
 
 
 def _filled(b: DataFrame, n: int) -> DataFrame:
     grid = b.sparkSession.range(n).withColumnRenamed("id", "idx")
-    return grid.join(b, "idx", "left").select("idx", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return grid.join(b.groupBy("idx").agg(F.sum("value").alias("value")), "idx", "left").select("idx", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+class _Vectors:
+    """Vectors of one length as columns of a table that every step of an iteration writes anew; sums come with the writing."""
+
+    def __init__(self, a: Coo, start: DataFrame, paths: list[str]):
+        self.spark, self.paths = start.sparkSession, paths
+        n = F.abs(F.when(F.col("row") == F.col("col"), F.col("value")).otherwise(0.0))
+        # rows without a diagonal entry are left as they are
+        scale = a.df.groupBy(F.col("row").alias("idx")).agg(F.sum(n).alias("d")).select("idx", F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(1.0).alias("m"))
+        self.a = Coo(written(a.df, "matrix"), a.n_rows, a.n_cols)
+        self.kept = 1
+        self.table = start.join(scale, "idx", "left").withColumn("m", F.coalesce("m", F.lit(1.0)))
+
+    def step(self, columns: dict[str, Column], sums: dict[str, Column], product: tuple[str, str] | None = None) -> dict[str, float]:
+        """Adds ``columns``, and after them with ``product`` (x, y) the column y = A x; gives ``sums`` over the new table."""
+        table = self.table.withColumns(columns)
+        if product:
+            x, y = product
+            table = table.drop(y).join(self.a.times_vector(table.select("idx", F.col(x).alias("value"))).withColumnRenamed("value", y), "idx", "left").withColumn(y, F.coalesce(y, F.lit(0.0)))
+        seen = Observation()
+        self.table = written(table.observe(seen, *[F.sum(c).alias(n) for n, c in sums.items()]), "vectors")
+        while len(self.paths) > self.kept + 2:
+            remove(self.spark, self.paths.pop(self.kept))
+        return {n: v or 0.0 for n, v in seen.get.items()}
 
 
-def solve(a: Coo, b: DataFrame, symmetric: bool = True, tolerance: float = 1e-12, most: int = 10_000, small: int = SMALL) -> DataFrame:
-    """(idx, value) with a x = b.
+def _dot(x: str, y: str) -> Column:
+    return F.col(x) * F.col(y)
 
-    Up to ``small`` unknowns directly; beyond by conjugate gradients (of the normal equations if ``a`` isn't symmetric and
-    positive): a product is one join and one sum, an iteration one written table and one row of sums.
+
+def solve(a: Coo, b: DataFrame, symmetric: bool = True, tolerance: float = 1e-11, most: int = 10_000) -> DataFrame:
+    """(idx, value) with a x = b: conjugate gradients, or where ``a`` isn't symmetric and positive, stabilised biconjugate gradients, scaled by the diagonal.
+
+    A product is one join and one sum; a step writes one table, and its sums reach the driver with the writing. The residual falls to
+    ``tolerance`` times that of zero; if it doesn't within ``most`` steps, ``NotConverged`` is raised. Entries of ``b`` of one index add up.
     """
     if a.n_rows != a.n_cols:
         raise ValueError("a square matrix is needed")
-    if a.n_rows <= small:
-        return _dense(a, b)
-    if not symmetric:
-        t = a.transpose()
-        a, b = t.times(a), t.times_vector(b)
-    a = Coo(written(a.df, "matrix"), a.n_rows, a.n_cols)
-    state = written(_filled(b, a.n_rows).select("idx", F.lit(0.0).alias("x"), F.col("value").alias("r"), F.col("value").alias("p")), "cg")
-    goal = None
-    for _ in range(most):
-        q = a.times_vector(state.select("idx", F.col("p").alias("value"))).withColumnRenamed("value", "q")
-        step = written(state.join(q, "idx", "left").select("idx", "x", "r", "p", F.coalesce("q", F.lit(0.0)).alias("q")), "cg")
-        rr, pq, rq, qq = step.agg(*[F.sum(F.col(u) * F.col(v)) for u, v in ("rr", "pq", "rq", "qq")]).first()
-        goal = rr * tolerance * tolerance if goal is None else goal
-        state = step.drop("q")
-        if rr <= goal or not pq:
+    with scratch(b.sparkSession, keep=1) as paths:
+        start = _filled(b, a.n_rows).select("idx", F.lit(0.0).alias("x"), F.col("value").alias("r"))
+        state = _Vectors(a, start, paths)
+        (_conjugate if symmetric else _stabilised)(state, tolerance, most)
+        return written(state.table.select("idx", F.col("x").alias("value")), "solution")
+
+
+def _conjugate(v: _Vectors, tolerance: float, most: int) -> None:
+    """One table for each step: the sums of a step give the next residual's, the true one follows with the next table."""
+    z, rr, goal = F.col("r") * F.col("m"), 0.0, None
+    sums = {"rr": _dot("r", "r"), "rz": F.col("r") * z, "pq": _dot("p", "q"), "zq": z * F.col("q"), "qq": F.col("q") * F.col("q") * F.col("m")}
+    columns = {"p": z}
+    for _ in range(most + 1):
+        s = v.step(columns, sums, ("p", "q"))
+        rr, goal = s["rr"], s["rr"] * tolerance**2 if goal is None else goal
+        if rr <= goal:
+            return
+        if not s["pq"]:
             break
-        alpha = rr / pq
-        # the next squared residual, from the sums of this pass; the true one follows with the next
-        beta = max(rr - 2 * alpha * rq + alpha * alpha * qq, 0.0) / rr
+        alpha = s["rz"] / s["pq"]
+        beta = max(s["rz"] - 2 * alpha * s["zq"] + alpha * alpha * s["qq"], 0.0) / s["rz"]
         r = F.col("r") - alpha * F.col("q")
-        state = step.select("idx", (F.col("x") + alpha * F.col("p")).alias("x"), r.alias("r"), (r + beta * F.col("p")).alias("p"))
-    return state.select("idx", F.col("x").alias("value"))
+        columns = {"x": F.col("x") + alpha * F.col("p"), "r": r, "p": r * F.col("m") + beta * F.col("p")}
+    raise NotConverged(f"residual {rr ** 0.5:g} after {most} steps")
 
 
-def _dense(a: Coo, b: DataFrame) -> DataFrame:
-    m, v = np.zeros((a.n_rows, a.n_rows)), np.zeros(a.n_rows)
-    for r in a.df.collect():
-        m[r.row, r.col] += r.value
-    for r in b.collect():
-        v[r.idx] += r.value
-    x = np.linalg.solve(m, v)
-    return b.sparkSession.createDataFrame(pd.DataFrame({"idx": np.arange(len(x)), "value": x}), "idx bigint, value double")
+def _stabilised(v: _Vectors, tolerance: float, most: int) -> None:
+    """Two tables for each step, one for each product."""
+    rr = rho = v.step({"s0": F.col("r"), "p": F.col("r")}, {"rr": _dot("r", "r")})["rr"]
+    goal, columns = rr * tolerance**2, {"y": F.col("p") * F.col("m")}
+    for _ in range(most):
+        if rr <= goal:
+            return
+        sq = v.step(columns, {"sq": _dot("s0", "q")}, ("y", "q"))["sq"]
+        if not sq or not rho:
+            break
+        alpha = rho / sq
+        half = F.col("r") - alpha * F.col("q")
+        s = v.step({"h": half, "w": half * F.col("m")}, {n: _dot(*n) for n in ("tt", "th", "hh")} | {"sh": _dot("s0", "h"), "st": _dot("s0", "t")}, ("w", "t"))
+        omega = s["th"] / s["tt"] if s["tt"] else 0.0
+        rr = max(s["hh"] - 2 * omega * s["th"] + omega * omega * s["tt"], 0.0)
+        r, x = F.col("h") - omega * F.col("t"), F.col("x") + alpha * F.col("y") + omega * F.col("w")
+        if rr <= goal:
+            # the sums foretell the residual; the table says whether it's true
+            rr = v.step({"x": x, "r": r}, {"rr": _dot("r", "r")})["rr"]
+            if rr <= 4 * goal:
+                return
+            x, r = F.col("x"), F.col("r")
+        if not omega:
+            break
+        beta, rho = (s["sh"] - omega * s["st"]) / rho * alpha / omega, s["sh"] - omega * s["st"]
+        p = r + beta * (F.col("p") - omega * F.col("q"))
+        columns = {"x": x, "r": r, "p": p, "y": p * F.col("m")}
+    raise NotConverged(f"residual {rr ** 0.5:g} after {most} steps")
 
 
 def dirichlet(a: Coo, b: DataFrame, fixed: DataFrame) -> tuple[Coo, DataFrame]:
@@ -83,8 +138,8 @@ def dirichlet(a: Coo, b: DataFrame, fixed: DataFrame) -> tuple[Coo, DataFrame]:
 def woodbury(solve_a: Callable[[DataFrame], DataFrame], u: Coo, inverse_c: np.ndarray, v: Coo, b: DataFrame) -> DataFrame:
     """(idx, value) of (A + U C V) x = b, by solutions with A; U has few columns, so the inner system is of their number."""
     q = u.n_cols
-    if q > SMALL:
-        raise ValueError(f"at most {SMALL} columns")
+    if q > MOST_COLUMNS:
+        raise ValueError(f"at most {MOST_COLUMNS} columns")
     y = solve_a(b)
     column = lambda j: u.df.where(F.col("col") == j).select(F.col("row").alias("idx"), "value")
     ys = [solve_a(column(j)) for j in range(q)]

@@ -188,7 +188,7 @@ def test_conjugate_gradients_against_dense(spark):
     b = rng.normal(size=12)
     right = spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "idx long, value double")
     for m, symmetric in ((a @ a.T + 12 * np.eye(12), True), (a + 12 * np.eye(12), False)):
-        x = {r.idx: r.value for r in so.solve(matrix(spark, m), right, symmetric, small=0).collect()}
+        x = {r.idx: r.value for r in so.solve(matrix(spark, m), right, symmetric).collect()}
         assert np.allclose([x[i] for i in range(12)], np.linalg.solve(m, b), atol=1e-8)
 
 
