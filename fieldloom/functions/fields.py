@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,23 @@ from .vectors import TOLERANCE, Vec, col, total
 Function = Callable[..., Column]
 
 
+def opaque(f: Callable[..., object]) -> Function:
+    """A Python function of arrays that can't be an expression, as one of columns: batches go to it through Arrow.
+
+    ``f`` takes a numpy array for each coordinate and returns as many numbers; nulls come as NaN, and NaN is NaN.
+    """
+
+    def of(*x: Column) -> Column:
+        def evaluate(*parts: pd.Series) -> pd.Series:
+            values = f(*[p.to_numpy("float64") for p in parts])
+            return pd.Series(np.broadcast_to(np.asarray(values, np.float64), len(parts[0])))
+
+        evaluate.__annotations__ = {"parts": pd.Series, "return": pd.Series}
+        return F.pandas_udf(evaluate, "double")(*x)
+
+    return of
+
+
 class ScalarField:
     """A function of n columns. Derivatives are central differences with step h, unless given."""
 

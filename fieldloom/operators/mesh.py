@@ -33,6 +33,24 @@ class Mesh:
     def is_manifold(self) -> bool:
         return self.order < len(self.axes)
 
+    def is_network(self) -> bool:
+        return (self.order, len(self.axes)) == (1, 2)
+
+    def is_2d(self) -> bool:
+        return (self.order, len(self.axes)) == (2, 2)
+
+    def is_surface(self) -> bool:
+        return (self.order, len(self.axes)) == (2, 3)
+
+    def is_3d(self) -> bool:
+        return (self.order, len(self.axes)) == (3, 3)
+
+    def per_cell(self) -> dict[str, int]:
+        """Vertices, edges, facets and (but for networks, where they vary) neighbours of a cell."""
+        d = self.order
+        counts = {"vertices": d + 1, "edges": (d + 1) * d // 2, "facets": d + 1}
+        return counts if self.is_network() else counts | {"neighbors": d + 1}
+
     def range(self) -> DataFrame:
         """Counts and the bounding box of the nodes."""
         box = [f(a).alias(f"{n}_{a}") for a in self.axes for n, f in (("min", F.min), ("max", F.max))]
@@ -82,6 +100,26 @@ class Mesh:
         edges = self.edges().select("edge_id", F.col("n0").alias("s0"), F.col("n1").alias("s1"))
         return self.sides(2).join(edges, ["s0", "s1"]).select("cell_id", "side", "edge_id")
 
+    def cell_facets(self) -> DataFrame:
+        """cell_id, side, facet_id: of solids the faces of each cell."""
+        keys = [f"s{i}" for i in range(self.order)]
+        return self.sides(self.order).join(self.facets().select("facet_id", *keys), keys).select("cell_id", "side", "facet_id")
+
+    def facet_cells(self) -> DataFrame:
+        """facet_id, cell_id: the one or two cells of each facet."""
+        ends = F.filter(F.array("cell_a", "cell_b"), lambda c: c >= 0)
+        return self.facets().select("facet_id", F.explode(F.array_distinct(ends)).alias("cell_id"))
+
+    def facet_edges(self) -> DataFrame:
+        """facet_id, side, edge_id: of solids the three edges of each face."""
+        pairs = [F.array(f"s{i}", f"s{j}") for i, j in combinations(range(self.order), 2)]
+        rows = self.facets().select("facet_id", F.posexplode(F.array(*pairs)).alias("side", "s")).select("facet_id", "side", F.get("s", F.lit(0)).alias("n0"), F.get("s", F.lit(1)).alias("n1"))
+        return rows.join(self.edges().select("edge_id", "n0", "n1"), ["n0", "n1"]).select("facet_id", "side", "edge_id")
+
+    def edge_cells(self) -> DataFrame:
+        """edge_id, cell_id: all cells around each edge."""
+        return self.cell_edges().select("edge_id", "cell_id")
+
     def neighbors(self) -> DataFrame:
         """cell_id, opposite (the vertex that the shared facet leaves out), neighbor_id (-1: none)."""
         keys = [f"s{i}" for i in range(self.order)]

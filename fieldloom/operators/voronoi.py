@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Simplex
 from .frame import ROW, number_rows
-from .mesh import Mesh
-from .spatial import locate_all, squared_distance
+from .mesh import Mesh, clockwise
+from .spatial import locate_all, nearest, squared_distance
 
 
 def vertices(mesh: Mesh) -> DataFrame:
@@ -33,7 +33,7 @@ def cells(mesh: Mesh) -> DataFrame:
     """site, ring: the vertices (x, y) of each site's cell in clockwise order, equal ones once, around their mean."""
     long = vertices(mesh).select(F.explode("sites").alias("site"), "x", "y")
     middle = long.groupBy("site").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.collect_set(F.struct(F.round("x", 12).alias("x"), F.round("y", 12).alias("y"))).alias("points"))
-    keyed = F.transform("points", lambda p: F.struct((-F.atan2(p["y"] - F.col("cy"), p["x"] - F.col("cx"))).alias("k"), p["x"].alias("x"), p["y"].alias("y")))
+    keyed = F.transform("points", lambda p: F.struct(clockwise(p["x"], p["y"], F.col("cx"), F.col("cy")).alias("k"), p["x"].alias("x"), p["y"].alias("y")))
     return middle.select("site", F.transform(F.array_sort(keyed), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))
 
 
@@ -52,6 +52,33 @@ def edges(rings: DataFrame) -> DataFrame:
     return rings.select(F.explode(pair).alias("e")).distinct().select(F.get("e", F.lit(0)).alias("a"), F.get("e", F.lit(1)).alias("b"))
 
 
+def cell_edges(rings: DataFrame) -> DataFrame:
+    """site, i, a, b: the i-th edge of each cell, from a vertex to the next one of its ring."""
+    r, n = F.col("ring"), F.size("ring")
+    pair = F.transform(r, lambda p, i: F.struct(p.alias("a"), F.get(r, (i + 1) % n).alias("b")))
+    return rings.select("site", F.posexplode(pair).alias("i", "e")).select("site", "i", "e.a", "e.b")
+
+
+def contains(rings: DataFrame, x: Column, y: Column, slack: float = 1e-9) -> DataFrame:
+    """``rings`` with inside: whether each cell, its edges among it, holds the point (x, y): it is on the right of all edges, as rings run clockwise."""
+    r, n = F.col("ring"), F.size("ring")
+    after = lambda i: F.get(r, (i + 1) % n)
+    turn = F.transform(r, lambda p, i: (after(i)["x"] - p["x"]) * (y - p["y"]) - (after(i)["y"] - p["y"]) * (x - p["x"]))
+    return rings.withColumn("inside", F.coalesce(F.forall(turn, lambda t: t <= slack) & (n > 2), F.lit(False)))
+
+
+def sites(mesh: Mesh) -> DataFrame:
+    """site, x, y, on_boundary: the nodes, and whether their cells reach the border of the mesh."""
+    flags = mesh.boundary_nodes().withColumn("hit", F.lit(True))
+    return mesh.nodes.join(flags, "node_id", "left").select(F.col("node_id").alias("site"), "x", "y", F.coalesce("hit", F.lit(False)).alias("on_boundary"))
+
+
+def dual(mesh: Mesh) -> DataFrame:
+    """site, neighbor: pairs of sites whose cells share an edge, both ways; these are the edges of the triangulation."""
+    ends = mesh.edges().select("n0", "n1")
+    return ends.select(F.col("n0").alias("site"), F.col("n1").alias("neighbor")).unionByName(ends.select(F.col("n1").alias("site"), F.col("n0").alias("neighbor")))
+
+
 def locate(points: DataFrame, mesh: Mesh, h: float) -> DataFrame:
     """pid, node_id: the nearest vertex of the Delaunay cell that contains a point; of equal distances the first in the cell."""
     geometry = mesh.geometry()
@@ -72,3 +99,8 @@ def intervals(sites: DataFrame, low: float, high: float) -> DataFrame:
     rows = line.join(shifted(1, "before"), ROW, "left").join(shifted(-1, "after"), ROW, "left")
     mid = lambda other: (F.col("x") + F.col(other)) / 2
     return rows.select("site_id", "x", F.coalesce(mid("before"), F.lit(float(low))).alias("a"), F.coalesce(mid("after"), F.lit(float(high))).alias("b")).withColumn("measure", F.col("b") - F.col("a"))
+
+
+def locate_interval(points: DataFrame, sites: DataFrame) -> DataFrame:
+    """pid, site_id, x: the site (site_id, x) of an interval whose cell holds each point (pid, x); on a midpoint that of the smaller id."""
+    return nearest(points, sites, q_id="pid", p_id="site_id", axes=("x",)).select("pid", "site_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,10 +131,49 @@ class Splines:
             parts.append((-r * b) * right if k else (b * (u[i + r + 1] - x)) * right)
         return parts[0] + parts[1] if len(parts) > 1 else parts[0] if parts else F.lit(0.0)
 
+    def dofs_coords(self) -> list[float]:
+        """A place for each spline: the mean of its inner knots, so that these as coefficients give the identity."""
+        r = self.order
+        return [sum(self.knots[i + 1 : i + r + 1]) / r if r else self.knots[i] for i in range(self.n)]
+
+    def pieces(self, derivative: int = 0) -> dict[int, list[list[float]]]:
+        """For the knot k of each span that isn't empty, the ``order`` + 1 splines from k - order on as polynomials in x - knots[k], lowest power first."""
+        u, r, out = self.knots, self.order, {}
+        for k in range(r, len(u) - r - 1):
+            if u[k + 1] <= u[k]:
+                continue
+            level = {k: np.array([1.0])}
+            for d in range(1, r + 1):
+                new = {}
+                for i in range(k - d, k + 1):
+                    total = np.zeros(d + 1)
+                    for side, a, b in ((i, u[i], u[i + d]), (i + 1, u[i + d + 1], u[i + 1])):
+                        if side in level and b != a:
+                            # (x - a) / (b - a), or (a - x) / (a - b), with x counted from u[k]
+                            total += np.convolve(level[side], np.array([u[k] - a, 1.0]) / (b - a))
+                    new[i] = total
+                level = new
+            polynomials = [level[i] for i in range(k - r, k + 1)]
+            for _ in range(derivative):
+                polynomials = [c[1:] * np.arange(1, len(c)) if len(c) > 1 else np.zeros(1) for c in polynomials]
+            out[k] = [c.tolist() for c in polynomials]
+        return out
+
     def evaluate(self, points: DataFrame, derivative: int = 0, x: str = "x") -> DataFrame:
-        """``points`` with dof_id, value, for the splines that aren't zero there."""
-        values = F.array(*[self.value(i, F.col(x), derivative) for i in range(self.n)])
-        return points.select("*", F.posexplode(values).alias("dof_id", "value")).where("value <> 0")
+        """``points`` with dof_id, value, for the splines that aren't zero there.
+
+        The knot span of a point comes first; then only its order + 1 polynomials are evaluated. Outside the knots, and for nulls and NaN, there are none.
+        """
+        spans = self.pieces(derivative)
+        lasts, at = sorted(spans), F.col(x)
+        knots = F.array(*[F.lit(self.knots[k]) for k in lasts])
+        inside = (at >= self.knots[0]) & (at <= self.knots[-1])
+        place = F.greatest(F.size(F.filter(knots, lambda k: k <= at)) - 1, F.lit(0))
+        table = F.array(*[F.array(*[F.array(*[F.lit(c) for c in p]) for p in spans[k]]) for k in lasts])
+        rows = points.where(inside).select("*", place.alias("_span")).select("*", (at - F.get(knots, F.col("_span"))).alias("_t"), F.get(table, F.col("_span")).alias("_p"), F.get(F.array(*[F.lit(k - self.order) for k in lasts]), F.col("_span")).alias("_first"))
+        value = lambda p: F.aggregate(F.reverse(p), F.lit(0.0), lambda a, c: a * F.col("_t") + c)
+        rows = rows.select(*points.columns, "_first", F.posexplode(F.transform("_p", value)).alias("_i", "value"))
+        return rows.select(*points.columns, (F.col("_first") + F.col("_i")).cast("int").alias("dof_id"), "value").where("value <> 0")
 
     def expand(self, coefficients: DataFrame, points: DataFrame, key: str = "pid", x: str = "x") -> DataFrame:
         """key, value of the expansion with coefficients (dof_id, c)."""

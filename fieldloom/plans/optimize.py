@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Objective:
-    """The sum over the rows of ``df`` of ``loss(*parameters)``, an expression over its columns. Derivatives are differences."""
+    """The sum over the rows of ``df`` of ``loss(*parameters)``, an expression over its columns. Derivatives are differences.
+
+    ``stop`` (parameters, gradient) is a stopping criterion of the objective's own, asked after each step.
+    """
 
     df: DataFrame
     loss: Callable[..., Column]
     h: float = 1e-4
     passes: int = 0
+    stop: Callable[[np.ndarray, np.ndarray], bool] | None = None
 
     def values(self, points: Sequence[Sequence[float]]) -> np.ndarray:
         """At all of ``points``, in one job."""
@@ -54,9 +58,23 @@ class Objective:
         return out
 
 
-def grid_search(grid: DataFrame, f: Column, row: str = "row_id") -> DataFrame:
-    """The row of least ``f`` (column ``f``); of equal ones the first."""
-    return grid.withColumn("f", f).agg(F.min_by(F.struct(*grid.columns, "f"), F.struct("f", row)).alias("best")).select("best.*")
+def grid_search(grid: DataFrame, f: Column, row: str = "row_id", callbacks: Sequence[object] = (), batch: int = 100_000) -> DataFrame:
+    """The row of least ``f`` (column ``f``); of equal ones the first.
+
+    With callbacks, rows are taken in batches by their dense ids; a ``post_update`` (best row so far, its ``f``) that returns True ends the search.
+    """
+    best_of = lambda df: df.withColumn("f", f).agg(F.min_by(F.struct(*grid.columns, "f"), F.struct("f", row)).alias("best")).select("best.*")
+    if not callbacks:
+        return best_of(grid)
+    best, last = None, grid.agg(F.max(row)).first()[0]
+    for first in range(0, (-1 if last is None else last) + 1, batch):
+        found = best_of(grid.where(F.col(row).between(first, first + batch - 1))).first()
+        if found is not None and found["f"] is not None and (best is None or found["f"] < best["f"]):
+            best = found
+        if best is not None and any(c.post_update(best, best["f"]) for c in callbacks):
+            break
+    schema = best_of(grid.limit(0)).schema
+    return grid.sparkSession.createDataFrame([best] if best is not None else [], schema)
 
 
 @dataclass
@@ -131,7 +149,7 @@ class Descent:
             after = f.gradient(new)
             self.updated(new - x, after - g)
             x, g, k = new, after, k + 1
-            if asked("post_update"):
+            if asked("post_update") or (f.stop and f.stop(x, g)):
                 break
         return Result(x, f(x), k)
 

@@ -23,6 +23,7 @@ from .plans import optimize as op
 from .plans import quadrature as qu
 from .plans import solve as so
 from .sources import files
+from .sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,12 +207,35 @@ def csv_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cm.Coo(t, 50, 10).summed().df.select("row", "col", r6("value").alias("value"))
 
 
+def csv_file(df: DataFrame, name: str) -> str:
+    """``df`` in one CSV file of the shared folder, with a header and quoted tokens."""
+    path = new_path(df.sparkSession, name)
+    df.coalesce(1).write.option("header", True).option("quoteAll", True).csv(path)
+    return path
+
+
+@register("SELECT n_nationkey AS row_id, CASE WHEN n_nationkey % 7 = 3 THEN CAST('NaN' AS DOUBLE) ELSE n_regionkey / 4e0 END AS share, CAST(n_nationkey * n_nationkey AS DOUBLE) AS square FROM nation")
+def csv_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with labels that are text, columns by its header, and a mark of missing values."""
+    n = table(spark, sf_dir, "nation").orderBy("n_nationkey")
+    share = F.when(F.col("n_nationkey") % 7 == 3, "NA").otherwise(F.concat(F.lit(" "), (F.col("n_regionkey") / 4).cast("string")))
+    return files.read_dense(spark, csv_file(n.select("n_name", share.alias("share"), (F.col("n_nationkey") * F.col("n_nationkey")).alias("square")), "dense"))
+
+
+@register('SELECT n_nationkey % 4 AS "row", CAST(n_regionkey AS BIGINT) AS col, CAST(sum(n_nationkey) AS DOUBLE) AS value, CAST(4 AS BIGINT) AS n_rows, CAST(5 AS BIGINT) AS n_cols FROM nation GROUP BY 1, 2'.replace("n_nationkey % 4", "CAST(n_nationkey % 4 AS BIGINT)"))
+def csv_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of triplets with ids from 1; those of one place add up."""
+    n = table(spark, sf_dir, "nation")
+    m = files.read_triplets(spark, csv_file(n.select("n_nationkey", (F.col("n_nationkey") % 4 + 1).alias("row"), (F.col("n_regionkey") + 1).alias("col"), F.col("n_nationkey").alias("value")), "sparse"))
+    return m.df.select("row", "col", "value", F.lit(m.n_rows).cast("bigint").alias("n_rows"), F.lit(m.n_cols).cast("bigint").alias("n_cols"))
+
+
 # ---------------------------------------------------------------- search
 
 
 @register(f"WITH {C_SQL}, {P_SQL}, d AS (SELECT pts.pid AS qid, pp.pid, (pts.x - pp.x) * (pts.x - pp.x) + (pts.y - pp.y) * (pts.y - pp.y) AS d2 FROM pts, pp), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, pid) AS n FROM d) SELECT qid, pid, round(d2, 12) AS d2 FROM k WHERE n = 1")
 def knn_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sp.nearest(customers(spark, sf_dir).withColumnRenamed("pid", "qid"), parts(spark, sf_dir), 1 / 64)
+    found = sp.nearest(customers(spark, sf_dir).withColumnRenamed("pid", "qid"), parts(spark, sf_dir))
     return found.select("qid", "pid", F.round("d2", 12).alias("d2"))
 
 
@@ -230,7 +254,7 @@ def range_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {C_SQL}, b AS (SELECT s_suppkey AS box_id, (s_acctbal + 1000e0) / 11000e0 AS lx, (s_suppkey % 97) / 97e0 AS ly FROM supplier) SELECT box_id, pid FROM pts JOIN b ON x BETWEEN lx AND lx + 0.05e0 AND y BETWEEN ly AND ly + 0.05e0")
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("box_id"), ((F.col("s_acctbal") + 1000.0) / 11000.0).alias("lx"), ((F.col("s_suppkey") % 97) / 97.0).alias("ly"))
-    return sp.range_join(customers(spark, sf_dir), s.withColumns({"ux": F.col("lx") + 0.05, "uy": F.col("ly") + 0.05}), 0.05)
+    return sp.range_join(customers(spark, sf_dir), s.withColumns({"ux": F.col("lx") + 0.05, "uy": F.col("ly") + 0.05}))
 
 
 @register(f"WITH {C_SQL} SELECT pid, CAST({CELL_SQL} AS BIGINT) AS cell_id FROM pts")
@@ -238,12 +262,12 @@ def locate_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.locate(customers(spark, sf_dir), ms.square(spark, 16), 1 / 16)
 
 
-LATTICE_SQL = "pts AS (SELECT p_partkey AS pid, p_size / 16e0 AS x, (p_partkey % 17) / 16e0 AS y FROM part WHERE p_size <= 16)"
+LATTICE_SQL = "pts AS (SELECT p_partkey AS pid, p_size / 16e0 AS x, (p_partkey % 17) / 16e0 AS y FROM part)"
 
 
 @register(f"WITH {LATTICE_SQL}, {mesh_sql(8)}, {G_SQL} SELECT pid, cell_id FROM pts JOIN g ON x >= least(x0, x1, x2) AND x <= greatest(x0, x1, x2) AND y >= least(y0, y1, y2) AND y <= greatest(y0, y1, y2) WHERE ((x1 - x) * (y2 - y) - (x2 - x) * (y1 - y)) >= 0 AND ((x2 - x) * (y0 - y) - (x0 - x) * (y2 - y)) >= 0 AND ((x0 - x) * (y1 - y) - (x1 - x) * (y0 - y)) >= 0")
 def locate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_size <= 16").select(F.col("p_partkey").alias("pid"), (F.col("p_size") / 16.0).alias("x"), ((F.col("p_partkey") % 17) / 16.0).alias("y"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), (F.col("p_size") / 16.0).alias("x"), ((F.col("p_partkey") % 17) / 16.0).alias("y"))
     return sp.locate_all(p, ms.square(spark, 8), 1 / 8).select("pid", "cell_id")
 
 
@@ -257,16 +281,16 @@ def locate_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.locate_interval(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), [5, 10, 25, 45], "l_quantity").drop("l_quantity")
 
 
-@register(f"WITH {C_SQL}, q AS (SELECT pid, x * 2 - 0.5e0 AS x, y * 2 - 0.5e0 AS y FROM pts WHERE pid % 20 = 0) SELECT pid, round((greatest(0e0, -x, x - 1) * greatest(0e0, -x, x - 1)) + (greatest(0e0, -y, y - 1) * greatest(0e0, -y, y - 1)), 6) + 0e0 AS d2, round(greatest(0e0, least(1e0, x)), 6) + 0e0 AS px, round(greatest(0e0, least(1e0, y)), 6) + 0e0 AS py FROM q")
+@register(f"WITH {C_SQL}, q AS (SELECT pid, x * 2 - 0.5e0 AS x, y * 2 - 0.5e0 AS y FROM pts) SELECT pid, round((greatest(0e0, -x, x - 1) * greatest(0e0, -x, x - 1)) + (greatest(0e0, -y, y - 1) * greatest(0e0, -y, y - 1)), 6) + 0e0 AS d2, round(greatest(0e0, least(1e0, x)), 6) + 0e0 AS px, round(greatest(0e0, least(1e0, y)), 6) + 0e0 AS py FROM q")
 def project_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = customers(spark, sf_dir).where("pid % 20 = 0").select("pid", (F.col("x") * 2 - 0.5).alias("x"), (F.col("y") * 2 - 0.5).alias("y"))
+    q = customers(spark, sf_dir).select("pid", (F.col("x") * 2 - 0.5).alias("x"), (F.col("y") * 2 - 0.5).alias("y"))
     return sp.project(q, ms.square(spark, 4)).select("pid", *[r6(c).alias(c) for c in ("d2", "px", "py")])
 
 
 @register(SQL["project_exact"])
 def project_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = customers(spark, sf_dir).where("pid % 20 = 0").select("pid", (F.col("x") * 2 - 0.5).alias("x"), (F.col("y") * 2 - 0.5).alias("y"))
-    return sp.project_near(q, ms.square(spark, 4), 0.25).select("pid", *[r6(c).alias(c) for c in ("d2", "px", "py")])
+    q = customers(spark, sf_dir).select("pid", (F.col("x") * 2 - 0.5).alias("x"), (F.col("y") * 2 - 0.5).alias("y"))
+    return sp.project_near(q, ms.square(spark, 4)).select("pid", *[r6(c).alias(c) for c in ("d2", "px", "py")])
 
 
 # ---------------------------------------------------------------- simplices and planes
@@ -294,20 +318,28 @@ def simplex_barycenter(spark: SparkSession, sf_dir: str) -> DataFrame:
 Z1, Z2 = f"(((0.5e0 - x0) * (y2 - y0) - (x2 - x0) * (0.5e0 - y0)) / {DET})", f"(((x1 - x0) * (0.5e0 - y0) - (0.5e0 - x0) * (y1 - y0)) / {DET})"
 
 
-@register(f"WITH {T_SQL} SELECT pid, round(1 - {Z1} - {Z2}, 4) + 0e0 AS z0, round({Z1}, 4) + 0e0 AS z1, round({Z2}, 4) + 0e0 AS z2 FROM t WHERE abs({DET}) > 1e-2")
+FLAT = 1e-12  # twice the area, up to which a triangle is degenerate
+
+
+@register(f"WITH {T_SQL}, z AS (SELECT pid, {DET} AS det, 1 - {Z1} - {Z2} AS z0, {Z1} AS z1, {Z2} AS z2 FROM t), w AS (SELECT *, 1 + abs(z0) + abs(z1) + abs(z2) AS s FROM z) SELECT pid, " + ", ".join(f"CASE WHEN abs(det) > 1e-12 THEN round(z{i} / s, 5) + 0e0 END AS z{i}" for i in range(3)) + " FROM w")
 def simplex_barycentric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = triangle().barycentric(ve.vec(0.5, 0.5))
-    return triangles(spark, sf_dir).where(triangle().measure() > 5e-3).select("pid", *[(F.round(c, 4) + 0.0).alias(f"z{i}") for i, c in enumerate(z)])
+    """Of all triangles, in proportion to their size, since those of thin ones are large; degenerate ones have none."""
+    rows = triangles(spark, sf_dir).select("pid", (triangle().measure() * 2 > FLAT).alias("sound"), *[c.alias(f"z{i}") for i, c in enumerate(triangle().barycentric(ve.vec(0.5, 0.5)))])
+    scale = 1 + F.abs("z0") + F.abs("z1") + F.abs("z2")
+    return rows.select("pid", *[F.when(F.col("sound"), F.round(F.col(f"z{i}") / scale, 5) + 0.0).alias(f"z{i}") for i in range(3)])
 
 
 B1, B2 = "((x1 * x1 + y1 * y1 - x0 * x0 - y0 * y0) / 2)", "((x2 * x2 + y2 * y2 - x0 * x0 - y0 * y0) / 2)"
 CX, CY = f"(({B1} * (y2 - y0) - {B2} * (y1 - y0)) / {DET})", f"((({B2}) * (x1 - x0) - {B1} * (x2 - x0)) / {DET})"
 
 
-@register(f"WITH {T_SQL} SELECT pid, round({CX}, 4) + 0e0 AS cx, round({CY}, 4) + 0e0 AS cy, round(sqrt(({CX} - x0) * ({CX} - x0) + ({CY} - y0) * ({CY} - y0)), 4) + 0e0 AS radius FROM t WHERE abs({DET}) > 1e-1")
+@register(f"WITH {T_SQL}, c AS (SELECT pid, {DET} AS det, {CX} AS cx, {CY} AS cy, sqrt(({CX} - x0) * ({CX} - x0) + ({CY} - y0) * ({CY} - y0)) AS radius FROM t), w AS (SELECT *, 1 + abs(cx) + abs(cy) AS s FROM c) SELECT pid, " + ", ".join(f"CASE WHEN abs(det) > 1e-12 THEN round({n} / s, 5) + 0e0 END AS {n}" for n in ("cx", "cy", "radius")) + " FROM w")
 def simplex_circumcenter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all triangles, in proportion to their distance; degenerate ones have none."""
     c = triangle().circumcenter()
-    return triangles(spark, sf_dir).where(triangle().measure() > 5e-2).select("pid", *[(F.round(v, 4) + 0.0).alias(n) for n, v in (("cx", c[0]), ("cy", c[1]), ("radius", triangle().circumradius()))])
+    rows = triangles(spark, sf_dir).select("pid", (triangle().measure() * 2 > FLAT).alias("sound"), c[0].alias("cx"), c[1].alias("cy"), triangle().circumradius().alias("radius"))
+    scale = 1 + F.abs("cx") + F.abs("cy")
+    return rows.select("pid", *[F.when(F.col("sound"), F.round(F.col(n) / scale, 5) + 0.0).alias(n) for n in ("cx", "cy", "radius")])
 
 
 CODE_PTS = "pts AS (SELECT p_partkey AS pid, (p_size % 9 - 2) / 4e0 AS x, (p_partkey % 9 - 2) / 4e0 AS y FROM part)"
@@ -387,6 +419,36 @@ def solid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+CUBE_SQL = (
+    "t AS (SELECT unnest(range(6)) AS t, unnest([[0,1,3,7],[0,1,5,7],[0,2,3,7],[0,2,6,7],[0,4,5,7],[0,4,6,7]]) AS c),"
+    " cells AS (SELECT id * 6 + t AS cell_id, list_transform(c, lambda k: (id % 3) + (id // 3 % 3) * 4 + (id // 9) * 16 + (k & 1) + ((k >> 1) & 1) * 4 + (k >> 2) * 16) AS v FROM range(27) r(id), t),"
+    " f AS (SELECT cell_id, side, list_sort([v[a], v[b], v[c]]) AS s FROM cells, (SELECT unnest([0,1,2,3]) AS side, unnest([1,1,1,2]) AS a, unnest([2,2,3,3]) AS b, unnest([3,4,4,4]) AS c)),"
+    " e AS (SELECT cell_id, side, list_sort([v[a], v[b]]) AS s FROM cells, (SELECT unnest([0,1,2,3,4,5]) AS side, unnest([1,1,1,2,2,3]) AS a, unnest([2,3,4,3,4,4]) AS b)),"
+    " fid AS (SELECT s, row_number() OVER (ORDER BY min(cell_id * 4 + side)) - 1 AS facet_id FROM f GROUP BY s),"
+    " eid AS (SELECT s, row_number() OVER (ORDER BY min(cell_id * 6 + side)) - 1 AS edge_id FROM e GROUP BY s)"
+)
+
+
+@register(f"WITH {CUBE_SQL} SELECT cell_id, CAST(side AS INTEGER) AS side, facet_id FROM f JOIN fid USING (s)")
+def solid_cell_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.cube(spark, 3).cell_facets()
+
+
+@register(f"WITH {CUBE_SQL} SELECT facet_id, cell_id FROM f JOIN fid USING (s)")
+def solid_face_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.cube(spark, 3).facet_cells()
+
+
+@register(f"WITH {CUBE_SQL} SELECT facet_id, CAST(side AS INTEGER) AS side, edge_id FROM (SELECT facet_id, side, [fid.s[a], fid.s[b]] AS p FROM fid, (SELECT unnest([0,1,2]) AS side, unnest([1,1,2]) AS a, unnest([2,3,3]) AS b)) x JOIN eid ON eid.s = x.p")
+def solid_face_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.cube(spark, 3).facet_edges()
+
+
+@register(f"WITH {CUBE_SQL} SELECT edge_id, cell_id FROM e JOIN eid USING (s)")
+def solid_edge_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.cube(spark, 3).edge_cells()
+
+
 @register("SELECT id AS cell_id, id AS v0, id + 1 AS v1, round(2 + id * 0.3e0, 6) + 0e0 AS a, round(2 + (id + 1) * 0.3e0, 6) + 0e0 AS b FROM range(10) r(id)")
 def interval_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ms.interval(spark, 2, 5, 10).geometry().select("cell_id", "v0", "v1", r6("x0").alias("a"), r6("x1").alias("b"))
@@ -412,6 +474,41 @@ def voronoi_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vo.measures(vo.cells(ms.square(spark, 4))).select("site", r6("measure").alias("measure"))
 
 
+@register(f"WITH {C_SQL}, q AS (SELECT pid, x, y FROM pts WHERE pid % 100 = 0) SELECT pid, CAST(i + 5 * j AS BIGINT) AS site FROM q, range(5) a(i), range(5) b(j) WHERE abs(x - i / 4e0) <= 0.125e0 + 1e-9 AND abs(y - j / 4e0) <= 0.125e0 + 1e-9 AND x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1")
+def voronoi_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stated set of points against all cells of a small diagram."""
+    q = customers(spark, sf_dir).where("pid % 100 = 0").select("pid", "x", "y")
+    rings = vo.cells(ms.square(spark, 4)).crossJoin(F.broadcast(q))  # 25 cells
+    return vo.contains(rings, F.col("x"), F.col("y")).where("inside").select("pid", "site")
+
+
+@register("SELECT id AS site, (id % 5) / 4e0 AS x, (id // 5) / 4e0 AS y, id % 5 IN (0, 4) OR id // 5 IN (0, 4) AS on_boundary FROM range(25) r(id)")
+def voronoi_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vo.sites(ms.square(spark, 4))
+
+
+@register(f"WITH {mesh_sql(4)}, {SIDES_SQL} SELECT n0 AS site, n1 AS neighbor FROM sides UNION SELECT n1, n0 FROM sides")
+def voronoi_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vo.dual(ms.square(spark, 4))
+
+
+@register("SELECT id AS site, CAST(4 AS BIGINT) AS n_edges, round(2 * CASE WHEN id % 5 IN (0, 4) THEN 0.125e0 ELSE 0.25e0 END + 2 * CASE WHEN id // 5 IN (0, 4) THEN 0.125e0 ELSE 0.25e0 END, 6) + 0e0 AS around FROM range(25) r(id)")
+def voronoi_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of each cell that have a length, and the length of all."""
+    e = vo.cell_edges(vo.cells(ms.square(spark, 4)))
+    length = F.sqrt(F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2))
+    # vertices on a straight side split it in two
+    straight = F.when(F.abs(F.col("a.x") - F.col("b.x")) < 1e-9, F.struct(F.lit("x").alias("d"), F.round("a.x", 6).alias("at"))).otherwise(F.struct(F.lit("y").alias("d"), F.round("a.y", 6).alias("at")))
+    return e.groupBy("site").agg(F.countDistinct(straight).alias("n_edges"), r6(F.sum(length)).alias("around"))
+
+
+@register("WITH s AS (SELECT DISTINCT p_size AS site_id FROM part), d AS (SELECT event_id AS pid, site_id, abs(value / 10 - site_id) AS d FROM events, s), k AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d * d, site_id) AS n FROM d) SELECT pid, CAST(site_id AS BIGINT) AS site_id FROM k WHERE n = 1")
+def voronoi_interval_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = table(spark, sf_dir, "part").select(F.col("p_size").cast("bigint").alias("site_id"), F.col("p_size").cast("double").alias("x")).distinct()
+    points = table(spark, sf_dir, "events").select(F.col("event_id").alias("pid"), (F.col("value") / 10).alias("x"))
+    return vo.locate_interval(points, sites)
+
+
 @register("WITH s AS (SELECT DISTINCT p_size AS site_id FROM part), w AS (SELECT site_id, site_id / 1e0 AS x, lag(site_id) OVER (ORDER BY site_id) AS p, lead(site_id) OVER (ORDER BY site_id) AS n FROM s) SELECT CAST(site_id AS BIGINT) AS site_id, coalesce((x + p) / 2, 0e0) AS a, coalesce((x + n) / 2, 60e0) AS b, coalesce((x + n) / 2, 60e0) - coalesce((x + p) / 2, 0e0) AS measure FROM w")
 def voronoi_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = table(spark, sf_dir, "part").select(F.col("p_size").cast("bigint").alias("site_id"), F.col("p_size").cast("double").alias("x")).distinct()
@@ -429,6 +526,14 @@ def field_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers(spark, sf_dir).select("pid", *[r6(h(*at)).alias(n) for n, h in (("f", f), ("s", f + g), ("p", f * g), ("q", q), ("n", -g + 3.0))])
 
 
+@register(f"WITH {C_SQL} SELECT pid, round(sin(x) * y + 2 * x, 6) + 0e0 AS f, round(cos(x) * y + 2, 4) + 0e0 AS gx FROM pts")
+def field_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python function of arrays as a field, in sums and derivatives like any other."""
+    f = fl.ScalarField(fl.opaque(lambda x, y: so.np.sin(x) * y), 2, h=1e-3) + fl.ScalarField(lambda x, y: 2 * x, 2)
+    at = ve.vec("x", "y")
+    return customers(spark, sf_dir).select("pid", r6(f(*at)).alias("f"), (F.round(f.gradient()(*at)[0], 4) + 0.0).alias("gx"))
+
+
 @register(f"WITH {C_SQL} SELECT pid, round(sin(x * y), 6) + 0e0 AS s, round(cos(x + y), 6) + 0e0 AS c, round(tan(x / 2), 6) + 0e0 AS t, round(exp(x - y), 6) + 0e0 AS e, round(ln(x + 1), 6) + 0e0 AS l FROM pts")
 def field_unary(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda f, g: fl.ScalarField(f, 2).map(g)(*ve.vec("x", "y"))
@@ -576,6 +681,12 @@ def spline_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.expand(c, values(spark, sf_dir)).select("pid", F.round("value", 9).alias("value"))
 
 
+@register("SELECT i AS dof_id, round(x, 9) AS x FROM (SELECT unnest(range(7)) AS i, unnest([0e0, 0.5e0 / 3, 0.5e0, 1e0, 1.5e0, 5.5e0 / 3, 2e0]) AS x)")
+def spline_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ba.Splines([0, 0.5, 1, 1.5, 2], 3)
+    return spark.createDataFrame(list(enumerate(s.dofs_coords())), "dof_id long, x double").select("dof_id", F.round("x", 9).alias("x"))
+
+
 @register(f"WITH {S_SQL} SELECT pid, i AS dof_id, CASE WHEN x * 2 < i THEN 2e0 ELSE -2e0 END AS value FROM (SELECT pid, x, unnest(range(0, 5)) AS i FROM p) WHERE x < 2 AND x * 2 >= i - 1 AND x * 2 < i + 1")
 def spline_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ba.Splines([0, 0.5, 1, 1.5, 2], 1).evaluate(values(spark, sf_dir), 1).select("pid", F.col("dof_id").cast("bigint").alias("dof_id"), F.round("value", 9).alias("value"))
@@ -610,6 +721,12 @@ def diffusion_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(asm.assemble(asm.diffusion([[2.0, 0.5], [0.5, 1.0]]), ba.Lagrange(ms.square(spark, 8))))
 
 
+@register(local_sql("-m * (gx[i] * (gx[j] + 2 * gy[j]) + gy[i] * gy[j])"))
+def diffusion_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A diffusion whose matrix isn't symmetric."""
+    return entries(asm.assemble(asm.diffusion([[1.0, 2.0], [0.0, 1.0]]), ba.Lagrange(ms.square(spark, 8))))
+
+
 @register(local_sql("m / 3 * (gx[j] + 2 * gy[j])"))
 def advection_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(asm.assemble(asm.advection([1.0, 2.0]), ba.Lagrange(ms.square(spark, 8))))
@@ -651,25 +768,25 @@ def dirichlet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(a.replace_rows(mesh.boundary_nodes().select(F.col("node_id").alias("row"))))
 
 
-@register(f"WITH {mesh_sql(8)} SELECT node_id AS dof_id, round(x + y, 6) + 0e0 AS u FROM nodes")
+@register(f"WITH {mesh_sql(32)} SELECT node_id AS dof_id, round(x + y, 6) + 0e0 AS u FROM nodes")
 def solve_laplace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = so.PDE(ms.square(spark, 8), -asm.laplacian(), boundary=lambda x, y: x + y).solve()
+    u = so.PDE(ms.square(spark, 32), -asm.laplacian(), boundary=lambda x, y: x + y).solve()
     return u.select("dof_id", r6("u").alias("u"))
 
 
-@register("SELECT CAST(81 AS BIGINT) AS n, 0e0 AS error")
+@register("SELECT CAST(289 AS BIGINT) AS n, 0e0 AS error")
 def solve_poisson_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """u = 1 - x^2 - y^2 solves the problem with forcing 4, and quadratic elements hold it exactly."""
     exact = lambda x, y: 1 - x * x - y * y
-    u = so.PDE(ms.square(spark, 4), -asm.laplacian(), 2, source=lambda x, y: F.lit(4.0), boundary=exact).solve()
+    u = so.PDE(ms.square(spark, 8), -asm.laplacian(), 2, source=lambda x, y: F.lit(4.0), boundary=exact).solve()
     return u.agg(F.count("*").alias("n"), (F.round(F.max(F.abs(F.col("u") - exact(F.col("x"), F.col("y")))), 6) + 0.0).alias("error"))
 
 
-@register(f"WITH {mesh_sql(4)} SELECT node_id AS dof_id, round(x - y, 6) + 0e0 AS u FROM nodes")
+@register(f"WITH {mesh_sql(8)} SELECT node_id AS dof_id, round(x - y, 6) + 0e0 AS u FROM nodes")
 def solve_advection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advection (1, 1) leaves x - y alone, so it solves the problem without forcing."""
     o = -asm.laplacian() + asm.advection([1.0, 1.0])
-    return so.PDE(ms.square(spark, 4), o, boundary=lambda x, y: x - y).solve().select("dof_id", r6("u").alias("u"))
+    return so.PDE(ms.square(spark, 8), o, boundary=lambda x, y: x - y).solve().select("dof_id", r6("u").alias("u"))
 
 
 @register(f"WITH {mesh_sql(4)} SELECT k AS t_index, node_id AS dof_id, round(x + y + k * 0.1e0, 6) + 0e0 AS u FROM nodes, range(0, 3) t(k)")
@@ -753,11 +870,13 @@ def woodbury(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("idx", (F.round("value", 9) + 0.0).alias("value"))
 
 
-@register()
+@register("SELECT id AS idx, true AS lower, 1e0 AS value FROM range(81) r(id)")
 def sparse_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L of an approximate inverse of mass plus stiffness."""
+    """L of an approximate inverse of mass plus stiffness: it is lower, and each column is scaled so that Lt A L has ones on its diagonal."""
     a = asm.assemble(asm.reaction(1.0) - asm.laplacian(), ba.Lagrange(ms.square(spark, 8)))
-    return entries(so.sparse_inverse(a))
+    low = so.sparse_inverse(a)
+    diagonal = low.transpose().times(a.times(low)).df.where("row = col").select(F.col("row").alias("idx"), (F.round("value", 9) + 0.0).alias("value"))
+    return low.df.groupBy(F.col("col").alias("idx")).agg(F.bool_and(F.col("row") >= F.col("col")).alias("lower")).join(diagonal, "idx")
 
 
 # ---------------------------------------------------------------- bit matrices
@@ -814,6 +933,22 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.grid_search(grid, F.col("a") * F.col("a") + F.col("b") * F.col("b")).select("row_id", *[r6(c).alias(c) for c in ("a", "b", "f")])
 
 
+@register("SELECT CAST(0 AS BIGINT) AS row_id, 0e0 AS a, 2e0 AS f UNION ALL SELECT 31, 31e0, -31e0")
+def grid_search_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f falls along the grid; callbacks end the search after the first or the second batch of 32 rows."""
+    grid = spark.range(100).select(F.col("id").alias("row_id"), F.col("id").cast("double").alias("a"))
+
+    class Below:
+        def __init__(self, goal: float):
+            self.goal = goal
+
+        def post_update(self, best: object, f: float) -> bool:
+            return f < self.goal
+
+    first = op.grid_search(grid.where("row_id < 40"), F.lit(2.0), callbacks=[Below(3)], batch=32)
+    return first.unionByName(op.grid_search(grid, -F.col("a"), callbacks=[Below(-5)], batch=32))
+
+
 MEAN_SQL = f"WITH {P_SQL} SELECT round(avg(x), 4) + 0e0 AS a, round(avg(y), 4) + 0e0 AS b FROM pp"
 
 
@@ -876,6 +1011,13 @@ def tree_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.without_subtree(tr.with_paths(heap(spark, sf_dir)), "LR").select("node_id")
 
 
+@register(f"{TREE_SQL} SELECT CASE WHEN path = 'LL' THEN 100 ELSE node_id END AS node_id, path FROM t UNION ALL SELECT 101, 'RRRRR'")
+def tree_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node that is there is replaced, another one is added."""
+    paths = tr.with_paths(heap(spark, sf_dir)).select("node_id", "path")
+    return tr.put(paths, spark.createDataFrame([(100, "LL"), (101, "RRRRR")], "node_id long, path string"))
+
+
 @register("WITH RECURSIVE i AS (SELECT CAST(n_nationkey AS BIGINT) AS node_id, (n_nationkey * 7) % 25 AS value FROM nation), w AS (SELECT i.node_id, i.value, CAST('' AS VARCHAR) AS path FROM i UNION ALL SELECT w.node_id, w.value, w.path || CASE WHEN w.value < r.value THEN 'L' ELSE 'R' END FROM w JOIN (SELECT path, node_id, value, min(node_id) OVER (PARTITION BY path) AS least FROM w) r ON r.path = w.path AND r.node_id = r.least AND w.node_id <> r.node_id) SELECT node_id, CAST(value AS BIGINT) AS value, CAST(max(length(path)) AS INTEGER) AS depth FROM w GROUP BY 1, 2")
 def search_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("node_id"), ((F.col("n_nationkey") * 7) % 25).cast("bigint").alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.coo import Coo
+from ..operators.frame import ROW, number_rows
 from ..operators.mesh import AXES, Mesh
 
 NOT_A_NUMBER = ("NA", "NaN", "nan")
@@ -17,16 +18,43 @@ def clean(token: Column) -> Column:
     return F.when(t.isin(*NOT_A_NUMBER), F.lit(float("nan"))).otherwise(t.try_cast("double"))
 
 
-def read_dense(spark: SparkSession, path: str, names: list[str], integer: bool = False) -> DataFrame:
-    """row_id (the label less one) and the columns of a CSV file whose first column is a label; the header is skipped."""
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of the columns of a CSV file, without that of the label; from its first line."""
+    first = spark.read.text(path).first()
+    if first is None:
+        raise ValueError(f"{path} is empty")
+    return [n.strip(' "') for n in first.value.split(",")][1:]
+
+
+def number(token: Column, integer: bool = False) -> Column:
+    """``clean``, or an error that shows the token if it is no number; no token is no number of its own (null). Of integers, NaN is 0."""
+    value = clean(token)
+    bad = value.isNull() & (F.regexp_replace(token, '[ "]', "") != "")
+    value = F.when(bad, F.raise_error(F.concat(F.lit("not a number: "), token))).otherwise(value)
+    return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0)).cast("bigint") if integer else value
+
+
+def read_dense(spark: SparkSession, path: str, names: list[str] | None = None, integer: bool = False) -> DataFrame:
+    """row_id and the columns of a CSV file whose first column is a label; the header is skipped, and gives the names if none are given.
+
+    Labels that are all whole numbers count from 1 and give the row ids; others are dropped, and rows are numbered in the order of the file.
+    A token that isn't a number is an error; NA, NaN and nan are NaN.
+    """
+    names = header_of(spark, path) if names is None else names
     schema = ", ".join(["label string", *(f"`{n}` string" for n in names)])
     rows = spark.read.csv(path, header=True, schema=schema, enforceSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    number = (lambda c: F.coalesce(F.nanvl(clean(c), F.lit(0.0)), F.lit(0.0)).cast("bigint")) if integer else clean
-    return rows.select((clean(F.col("label")).cast("bigint") - 1).alias("row_id"), *[number(F.col(n)).alias(n) for n in names])
+    label = F.regexp_replace("label", '[ "]', "").try_cast("bigint")
+    if rows.agg(F.bool_and(label.isNotNull())).first()[0] is not False:
+        rows = rows.withColumn(ROW, label - 1)
+    else:
+        rows = number_rows(rows.withColumn("_at", F.monotonically_increasing_id()), "_at")
+    return rows.select(ROW, *[number(F.col(f"`{n}`"), integer).alias(n) for n in names])
 
 
 def read_triplets(spark: SparkSession, path: str) -> Coo:
-    """A CSV file of label, row, column and value, ids from 1; dimensions are the largest ids, repeated places add up."""
+    """A CSV file of label, row, column and value, ids from 1; dimensions are the largest ids, repeated places add up. Any other number of columns is an error."""
+    if len(found := header_of(spark, path)) != 3:
+        raise ValueError(f"a label and three columns are needed, not {len(found)}")
     t = read_dense(spark, path, ["row", "col", "value"])
     m = Coo(t.select((F.col("row") - 1).cast("bigint").alias("row"), (F.col("col") - 1).cast("bigint").alias("col"), "value"), 0, 0).summed()
     size = m.df.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
