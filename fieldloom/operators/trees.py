@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .frame import ROW, number_rows
+
+#: Children of a block in the tree of minima; a power of two.
+WIDE = 64
 
 
 def with_paths(tree: DataFrame) -> DataFrame:
@@ -46,19 +50,42 @@ def put(paths: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def search_tree(items: DataFrame) -> DataFrame:
-    """node_id, value, path, depth of the binary search tree that results from inserting items (node_id, value) in the order of node_id.
+    """node_id, value, parent_id, is_left of the binary search tree that results from inserting items (node_id, value) in the order of node_id.
 
-    Built level by level: the first item of every subtree is its root, the others go left (smaller values) or right.
+    Equal values go right; null values aren't inserted. In the order of values, a node's parent is the later one of the nearest nodes on
+    either side that were inserted before it. These are looked for in a tree of minima with WIDE children: up to the first block that has one, and
+    down again. So the joins grow with the logarithm of the number of items, whatever their order, and none has a frequent key: a block is read by the items below it.
     """
-    left, out = items.select("node_id", "value").withColumn("path", F.lit("")), None
-    while not left.isEmpty():
-        roots = left.groupBy("path").agg(F.min(F.struct("node_id", "value")).alias("root"))
-        joined = written(left.join(roots, "path").withColumn("is_root", F.col("node_id") == F.col("root.node_id")), "levels")
-        found = joined.where("is_root").select("node_id", "value", "path", F.length("path").alias("depth"))
-        out = found if out is None else out.unionByName(found)
-        side = F.when(F.col("value") < F.col("root.value"), "L").otherwise("R")
-        left = joined.where("NOT is_root").select("node_id", "value", F.concat("path", side).alias("path"))
-    return out if out is not None else left.withColumn("depth", F.lit(0))
+    rows = written(number_rows(items.where("value IS NOT NULL").select("node_id", "value"), "value", "node_id"), "ordered")
+    bits, n, blocks = WIDE.bit_length() - 1, rows.count(), []
+    least = rows.select(F.col(ROW).alias("at"), F.col("node_id").alias("m"))
+    while True:
+        placed = least.groupBy(F.shiftright("at", bits).alias("block")).agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("c"))
+        blocks.append(written(placed.select("block", F.col("c.m").alias("m")), "minima"))
+        if n <= WIDE ** len(blocks):
+            break
+        least = blocks[-1].select(F.col("block").alias("at"), F.array_min("m").alias("m"))
+    own = F.col("node_id")
+    kinds = "struct<level:int,at:bigint,node:bigint>"
+    state = rows.withColumns({side: F.lit(None).cast(kinds) for side in ("before", "after")})
+    spot = lambda k, j: F.when(j.isNotNull(), F.struct(F.lit(k).alias("level"), (F.col("block") * WIDE + j).alias("at"), F.get("m", j.cast("int")).alias("node"))).cast(kinds)
+    smaller = lambda keep: F.filter(F.transform("m", lambda m, i: F.when((m < own) & keep(i), i)), lambda i: i.isNotNull())
+    for k, block in enumerate(blocks):
+        digit = F.shiftright(ROW, bits * k).bitwiseAND(F.lit(WIDE - 1).cast("bigint"))
+        joined = state.withColumn("block", F.shiftright(ROW, bits * (k + 1))).join(block, "block")
+        state = joined.withColumns({
+            "before": F.coalesce("before", spot(k, F.array_max(smaller(lambda i: i < digit)))),  # noqa: B023
+            "after": F.coalesce("after", spot(k, F.array_min(smaller(lambda i: i > digit)))),  # noqa: B023
+        }).drop("block", "m")
+    for k in range(len(blocks) - 1, 0, -1):
+        for side, pick in (("before", F.array_max), ("after", F.array_min)):
+            # a key of their own for those that look for nothing here
+            state = written(state, "sides") if side == "before" else state
+            key = F.when(F.col(f"{side}.level") == k, F.col(f"{side}.at")).otherwise(-1 - F.col(ROW))
+            joined = state.withColumn("block", F.coalesce(key, -1 - F.col(ROW))).join(blocks[k - 1], "block", "left")
+            state = joined.withColumn(side, F.when(F.col("m").isNotNull(), spot(k - 1, pick(smaller(lambda i: F.lit(True))))).otherwise(F.col(side))).drop("block", "m")
+    parent = F.greatest("before.node", "after.node")
+    return state.select("node_id", "value", parent.alias("parent_id"), F.coalesce(parent == F.col("after.node"), F.lit(False)).alias("is_left"))
 
 
 def find(tree: DataFrame, value: Column) -> DataFrame:

@@ -1021,7 +1021,7 @@ def tree_put(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("WITH RECURSIVE i AS (SELECT CAST(n_nationkey AS BIGINT) AS node_id, (n_nationkey * 7) % 25 AS value FROM nation), w AS (SELECT i.node_id, i.value, CAST('' AS VARCHAR) AS path FROM i UNION ALL SELECT w.node_id, w.value, w.path || CASE WHEN w.value < r.value THEN 'L' ELSE 'R' END FROM w JOIN (SELECT path, node_id, value, min(node_id) OVER (PARTITION BY path) AS least FROM w) r ON r.path = w.path AND r.node_id = r.least AND w.node_id <> r.node_id) SELECT node_id, CAST(value AS BIGINT) AS value, CAST(max(length(path)) AS INTEGER) AS depth FROM w GROUP BY 1, 2")
 def search_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("node_id"), ((F.col("n_nationkey") * 7) % 25).cast("bigint").alias("value"))
-    return tr.search_tree(items).select("node_id", "value", "depth")
+    return tr.with_paths(tr.search_tree(items)).select("node_id", "value", "depth")
 
 
 @register("SELECT CAST(n_nationkey AS BIGINT) AS node_id FROM nation WHERE (n_nationkey * 7) % 25 = 5")

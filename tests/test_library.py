@@ -284,3 +284,26 @@ def test_stream(spark, tmp_path):
     locate_stream(stream, mesh, 0.25, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     found = {(r.pid, r.cell_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert found == {(r.pid, r.cell_id) for r in sp.locate(points, mesh, 0.25).collect()}
+
+
+@pytest.mark.parametrize("wide", [64, 4])
+def test_search_tree_against_insertion(spark, monkeypatch, wide):
+    """Random, ascending, descending and equal values, and nulls, which aren't inserted."""
+    monkeypatch.setattr(tr, "WIDE", wide)
+    rng = np.random.default_rng(0)
+    for values in (rng.integers(0, 60, 90).tolist(), list(range(40)), list(range(40, 0, -1)), [3] * 9, [5], [None, 2, None, 1]):
+        expected, tree = {}, {}
+        for i, v in enumerate(values):
+            if v is None:
+                continue
+            parent, left, at = None, False, next(iter(tree), None)
+            while at is not None:
+                parent, left = at, v < tree[at][0]
+                at = tree[at][1 if left else 2]
+            tree[i] = [v, None, None]
+            if parent is not None:
+                tree[parent][1 if left else 2] = i
+            expected[i] = (v, parent, left)
+        df = spark.createDataFrame(list(enumerate(values)), "node_id long, value long").repartition(3)
+        assert {r.node_id: (r.value, r.parent_id, r.is_left) for r in tr.search_tree(df).collect()} == expected
+    assert tr.search_tree(df.limit(0)).collect() == []
