@@ -1,4 +1,8 @@
-"""Sparse matrices in coordinate form: DataFrames (row, col, value) with their dimensions."""
+"""Sparse matrices in coordinate form: DataFrames (row, col, value) with their dimensions.
+
+Defined cases: an absent entry is zero; a null value counts as zero in sums and products, and a place with only such values has a null;
+NaN stays NaN; entries without a row or column meet nothing in products; entries of one place add up; an empty table is a matrix of zeros.
+"""
 
 from __future__ import annotations
 

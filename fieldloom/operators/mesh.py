@@ -1,4 +1,9 @@
-"""Mesh topology as relations: nodes, cells, and the edges, faces and neighbours that follow from them."""
+"""Mesh topology as relations: nodes, cells, and the edges, faces and neighbours that follow from them.
+
+Defined cases: topology reads vertex ids alone, so null and NaN coordinates change none of it; ``geometry`` leaves out cells with a vertex that has no
+node, and cells with a null coordinate have null geometry; cells with a null vertex have no sides there; repeated cell ids count as one cell with all
+sides; an empty mesh has empty relations.
+"""
 
 from __future__ import annotations
 

@@ -307,3 +307,69 @@ def test_search_tree_against_insertion(spark, monkeypatch, wide):
         df = spark.createDataFrame(list(enumerate(values)), "node_id long, value long").repartition(3)
         assert {r.node_id: (r.value, r.parent_id, r.is_left) for r in tr.search_tree(df).collect()} == expected
     assert tr.search_tree(df.limit(0)).collect() == []
+
+
+def test_matrices_with_nulls(spark):
+    rows = [(0, 0, 1.0), (0, 0, None), (0, 1, None), (1, 1, float("nan")), (None, 0, 5.0), (0, None, 5.0), (1, 0, 2.0)]
+    a = cm.Coo(spark.createDataFrame(rows, "row long, col long, value double"), 2, 2)
+    x = spark.createDataFrame([(0, 3.0), (1, 1.0), (None, 9.0)], "idx long, value double")
+    found = {r.idx: r.value for r in a.times_vector(x).collect()}
+    assert found[0] == 3.0 and np.isnan(found[1]) and found[None] == 15.0
+    assert {(r.row, r.col): r.value for r in a.summed().df.where("row = 0").collect()} == {(0, 0): 1.0, (0, 1): None, (0, None): 5.0}
+    empty = cm.Coo(a.df.limit(0), 2, 2)
+    assert empty.times_vector(x).collect() == [] and empty.times(a).df.collect() == [] and empty.plus(empty).df.collect() == []
+
+
+def test_meshes_with_nulls(spark):
+    nodes = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, None), (2, 0.0, 1.0), (3, float("nan"), 1.0)], "node_id long, x double, y double")
+    cells = spark.createDataFrame([(0, 0, 1, 2), (1, 1, 3, 2), (2, 2, 3, 9)], "cell_id long, v0 long, v1 long, v2 long")
+    mesh = ms.Mesh(nodes, cells, 2)
+    assert mesh.edges().count() == 7 and mesh.boundary_facets().count() == 5
+    geometry = {r.cell_id: r for r in mesh.geometry().collect()}
+    assert set(geometry) >= {0, 1} and geometry[0].y1 is None
+    none = ms.Mesh(nodes.limit(0), cells.limit(0), 2)
+    assert [df.count() for df in (none.edges(), none.neighbors(), none.boundary_nodes(), none.geometry(), none.facets(), none.cell_facets())] == [0] * 6
+
+
+def test_traits_and_counts_of_meshes(spark):
+    square, cube, line = ms.square(spark, 1), ms.cube(spark, 1), ms.interval(spark, 0, 1, 2)
+    assert square.is_2d() and cube.is_3d() and not (square.is_manifold() or square.is_surface() or line.is_network() or cube.is_2d())
+    assert cube.surface().is_surface() and cube.surface().is_manifold()
+    assert square.per_cell() == {"vertices": 3, "edges": 3, "facets": 3, "neighbors": 3} and cube.per_cell() == {"vertices": 4, "edges": 6, "facets": 4, "neighbors": 4}
+
+
+def test_files_by_their_header(spark, tmp_path):
+    (tmp_path / "text.csv").write_text('"","a b","y"\n"r1"," 1.5","NA"\n"r2","2",""\n')
+    rows = files.read_dense(spark, str(tmp_path / "text.csv")).orderBy("row_id").collect()
+    assert [r.row_id for r in rows] == [0, 1] and rows[0]["a b"] == 1.5 and np.isnan(rows[0].y) and rows[1].y is None
+    (tmp_path / "bad.csv").write_text('"","x"\n"1","one"\n')
+    with pytest.raises(Exception, match="not a number: one"):
+        files.read_dense(spark, str(tmp_path / "bad.csv")).collect()
+    with pytest.raises(ValueError, match="three columns"):
+        files.read_triplets(spark, str(tmp_path / "text.csv"))
+    (tmp_path / "none.csv").write_text('"","x"\n')
+    assert files.read_dense(spark, str(tmp_path / "none.csv")).collect() == []
+
+
+def test_splines_by_spans_are_those_of_the_recursion(spark):
+    points = spark.createDataFrame([(i, float(x)) for i, x in enumerate([*np.linspace(0, 2, 41), -1, 3])] + [(90, None), (91, float("nan"))], "pid long, x double")
+    for order in (0, 1, 2, 3):
+        s = ba.Splines([0, 0.3, 0.5, 1.4, 2], order)
+        for derivative in range(order):
+            found = {(r.pid, r.dof_id): r.value for r in s.evaluate(points, derivative).collect()}
+            slow = points.where("x BETWEEN 0 AND 2").select("pid", F.posexplode(F.array(*[s.value(i, F.col("x"), derivative) for i in range(s.n)])).alias("i", "v")).where("v <> 0").collect()
+            for r in slow:
+                assert found.pop((r.pid, r.i)) == pytest.approx(r.v, abs=1e-9)
+            assert all(abs(v) < 1e-9 for v in found.values())
+
+
+def test_an_objective_ends_its_search(spark):
+    f = op.Objective(spark.range(1), lambda a: (F.lit(0.0) + a) * a, stop=lambda x, g: abs(x[0]) < 1)
+    assert 0.3 < abs(op.GradientDescent(step=0.1).minimise(f, [4.0]).optimum[0]) < 1
+
+
+def test_opaque_fields_with_nulls(spark):
+    f = fl.ScalarField(fl.opaque(lambda x: np.sqrt(x)), 1)
+    rows = spark.createDataFrame([(4.0,), (None,), (float("nan"),)], "x double").select(f(F.col("x")).alias("v")).collect()
+    assert rows[0].v == 2 and all(r.v is None or np.isnan(r.v) for r in rows[1:])
+    assert [r.v for r in spark.range(3).select(fl.ScalarField(fl.opaque(lambda x: 7.0), 1)(F.col("id")).alias("v")).collect()] == [7.0] * 3
