@@ -45,10 +45,11 @@ def near_copies(copies=40):
     return [(i, " ".join(texts[k])) for i, k in enumerate(order)]
 
 
-@pytest.mark.parametrize("few", [shingles.FEW, 3])
-def test_groups_against_all_pairs(spark, monkeypatch, few):
-    """Also where most lists are long and cut into blocks."""
+@pytest.mark.parametrize(("few", "hot"), [(shingles.FEW, 10_000), (3, 10_000), (3, 5), (shingles.FEW, shingles.HOT)])
+def test_groups_against_all_pairs(spark, monkeypatch, few, hot):
+    """Also where most lists are long and cut into blocks, or hot and never a list."""
     monkeypatch.setattr(shingles, "FEW", few)
+    monkeypatch.setattr(shingles, "HOT", hot)
     monkeypatch.setattr(shingles, "BLOCK", 1024 if few > 3 else 7)
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
