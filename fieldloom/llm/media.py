@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .common import base_columns, small_batches, written
 
-WIDTH, CHUNK, LEVEL = 64, 1 << 16, 6
+WIDTH, CHUNK, LEVEL, LINES = 64, 1 << 16, 6, 1 << 14
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Channels of the colour types without palette.
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -34,13 +34,17 @@ def chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """A grey PNG of an array (height, width) of bytes; each line takes the filter (none, sub or up) of the least sum."""
-    left, up = np.zeros_like(pixels), np.zeros_like(pixels)
-    left[:, 1:], up[1:] = pixels[:, :-1], pixels[:-1]
-    forms = np.stack([pixels, pixels - left, pixels - up])
-    best = np.abs(forms.view(np.int8).astype(np.int16)).sum(2).argmin(0)
-    lines = np.concatenate([best.astype(np.uint8)[:, None], forms[best, np.arange(len(pixels))]], axis=1)
-    data = zlib.compress(lines.tobytes(), LEVEL)
+    """A grey PNG of an array (height, width) of bytes; each line takes the filter (none, sub or up) of the least sum. LINES lines at a time, whatever the height."""
+    deflate, data = zlib.compressobj(LEVEL), []
+    above = np.zeros((1, pixels.shape[1]), np.uint8)
+    for i in range(0, len(pixels), LINES):
+        some = pixels[i : i + LINES]
+        left, up = np.zeros_like(some), np.concatenate([above, some[:-1]])
+        left[:, 1:], above = some[:, :-1], some[-1:]
+        forms = np.stack([some, some - left, some - up])
+        best = np.abs(forms.view(np.int8).astype(np.int16)).sum(2).argmin(0)
+        data.append(deflate.compress(np.concatenate([best.astype(np.uint8)[:, None], forms[best, np.arange(len(some))]], axis=1).tobytes()))
+    data = b"".join([*data, deflate.flush()])
     head = chunk(b"IHDR", struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], 8, 0, 0, 0, 0))
     return SIGNATURE + head + b"".join(chunk(b"IDAT", data[i : i + CHUNK]) for i in range(0, len(data), CHUNK)) + chunk(b"IEND", b"")
 

@@ -89,3 +89,10 @@ def test_no_documents_and_bad_files(spark, no_rows):
     assert media.media_features(no_rows).collect() == []
     bad = spark.createDataFrame([(1, 3, bytearray(b"abc")), (2, 0, None)], "doc_id long, n_bytes long, media binary")
     assert [(r.hash, r.fault) for r in media.features(bad).orderBy("doc_id").collect()] == [(None, "not a PNG")] * 2
+
+
+def test_blocks_of_lines_give_the_same_file(monkeypatch):
+    pixels = np.random.default_rng(7).integers(0, 40, (1000, 64), dtype=np.uint8)
+    whole = media.encode(pixels)
+    monkeypatch.setattr(media, "LINES", 37)
+    assert media.encode(pixels) == whole and (media.decode(whole)[:, :, 0] == pixels).all()
