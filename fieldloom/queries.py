@@ -526,12 +526,12 @@ def field_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers(spark, sf_dir).select("pid", *[r6(h(*at)).alias(n) for n, h in (("f", f), ("s", f + g), ("p", f * g), ("q", q), ("n", -g + 3.0))])
 
 
-@register(f"WITH {C_SQL} SELECT pid, round(sin(x) * y + 2 * x, 6) + 0e0 AS f, round(cos(x) * y + 2, 4) + 0e0 AS gx FROM pts")
+@register(f"WITH {C_SQL} SELECT pid, round(x * x * y + 2 * x, 6) + 0e0 AS f, round(2 * x * y + 2, 6) + 0e0 AS gx FROM pts")
 def field_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Python function of arrays as a field, in sums and derivatives like any other."""
-    f = fl.ScalarField(fl.opaque(lambda x, y: so.np.sin(x) * y), 2, h=1e-3) + fl.ScalarField(lambda x, y: 2 * x, 2)
+    """A Python function of arrays as a field, in sums and derivatives like any other (central differences are exact for squares)."""
+    f = fl.ScalarField(fl.opaque(lambda x, y: so.np.square(x) * y), 2, h=1e-3) + fl.ScalarField(lambda x, y: 2 * x, 2)
     at = ve.vec("x", "y")
-    return customers(spark, sf_dir).select("pid", r6(f(*at)).alias("f"), (F.round(f.gradient()(*at)[0], 4) + 0.0).alias("gx"))
+    return customers(spark, sf_dir).select("pid", r6(f(*at)).alias("f"), r6(f.gradient()(*at)[0]).alias("gx"))
 
 
 @register(f"WITH {C_SQL} SELECT pid, round(sin(x * y), 6) + 0e0 AS s, round(cos(x + y), 6) + 0e0 AS c, round(tan(x / 2), 6) + 0e0 AS t, round(exp(x - y), 6) + 0e0 AS e, round(ln(x + 1), 6) + 0e0 AS l FROM pts")
