@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import castore, langid, media, mixing, packing, quality, rules, simhash, toxicity, warc
+from . import castore, chat, clusters, codes, langid, media, mixing, packing, quality, rules, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,9 +68,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "lang", "source", "n_chars", F.round("rate", 9).alias("rate"), "n_copies", "copy", "order_key")
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations and one that says control strings; digests are of what is read back from the formatted texts."""
+    return chat.round_trip(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.with_inertia(*clusters.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dims=64, scale=1024.0))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.with_label_errors(*codes.encode(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, dims=64, scale=256.0))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_media_columns, op2_quality_classifier, op3_language_id, op4_warc_revisits, op5_content_store, op6_packing, op7_toxicity, op8_simhash, op9_quality_rules, op10_mixing)
-}
+    f.__name__: f
+    for f in (
+        op1_media_columns, op2_quality_classifier, op3_language_id, op4_warc_revisits, op5_content_store, op6_packing, op7_toxicity, op8_simhash, op9_quality_rules,
+        op10_mixing, op11_chat_formatting, op12_centroid_clustering, op13_vector_codes,
+    )
+}
 
 SQL: dict[str, str] = {}
 
@@ -147,3 +165,59 @@ SELECT record_id, key, CAST(304 AS INTEGER), CASE WHEN verdict = 'resolved' THEN
   CASE WHEN verdict = 'resolved' THEN md5(shtml) END, CASE WHEN verdict = 'resolved' THEN CAST(length(shtml) AS BIGINT) END
 FROM j
 """.replace("\\\\", "\\")
+
+# sizes of the blocks' marks: those of the role, of other roles with the role itself, and of the seam
+SQL["op11_chat_formatting"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT CAST(-7 AS BIGINT), 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT CAST(-7 AS BIGINT), 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(text, {escape})) AS n, length(regexp_replace(role, {escape})) AS role_n FROM t),
+o AS (
+  SELECT *, row_number() OVER w AS k, lag(role) OVER w AS before, lead(role) OVER w AS after FROM e
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+s AS (
+  SELECT *, before IS DISTINCT FROM role AS first, CASE role WHEN 'system' THEN 5 WHEN 'user' THEN 6 WHEN 'assistant' THEN 3 ELSE 12 + role_n END AS opening,
+    CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 7 WHEN 'assistant' THEN 4 ELSE 7 END AS closing FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + CASE WHEN first THEN opening ELSE 6 END + CASE WHEN after IS DISTINCT FROM role THEN closing ELSE 0 END) AS BIGINT) AS formatted_chars,
+  CAST(count(*) FILTER (WHERE first) AS INTEGER) AS n_blocks, CAST(count(*) FILTER (WHERE role = 'assistant') AS INTEGER) AS n_spans
+FROM s GROUP BY conv_id
+""".replace("{escape}", r"'([<\[])(\\*(?:s>|/s>|INST\]|/INST\]|SYS\]|/SYS\]|ROLE\]|/ROLE\]|TURN\]))', '\1\\\2', 'g'")
+
+_ASSIGN = "a{r} AS MATERIALIZED (SELECT id, arg_min(j, d * 64 + j) AS j, min(d) AS d FROM (SELECT v.id, c.j, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS d FROM v JOIN c{r} c USING (i) GROUP BY v.id, c.j) GROUP BY id)"
+_UPDATE = "c{n} AS MATERIALIZED (SELECT c.j, c.i, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT a.j, v.i, CAST(floor(sum(v.x)::HUGEINT / count(*)) AS BIGINT) AS x FROM v JOIN a{r} a USING (id) GROUP BY a.j, v.i) m USING (j, i))"
+_ROUNDS = ", ".join(f"{_ASSIGN}, {_UPDATE}".replace("{r}", str(r)).replace("{n}", str(r + 1)) for r in range(10)) + ", " + _ASSIGN.replace("{r}", "10")
+
+SQL["op12_centroid_clustering"] = f"""
+WITH e AS (
+  SELECT row_number() OVER () AS id, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS MATERIALIZED (SELECT id, i, CAST(floor(1024e0 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM (SELECT id, unnest(embedding) AS x, unnest(range(64)) AS i FROM e)),
+f AS (SELECT id, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, embedding) - 1 AS j FROM e QUALIFY j < 8),
+c0 AS MATERIALIZED (SELECT f.j, v.i, v.x FROM f JOIN v USING (id)),
+{_ROUNDS},
+h AS (SELECT j, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c10 GROUP BY j),
+s AS (SELECT j, CAST(sum(d) AS BIGINT) AS s FROM a10 GROUP BY j)
+SELECT e.vec_id, CAST(a.j AS INTEGER) AS cluster, a.d AS distance, s.s AS cluster_inertia, CAST((SELECT sum(s) FROM s) AS BIGINT) AS inertia, h.h AS centroid_sha256
+FROM e JOIN a10 a USING (id) JOIN s USING (j) JOIN h USING (j)
+"""
+
+_ASSIGN = "a{r} AS MATERIALIZED (SELECT id, p, arg_min(j, d * 64 + j) AS j, min(d) AS d FROM (SELECT v.id, v.p, c.j, (v.x0 - c.x0) * (v.x0 - c.x0) + (v.x1 - c.x1) * (v.x1 - c.x1) + (v.x2 - c.x2) * (v.x2 - c.x2) + (v.x3 - c.x3) * (v.x3 - c.x3) AS d FROM v JOIN c{r} c USING (p)) GROUP BY id, p)"
+_UPDATE = "c{n} AS MATERIALIZED (SELECT c.j, c.p, " + ", ".join(f"coalesce(m.x{i}, c.x{i}) AS x{i}" for i in range(4)) + " FROM c{r} c LEFT JOIN (SELECT a.j, a.p, " + ", ".join(f"CAST(floor(sum(v.x{i})::HUGEINT / count(*)) AS BIGINT) AS x{i}" for i in range(4)) + " FROM v JOIN a{r} a USING (id, p) GROUP BY a.j, a.p) m USING (j, p))"
+_ROUNDS = ", ".join(f"{_ASSIGN}, {_UPDATE}".replace("{r}", str(r)).replace("{n}", str(r + 1)) for r in range(2)) + ", " + _ASSIGN.replace("{r}", "2")
+
+SQL["op13_vector_codes"] = f"""
+WITH e AS (
+  SELECT row_number() OVER () AS id, vec_id, label, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS MATERIALIZED (SELECT id, p, {", ".join(f"CAST(floor(256e0 * CAST(embedding[4 * p + {i + 1}] AS DOUBLE)) AS BIGINT) AS x{i}" for i in range(4))} FROM (SELECT id, embedding, unnest(range(16)) AS p FROM e)),
+f AS (SELECT id, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS j FROM e QUALIFY j < 64),
+c0 AS MATERIALIZED (SELECT f.j, v.p, v.x0, v.x1, v.x2, v.x3 FROM f JOIN v USING (id)),
+{_ROUNDS},
+k AS (SELECT id, string_agg(lpad(lower(to_hex(j)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY id),
+h AS (SELECT sha256(string_agg(x0 || ',' || x1 || ',' || x2 || ',' || x3, ',' ORDER BY p, j)) AS h FROM c2),
+l AS (SELECT e.label, CAST(sum(k.error) AS BIGINT) AS label_error FROM e JOIN k USING (id) GROUP BY e.label)
+SELECT e.vec_id, k.code, k.error, l.label_error, (SELECT h FROM h) AS codebooks_sha256 FROM e JOIN k USING (id) JOIN l ON e.label IS NOT DISTINCT FROM l.label
+"""
