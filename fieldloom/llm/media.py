@@ -110,11 +110,17 @@ def decode(png: bytes) -> np.ndarray:
     if depth != 8 or colour not in CHANNELS or interlaced:
         raise ValueError("form not supported")
     step = CHANNELS[colour]
+    lines, filled, inflate = np.empty(height * (1 + width * step), np.uint8), 0, zlib.decompressobj()
     try:
-        lines = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
+        for body in data:
+            some = np.frombuffer(inflate.decompress(body), np.uint8)
+            if filled + len(some) > len(lines):
+                raise ValueError("wrong size")
+            lines[filled : filled + len(some)] = some
+            filled += len(some)
     except zlib.error as e:
         raise ValueError(str(e)) from None
-    if len(lines) != height * (1 + width * step):
+    if filled != len(lines) or not inflate.eof:
         raise ValueError("wrong size")
     return unfilter(lines.reshape(height, 1 + width * step), step).reshape(height, width, step)
 
@@ -130,26 +136,39 @@ COSINES = np.cos(np.pi * np.arange(LOW)[:, None] * (2 * np.arange(SIDE) + 1) / (
 ACROSS = means(WIDTH)
 
 
-def rows_mean(grey: np.ndarray) -> np.ndarray:
-    """(SIDE, width) area means down the image; in memory as large as the image, however high it is."""
-    n = len(grey)
+def grey_lines(pixels: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Lines a to b as one number for each pixel: whole numbers, or where there are channels their mean."""
+    some = pixels[a:b]
+    return some.reshape(some.shape[:2]) if some.ndim == 2 or some.shape[2] == 1 else some.mean(axis=2, dtype=np.float64)
+
+
+def rows_mean(pixels: np.ndarray) -> np.ndarray:
+    """(SIDE, width) area means down the image: bands of lines are summed LINES at a time, so little more than the image is in memory, however high it is."""
+    n = len(pixels)
     if n <= 4 * SIDE:
-        return means(n) @ grey
-    sums = np.concatenate([np.zeros((1, grey.shape[1])), np.cumsum(grey, axis=0)])
+        return means(n) @ grey_lines(pixels, 0, n).astype(np.float64)
     edges = np.arange(SIDE + 1) * n / SIDE
     low = np.floor(edges).astype(np.int64)
-    at = sums[low] + (edges - low)[:, None] * (sums[np.minimum(low + 1, n)] - sums[low])
-    return np.diff(at, axis=0) * SIDE / n
+    sums = np.zeros((SIDE + 1, pixels.shape[1]))
+    for k in range(SIDE):
+        sums[k + 1] = sums[k] + sum(grey_lines(pixels, a, min(a + LINES, low[k + 1])).sum(0, dtype=np.float64) for a in range(low[k], low[k + 1], LINES))
+    # the part of the line that an edge cuts
+    cut = np.concatenate([grey_lines(pixels, a, a + 1) for a in np.minimum(low, n - 1)]).astype(np.float64)
+    return np.diff(sums + (edges - low)[:, None] * cut, axis=0) * SIDE / n
 
 
 def cosine_hash(pixels: np.ndarray) -> bytes:
     """LOW bytes: which of the LOW x LOW lowest cosine coefficients of the grey image are over their median."""
-    grey = pixels.mean(axis=2, dtype=np.float64) if pixels.ndim == 3 and pixels.shape[2] > 1 else pixels.reshape(pixels.shape[:2]).astype(np.float64)
-    small = rows_mean(grey) @ (ACROSS if grey.shape[1] == WIDTH else means(grey.shape[1])).T
+    small = rows_mean(pixels) @ (ACROSS if pixels.shape[1] == WIDTH else means(pixels.shape[1])).T
     low = np.round(COSINES @ small @ COSINES.T, 6)
     return np.packbits(low > np.median(low)).tobytes()
 
 
+def size(text: str | None) -> int:
+    """Bytes of a text."""
+    return len(text or "") if (text or "").isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def payload(text: str | None) -> bytes:
     raw = (text or "").encode("utf-8", "surrogatepass")
     return raw + bytes(-len(raw) % WIDTH if raw else WIDTH)
@@ -163,7 +182,7 @@ def media_table(docs: DataFrame) -> DataFrame:
             sizes, files = [], []
             for t in b.column("text").to_pylist():
                 raw = payload(t)
-                sizes.append(len((t or "").encode("utf-8", "surrogatepass")))
+                sizes.append(size(t))
                 files.append(encode(np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -185,7 +204,7 @@ def features(media: DataFrame) -> DataFrame:
             for doc_id, n, png in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media").to_pylist(), strict=True):
                 try:
                     pixels = decode(png or b"")
-                    raw = pixels.tobytes()
+                    raw = memoryview(pixels.reshape(-1))
                     found = len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:])
                     seen = cosine_hash(pixels), len(pixels), None
                 except ValueError as e:

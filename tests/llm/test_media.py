@@ -1,6 +1,9 @@
 import hashlib
 import struct
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -96,3 +99,26 @@ def test_blocks_of_lines_give_the_same_file(monkeypatch):
     whole = media.encode(pixels)
     monkeypatch.setattr(media, "LINES", 37)
     assert media.encode(pixels) == whole and (media.decode(whole)[:, :, 0] == pixels).all()
+
+
+def test_means_of_high_images():
+    """Band sums against the full matrix of weights, also where edges cut lines and with channels."""
+    rng = np.random.default_rng(7)
+    for n in (1, 31, 129, 1000, 40_000):
+        pixels = rng.integers(0, 256, (n, 64, 1), dtype=np.uint8)
+        assert np.allclose(media.rows_mean(pixels), media.means(n) @ pixels[:, :, 0])
+    colour = rng.integers(0, 256, (500, 20, 3), dtype=np.uint8)
+    assert np.allclose(media.rows_mean(colour), media.means(500) @ colour.mean(2))
+
+
+def test_a_text_of_100_mb_fits_a_worker():
+    code = (
+        "import resource, numpy as np; from fieldloom.llm import media;"
+        "base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss;"
+        "text = (np.random.default_rng(1).integers(97, 123, 1_000_000, dtype=np.uint8).tobytes().decode()) * 100;"
+        "raw = media.payload(text); png = media.encode(np.frombuffer(raw, np.uint8).reshape(-1, media.WIDTH)); n = len(raw); del raw;"
+        "pixels = media.decode(png); assert pixels.size == n and len(media.cosine_hash(pixels)) == 8;"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)"
+    )
+    used = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(media.__file__).parents[2]).stdout
+    assert int(used) < 700  # MB
