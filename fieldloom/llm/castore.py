@@ -35,6 +35,8 @@ from .tokens import MEMO_WORDS, default_tokenizer, encoder, gathered
 LEAST, MOST, MASK, WINDOW = 64, 4096, np.uint64(0x1FF << 54), 8
 #: Addresses that a task remembers so as not to shuffle a frequent chunk again and again.
 REMEMBERED = 200_000
+#: Addresses of a shuffle partition that a worker keeps (some 100 bytes each); further ones are told apart by a second shuffle.
+ADDRESSES = 1_000_000
 RECIPES = "part int, row bigint, doc_id bigint, n_tokens bigint, start_in_part bigint, chunks array<binary>, ends array<bigint>, root binary, part_root binary"
 MANIFEST = "part int, n_docs bigint, n_tokens bigint, root binary"
 TOP = "n_parts bigint, root binary"
@@ -200,20 +202,28 @@ def build(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, path:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "key", "ids", "doc_id", "n_tokens", "chunks", "ends"])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()  # the addresses of a partition, some tenth of its chunks' bytes
+        seen = set()  # addresses of a partition, at most ADDRESSES; what comes after them is told apart later
         for batch in batches:
-            keep = []
-            for kind, key in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), strict=True):
-                keep.append(kind == "recipe" or key not in seen)
-                if kind == "chunk":
-                    seen.add(key)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            kinds, keep = batch.column("kind").to_pylist(), []
+            for i, key in enumerate(batch.column("key").to_pylist()):
+                keep.append(kinds[i] == "recipe" or key not in seen)
+                if kinds[i] == "chunk" and keep[-1]:
+                    if len(seen) < ADDRESSES:
+                        seen.add(key)
+                    else:
+                        kinds[i] = "late"
+            out = batch.set_column(batch.schema.get_field_index("kind"), "kind", pa.array(kinds, pa.string()))
+            yield out.filter(pa.array(keep, pa.bool_()))
 
     rows = base_columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spread = F.when(F.col("kind") == "recipe", F.xxhash64("key", "doc_id")).otherwise(F.xxhash64("key"))
     one_pass = rows.mapInArrow(objects, OBJECTS).withColumn("spread", spread)
     one_pass.repartition("spread").drop("spread").mapInArrow(once, OBJECTS).write.option("compression", "lz4_raw").parquet(f"{path}/objects")
     made = spark.read.schema(OBJECTS).parquet(f"{path}/objects")
+    late = made.where("kind = 'late'")
+    if not late.isEmpty():
+        # copies of a late chunk are all late: a partition's chunks meet in the order of the shuffle, and none of these was remembered
+        late.repartition("key").dropDuplicates(["key"]).withColumn("kind", F.lit("chunk")).write.mode("append").option("compression", "lz4_raw").parquet(f"{path}/objects")
     made.where("kind = 'recipe'").select("doc_id", "n_tokens", "chunks", "ends", F.col("key").alias("root")).repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").mapInArrow(_numbered, RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes")
     store = Store(spark, path)
     # the root after a part's last recipe is the part's
@@ -316,8 +326,8 @@ def verify(store: Store) -> DataFrame:
     are there once with the bytes of their addresses, their addresses give the document's Merkle root, and the recipes give the
     manifest, which gives the root on top.
     """
-    # a doubled object counts as damaged
-    measured = store.chunks().mapInArrow(_measured, "chunk_id binary, intact boolean, crc bigint, n bigint").groupBy("chunk_id").agg((F.bool_and("intact") & (F.count("*") == 1)).alias("intact"), F.max("crc").alias("crc"), F.max("n").alias("n"))
+    # a doubled object counts as damaged; written, so that a chunk that many documents share is a skewed join that Spark can split
+    measured = written(store.chunks().mapInArrow(_measured, "chunk_id binary, intact boolean, crc bigint, n bigint").groupBy("chunk_id").agg((F.bool_and("intact") & (F.count("*") == 1)).alias("intact"), F.max("crc").alias("crc"), F.max("n").alias("n")), "measured")
     parts = references(store).join(measured, "chunk_id", "left").withColumns({"crc": F.coalesce("crc", F.lit(0)), "n": F.coalesce("n", F.lit(0)), "intact": F.coalesce("intact", F.lit(False))})
     shifted = parts.select("part", "row", "intact", "n", "crc", "after").mapInArrow(_shifted, "part int, row bigint, intact boolean, n bigint, crc bigint")
     whole = shifted.groupBy("part", "row").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("n"), F.count("*").alias("n_chunks"), F.bool_and("intact").alias("intact"))

@@ -167,3 +167,15 @@ def test_crc_of_parts():
     parts = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     after = np.array([5000 - b for b in cuts[1:]])
     assert np.bitwise_xor.reduce(castore.crc_shift(np.array([zlib.crc32(p) for p in parts]), after)) == zlib.crc32(data)
+
+
+def test_late_chunks_are_stored_once(spark, odd, monkeypatch):
+    """Where a partition has more addresses than a worker keeps: the same chunks, each once, and all verified."""
+    docs = odd.select("doc_id", "text").unionByName(spark.range(60).selectExpr("100 + id AS doc_id", "repeat(concat('word', id % 7, ' and more '), 700) AS text")).repartition(6)
+    usual = castore.build(docs)
+    monkeypatch.setattr(castore, "ADDRESSES", 2)
+    store = castore.build(docs)
+    keys = lambda s: sorted((r.chunk_id, r.ids) for r in s.chunks().collect())
+    assert keys(store) == keys(usual) and len({k for k, _ in keys(store)}) == len(keys(store)) > 8
+    found = castore.verify(store).collect()
+    assert all(r.verified for r in found) and len(found) == len(ROWS) + 60
