@@ -29,6 +29,8 @@ SEED, FEW_SOURCES, SALTS = 20240229, 50_000, 64
 ADDED = ("rate", "n_copies", "copy", "order_key")
 #: Bits of an order key.
 KEY_BITS = 60
+#: Copies of a row that one step makes; what has more is dealt to tasks block by block.
+BLOCK_COPIES = 4096
 #: Up to this rate, the terms of the Poisson law are summed from zero copies.
 DIRECT = 500
 
@@ -94,20 +96,35 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, rows:
         salted = found.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = keyed.withColumn("_mix_own", F.floor(F.col("_mix_u") * SALTS).cast("int")).join(salted, same & (F.col("_mix_own") == F.col("_mix_salt")))
     kept = [c for c in docs.columns if c not in ADDED]
-    drawn = joined.select(*kept, "_mix_key", F.col("_mix_rate").alias("rate"), inverse_poisson(F.col("_mix_u"), F.col("_mix_rate")).alias("n_copies"))
-    copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    drawn = lambda rows: rows.select(*kept, "_mix_key", F.col("_mix_rate").alias("rate"), inverse_poisson(F.col("_mix_u"), F.col("_mix_rate")).alias("n_copies"))
+    copies = numbered(drawn(joined), "n_copies", "copy")
+    if (found.agg(F.max(most_copies(F.col("_mix_rate")))).first()[0] or 0) > BLOCK_COPIES:
+        # only rows of sources with such a rate can have as many copies
+        many = most_copies(F.col("_mix_rate")) > BLOCK_COPIES
+        copies = numbered(drawn(joined.where(~many)), "n_copies", "copy").unionByName(numbered(drawn(joined.where(many)), "n_copies", "copy", spread=True))
     placed = copies.withColumn("order_key", shuffled(F.col("_mix_key"), F.col("copy"), seed)).drop("_mix_key")
     return dealt(placed, "order_key")
 
 
+def most_copies(rate: Column) -> Column:
+    """What ``inverse_poisson`` gives at most for ``rate``."""
+    return F.ceil(rate + 12 * F.sqrt(rate) + 20)
+
+
+def numbered(rows: DataFrame, n: str, copy: str, spread: bool = False) -> DataFrame:
+    """Each of ``rows`` ``n`` times, with the number of the copy from 0: blocks of BLOCK_COPIES, which with ``spread`` are dealt to tasks before they are filled."""
+    last = F.ceil(F.col(n) / BLOCK_COPIES).cast("int") - 1
+    blocks = rows.where(F.col(n) > 0).withColumn("_mix_block", F.explode(F.sequence(F.lit(0), last)))
+    if spread:
+        # a number of partitions of its own: blocks are short, so that few tasks would take them all
+        blocks = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("_mix_block", *[c for c, kind in rows.dtypes if kind == "bigint"]))
+    first = F.col("_mix_block") * BLOCK_COPIES
+    inside = F.sequence(first, F.least(first + BLOCK_COPIES, F.col(n)) - 1)
+    return blocks.withColumn(copy, F.explode(inside)).drop("_mix_block")
+
+
 def dealt(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` in the order of a uniform key of KEY_BITS bits, whose leading bits are the partition."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.shiftright(F.shiftright(F.col(key), KEY_BITS - 32) * n, 32).cast("int")
     return rows.repartitionById(n, part).sortWithinPartitions(key)
-
-
-def expected_rows(counts: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, float]:
-    """Mean output rows of each source, for reports."""
-    total = sum(weights.values()) or math.inf
-    return {s: sum(counts.values()) * weights.get(s, 0.0) / total for s in counts}

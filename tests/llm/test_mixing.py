@@ -104,3 +104,21 @@ def test_null_and_empty_sources(spark):
     found = mixing.replicate(docs, {"": 1.0})
     assert found.columns == ["doc_id", "source", "rate", "n_copies", "copy", "order_key"]
     assert {r.source for r in found.collect()} == {""} and abs(found.count() - 900) < 150
+
+
+def test_very_many_copies_are_made_in_blocks(spark, monkeypatch):
+    """A rare source's row has some thousand copies: the same rows in blocks dealt to tasks as in one array."""
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "CASE WHEN id = 7 THEN 'rare' ELSE 'hot' END AS source", "'t' AS text")
+    whole = mixing.replicate(docs).select("doc_id", "copy", "n_copies", "order_key").collect()
+    monkeypatch.setattr(mixing, "BLOCK_COPIES", 64)
+    parts = mixing.replicate(docs).select("doc_id", "copy", "n_copies", "order_key").collect()
+    assert parts == whole and sum(r.doc_id == 7 for r in parts) > 1_300
+
+
+def test_ten_million_copies_of_one_row(spark):
+    row = spark.range(1).selectExpr("id AS doc_id", "10000000 AS n")
+    made = mixing.numbered(row, "n", "copy", spread=True)
+    found = made.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum("copy").alias("s")).collect()
+    assert sum(r.n for r in found) == 10_000_000 and sum(r.s for r in found) == 10_000_000 * 9_999_999 // 2
+    assert len(found) > 1 and max(r.n for r in found) < 5_000_000
+    assert mixing.numbered(row.withColumn("n", F.lit(0)), "n", "copy").count() == 0
