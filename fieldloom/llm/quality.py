@@ -159,7 +159,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows scored under ``least``. No text is shuffled: statistics are taken once to learn and once beside each row."""
-    model = learn(written(statistic_table(base_columns(docs, "doc_id", "text")), "statistics"), labels)
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
-    return scored(row, model).where(F.col("score") >= least).select("row.*")
+    """``docs`` without the rows scored under ``least``. Statistics are taken once and written beside each row, so no text is shuffled."""
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    table = written(statistic_table(row), "statistics", "zstd")
+    return scored(table.select("row", "x"), learn(table, labels)).where(F.col("score") >= least).select("row.*")
