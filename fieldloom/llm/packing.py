@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import base_columns, small_batches, written
-from .mixing import BLOCK_COPIES, numbered
+from .mixing import numbered
 from .tokens import MEMO_WORDS, default_tokenizer, encoder, gathered
 
 TOKENS = "part int, start_in_part bigint, doc_id bigint, doc_tokens bigint, width int, ids binary"
@@ -37,10 +37,10 @@ def in_order(docs: DataFrame, order: Column | None = None) -> DataFrame:
 def copies_apart(docs: DataFrame, place: Callable[[Column, Column], Column]) -> DataFrame:
     """doc_id, text and place, a function of doc_id and of the copy's number among equal rows.
 
-    Equal rows are counted with partial sums, so a document with many copies is no large group; those of very many are dealt to tasks in blocks.
+    Equal rows are counted with partial sums, so a document with many copies is no large group; its copies are made again in blocks, one by one, and dealt by place.
     """
     counts = base_columns(docs, "doc_id", "text").groupBy("doc_id", "text").agg(F.count("*").cast("int").alias("n"))
-    copies = numbered(counts.where(F.col("n") <= BLOCK_COPIES), "n", "copy").unionByName(numbered(counts.where(F.col("n") > BLOCK_COPIES), "n", "copy", spread=True))
+    copies = numbered(counts, "n", "copy")
     return copies.select("doc_id", "text", place(F.col("doc_id"), F.col("copy")).alias("place"))
 
 
