@@ -123,15 +123,23 @@ def fit(sums: np.ndarray, d: int = len(NAMES)) -> Discriminant | float:
     return Discriminant(means, np.array(factors), np.array(log_dets), np.log(n / n.sum()))
 
 
+#: Labelled ids to which ``keep_good`` fits (12 bytes each).
+MOST_LABELLED = 50_000
+
+
 def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     """Whether a document's labels are kept for tests: CRC-32 of its id as text modulo ``folds``."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+def known_labels(labels: DataFrame, label: str = "quality") -> DataFrame:
+    """doc_id, label of the rows whose label isn't held out; contradictory labels of an id are two rows."""
+    return labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+
+
 def learn(table: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant | float:
     """Fit to the rows of ``table`` (doc_id, x) whose label isn't held out; contradictory labels of an id count as two rows."""
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
-    return fit(moments(table.select("doc_id", "x").join(known, "doc_id")))
+    return fit(moments(table.select("doc_id", "x").join(known_labels(labels, label), "doc_id")))
 
 
 def scored(table: DataFrame, model: Discriminant | float) -> DataFrame:
@@ -158,8 +166,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows scored under ``least``. Statistics are taken once and written beside each row, so no text is shuffled."""
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    table = written(statistic_table(row), "statistics", "zstd")
-    return scored(table.select("row", "x"), learn(table, labels)).where(F.col("score") >= least).select("row.*")
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = MOST_LABELLED) -> DataFrame:
+    """``docs`` without the rows scored under ``least``. No text is shuffled or written.
+
+    The fit takes the labelled ids with the smallest hashes, ``most`` at most, which are broadcast; statistics of other rows are taken once, as they are scored.
+    """
+    chosen = known_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
+    sample = base_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    model = fit(moments(statistic_table(sample.select("doc_id", "label", "text"))))
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    return scored(row, model).where(F.col("score") >= least).select("row.*")
