@@ -189,6 +189,29 @@ def cube(spark: SparkSession, n: int) -> Mesh:
     return Mesh(nodes, cells, 3)
 
 
+def lattice(nodes: DataFrame, *widths: int) -> Mesh:
+    """Triangles, or with two widths tetrahedra, of ``nodes`` (node_id, x, y[, z]) whose ids count along rows of ``widths[0]`` nodes (and layers of ``widths[1]`` rows).
+
+    A square or cube is cut where all its corners are there, so missing nodes leave holes and the last row may be short. Nodes with a null id have no cells.
+    """
+    w, *more = widths
+    i, d = F.col("base"), len(widths) + 1
+    steps = [1, w, *([w * more[0]] if more else [])]
+    offset = lambda c: sum(steps[k] for k in range(d) if c >> k & 1)
+    bases = nodes.select(F.explode(F.array(*[(F.col("node_id") - offset(c)).cast("bigint") for c in range(1 << d)])).alias("base"))
+    inner = (i >= 0) & (i % w < w - 1)
+    place = F.floor(i / w).cast("bigint") * (w - 1) + i % w
+    if more:
+        row = F.floor(i / w).cast("bigint") % more[0]
+        inner = inner & (row < more[0] - 1)
+        place = (F.floor(i / (w * more[0])).cast("bigint") * (more[0] - 1) + row) * (w - 1) + i % w
+    whole = bases.where(inner).groupBy("base").agg(F.count("*").alias("n")).where(F.col("n") == 1 << d)
+    shapes = CUBE if more else [(0, 1, 3), (0, 3, 2)]
+    cut = F.array(*[F.struct(*[(i + offset(c)).alias(f"v{k}") for k, c in enumerate(shape)]) for shape in shapes])
+    cells = whole.select(place.alias("place"), F.posexplode(cut).alias("t", "c")).select((F.col("place") * len(shapes) + F.col("t")).alias("cell_id"), "c.*")
+    return Mesh(nodes, cells, d)
+
+
 def interval(spark: SparkSession, a: float, b: float, n: int) -> Mesh:
     """[a, b] in n cells of the same length."""
     i = F.col("id")

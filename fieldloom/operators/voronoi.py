@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Simplex
 from .frame import ROW, number_rows
 from .mesh import Mesh, clockwise
-from .spatial import locate_all, nearest, squared_distance
+from .spatial import locate_all, nearest, range_join, squared_distance
 
 
 def vertices(mesh: Mesh) -> DataFrame:
@@ -67,6 +67,18 @@ def contains(rings: DataFrame, x: Column, y: Column, slack: float = 1e-9) -> Dat
     return rings.withColumn("inside", F.coalesce(F.forall(turn, lambda t: t <= slack) & (n > 2), F.lit(False)))
 
 
+def containing(points: DataFrame, rings: DataFrame, slack: float = 1e-9) -> DataFrame:
+    """pid, site: the cells of ``rings`` that hold each of ``points`` (pid, x, y), their edges among them.
+
+    Points meet the boxes around cells first, by grid cells, so work is in proportion to points and cells that are near each other. Points with a null or NaN are in none.
+    """
+    far = lambda pick, c: pick(F.transform("ring", lambda p: p[c]))
+    boxes = rings.select("*", *[(far(F.array_min, c) - slack).alias(f"l{c}") for c in "xy"], *[(far(F.array_max, c) + slack).alias(f"u{c}") for c in "xy"])
+    near = range_join(points, boxes.withColumnRenamed("site", "box_id"))
+    pairs = near.join(points.select("pid", "x", "y").distinct(), "pid").join(rings.withColumnRenamed("site", "box_id"), "box_id")
+    return contains(pairs, F.col("x"), F.col("y"), slack).where("inside").select("pid", F.col("box_id").alias("site"))
+
+
 def sites(mesh: Mesh) -> DataFrame:
     """site, x, y, on_boundary: the nodes, and whether their cells reach the border of the mesh."""
     flags = mesh.boundary_nodes().withColumn("hit", F.lit(True))

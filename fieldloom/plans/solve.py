@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from ..operators.mesh import Mesh
 from ..sources.shared import remove, scratch, written
 from .assembly import Operator, assemble, forcing, mass
 from .basis import Lagrange
+from .factor import Factors, FrontTooLarge, factorise
 
 #: Columns of a low-rank update; the inner system of that size is solved with numpy.
 MOST_COLUMNS = 1024
@@ -122,39 +124,48 @@ def _stabilised(v: _Vectors, tolerance: float, most: int) -> None:
     raise NotConverged(f"residual {rr ** 0.5:g} after {most} steps")
 
 
+def fixed_rows(a: Coo, rows: DataFrame) -> Coo:
+    """``a`` with the rows and columns of ``rows`` (row) as those of the identity: whatever the values there, the same matrix."""
+    rows = rows.distinct()
+    inner = a.df.join(rows, "row", "left_anti").join(rows.withColumnRenamed("row", "col"), "col", "left_anti").select("row", "col", "value")
+    return Coo(inner.unionByName(rows.select("row", F.col("row").alias("col"), F.lit(1.0).alias("value"))), a.n_rows, a.n_cols)
+
+
+def fixed_right(a: Coo, b: DataFrame, fixed: DataFrame) -> DataFrame:
+    """The right side of ``fixed_rows``: values of ``fixed`` (idx, value) in their rows, and what they add to the others."""
+    known = a.times_vector(fixed).withColumn("value", -F.col("value"))
+    return b.unionByName(known).groupBy("idx").agg(F.sum("value").alias("value")).join(fixed.select("idx"), "idx", "left_anti").unionByName(fixed.select("idx", "value"))
+
+
 def dirichlet(a: Coo, b: DataFrame, fixed: DataFrame) -> tuple[Coo, DataFrame]:
     """The system in which the unknowns of ``fixed`` (idx, value) have these values; a symmetric matrix stays symmetric.
 
     Known values move to the right side; their rows and columns become those of the identity.
     """
-    rows = fixed.select(F.col("idx").alias("row"))
-    known = a.times_vector(fixed).withColumn("value", -F.col("value"))
-    right = b.unionByName(known).groupBy("idx").agg(F.sum("value").alias("value")).join(fixed.select("idx"), "idx", "left_anti").unionByName(fixed.select("idx", "value"))
-    inner = a.df.join(rows, "row", "left_anti").join(rows.withColumnRenamed("row", "col"), "col", "left_anti").select("row", "col", "value")
-    unit = rows.select("row", F.col("row").alias("col"), F.lit(1.0).alias("value"))
-    return Coo(inner.unionByName(unit), a.n_rows, a.n_cols), right
+    return fixed_rows(a, fixed.select(F.col("idx").alias("row"))), fixed_right(a, b, fixed)
+
 
+def woodbury(solve_a: Factors | Callable[[DataFrame], DataFrame], u: Coo, inverse_c: np.ndarray, v: Coo, b: DataFrame) -> DataFrame:
+    """(idx, value) of (A + U C V) x = b, by solutions with A; U has few columns, so the inner system is of their number.
 
-def woodbury(solve_a: Callable[[DataFrame], DataFrame], u: Coo, inverse_c: np.ndarray, v: Coo, b: DataFrame) -> DataFrame:
-    """(idx, value) of (A + U C V) x = b, by solutions with A; U has few columns, so the inner system is of their number."""
+    With ``Factors`` of A the right side and all columns of U are solved at once; a function solves one right side (idx, value) after the other.
+    """
     q = u.n_cols
     if q > MOST_COLUMNS:
         raise ValueError(f"at most {MOST_COLUMNS} columns")
-    y = solve_a(b)
-    column = lambda j: u.df.where(F.col("col") == j).select(F.col("row").alias("idx"), "value")
-    ys = [solve_a(column(j)) for j in range(q)]
-
-    def small(x: DataFrame) -> np.ndarray:
-        out = np.zeros(v.n_rows)
-        for r in v.times_vector(x).collect():  # as many rows as V has, of which there are q
-            out[r.idx] = r.value
-        return out
-
-    t = np.linalg.solve(inverse_c + np.stack([small(x) for x in ys], 1), small(y))
-    out = y
-    for x, s in zip(ys, t.tolist(), strict=True):
-        out = out.unionByName(x.withColumn("value", F.col("value") * -s))
-    return out.groupBy("idx").agg(F.sum("value").alias("value"))
+    right = b.select("idx", F.lit(q).cast("bigint").alias("col"), "value").unionByName(u.df.select(F.col("row").alias("idx"), "col", "value"))
+    if isinstance(solve_a, Factors):
+        ys = solve_a.solve(right)
+    else:
+        one = lambda j: solve_a(right.where(F.col("col") == j).select("idx", "value")).select("idx", F.lit(j).cast("bigint").alias("col"), "value")
+        ys = written(reduce(DataFrame.unionByName, [one(j) for j in range(q + 1)]), "solutions")
+    met = v.df.join(ys.select(F.col("idx").alias("col"), F.col("col").alias("side"), F.col("value").alias("y")), "col")
+    small = np.zeros((v.n_rows, q + 1))
+    for r in met.groupBy("row", "side").agg(F.sum(F.col("value") * F.col("y")).alias("s")).collect():  # as many as V has rows, of which there are q, by q + 1
+        small[r.row, r.side] = r.s
+    t = np.linalg.solve(inverse_c + small[:, :q], small[:, q])
+    weight = F.try_element_at(F.array(*[F.lit(x) for x in [*(-t).tolist(), 1.0]]), (F.col("col") + 1).cast("int"))
+    return ys.groupBy("idx").agg(F.sum(F.col("value") * weight).alias("value"))
 
 
 def sparse_inverse(a: Coo, alpha: int = 2, beta: int = 4, epsilon: float = 1e-3) -> Coo:
@@ -240,11 +251,17 @@ class PDE:
         f = (lambda *x: self.source(*x, F.lit(t))) if self.operator.is_parabolic else self.source
         return forcing(self.basis, f)
 
-    def _step(self, a: Coo, b: DataFrame, t: float) -> DataFrame:
-        fixed = self._fixed(t)
-        if fixed is not None:
-            a, b = dirichlet(a, b, fixed)
-        return solve(a, b, self.operator.is_symmetric)
+    def _solver(self, a: Coo) -> Callable[[DataFrame, float], DataFrame]:
+        """A function of right side and time that gives (idx, value); the matrix is factorised once for all times, or iterated where its fronts are too large."""
+        ids = None if self.boundary is None else self.points.where("on_boundary").select(F.col("dof_id").alias("row"))
+        matrix = a if ids is None else fixed_rows(a, ids)
+        right = lambda b, t: b if ids is None else fixed_right(a, b, self._fixed(t))
+        try:
+            factors = factorise(matrix, self.points.select(F.col("dof_id").alias("idx"), *self.mesh.axes), self.operator.is_symmetric)
+        except FrontTooLarge:
+            matrix = Coo(written(matrix.df, "fixed"), matrix.n_rows, matrix.n_cols)
+            return lambda b, t: solve(matrix, right(b, t), self.operator.is_symmetric)
+        return lambda b, t: factors.solve(right(b, t))
 
     def solve(self) -> DataFrame:
         """dof_id, coordinates and u; of parabolic problems for every time (t_index), by implicit Euler steps."""
@@ -252,15 +269,16 @@ class PDE:
             self.init()
         named = lambda u: self.points.join(u.select(F.col("idx").alias("dof_id"), F.col("value").alias("u")), "dof_id").drop("on_boundary")
         if not self.operator.is_parabolic:
-            return named(self._step(self.stiff, self._force(0.0), 0.0))
+            return named(self._solver(self.stiff)(self._force(0.0), 0.0))
         step = self.times[1] - self.times[0]
         left = self.mass.scale(1 / step).plus(self.stiff)
-        left = Coo(written(left.df, "euler"), left.n_rows, left.n_cols)
+        advance = self._solver(Coo(written(left.df, "euler"), left.n_rows, left.n_cols))
         x = [F.col(a) for a in self.mesh.axes]
         u = written(self.points.select(F.col("dof_id").alias("idx"), (self.initial(*x) if self.initial else F.lit(0.0)).alias("value")), "state")
-        out = named(u).withColumn("t_index", F.lit(0))
-        for k, t in enumerate(self.times[1:], 1):
+        states = [u]
+        for t in self.times[1:]:
             b = self.mass.times_vector(u).withColumn("value", F.col("value") / step).unionByName(self._force(t)).groupBy("idx").agg(F.sum("value").alias("value"))
-            u = written(self._step(left, b, t), "state")
-            out = out.unionByName(named(u).withColumn("t_index", F.lit(k)))
-        return out
+            u = advance(b, t)
+            states.append(u)
+        every = reduce(DataFrame.unionByName, [s.select(F.col("idx").alias("dof_id"), F.col("value").alias("u"), F.lit(k).alias("t_index")) for k, s in enumerate(states)])
+        return self.points.drop("on_boundary").join(every, "dof_id")

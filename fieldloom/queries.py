@@ -65,6 +65,33 @@ SIDES_SQL = "sides AS (SELECT cell_id, 0 AS side, least(v0, v1) AS n0, greatest(
 G_SQL = "g AS (SELECT cell_id, v0, v1, v2, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, c.x AS x2, c.y AS y2 FROM cells JOIN nodes a ON v0 = a.node_id JOIN nodes b ON v1 = b.node_id JOIN nodes c ON v2 = c.node_id)"
 
 
+# meshes over all parts: rows of 20 nodes, as many as the table gives; warped by the parts' sizes, regular, and a solid of layers of 4 x 5 nodes
+LATTICE = (
+    "sq AS (SELECT node_id AS i FROM nodes WHERE node_id % 20 < 19 AND node_id + 21 <= (SELECT max(node_id) FROM nodes)),"
+    " cells AS (SELECT 2 * ((i // 20) * 19 + i % 20) + t AS cell_id, i AS v0, CASE WHEN t = 0 THEN i + 1 ELSE i + 21 END AS v1, CASE WHEN t = 0 THEN i + 21 ELSE i + 20 END AS v2 FROM sq, (SELECT unnest([0, 1]) AS t))"
+)
+W_SQL = f"nodes AS (SELECT p_partkey AS node_id, (p_partkey % 20) / 19e0 + (p_size % 5 - 2) / 190e0 AS x, (p_partkey // 20) / 19e0 + (p_size % 3 - 1) / 190e0 AS y FROM part), {LATTICE}"
+R_SQL = f"nodes AS (SELECT p_partkey AS node_id, (p_partkey % 20) / 16e0 AS x, (p_partkey // 20) / 16e0 AS y FROM part), {LATTICE}"
+B_SQL = "rim AS (SELECT n0, n1, min(cell_id) AS cell_id FROM sides GROUP BY n0, n1 HAVING count(*) = 1), b AS (SELECT n0 AS node_id FROM rim UNION SELECT n1 FROM rim)"
+
+
+def warped(spark: SparkSession, sf_dir: str) -> ms.Mesh:
+    """A mesh of all parts whose nodes their sizes move."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return ms.lattice(table(spark, sf_dir, "part").select(k.alias("node_id"), ((k % 20) / 19.0 + (size % 5 - 2) / 190.0).alias("x"), (F.floor(k / 20) / 19.0 + (size % 3 - 1) / 190.0).alias("y")), 20)
+
+
+def regular(spark: SparkSession, sf_dir: str) -> ms.Mesh:
+    k = F.col("p_partkey")
+    return ms.lattice(table(spark, sf_dir, "part").select(k.alias("node_id"), ((k % 20) / 16.0).alias("x"), (F.floor(k / 20) / 16.0).alias("y")), 20)
+
+
+def layered(spark: SparkSession, sf_dir: str) -> ms.Mesh:
+    """A solid of all parts, in layers of 4 x 5 nodes."""
+    k = F.col("p_partkey")
+    return ms.lattice(table(spark, sf_dir, "part").select(k.alias("node_id"), ((k % 4) / 2.0).alias("x"), (F.floor(k / 4) % 5 / 2.0).alias("y"), (F.floor(k / 20) / 2.0).alias("z")), 4, 5)
+
+
 def mesh_sql(n: int) -> str:
     return M_SQL.replace("{m}", str(n + 1)).replace("{n}", str(n))
 
@@ -271,9 +298,9 @@ def locate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.locate_all(p, ms.square(spark, 8), 1 / 8).select("pid", "cell_id")
 
 
-@register(f"WITH {mesh_sql(16)}, p AS (SELECT unnest([v0, v1, v2]) AS node_id, cell_id FROM cells) SELECT node_id, count(*) AS n_cells, min(cell_id) AS first_cell FROM p GROUP BY 1")
+@register(f"WITH {W_SQL}, p AS (SELECT unnest([v0, v1, v2]) AS node_id, cell_id FROM cells) SELECT node_id, count(*) AS n_cells, min(cell_id) AS first_cell FROM p GROUP BY 1")
 def node_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.square(spark, 16).node_patch().groupBy("node_id").agg(F.count("*").alias("n_cells"), F.min("cell_id").alias("first_cell"))
+    return warped(spark, sf_dir).node_patch().groupBy("node_id").agg(F.count("*").alias("n_cells"), F.min("cell_id").alias("first_cell"))
 
 
 @register("SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_quantity < 5 OR l_quantity > 45 THEN -1 WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 25 THEN 1 ELSE 2 END AS BIGINT) AS cell_id FROM lineitem")
@@ -373,44 +400,55 @@ def plane_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- meshes
 
 
-@register(f"WITH {mesh_sql(16)}, {SIDES_SQL}, e AS (SELECT n0, n1, min(cell_id * 3 + side) AS first, min(cell_id) AS cell_a, CASE WHEN count(*) > 1 THEN max(cell_id) ELSE -1 END AS cell_b, count(*) = 1 AS on_boundary FROM sides GROUP BY n0, n1) SELECT row_number() OVER (ORDER BY first) - 1 AS edge_id, n0, n1, cell_a, cell_b, on_boundary FROM e")
+@register(f"WITH {W_SQL}, {SIDES_SQL}, e AS (SELECT n0, n1, min(cell_id * 3 + side) AS first, min(cell_id) AS cell_a, CASE WHEN count(*) > 1 THEN max(cell_id) ELSE -1 END AS cell_b, count(*) = 1 AS on_boundary FROM sides GROUP BY n0, n1) SELECT row_number() OVER (ORDER BY first) - 1 AS edge_id, n0, n1, cell_a, cell_b, on_boundary FROM e")
 def mesh_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.square(spark, 16).edges().drop("n_cells")
+    return warped(spark, sf_dir).edges().drop("n_cells")
 
 
-@register(f"WITH {mesh_sql(16)}, {SIDES_SQL}, e AS (SELECT n0, n1, min(cell_id * 3 + side) AS first FROM sides GROUP BY n0, n1), i AS (SELECT row_number() OVER (ORDER BY first) - 1 AS edge_id, n0, n1 FROM e) SELECT cell_id, side, edge_id FROM sides JOIN i USING (n0, n1)")
+@register(f"WITH {W_SQL}, {SIDES_SQL}, e AS (SELECT n0, n1, min(cell_id * 3 + side) AS first FROM sides GROUP BY n0, n1), i AS (SELECT row_number() OVER (ORDER BY first) - 1 AS edge_id, n0, n1 FROM e) SELECT cell_id, side, edge_id FROM sides JOIN i USING (n0, n1)")
 def cell_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.square(spark, 16).cell_edges()
+    return warped(spark, sf_dir).cell_edges()
 
 
-@register(f"WITH {mesh_sql(16)}, {SIDES_SQL} SELECT a.cell_id, CAST(2 - a.side AS INTEGER) AS opposite, coalesce(b.cell_id, -1) AS neighbor_id FROM sides a LEFT JOIN sides b ON a.n0 = b.n0 AND a.n1 = b.n1 AND a.cell_id <> b.cell_id")
+@register(f"WITH {W_SQL}, {SIDES_SQL} SELECT a.cell_id, CAST(2 - a.side AS INTEGER) AS opposite, coalesce(b.cell_id, -1) AS neighbor_id FROM sides a LEFT JOIN sides b ON a.n0 = b.n0 AND a.n1 = b.n1 AND a.cell_id <> b.cell_id")
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.square(spark, 16).neighbors()
+    return warped(spark, sf_dir).neighbors()
 
 
-@register("SELECT id AS node_id FROM range(289) r(id) WHERE id % 17 IN (0, 16) OR id // 17 IN (0, 16)")
+@register(f"WITH {W_SQL}, {SIDES_SQL}, {B_SQL} SELECT node_id FROM b")
 def boundary_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.square(spark, 16).boundary_nodes()
+    return warped(spark, sf_dir).boundary_nodes()
 
 
-@register(f"WITH {mesh_sql(16)}, {SIDES_SQL} SELECT n0, n1 FROM sides GROUP BY n0, n1 HAVING count(*) = 1")
+@register(f"WITH {W_SQL}, {SIDES_SQL} SELECT n0, n1 FROM sides GROUP BY n0, n1 HAVING count(*) = 1")
 def boundary_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.square(spark, 16).boundary_facets().select(F.col("s0").alias("n0"), F.col("s1").alias("n1"))
+    return warped(spark, sf_dir).boundary_facets().select(F.col("s0").alias("n0"), F.col("s1").alias("n1"))
 
 
-@register(f"WITH {mesh_sql(16)}, b AS (SELECT id FROM range(289) r(id) WHERE id % 17 IN (0, 16) OR id // 17 IN (0, 16)) SELECT cell_id FROM cells WHERE (CASE WHEN v0 IN (SELECT id FROM b) THEN 1 ELSE 0 END) + (CASE WHEN v1 IN (SELECT id FROM b) THEN 1 ELSE 0 END) + (CASE WHEN v2 IN (SELECT id FROM b) THEN 1 ELSE 0 END) >= 2")
+@register(f"WITH {W_SQL}, {SIDES_SQL}, {B_SQL} SELECT cell_id FROM cells WHERE (CASE WHEN v0 IN (SELECT node_id FROM b) THEN 1 ELSE 0 END) + (CASE WHEN v1 IN (SELECT node_id FROM b) THEN 1 ELSE 0 END) + (CASE WHEN v2 IN (SELECT node_id FROM b) THEN 1 ELSE 0 END) >= 2")
 def cell_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.square(spark, 16).boundary_cells()
+    return warped(spark, sf_dir).boundary_cells()
 
 
-@register("SELECT CAST(289 AS BIGINT) AS n_nodes, 0e0 AS min_x, 1e0 AS max_x, 0e0 AS min_y, 1e0 AS max_y")
+@register(f"WITH {W_SQL} SELECT count(*) AS n_nodes, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM nodes")
 def mesh_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.square(spark, 16).range()
+    return warped(spark, sf_dir).range()
+
+
+CUBE_SQL = (
+    "t AS (SELECT unnest(range(6)) AS t, unnest([[0,1,3,7],[0,1,5,7],[0,2,3,7],[0,2,6,7],[0,4,5,7],[0,4,6,7]]) AS c),"
+    " cells AS (SELECT ((i // 20 * 4 + i // 4 % 5) * 3 + i % 4) * 6 + t AS cell_id, list_transform(c, lambda k: i + (k & 1) + ((k >> 1) & 1) * 4 + (k >> 2) * 20) AS v"
+    " FROM (SELECT p_partkey AS i FROM part WHERE p_partkey % 4 < 3 AND p_partkey // 4 % 5 < 4 AND p_partkey + 25 <= (SELECT max(p_partkey) FROM part)), t),"
+    " f AS (SELECT cell_id, side, list_sort([v[a], v[b], v[c]]) AS s FROM cells, (SELECT unnest([0,1,2,3]) AS side, unnest([1,1,1,2]) AS a, unnest([2,2,3,3]) AS b, unnest([3,4,4,4]) AS c)),"
+    " e AS (SELECT cell_id, side, list_sort([v[a], v[b]]) AS s FROM cells, (SELECT unnest([0,1,2,3,4,5]) AS side, unnest([1,1,1,2,2,3]) AS a, unnest([2,3,4,3,4,4]) AS b)),"
+    " fid AS (SELECT s, count(*) AS n, row_number() OVER (ORDER BY min(cell_id * 4 + side)) - 1 AS facet_id FROM f GROUP BY s),"
+    " eid AS (SELECT s, row_number() OVER (ORDER BY min(cell_id * 6 + side)) - 1 AS edge_id FROM e GROUP BY s)"
+)
 
 
-@register("SELECT 'cells' AS what, CAST(162 AS BIGINT) AS n UNION ALL SELECT 'faces', 378 UNION ALL SELECT 'boundary faces', 108 UNION ALL SELECT 'edges', 279 UNION ALL SELECT 'surface cells', 108 UNION ALL SELECT 'surface nodes', 56")
+@register(f"WITH {CUBE_SQL}, o AS (SELECT s FROM fid WHERE n = 1) SELECT 'cells' AS what, count(*) AS n FROM cells UNION ALL SELECT 'faces', count(*) FROM fid UNION ALL SELECT 'boundary faces', count(*) FROM o UNION ALL SELECT 'edges', count(*) FROM eid UNION ALL SELECT 'surface cells', count(*) FROM o UNION ALL SELECT 'surface nodes', count(DISTINCT k) FROM (SELECT unnest(s) AS k FROM o)")
 def solid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mesh = ms.cube(spark, 3)
+    mesh = layered(spark, sf_dir)
     faces, surface = mesh.facets(), mesh.surface()
     count = lambda name, df: df.agg(F.lit(name).alias("what"), F.count("*").alias("n"))
     out = count("cells", mesh.cells)
@@ -419,39 +457,31 @@ def solid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-CUBE_SQL = (
-    "t AS (SELECT unnest(range(6)) AS t, unnest([[0,1,3,7],[0,1,5,7],[0,2,3,7],[0,2,6,7],[0,4,5,7],[0,4,6,7]]) AS c),"
-    " cells AS (SELECT id * 6 + t AS cell_id, list_transform(c, lambda k: (id % 3) + (id // 3 % 3) * 4 + (id // 9) * 16 + (k & 1) + ((k >> 1) & 1) * 4 + (k >> 2) * 16) AS v FROM range(27) r(id), t),"
-    " f AS (SELECT cell_id, side, list_sort([v[a], v[b], v[c]]) AS s FROM cells, (SELECT unnest([0,1,2,3]) AS side, unnest([1,1,1,2]) AS a, unnest([2,2,3,3]) AS b, unnest([3,4,4,4]) AS c)),"
-    " e AS (SELECT cell_id, side, list_sort([v[a], v[b]]) AS s FROM cells, (SELECT unnest([0,1,2,3,4,5]) AS side, unnest([1,1,1,2,2,3]) AS a, unnest([2,3,4,3,4,4]) AS b)),"
-    " fid AS (SELECT s, row_number() OVER (ORDER BY min(cell_id * 4 + side)) - 1 AS facet_id FROM f GROUP BY s),"
-    " eid AS (SELECT s, row_number() OVER (ORDER BY min(cell_id * 6 + side)) - 1 AS edge_id FROM e GROUP BY s)"
-)
-
-
 @register(f"WITH {CUBE_SQL} SELECT cell_id, CAST(side AS INTEGER) AS side, facet_id FROM f JOIN fid USING (s)")
 def solid_cell_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.cube(spark, 3).cell_facets()
+    return layered(spark, sf_dir).cell_facets()
 
 
 @register(f"WITH {CUBE_SQL} SELECT facet_id, cell_id FROM f JOIN fid USING (s)")
 def solid_face_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.cube(spark, 3).facet_cells()
+    return layered(spark, sf_dir).facet_cells()
 
 
 @register(f"WITH {CUBE_SQL} SELECT facet_id, CAST(side AS INTEGER) AS side, edge_id FROM (SELECT facet_id, side, [fid.s[a], fid.s[b]] AS p FROM fid, (SELECT unnest([0,1,2]) AS side, unnest([1,1,2]) AS a, unnest([2,3,3]) AS b)) x JOIN eid ON eid.s = x.p")
 def solid_face_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.cube(spark, 3).facet_edges()
+    return layered(spark, sf_dir).facet_edges()
 
 
 @register(f"WITH {CUBE_SQL} SELECT edge_id, cell_id FROM e JOIN eid USING (s)")
 def solid_edge_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.cube(spark, 3).edge_cells()
+    return layered(spark, sf_dir).edge_cells()
 
 
-@register("SELECT id AS cell_id, id AS v0, id + 1 AS v1, round(2 + id * 0.3e0, 6) + 0e0 AS a, round(2 + (id + 1) * 0.3e0, 6) + 0e0 AS b FROM range(10) r(id)")
+@register("WITH x AS (SELECT p_partkey AS id, p_partkey * 0.3e0 + p_size / 1000e0 AS x FROM part) SELECT l.id AS cell_id, l.id AS v0, r.id AS v1, round(l.x, 6) + 0e0 AS a, round(r.x, 6) + 0e0 AS b FROM x l JOIN x r ON r.id = l.id + 1")
 def interval_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.interval(spark, 2, 5, 10).geometry().select("cell_id", "v0", "v1", r6("x0").alias("a"), r6("x1").alias("b"))
+    """Cells of unequal length between consecutive parts."""
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), (F.col("p_partkey") * 0.3 + F.col("p_size") / 1000.0).alias("x"))
+    return ms.interval_of(nodes).geometry().select("cell_id", "v0", "v1", r6("x0").alias("a"), r6("x1").alias("b"))
 
 
 NET = "cells AS (SELECT n_nationkey AS cell_id, 100 + n_regionkey AS v0, n_nationkey AS v1 FROM nation UNION ALL SELECT 1000 + s_suppkey, 10000 + s_suppkey, s_nationkey FROM supplier), e AS (SELECT cell_id, unnest([v0, v1]) AS node_id FROM cells)"
@@ -469,33 +499,34 @@ def voronoi_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vo.locate(customers(spark, sf_dir), ms.square(spark, 16), 1 / 16)
 
 
-@register("SELECT id AS site, round(CASE WHEN id % 5 IN (0, 4) THEN 0.125e0 ELSE 0.25e0 END * CASE WHEN id // 5 IN (0, 4) THEN 0.125e0 ELSE 0.25e0 END, 6) + 0e0 AS measure FROM range(25) r(id)")
+CELL_SIDES = "CASE WHEN node_id % 20 IN (0, 19) THEN 0.03125e0 ELSE 0.0625e0 END AS w, CASE WHEN node_id // 20 IN (0, (SELECT max(node_id) // 20 FROM nodes)) THEN 0.03125e0 ELSE 0.0625e0 END AS h"
+
+
+@register(f"WITH {R_SQL} SELECT site, round(w * h, 6) + 0e0 AS measure FROM (SELECT node_id AS site, {CELL_SIDES} FROM nodes)")
 def voronoi_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vo.measures(vo.cells(ms.square(spark, 4))).select("site", r6("measure").alias("measure"))
+    return vo.measures(vo.cells(regular(spark, sf_dir))).select("site", r6("measure").alias("measure"))
 
 
-@register(f"WITH {C_SQL}, q AS (SELECT pid, x, y FROM pts WHERE pid % 100 = 0) SELECT pid, CAST(i + 5 * j AS BIGINT) AS site FROM q, range(5) a(i), range(5) b(j) WHERE abs(x - i / 4e0) <= 0.125e0 + 1e-9 AND abs(y - j / 4e0) <= 0.125e0 + 1e-9 AND x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1")
+@register(f"WITH {C_SQL}, {R_SQL} SELECT pid, node_id AS site FROM (SELECT pid, x AS px, y AS qy, unnest([floor(x * 16), floor(x * 16) + 1]) AS i FROM pts) p, (SELECT unnest([0, 1]) AS up) u JOIN nodes ON node_id = CAST(i AS BIGINT) + 20 * (CAST(floor(qy * 16) AS BIGINT) + up) WHERE i BETWEEN 0 AND 19 AND abs(px - x) <= 0.03125e0 + 1e-9 AND abs(qy - y) <= 0.03125e0 + 1e-9 AND px <= 19 / 16e0 AND qy <= (SELECT max(y) FROM nodes) + 1e-9")
 def voronoi_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated set of points against all cells of a small diagram."""
-    q = customers(spark, sf_dir).where("pid % 100 = 0").select("pid", "x", "y")
-    rings = vo.cells(ms.square(spark, 4)).crossJoin(F.broadcast(q))  # 25 cells
-    return vo.contains(rings, F.col("x"), F.col("y")).where("inside").select("pid", "site")
+    """All customers in the cells of all parts."""
+    return vo.containing(customers(spark, sf_dir), vo.cells(regular(spark, sf_dir)))
 
 
-@register("SELECT id AS site, (id % 5) / 4e0 AS x, (id // 5) / 4e0 AS y, id % 5 IN (0, 4) OR id // 5 IN (0, 4) AS on_boundary FROM range(25) r(id)")
+@register(f"WITH {R_SQL} SELECT node_id AS site, x, y, node_id % 20 IN (0, 19) OR node_id // 20 IN (0, (SELECT max(node_id) // 20 FROM nodes)) AS on_boundary FROM nodes")
 def voronoi_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vo.sites(ms.square(spark, 4))
+    return vo.sites(regular(spark, sf_dir))
 
 
-@register(f"WITH {mesh_sql(4)}, {SIDES_SQL} SELECT n0 AS site, n1 AS neighbor FROM sides UNION SELECT n1, n0 FROM sides")
+@register(f"WITH {W_SQL}, {SIDES_SQL} SELECT n0 AS site, n1 AS neighbor FROM sides UNION SELECT n1, n0 FROM sides")
 def voronoi_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vo.dual(ms.square(spark, 4))
+    return vo.dual(warped(spark, sf_dir))
 
 
-@register("SELECT id AS site, CAST(4 AS BIGINT) AS n_edges, round(2 * CASE WHEN id % 5 IN (0, 4) THEN 0.125e0 ELSE 0.25e0 END + 2 * CASE WHEN id // 5 IN (0, 4) THEN 0.125e0 ELSE 0.25e0 END, 6) + 0e0 AS around FROM range(25) r(id)")
+@register(f"WITH {R_SQL} SELECT site, CAST(4 AS BIGINT) AS n_edges, round(2 * w + 2 * h, 6) + 0e0 AS around FROM (SELECT node_id AS site, {CELL_SIDES} FROM nodes)")
 def voronoi_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of each cell that have a length, and the length of all."""
-    e = vo.cell_edges(vo.cells(ms.square(spark, 4)))
+    e = vo.cell_edges(vo.cells(regular(spark, sf_dir)))
     length = F.sqrt(F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2))
     # vertices on a straight side split it in two
     straight = F.when(F.abs(F.col("a.x") - F.col("b.x")) < 1e-9, F.struct(F.lit("x").alias("d"), F.round("a.x", 6).alias("at"))).otherwise(F.struct(F.lit("y").alias("d"), F.round("a.y", 6).alias("at")))
@@ -589,26 +620,29 @@ def polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- quadrature
 
 
-@register(f"WITH {mesh_sql(8)}, {G_SQL} SELECT cell_id, round(abs({DET}) / 2 * (x0 + x1 + x2 + y0 + y1 + y2) / 3, 12) + 0e0 AS integral FROM g")
+@register(f"WITH {W_SQL}, {G_SQL} SELECT cell_id, round(abs({DET}) / 2 * (x0 + x1 + x2 + y0 + y1 + y2) / 3, 9) + 0e0 AS integral FROM g")
 def quad_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = qu.integrate_cells(ms.square(spark, 8), lambda x, y: x + y)
-    return found.select("cell_id", (F.round("integral", 12) + 0.0).alias("integral"))
+    found = qu.integrate_cells(warped(spark, sf_dir), lambda x, y: x + y)
+    return found.select("cell_id", (F.round("integral", 9) + 0.0).alias("integral"))
 
 
-@register("SELECT round(1e0 / 9 + 1e0 / 2, 9) AS integral")
+@register(f"WITH {R_SQL} SELECT round((pow(w, 3) / 3 * pow(h, 3) / 3 + w * h * h / 2) / (w * h), 6) + 0e0 AS mean FROM (SELECT max(x) AS w, max(y) AS h FROM nodes)")
 def quad_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = qu.integrate(ms.square(spark, 16), lambda x, y: x * x * y * y + y, nodes=12)
-    return found.select(F.round("integral", 9).alias("integral"))
+    """The mean of a field over the rectangle that all parts fill."""
+    mesh = regular(spark, sf_dir)
+    found, area = qu.integrate(mesh, lambda x, y: x * x * y * y + y, nodes=12), qu.integrate(mesh, lambda x, y: x * 0.0 + 1.0, nodes=1).withColumnRenamed("integral", "area")
+    return found.crossJoin(F.broadcast(area)).select(r6(F.col("integral") / F.col("area")).alias("mean"))  # one row each
 
 
-@register("SELECT round(1e0 / 4, 9) AS integral")
+@register("SELECT round(2.25e0 / 2 * 4e0 / 2 * (max(p_partkey) // 20) / 2e0, 6) + 0e0 AS integral FROM part")
 def quad_solid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qu.integrate(ms.cube(spark, 2), lambda x, y, z: x * y + z * 0.0, nodes=4).select(F.round("integral", 9).alias("integral"))
+    """Of x y over a box of 1.5 by 2, as high as there are layers."""
+    return qu.integrate(layered(spark, sf_dir), lambda x, y, z: x * y + z * 0.0, nodes=4).select(r6("integral").alias("integral"))
 
 
-@register(f"WITH {mesh_sql(4)}, {G_SQL}, q AS (SELECT unnest([0, 1, 2]) AS iq, unnest([0.166666666666667e0, 0.666666666666667e0, 0.166666666666667e0]) AS a, unnest([0.166666666666667e0, 0.166666666666667e0, 0.666666666666667e0]) AS b) SELECT cell_id * 3 + iq AS qnode_id, round(x0 + (x1 - x0) * a + (x2 - x0) * b, 9) + 0e0 AS x, round(y0 + (y1 - y0) * a + (y2 - y0) * b, 9) + 0e0 AS y FROM g, q")
+@register(f"WITH {W_SQL}, {G_SQL}, q AS (SELECT unnest([0, 1, 2]) AS iq, unnest([0.166666666666667e0, 0.666666666666667e0, 0.166666666666667e0]) AS a, unnest([0.166666666666667e0, 0.166666666666667e0, 0.666666666666667e0]) AS b) SELECT cell_id * 3 + iq AS qnode_id, round(x0 + (x1 - x0) * a + (x2 - x0) * b, 9) + 0e0 AS x, round(y0 + (y1 - y0) * a + (y2 - y0) * b, 9) + 0e0 AS y FROM g, q")
 def quad_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qu.quadrature_nodes(ms.square(spark, 4), qu.rule(2, 1)).select("qnode_id", *[(F.round(c, 9) + 0.0).alias(c) for c in ("x", "y")])
+    return qu.quadrature_nodes(warped(spark, sf_dir), qu.rule(2, 1)).select("qnode_id", *[(F.round(c, 9) + 0.0).alias(c) for c in ("x", "y")])
 
 
 @register("SELECT s_suppkey, round((pow(b, 4) - pow(a, 4)) / 4, 6) + 0e0 AS integral FROM (SELECT s_suppkey, (s_suppkey % 7) / 7e0 AS a, (s_suppkey % 7) / 7e0 + 0.5e0 AS b FROM supplier)")
@@ -618,10 +652,13 @@ def quad_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("s_suppkey").agg(F.sum(F.col("w") * F.col("x") * F.col("x") * F.col("x")).alias("i")).select("s_suppkey", r6("i").alias("integral"))
 
 
-@register("SELECT event_id // 3 AS cell_id, round(sum(value) / 3 / 128, 9) + 0e0 AS integral FROM events WHERE event_id < 384 GROUP BY 1")
+@register("SELECT event_id // 3 AS cell_id, round(sum(value) / 3 / 722, 7) + 0e0 AS integral FROM events GROUP BY 1")
 def discretized_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value for each quadrature node, three in a cell, from all events; a mesh of as many nodes as there are events has room for them."""
+    k = F.col("event_id")
+    mesh = ms.lattice(table(spark, sf_dir, "events").select(k.alias("node_id"), ((k % 20) / 19.0).alias("x"), (F.floor(k / 20) / 19.0).alias("y")), 20)
     data = table(spark, sf_dir, "events").select(F.col("event_id").alias("qnode_id"), "value")
-    return qu.integrate_cells(ms.square(spark, 8), "value", data=data).select("cell_id", (F.round("integral", 9) + 0.0).alias("integral"))
+    return qu.integrate_cells(mesh, "value", data=data).select("cell_id", (F.round("integral", 7) + 0.0).alias("integral"))
 
 
 # ---------------------------------------------------------------- bases
@@ -639,11 +676,11 @@ def psi_point_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ba.Lagrange(ms.square(spark, 16), 2).evaluate(customers(spark, sf_dir), 1 / 16).select("pid", "dof_id", r6("value").alias("value"))
 
 
-@register(f"WITH {mesh_sql(8)}, s AS (SELECT unnest([v0, v1, v2]) AS dof_id, cell_id // 16 AS sub_id FROM cells) SELECT sub_id, dof_id, round(count(*) / 48e0, 9) AS value FROM s GROUP BY sub_id, dof_id")
+@register(f"WITH {W_SQL}, {G_SQL}, s AS (SELECT unnest([v0, v1, v2]) AS dof_id, cell_id // 16 AS sub_id, abs({DET}) / 2 AS m FROM g), a AS (SELECT sub_id, sum(m) / 3 AS m FROM s GROUP BY sub_id) SELECT sub_id, dof_id, round(sum(s.m) / 3 / any_value(a.m), 9) + 0e0 AS value FROM s JOIN a USING (sub_id) GROUP BY sub_id, dof_id")
 def psi_areal_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mesh = ms.square(spark, 8)
+    mesh = warped(spark, sf_dir)
     regions = mesh.cells.select((F.floor(F.col("cell_id") / 16)).cast("bigint").alias("sub_id"), "cell_id")
-    return ba.Lagrange(mesh).areal(regions).select("sub_id", "dof_id", F.round("value", 9).alias("value"))
+    return ba.Lagrange(mesh).areal(regions).select("sub_id", "dof_id", (F.round("value", 9) + 0.0).alias("value"))
 
 
 @register(f"WITH {C_SQL} SELECT pid, round(3 * x - y + 1, 6) + 0e0 AS value FROM pts")
@@ -653,9 +690,9 @@ def basis_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basis.expand(c, customers(spark, sf_dir), 1 / 16).select("pid", r6("value").alias("value"))
 
 
-@register(f"WITH {mesh_sql(4)}, {SIDES_SQL}, e AS (SELECT n0, n1, min(cell_id * 3 + side) AS first, count(*) = 1 AS b FROM sides GROUP BY n0, n1) SELECT node_id AS dof_id, x, y, node_id % 5 IN (0, 4) OR node_id // 5 IN (0, 4) AS on_boundary FROM nodes UNION ALL SELECT 25 + row_number() OVER (ORDER BY first) - 1, (a.x + c.x) / 2, (a.y + c.y) / 2, b FROM e JOIN nodes a ON n0 = a.node_id JOIN nodes c ON n1 = c.node_id")
+@register(f"WITH {W_SQL}, {SIDES_SQL}, {B_SQL}, e AS (SELECT n0, n1, min(cell_id * 3 + side) AS first, count(*) = 1 AS rim FROM sides GROUP BY n0, n1) SELECT node_id AS dof_id, round(x, 9) AS x, round(y, 9) AS y, node_id IN (SELECT node_id FROM b) AS on_boundary FROM nodes UNION ALL SELECT (SELECT count(*) FROM nodes) + row_number() OVER (ORDER BY first) - 1, round((a.x + c.x) / 2, 9), round((a.y + c.y) / 2, 9), rim FROM e JOIN nodes a ON n0 = a.node_id JOIN nodes c ON n1 = c.node_id")
 def dofs_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ba.Lagrange(ms.square(spark, 4), 2).dofs()
+    return ba.Lagrange(warped(spark, sf_dir), 2).dofs().select("dof_id", *[F.round(c, 9).alias(c) for c in ("x", "y")], "on_boundary")
 
 
 S_SQL = "p AS (SELECT event_id AS pid, value / 250 AS x FROM events)"
@@ -681,10 +718,18 @@ def spline_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.expand(c, values(spark, sf_dir)).select("pid", F.round("value", 9).alias("value"))
 
 
-@register("SELECT i AS dof_id, round(x, 9) AS x FROM (SELECT unnest(range(7)) AS i, unnest([0e0, 0.5e0 / 3, 0.5e0, 1e0, 1.5e0, 5.5e0 / 3, 2e0]) AS x)")
+KNOTS_SQL = "u AS (SELECT DISTINCT p_size AS u FROM part), k AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS i, lead(u) OVER (ORDER BY u) AS next FROM u)"
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The different sizes of parts, of which there are 50."""
+    return sorted(float(r[0]) for r in table(spark, sf_dir, "part").select("p_size").distinct().collect())
+
+
+@register(f"WITH {KNOTS_SQL}, n AS (SELECT count(*) AS n, min(u) AS low, max(u) AS high FROM k), t AS (SELECT i + 3 AS i, CAST(u AS DOUBLE) AS u FROM k UNION ALL SELECT unnest(range(3)), low FROM n UNION ALL SELECT n + 3 + unnest(range(3)), high FROM n) SELECT a.i AS dof_id, round((a.u * 0 + b.u + c.u + d.u) / 3, 9) + 0e0 AS x FROM t a JOIN t b ON b.i = a.i + 1 JOIN t c ON c.i = a.i + 2 JOIN t d ON d.i = a.i + 3 JOIN t e ON e.i = a.i + 4")
 def spline_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ba.Splines([0, 0.5, 1, 1.5, 2], 3)
-    return spark.createDataFrame(list(enumerate(s.dofs_coords())), "dof_id long, x double").select("dof_id", F.round("x", 9).alias("x"))
+    s = ba.Splines(sizes(spark, sf_dir), 3)
+    return spark.createDataFrame(list(enumerate(s.dofs_coords())), "dof_id long, x double").select("dof_id", (F.round("x", 9) + 0.0).alias("x"))
 
 
 @register(f"WITH {S_SQL} SELECT pid, i AS dof_id, CASE WHEN x * 2 < i THEN 2e0 ELSE -2e0 END AS value FROM (SELECT pid, x, unnest(range(0, 5)) AS i FROM p) WHERE x < 2 AND x * 2 >= i - 1 AND x * 2 < i + 1")
@@ -702,98 +747,99 @@ def entries(m: cm.Coo) -> DataFrame:
 LOCAL = f"d AS (SELECT cell_id, abs({DET}) / 2 AS m, [v0, v1, v2] AS v, [(y1 - y2) / {DET}, (y2 - y0) / {DET}, (y0 - y1) / {DET}] AS gx, [(x2 - x1) / {DET}, (x0 - x2) / {DET}, (x1 - x0) / {DET}] AS gy FROM g), ij AS (SELECT i, j FROM range(1, 4) a(i), range(1, 4) b(j))"
 
 
-def local_sql(value: str, n: int = 8) -> str:
-    return f'WITH {mesh_sql(n)}, {G_SQL}, {LOCAL} SELECT v[i] AS "row", v[j] AS col, round(sum({value}), 9) + 0e0 AS value FROM d, ij GROUP BY 1, 2'
+def local_sql(value: str) -> str:
+    return f'WITH {W_SQL}, {G_SQL}, {LOCAL} SELECT v[i] AS "row", v[j] AS col, round(sum({value}), 9) + 0e0 AS value FROM d, ij GROUP BY 1, 2'
 
 
 @register(local_sql("m / 12 * (CASE WHEN i = j THEN 2 ELSE 1 END)"))
 def mass_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entries(asm.mass(ba.Lagrange(ms.square(spark, 8))))
+    return entries(asm.mass(ba.Lagrange(warped(spark, sf_dir))))
 
 
 @register(local_sql("m * (gx[i] * gx[j] + gy[i] * gy[j])"))
 def stiff_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entries(asm.assemble(-asm.laplacian(), ba.Lagrange(ms.square(spark, 8))))
+    return entries(asm.assemble(-asm.laplacian(), ba.Lagrange(warped(spark, sf_dir))))
 
 
 @register(local_sql("-m * (gx[i] * (2 * gx[j] + 0.5e0 * gy[j]) + gy[i] * (0.5e0 * gx[j] + gy[j]))"))
 def diffusion_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entries(asm.assemble(asm.diffusion([[2.0, 0.5], [0.5, 1.0]]), ba.Lagrange(ms.square(spark, 8))))
+    return entries(asm.assemble(asm.diffusion([[2.0, 0.5], [0.5, 1.0]]), ba.Lagrange(warped(spark, sf_dir))))
 
 
 @register(local_sql("-m * (gx[i] * (gx[j] + 2 * gy[j]) + gy[i] * gy[j])"))
 def diffusion_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A diffusion whose matrix isn't symmetric."""
-    return entries(asm.assemble(asm.diffusion([[1.0, 2.0], [0.0, 1.0]]), ba.Lagrange(ms.square(spark, 8))))
+    return entries(asm.assemble(asm.diffusion([[1.0, 2.0], [0.0, 1.0]]), ba.Lagrange(warped(spark, sf_dir))))
 
 
 @register(local_sql("m / 3 * (gx[j] + 2 * gy[j])"))
 def advection_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entries(asm.assemble(asm.advection([1.0, 2.0]), ba.Lagrange(ms.square(spark, 8))))
+    return entries(asm.assemble(asm.advection([1.0, 2.0]), ba.Lagrange(warped(spark, sf_dir))))
 
 
 @register(local_sql("2.5e0 * m / 12 * (CASE WHEN i = j THEN 2 ELSE 1 END)"))
 def reaction_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entries(asm.assemble(asm.reaction(lambda x, y: F.lit(2.5)), ba.Lagrange(ms.square(spark, 8))))
+    return entries(asm.assemble(asm.reaction(lambda x, y: F.lit(2.5)), ba.Lagrange(warped(spark, sf_dir))))
 
 
 @register(local_sql("m * (gx[i] * gx[j] + gy[i] * gy[j]) + m / 3 * (gx[j] + 2 * gy[j]) - 3 * m / 12 * (CASE WHEN i = j THEN 2 ELSE 1 END)"))
 def operator_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = -asm.laplacian() + asm.advection([1.0, 2.0]) - 3.0 * asm.reaction(1.0)
-    return entries(asm.assemble(o, ba.Lagrange(ms.square(spark, 8))))
+    return entries(asm.assemble(o, ba.Lagrange(warped(spark, sf_dir))))
 
 
-@register(f"WITH {mesh_sql(8)}, s AS (SELECT unnest([v0, v1, v2]) AS idx FROM cells) SELECT idx, round(count(*) * 4e0 / 128 / 3, 9) AS value FROM s GROUP BY idx")
+@register(f"WITH {W_SQL}, {G_SQL}, s AS (SELECT unnest([v0, v1, v2]) AS idx, abs({DET}) / 2 AS m FROM g) SELECT idx, round(sum(m) * 4 / 3, 9) + 0e0 AS value FROM s GROUP BY idx")
 def forcing_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asm.forcing(ba.Lagrange(ms.square(spark, 8)), lambda x, y: F.lit(4.0)).select("idx", F.round("value", 9).alias("value"))
+    return asm.forcing(ba.Lagrange(warped(spark, sf_dir)), lambda x, y: F.lit(4.0)).select("idx", (F.round("value", 9) + 0.0).alias("value"))
 
 
-@register('WITH h AS (SELECT i, j FROM range(0, 5) a(i), range(0, 5) b(j) WHERE abs(i - j) <= 1) SELECT i AS "row", j AS col, round(CASE WHEN i <> j THEN 0.5e0 / 6 WHEN i IN (0, 4) THEN 0.5e0 / 3 ELSE 1e0 / 3 END, 9) AS value FROM h')
+@register(f'WITH {KNOTS_SQL}, e AS (SELECT i, next - u AS h FROM k WHERE next IS NOT NULL), l AS (SELECT i AS "row", i AS col, h / 3e0 AS v FROM e UNION ALL SELECT i + 1, i + 1, h / 3e0 FROM e UNION ALL SELECT i, i + 1, h / 6e0 FROM e UNION ALL SELECT i + 1, i, h / 6e0 FROM e) SELECT "row", col, round(sum(v), 9) + 0e0 AS value FROM l GROUP BY 1, 2')
 def spline_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = spark.range(4).select((F.col("id") / 2.0).alias("a"), ((F.col("id") + 1) / 2.0).alias("b"))
-    return entries(asm.assemble_splines(asm.reaction(1.0), ba.Splines([0, 0.5, 1, 1.5, 2], 1), spans))
+    knots = sizes(spark, sf_dir)
+    spans = spark.createDataFrame(list(zip(knots[:-1], knots[1:], strict=True)), "a double, b double")
+    return entries(asm.assemble_splines(asm.reaction(1.0), ba.Splines(knots, 1), spans))
 
 
-@register('WITH m AS (SELECT [[4, -6, 2, 0], [-6, 12, -9, 3], [2, -9, 12, -6], [0, 3, -6, 4]] AS m) SELECT 0 AS "row", 0 AS col, 0e0 AS value FROM m WHERE 1 = 0 UNION ALL SELECT i, j, -4 * CAST(CASE WHEN i = j THEN 1 ELSE -2 END AS DOUBLE) FROM range(0, 0) a(i), range(0, 0) b(j) UNION ALL SELECT i, j, -round(k[i + 1] * k[j + 1], 9) + 0e0 FROM (SELECT [2e0, -4e0, 2e0] AS k), range(0, 3) a(i), range(0, 3) b(j)')
+@register(f'WITH {KNOTS_SQL}, r AS (SELECT CAST(min(u) AS DOUBLE) AS a, CAST(max(u) AS DOUBLE) AS b FROM k) SELECT i AS "row", j AS col, -round(c[i + 1] * c[j + 1] / pow(b - a, 3), 9) + 0e0 AS value FROM (SELECT [2e0, -4e0, 2e0] AS c), r, range(0, 3) p(i), range(0, 3) q(j)')
 def spline_bilaplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quadratic splines on one span [0, 1] have second derivatives 2, -4 and 2."""
-    spans = spark.createDataFrame([(0.0, 1.0)], "a double, b double")
-    return entries(asm.assemble_splines(asm.bilaplacian(), ba.Splines([0, 1], 2), spans))
+    """Quadratic splines on the one span from the smallest to the largest size: on [0, 1] their second derivatives are 2, -4 and 2."""
+    ends = [sizes(spark, sf_dir)[k] for k in (0, -1)]
+    return entries(asm.assemble_splines(asm.bilaplacian(), ba.Splines(ends, 2), spark.createDataFrame([tuple(ends)], "a double, b double")))
 
 
-@register(f'WITH {mesh_sql(8)}, {G_SQL}, {LOCAL}, a AS (SELECT v[i] AS r, v[j] AS c, sum(m * (gx[i] * gx[j] + gy[i] * gy[j])) AS value FROM d, ij GROUP BY 1, 2), b AS (SELECT node_id FROM nodes WHERE x IN (0, 1) OR y IN (0, 1)) SELECT r AS "row", c AS col, round(value, 9) + 0e0 AS value FROM a WHERE r NOT IN (SELECT node_id FROM b) UNION ALL SELECT node_id, node_id, 1e0 FROM b')
+@register(f'WITH {W_SQL}, {G_SQL}, {LOCAL}, {SIDES_SQL}, {B_SQL}, a AS (SELECT v[i] AS r, v[j] AS c, sum(m * (gx[i] * gx[j] + gy[i] * gy[j])) AS value FROM d, ij GROUP BY 1, 2) SELECT r AS "row", c AS col, round(value, 9) + 0e0 AS value FROM a WHERE r NOT IN (SELECT node_id FROM b) UNION ALL SELECT node_id, node_id, 1e0 FROM b')
 def dirichlet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mesh = ms.square(spark, 8)
+    mesh = warped(spark, sf_dir)
     a = asm.assemble(-asm.laplacian(), ba.Lagrange(mesh))
     return entries(a.replace_rows(mesh.boundary_nodes().select(F.col("node_id").alias("row"))))
 
 
-@register(f"WITH {mesh_sql(32)} SELECT node_id AS dof_id, round(x + y, 6) + 0e0 AS u FROM nodes")
+@register(f"WITH {W_SQL} SELECT node_id AS dof_id, round(x + y, 6) + 0e0 AS u FROM nodes")
 def solve_laplace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = so.PDE(ms.square(spark, 32), -asm.laplacian(), boundary=lambda x, y: x + y).solve()
+    u = so.PDE(warped(spark, sf_dir), -asm.laplacian(), boundary=lambda x, y: x + y).solve()
     return u.select("dof_id", r6("u").alias("u"))
 
 
-@register("SELECT CAST(289 AS BIGINT) AS n, 0e0 AS error")
+@register(f"WITH {W_SQL}, {SIDES_SQL} SELECT (SELECT count(*) FROM nodes) + (SELECT count(*) FROM (SELECT DISTINCT n0, n1 FROM sides)) AS n, 0e0 AS error")
 def solve_poisson_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """u = 1 - x^2 - y^2 solves the problem with forcing 4, and quadratic elements hold it exactly."""
     exact = lambda x, y: 1 - x * x - y * y
-    u = so.PDE(ms.square(spark, 8), -asm.laplacian(), 2, source=lambda x, y: F.lit(4.0), boundary=exact).solve()
+    u = so.PDE(warped(spark, sf_dir), -asm.laplacian(), 2, source=lambda x, y: F.lit(4.0), boundary=exact).solve()
     return u.agg(F.count("*").alias("n"), (F.round(F.max(F.abs(F.col("u") - exact(F.col("x"), F.col("y")))), 6) + 0.0).alias("error"))
 
 
-@register(f"WITH {mesh_sql(8)} SELECT node_id AS dof_id, round(x - y, 6) + 0e0 AS u FROM nodes")
+@register(f"WITH {W_SQL} SELECT node_id AS dof_id, round(x - y, 6) + 0e0 AS u FROM nodes")
 def solve_advection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advection (1, 1) leaves x - y alone, so it solves the problem without forcing."""
     o = -asm.laplacian() + asm.advection([1.0, 1.0])
-    return so.PDE(ms.square(spark, 8), o, boundary=lambda x, y: x - y).solve().select("dof_id", r6("u").alias("u"))
+    return so.PDE(warped(spark, sf_dir), o, boundary=lambda x, y: x - y).solve().select("dof_id", r6("u").alias("u"))
 
 
-@register(f"WITH {mesh_sql(4)} SELECT k AS t_index, node_id AS dof_id, round(x + y + k * 0.1e0, 6) + 0e0 AS u FROM nodes, range(0, 3) t(k)")
+@register(f"WITH {W_SQL} SELECT k AS t_index, node_id AS dof_id, round(x + y + k * 0.1e0, 6) + 0e0 AS u FROM nodes, range(0, 3) t(k)")
 def solve_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """u = x + y + t solves the heat equation with forcing 1; implicit Euler is exact for it."""
     o = asm.dt() - asm.laplacian()
-    p = so.PDE(ms.square(spark, 4), o, times=[0.0, 0.1, 0.2], source=lambda x, y, t: F.lit(1.0), boundary=lambda x, y, t: x + y + t, initial=lambda x, y: x + y)
+    p = so.PDE(warped(spark, sf_dir), o, times=[0.0, 0.1, 0.2], source=lambda x, y, t: F.lit(1.0), boundary=lambda x, y, t: x + y + t, initial=lambda x, y: x + y)
     return p.solve().select(F.col("t_index").cast("bigint").alias("t_index"), "dof_id", r6("u").alias("u"))
 
 
@@ -860,22 +906,25 @@ def symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantities(spark, sf_dir).symmetric_from_lower().df
 
 
-@register("SELECT id AS idx, round((id + 1) / 2e0 - 0.5e0 * (SELECT sum((id + 1) / 2e0) FROM range(6) r(id)) / (1 + 6 * 0.5e0), 9) + 0e0 AS value FROM range(6) r(id)")
+@register("WITH b AS (SELECT p_partkey AS idx, p_retailprice / 2 AS x FROM part) SELECT idx, round(x - 0.5e0 * (SELECT sum(x) FROM b) / (1 + 0.5e0 * (SELECT count(*) FROM b)), 6) + 0e0 AS value FROM b")
 def woodbury(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(2 I + u ut) x = b with u of ones, by solutions with 2 I."""
-    two = cm.identity(spark, 6).scale(2.0)
-    u = cm.Coo(spark.range(6).select(F.col("id").alias("row"), F.lit(0).cast("bigint").alias("col"), F.lit(1.0).alias("value")), 6, 1)
-    b = spark.range(6).select(F.col("id").alias("idx"), (F.col("id") + 1).cast("double").alias("value"))
-    x = so.woodbury(lambda v: so.solve(two, v), u, so.np.eye(1), u.transpose(), b)
-    return x.select("idx", (F.round("value", 9) + 0.0).alias("value"))
+    """(2 I + u ut) x = b with u of ones and the prices of all parts as b, by solutions with the factors of 2 I."""
+    p = table(spark, sf_dir, "part")
+    n = p.count()
+    u = cm.Coo(p.select(F.col("p_partkey").alias("row"), F.lit(0).cast("bigint").alias("col"), F.lit(1.0).alias("value")), n, 1)
+    x = so.woodbury(so.factorise(cm.identity(spark, n).scale(2.0)), u, so.np.eye(1), u.transpose(), p.select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").alias("value")))
+    return x.select("idx", r6("value").alias("value"))
 
 
-@register("SELECT id AS idx, true AS lower, 1e0 AS value FROM range(81) r(id)")
+@register("SELECT p_partkey AS idx, true AS lower, 1e0 AS value, true AS near FROM part")
 def sparse_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L of an approximate inverse of mass plus stiffness: it is lower, and each column is scaled so that Lt A L has ones on its diagonal."""
-    a = asm.assemble(asm.reaction(1.0) - asm.laplacian(), ba.Lagrange(ms.square(spark, 8)))
+    """L of an approximate inverse of mass plus stiffness: it is lower, each column is scaled so that Lt A L has ones on its diagonal, and all other entries there are small."""
+    a = asm.assemble(asm.reaction(400.0) - asm.laplacian(), ba.Lagrange(warped(spark, sf_dir))).summed()
     low = so.sparse_inverse(a)
-    diagonal = low.transpose().times(a.times(low)).df.where("row = col").select(F.col("row").alias("idx"), (F.round("value", 9) + 0.0).alias("value"))
+    product = low.transpose().times(a.times(low)).df
+    diagonal = product.groupBy(F.col("row").alias("idx")).agg(
+        (F.round(F.sum(F.when(F.col("row") == F.col("col"), F.col("value"))), 9) + 0.0).alias("value"), (F.coalesce(F.max(F.when(F.col("row") != F.col("col"), F.abs("value"))), F.lit(0.0)) < 0.5).alias("near")
+    )
     return low.df.groupBy(F.col("col").alias("idx")).agg(F.bool_and(F.col("row") >= F.col("col")).alias("lower")).join(diagonal, "idx")
 
 
@@ -926,17 +975,17 @@ def distance_objective(spark: SparkSession, sf_dir: str) -> op.Objective:
     return op.Objective(p, lambda a, b: ((F.col("x") - a) * (F.col("x") - a) + (F.col("y") - b) * (F.col("y") - b)) / n)
 
 
-@register("WITH g AS (SELECT id AS row_id, (id % 10 - 5) * 0.2e0 AS a, (id // 10 - 5) * 0.2e0 AS b FROM range(100) r(id)) SELECT row_id, round(a, 6) + 0e0 AS a, round(b, 6) + 0e0 AS b, round(a * a + b * b, 6) + 0e0 AS f FROM g ORDER BY a * a + b * b, row_id LIMIT 1")
+@register("SELECT p_partkey AS row_id, round(p_size / 10e0 - 2, 6) + 0e0 AS a, round(p_retailprice / 1000 - 1, 6) + 0e0 AS b, round((p_size / 10e0 - 2) * (p_size / 10e0 - 2) + (p_retailprice / 1000 - 1) * (p_retailprice / 1000 - 1), 6) + 0e0 AS f FROM part ORDER BY (p_size / 10e0 - 2) * (p_size / 10e0 - 2) + (p_retailprice / 1000 - 1) * (p_retailprice / 1000 - 1), p_partkey LIMIT 1")
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    grid = spark.range(100).select(i.alias("row_id"), ((i % 10 - 5) * 0.2).alias("a"), ((F.floor(i / 10) - 5) * 0.2).alias("b"))
+    """Over the pairs of size and price that all parts give; the answer is the one best row."""
+    grid = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_size") / 10.0 - 2.0).alias("a"), (F.col("p_retailprice") / 1000.0 - 1.0).alias("b"))
     return op.grid_search(grid, F.col("a") * F.col("a") + F.col("b") * F.col("b")).select("row_id", *[r6(c).alias(c) for c in ("a", "b", "f")])
 
 
-@register("SELECT CAST(0 AS BIGINT) AS row_id, 0e0 AS a, 2e0 AS f UNION ALL SELECT 31, 31e0, -31e0")
+@register("WITH g AS (SELECT p_partkey AS row_id, p_partkey + p_size / 100e0 AS a FROM part) SELECT CAST(0 AS BIGINT) AS row_id, (SELECT a FROM g WHERE row_id = 0) AS a, 2e0 AS f UNION ALL SELECT 31, a, -a FROM g WHERE row_id = 31")
 def grid_search_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """f falls along the grid; callbacks end the search after the first or the second batch of 32 rows."""
-    grid = spark.range(100).select(F.col("id").alias("row_id"), F.col("id").cast("double").alias("a"))
+    """f falls along the grid of all parts; callbacks end the search after the first batch of 32 rows."""
+    grid = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_partkey") + F.col("p_size") / 100.0).alias("a"))
 
     class Below:
         def __init__(self, goal: float):
@@ -945,7 +994,7 @@ def grid_search_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
         def post_update(self, best: object, f: float) -> bool:
             return f < self.goal
 
-    first = op.grid_search(grid.where("row_id < 40"), F.lit(2.0), callbacks=[Below(3)], batch=32)
+    first = op.grid_search(grid, F.lit(2.0), callbacks=[Below(3)], batch=32)
     return first.unionByName(op.grid_search(grid, -F.col("a"), callbacks=[Below(-5)], batch=32))
 
 
