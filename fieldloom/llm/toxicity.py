@@ -15,8 +15,9 @@ words the landmarks. As the features are finite, the machine folds into one weig
 costs some table look-ups for each character. A document's margin is that of its highest sentence; the logistic is fitted to
 documents of the sample that the machine hasn't seen, with both classes weighing the same.
 
-Bounds of the fit: MOST_TOXIC and MOST_CLEAN labelled documents, drawn by a hash of their id, LANDMARKS first landmarks, HARDER more in a
-round, BEST sentences of a toxic document and WORST of a clean one in a round. Every document is scored whole.
+Bounds of the fit: MOST_TOXIC and MOST_CLEAN labelled documents, drawn by a hash of their id (an id that repeats is as many documents as it has texts), LANDMARKS first landmarks, HARDER more in a
+round, BEST sentences of a toxic document and WORST of a clean one in a round, LONGEST characters of a landmark. Sentences of any length stay on executors, where their
+kernels are taken; the driver gets a row of Nyström features for each. Every document is scored whole.
 
 Defined cases: a null or empty text, or one without letters, has the margin of a sentence without words; a row without label isn't learnt
 from; repeated rows are scored alike; without labels of both classes every score is the share of toxic labels (0 with none);
@@ -28,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ DECAY, SPAN, CLASSES, START, END = 0.6, 6, 41, 39, 40
 #: Log-likelihood ratio from which a word counts as a witness.
 LEAST_RATIO = 13.0
 MOST_TOXIC, MOST_CLEAN, LANDMARKS, HARDER, ROUNDS, BEST, WORST = 1_500, 3_500, 320, 80, 3, 3, 2
+#: Longest word that becomes a landmark, in characters (longer ones are learnt from and scored like any other); places whose features are summed at once.
+LONGEST, STRETCH = 256, 1 << 21
 #: One of so many documents of the sample is kept for the logistic.
 FOLDS = 5
 SENTENCE = re.compile(r"[^.!?|\n]+")
@@ -156,25 +160,50 @@ def features(parts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.searchsorted(at.starts, place, side="right") - 1, np.concatenate(found), np.concatenate(weights)
 
 
+class Landmarks:
+    """Features of the landmarks, to which kernels of any number of sentences are taken in bounded memory."""
+
+    def __init__(self, marks: Sequence[str]):
+        rows, found, values = features(marks)
+        self.known, inverse = np.unique(found, return_inverse=True)
+        self.right = np.zeros((len(self.known), len(marks)))
+        np.add.at(self.right, (inverse, rows), values)
+        self.place = np.full(CLASSES**4, -1, np.int32)
+        self.place[self.known] = np.arange(len(self.known))
+
+    def kernel(self, parts: Sequence[str]) -> np.ndarray:
+        """Kernel matrix of sentences in plain form and the landmarks."""
+        out = np.zeros((len(parts), self.right.shape[1]))
+        for a, b in text_groups(list(parts), 500_000):
+            both, sums = self._sums(parts[a:b])
+            rows, cols = both // len(self.known), both % len(self.known)
+            bounds = np.searchsorted(rows, np.arange(b - a + 1))
+            for i in np.flatnonzero(np.diff(bounds)):
+                own = slice(bounds[i], bounds[i + 1])
+                out[a + i] = sums[own] @ self.right[cols[own]]
+        return out
+
+    def _sums(self, parts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the landmarks' features in each sentence, summed STRETCH places at a time: key (sentence and feature) and sum."""
+        at = Layout.of(parts)
+        begins, norms = at.norms()
+        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for feature, counts, weight in at.matches():
+            for first in range(0, len(counts), STRETCH):
+                here = np.flatnonzero(counts[first : first + STRETCH]) + first
+                col = self.place[feature[here]]
+                here, col = here[col >= 0], col[col >= 0]
+                key = (np.searchsorted(at.starts, here, side="right") - 1) * len(self.known) + col
+                both, inverse = np.unique(key, return_inverse=True)
+                keys.append(both)
+                sums.append(np.bincount(inverse, weight / norms[np.searchsorted(begins, here, side="right") - 1], minlength=len(both)))
+        both, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        return both, np.bincount(inverse, np.concatenate(sums), minlength=len(both))
+
+
 def kernel(parts: Sequence[str], others: Sequence[str]) -> np.ndarray:
     """Kernel matrix of two lists of sentences in plain form."""
-    rj, fj, vj = features(others)
-    known, inverse = np.unique(fj, return_inverse=True)
-    right = np.zeros((len(known), len(others)))
-    np.add.at(right, (inverse, rj), vj)
-    out = np.zeros((len(parts), len(others)))
-    for a in range(0, len(parts) if len(known) else 0, 1000):
-        ri, fi, vi = features(parts[a : a + 1000])
-        at = np.minimum(np.searchsorted(known, fi), len(known) - 1)
-        hit = known[at] == fi
-        # of each sentence every feature once
-        both, inverse = np.unique(ri[hit] * len(known) + at[hit], return_inverse=True)
-        rows, cols, vals = both // len(known), both % len(known), np.bincount(inverse, vi[hit], minlength=len(both))
-        bounds = np.searchsorted(rows, np.arange(len(out[a : a + 1000]) + 1))
-        for i in np.flatnonzero(np.diff(bounds)):
-            own = slice(bounds[i], bounds[i + 1])
-            out[a + i] = vals[own] @ right[cols[own]]
-    return out
+    return Landmarks(others).kernel(parts)
 
 
 @dataclass
@@ -275,20 +304,52 @@ def ratio(n_toxic: int, n_clean: int) -> Column:
     return F.when(F.col("t") > total * share, both).otherwise(-both)
 
 
-def fit(parts: Sequence[str], labels: np.ndarray, marks: Sequence[str]) -> Machine:
-    """The folded machine of sentences in plain form (labels 1 and -1, both classes weighing the same) over the landmarks."""
+def whitening(marks: Sequence[str]) -> np.ndarray:
+    """The matrix that makes Nyström features of kernels to the landmarks."""
     k = kernel(marks, marks)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
-    keep = values > 1e-6 * values.max()
-    root = vectors[:, keep] / np.sqrt(values[keep])
+    keep = values > 1e-6 * values.max(initial=0.0)
+    return vectors[:, keep] / np.sqrt(values[keep])
+
+
+def folded(x: np.ndarray, labels: np.ndarray, marks: Sequence[str], root: np.ndarray) -> Machine:
+    """The machine of Nyström features ``x`` (labels 1 and -1, both classes weighing the same), as one weight for each subsequence of the landmarks."""
     weight = np.where(labels > 0, 2000 / max((labels > 0).sum(), 1), 2000 / max((labels < 0).sum(), 1))
-    v, bias = squared_hinge(kernel(parts, marks) @ root, labels, weight)
+    v, bias = squared_hinge(x, labels, weight)
     alpha = root @ v
     row, found, value = features(marks)
     known, inverse = np.unique(found, return_inverse=True)
     return Machine(known, np.bincount(inverse, value * alpha[row], minlength=len(known)), bias)
 
 
+def fit(parts: Sequence[str], labels: np.ndarray, marks: Sequence[str]) -> Machine:
+    """The folded machine of sentences in plain form over the landmarks."""
+    root = whitening(marks)
+    return folded(kernel(parts, marks) @ root, labels, marks, root)
+
+
+def fit_table(parts: DataFrame, marks: Sequence[str]) -> Machine:
+    """As ``fit``, of a table (label 1 or -1, sentence): kernels are taken on executors, and one row of Nyström features for each sentence reaches the driver."""
+    root = whitening(marks)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        known = Landmarks(marks)
+        for b in batches:
+            own = b.column("sentence").to_pylist()
+            x = (known.kernel(own) @ root).astype(np.float32)
+            keys = np.array([xxh64_intdigest(s.encode("utf-8", "surrogatepass")) for s in own], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(keys), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "key", "x"])
+
+    found = parts.select("label", "sentence").mapInArrow(measure, "label int, key bigint, x binary").toArrow()
+    labels = found.column("label").to_numpy().astype(np.float64)
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(len(labels), root.shape[1])
+    # whatever the order of tasks, the same sums
+    order = np.lexsort((found.column("key").to_numpy(), -labels))
+    return folded(x[order].astype(np.float64), labels[order], marks, root)
+
+
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
     """Whether a document's labels are kept for tests: CRC-32 of its id as text modulo ``folds``."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
@@ -377,7 +438,7 @@ def landmarks(sample: DataFrame) -> tuple[list[str], list[str]]:
     pairs = written(sentence_words(sample).distinct(), "sentence_words")
     n = {r.label: r.n for r in pairs.select("sentence", "label").distinct().groupBy("label").agg(F.count("*").alias("n")).collect()}
     in_label = lambda k: F.count(F.when(F.col("label") == k, 1))
-    words = written(pairs.groupBy("word").agg(in_label(1).alias("t"), in_label(0).alias("c")).withColumn("ratio", ratio(n.get(1, 0), n.get(0, 0))), "words")
+    words = written(pairs.groupBy("word").agg(in_label(1).alias("t"), in_label(0).alias("c")).withColumn("ratio", ratio(n.get(1, 0), n.get(0, 0))).where(F.char_length("word") <= LONGEST), "words")
     first = lambda rows, count, *order: [r.word for r in rows.orderBy(*order, "word").limit(count).collect()]
     good = first(words.where(F.col("ratio") > LEAST_RATIO), LANDMARKS // 2, F.desc("ratio")) or first(words.where("t > 0"), LANDMARKS // 8, F.desc("ratio"))
     clean = words.where((F.col("c") > 0) & (F.col("ratio") < 3))
@@ -385,24 +446,33 @@ def landmarks(sample: DataFrame) -> tuple[list[str], list[str]]:
 
 
 def train(sample: DataFrame) -> Machine:
-    """The machine for a bounded, written sample of documents (label, text)."""
+    """The machine for a bounded, written sample of documents (label, text). Sentences stay in tables; the driver has landmarks, which are words, and numbers."""
     good, clean = landmarks(sample)
     marks = list(dict.fromkeys([*good, *clean]))
-    positive, negative, machine = [], {}, None
+    positive, negative, machine = None, [], None
     for k in range(ROUNDS + 1):
         # at most BEST or WORST sentences of each document of the sample
-        rows = (chosen_sentences(sample, good) if machine is None else highest_sentences(sample, machine)).collect()
-        positive = sorted({r.sentence for r in rows if r.label}) or positive
-        fresh = [r for r in rows if not r.label and (r.margin is None or r.margin > -1)]
-        negative |= {r.sentence: None for r in sorted(fresh, key=lambda r: r.sentence)}
+        rows = written(chosen_sentences(sample, good) if machine is None else highest_sentences(sample, machine), "sentences", "zstd")
+        own = rows.where("label = 1").select("sentence").distinct()
+        if positive is None or not own.isEmpty():
+            positive = own
+        fresh = rows.where("label = 0 AND (margin IS NULL OR margin > -1)")
+        negative.append(fresh.select("sentence"))
         if k:
-            hard = sorted(fresh, key=lambda r: (-r.margin, r.word))
-            marks = list(dict.fromkeys([*marks, *list(dict.fromkeys(r.word for r in hard))[:HARDER]]))
-        parts = [*positive, *negative]
-        machine = fit(parts, np.r_[np.ones(len(positive)), -np.ones(len(negative))], marks)
+            hard = fresh.where(F.char_length("word") <= LONGEST).groupBy("word").agg(F.max("margin").alias("m")).orderBy(F.desc("m"), "word").limit(HARDER)
+            marks = list(dict.fromkeys([*marks, *[r.word for r in hard.collect()]]))
+        clear = reduce(DataFrame.unionByName, negative).distinct()
+        machine = fit_table(positive.withColumn("label", F.lit(1)).unionByName(clear.withColumn("label", F.lit(-1))), marks)
     return machine
 
 
+def only_so_many(known: DataFrame) -> DataFrame:
+    """``known`` (row, doc_id, label, text, apart) with one row for each text of an id, MOST_TOXIC and MOST_CLEAN rows at most: ids may repeat."""
+    keyed = known.groupBy("label", "doc_id", F.xxhash64("text").alias("h")).agg(F.min("row").alias("row"))
+    least = lambda label, most: keyed.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(most).select("row")
+    return known.join(F.broadcast(least(1, MOST_TOXIC).unionByName(least(0, MOST_CLEAN))), "row", "left_semi")
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Machine | float:
     """The machine and its logistic from labelled rows that aren't held out."""
     small_batches(docs.sparkSession)
@@ -411,7 +481,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine | float:
     chosen = first(1, MOST_TOXIC).unionByName(first(0, MOST_CLEAN))
     with scratch(docs.sparkSession):
         apart = F.pmod(F.xxhash64(F.lit("logistic"), "doc_id"), F.lit(FOLDS)) == 0
-        sample = written(base_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", apart.alias("apart")), "toxicity_sample")
+        known = base_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", apart.alias("apart"), F.monotonically_increasing_id().alias("row"))
+        sample = only_so_many(written(known, "toxicity_sample"))
         found = {(r.label, r.apart): r.n for r in sample.groupBy("label", "apart").agg(F.count("*").alias("n")).collect()}
         n1, n0 = (found.get((k, True), 0) + found.get((k, False), 0) for k in (1, 0))
         if not n1 or not n0:
@@ -420,7 +491,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine | float:
         split = all(found.get((k, side), 0) for k in (0, 1) for side in (True, False))
         machine = train((sample.where("NOT apart") if split else sample).select("label", "text"))
         rest = sample.where("apart") if split else sample
-        margin = margin_table(rest, machine).join(F.broadcast(chosen), "doc_id").select("margin", "label").toPandas()
+        margin = margin_table(rest.withColumnRenamed("doc_id", "id").withColumnRenamed("row", "doc_id"), machine).join(F.broadcast(rest.select(F.col("row").alias("doc_id"), "label")), "doc_id").select("margin", "label").toPandas()
     machine.slope, machine.shift = logistic(margin["margin"].to_numpy(), margin["label"].to_numpy())
     return machine
 

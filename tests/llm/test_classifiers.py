@@ -208,3 +208,34 @@ def test_toxicity_on_held_out_rows(spark):
     out = found[found.held_out]
     assert auc(out.score.to_numpy(), out.toxic.to_numpy()) > 0.93
     assert out[out.toxic == 1].predicted.mean() > 0.88 and out[out.toxic == 0].predicted.mean() < 0.04
+
+
+def test_fit_on_executors_is_the_fit(spark):
+    """Features that executors take give the machine of a fit in one place, up to single precision, whatever the order of rows."""
+    marks = ["idiot", "moron", "river", "the"]
+    labels = np.r_[np.ones(6), -np.ones(6)]
+    want = toxicity.fit([*TOXIC, *CLEAN], labels, marks)
+    rows = spark.createDataFrame([(int(k), s) for k, s in zip(labels, [*TOXIC, *CLEAN], strict=True)], "label int, sentence string")
+    found = toxicity.fit_table(rows.repartition(3), marks)
+    again = toxicity.fit_table(rows.orderBy(F.desc("sentence")), marks)
+    assert (found.features == want.features).all() and np.allclose(found.weights, want.weights, atol=1e-4) and np.isclose(found.bias, want.bias, atol=1e-4)
+    assert (found.weights == again.weights).all() and found.bias == again.bias
+
+
+def test_a_labelled_text_of_10_mb_without_stops(spark):
+    """One sentence, labelled and scored, and a word of a million letters; an id that repeats counts as rows."""
+    long = "some idiot words without any end to them " * 250_000
+    rows = [(k, f"you are such an idiot number {k}, really" if k % 2 else f"the river runs by table {k}, quietly") for k in range(1, 60)]
+    rows += [(100, long), (101, "z" * 1_000_000), (102, "you stupid idiot"), *[(102, f"you idiot {k}") for k in range(40)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2 or k in (100, 102))) for k in [*range(1, 60), 100, 101, 102]], "doc_id long, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, labels).where("doc_id <> 102").collect()}
+    assert len(scores) == 61 and scores[100] > 0.5 and scores[2] < 0.5 < scores[1]
+
+
+def test_rows_of_the_sample_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 5)
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 3)
+    rows = [(k, 7 if k < 50 else k, 1 if k < 50 else 0, f"text {k % 20}", False) for k in range(100)]
+    kept = toxicity.only_so_many(spark.createDataFrame(rows, "row long, doc_id long, label int, text string, apart boolean")).collect()
+    assert [sum(r.label == k for r in kept) for k in (1, 0)] == [5, 3] and len({(r.doc_id, r.text) for r in kept}) == 8
