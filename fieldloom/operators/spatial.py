@@ -6,19 +6,25 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import EPSILON, Vec
 from ..sources.shared import scratch, written
+from .frame import ROW, number_rows
 from .mesh import Mesh
 
-#: Points of a grid cell from which the width is cut, and how often at most; rows of a block where every query meets every point.
-FULL, CUTS, BLOCK = 64, 12, 4096
+#: Points of a grid cell from which the width is cut, how often at most, and how many widths are counted in one pass; rows of a block where every query meets every point.
+FULL, CUTS, AT_ONCE, BLOCK = 64, 12, 4, 4096
+#: Bins beyond it are one bin.
+LAST_BIN = 1 << 60
+#: Extents from which squares of distances may be too large for doubles.
+HUGE = 1e150
 
 
-def bin_of(x: Column, h: float) -> Column:
-    return F.floor(x / h).cast("bigint")
+def bin_of(x: Column, h: float | Column) -> Column:
+    """The bin of width ``h`` that holds ``x``; all that is farther than LAST_BIN bins from zero shares the last one."""
+    return F.floor(F.greatest(F.least(x / h, F.lit(float(LAST_BIN))), F.lit(-float(LAST_BIN)))).cast("bigint")
 
 
 def squared_distance(a: Vec, b: Vec) -> Column:
@@ -29,29 +35,46 @@ def squared_distance(a: Vec, b: Vec) -> Column:
 
 
 def usable(names: Sequence[str]) -> Column:
-    """Whether all coordinates are numbers."""
+    """Whether all coordinates are finite numbers."""
     out = F.lit(True)
     for n in names:
-        out = out & F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double"))
+        # NaN is larger than infinity here
+        out = out & F.coalesce(F.abs(F.col(n).cast("double")) < F.lit(float("inf")), F.lit(False))
     return out
 
 
+def distance(a: Vec, b: Vec) -> Column:
+    """As the root of ``squared_distance``, where squares may be too large for doubles."""
+    sides = [F.abs(x - y) for x, y in zip(a, b, strict=True)]
+    most = F.greatest(*sides) if len(sides) > 1 else sides[0]
+    return F.when(most == 0, 0.0).otherwise(most * F.sqrt(reduce(lambda x, y: x + y, [(s / most) * (s / most) for s in sides])))
+
+
+def box_of(points: DataFrame, axes: Sequence[str]) -> tuple[int, list[tuple[float, float]]]:
+    """Number of ``points`` and their low and high coordinates."""
+    row = points.agg(F.count("*").alias("n"), *[f(F.col(a).cast("double")).alias(f"{n}_{a}") for a in axes for n, f in (("low", F.min), ("high", F.max))]).first()
+    return row["n"], [(row[f"low_{a}"] or 0.0, row[f"high_{a}"] or 0.0) for a in axes]
+
+
 def extent(points: DataFrame, axes: Sequence[str]) -> tuple[int, float]:
     """Number of ``points`` and the largest side of the box around them."""
-    sides = [F.max(a) - F.min(a) for a in axes]
-    row = points.agg(F.count("*").alias("n"), (F.greatest(*sides) if len(sides) > 1 else sides[0]).cast("double").alias("side")).first()
-    return row["n"], row["side"] or 0.0
+    n, box = box_of(points, axes)
+    return n, max(high / 2 - low / 2 for low, high in box) * 2
 
 
 def bin_width(points: DataFrame, axes: Sequence[str]) -> float:
-    """A width of bins that hold few of ``points`` (all different): a point each if they lie evenly, less until the fullest has FULL at most."""
+    """A width of bins that hold few of ``points`` (all different): a point each if they lie evenly, less until the fullest has FULL at most. AT_ONCE widths are counted in one pass."""
     n, side = extent(points, axes)
-    h = side / max(n, 1) ** (1 / len(axes)) or 1.0
-    for _ in range(CUTS):
-        fullest = points.groupBy(*[bin_of(F.col(a), h).alias(a) for a in axes]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if fullest <= FULL:
-            break
-        h /= max(8.0, (fullest / FULL) ** (1 / len(axes)))
+    h = min(side, 1e300) / max(n, 1) ** (1 / len(axes)) or 1.0
+    for _ in range(0, CUTS, AT_ONCE):
+        widths = [h / 8.0**k for k in range(AT_ONCE)]
+        level = points.select(*axes, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(widths)])).alias("l"))
+        counts = level.groupBy("l.k", *[bin_of(F.col(a), F.col("l.w")).alias(a) for a in axes]).agg(F.count("*").alias("n")).groupBy("k").agg(F.max("n").alias("n"))
+        fullest = {r["k"]: r["n"] for r in counts.collect()}
+        for k, w in enumerate(widths):
+            if fullest.get(k, 0) <= FULL:
+                return w
+        h = widths[-1] / 8
     return h
 
 
@@ -60,10 +83,11 @@ def nearest(queries: DataFrame, points: DataFrame, h: float | None = None, q_id:
 
     Each round looks into the grid cells around a query; who finds a point nearer than the grid's width has the answer, the
     others go on with a grid of four times the width, until one that holds everything. The first width ``h`` comes from the number of points and their
-    extent, less where they are crowded. Rounds grow with the logarithm of the largest distance.
+    extent, less where they are crowded. Queries that are farther than a width from the box around all points wait for a wider grid, and grids that none waits for are passed
+    over, so rounds grow with the logarithm of the box, not of the farthest query.
 
-    Queries with a null or NaN coordinate, and all queries if there is no point, have a null answer; points with such a coordinate are
-    ignored; of points of one place that of the smallest id counts; equal query ids are answered each by themselves.
+    Queries with a null, NaN or infinite coordinate, and all queries if there is no point, have a null answer; points with such a coordinate are
+    ignored; finite ones may be of any size (d2 is infinite where a double can't hold it); of points of one place that of the smallest id counts; equal query ids are answered each by themselves.
     """
     spark, bins = queries.sparkSession, [f"_b{a}" for a in axes]
     with scratch(spark, keep=1):
@@ -71,22 +95,36 @@ def nearest(queries: DataFrame, points: DataFrame, h: float | None = None, q_id:
         targets = points.where(usable(axes)).groupBy(*[F.col(a).alias(f"_{a}") for a in axes]).agg(F.min(p_id).alias(p_id))
         targets = written(targets, "targets")
         named = [f"_{a}" for a in axes]
-        # the largest distance on an axis: from there on the bins around a query hold every point
-        far = extent(asked.where(usable(axes)).select(*axes).unionByName(targets.select(*[F.col(n).alias(a) for n, a in zip(named, axes, strict=True)])), axes)[1]
-        h, out = h or bin_width(targets, named), []
-        left = asked.where(usable(axes))
-        while not targets.isEmpty() and not left.isEmpty():
-            around = left
+        box = box_of(targets, named)[1]
+        gap = F.greatest(F.lit(0.0), *[F.greatest(F.lit(low) - F.col(a), F.col(a) - F.lit(high)) for a, (low, high) in zip(axes, box, strict=True)])
+        wide = max(high / 2 - low / 2 for low, high in box) * 2
+        far = max([wide, *(abs(x) for side in box for x in side)])
+        h, out, here = h or bin_width(targets, named), [], [F.col(a) for a in axes]
+        left = written(asked.where(usable(axes)).withColumn("_gap", gap), "asked")
+        while not targets.isEmpty():
+            seen = left.agg(F.min("_gap").alias("least"), F.max(F.greatest(*[F.abs(a) for a in axes], F.lit(0.0))).alias("far")).first()
+            if seen["least"] is None:
+                break
+            # no bins where nobody can find anything
+            h = max(h, min(seen["least"], 1e300) * (1 + 1e-9))
+            ready = left.where(F.col("_gap") <= h) if seen["least"] <= h else left
+            around = ready
             for a, b in zip(axes, bins, strict=True):
                 around = around.withColumn(b, F.explode(F.array(*[bin_of(F.col(a), h) + d for d in (-1, 0, 1)])))
             binned = targets.select("*", *[bin_of(F.col(n), h).alias(b) for n, b in zip(named, bins, strict=True)])
-            d2 = squared_distance([F.col(a) for a in axes], [F.col(n) for n in named])
-            best = around.join(binned, bins).groupBy("_q").agg(F.min(F.struct(d2.alias("d2"), F.col(p_id))).alias("best"))
+            there = [F.col(n) for n in named]
+            # where squares overflow, distances are compared
+            plain = max(far, seen["far"]) < HUGE
+            d = squared_distance(here, there) if plain else distance(here, there)
+            best = around.join(binned, bins).groupBy("_q").agg(F.min(F.struct(d.alias("d2"), F.col(p_id))).alias("best"))
             tried = written(left.join(best, "_q", "left"), "nearest")
-            done = F.lit(True) if h > far else F.coalesce(F.col("best.d2") < h * h, F.lit(False))
-            out.append(tried.where(done).select("_q", F.col(f"best.{p_id}").alias(p_id), F.col("best.d2").alias("d2")))
-            left = tried.where(~done).select(q_id, *axes, "_q")
-            h *= 4
+            near = F.coalesce(F.col("best.d2") < (h * h if plain else h), F.lit(False))
+            # from this width on the bins around a query hold every point
+            done = (F.col("_gap") + wide < h) | near if h < 1e300 else F.lit(True)
+            d2 = F.col("best.d2") if plain else F.col("best.d2") * F.col("best.d2")
+            out.append(tried.where(done).select("_q", F.col(f"best.{p_id}").alias(p_id), d2.alias("d2")))
+            left = tried.where(~done).select(q_id, *axes, "_q", "_gap")
+            h = min(h * 4, 1e300)
         if not out:
             return written(asked.select(q_id, F.lit(None).cast(points.schema[p_id].dataType).alias(p_id), F.lit(None).cast("double").alias("d2")), "answers")
         return written(asked.select("_q", q_id).join(reduce(DataFrame.unionByName, out), "_q", "left").select(q_id, p_id, "d2"), "answers")
@@ -118,40 +156,62 @@ def in_box(point: Vec, low: Vec, high: Vec) -> Column:
     return out
 
 
+def _level(sides: Sequence[Column]) -> Column:
+    """The level of a box: grid cells of 4 ** level are as wide as its largest side, so it meets few of them. Boxes without a side have the one of 2 ** -40."""
+    side = F.greatest(*sides, F.lit(2.0**-80)) if len(sides) > 1 else F.greatest(sides[0], F.lit(2.0**-80))
+    return F.least(F.ceil(F.log2(side) / 2), F.lit(500)).cast("int")
+
+
+def _met(boxes: DataFrame, axes: Sequence[str], h: float | None, low: str, high: str) -> DataFrame:
+    """``boxes`` once for each grid cell that they meet (_level, _b and each axis), on the level of their own size, or all with width ``h``."""
+    side = lambda a: F.col(f"{high}{a}") - F.col(f"{low}{a}")
+    out = boxes.withColumn("_level", F.lit(0) if h else _level([side(a) for a in axes]))
+    w = F.lit(float(h)) if h else F.pow(F.lit(4.0), F.col("_level"))
+    for a in axes:
+        out = out.withColumn(f"_b{a}", F.explode(F.sequence(bin_of(F.col(f"{low}{a}"), w), bin_of(F.col(f"{high}{a}"), w))))
+    return out
+
+
+def _probing(points: DataFrame, axes: Sequence[str], h: float | None, met: DataFrame) -> DataFrame:
+    """``points`` once for each level that ``met`` has boxes on: powers of four between the smallest and the largest."""
+    if h:
+        return points.select("*", F.lit(0).alias("_level"), *[bin_of(F.col(a), float(h)).alias(f"_b{a}") for a in axes])
+    levels = [r[0] for r in met.select("_level").distinct().collect()] or [0]
+    each = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in sorted(levels)])))
+    return each.select("*", *[bin_of(F.col(a), F.pow(F.lit(4.0), F.col("_level"))).alias(f"_b{a}") for a in axes])
+
+
 def range_join(points: DataFrame, boxes: DataFrame, h: float | None = None) -> DataFrame:
     """box_id, pid of points (pid, x, y) in boxes (box_id, lx, ly, ux, uy): a box is replicated to the grid cells that it meets.
 
-    The cells are as wide as the mean side of the boxes, so a box meets some four, and points that it reads in vain are in proportion to those that it holds.
-    Points and boxes with a null or NaN are in none; empty boxes hold none.
+    Grids form a hierarchy: a box goes to the few cells that are as wide as it is, whatever the sizes of others, and a point looks into its cell on every level that has boxes.
+    With ``h`` there is one grid of that width. Points and boxes with a null, NaN or infinite coordinate are in none; empty boxes hold none.
     """
     sound = usable(["lx", "ly", "ux", "uy"]) & (F.col("lx") <= F.col("ux")) & (F.col("ly") <= F.col("uy"))
-    boxes = boxes.where(sound)
-    if h is None:
-        h = boxes.agg(F.avg(F.greatest(F.col("ux") - F.col("lx"), F.col("uy") - F.col("ly")))).first()[0] or 1.0
-    span = lambda low, high: F.explode(F.sequence(bin_of(F.col(low), h), bin_of(F.col(high), h)))
-    cells = boxes.withColumn("bx", span("lx", "ux")).withColumn("by", span("ly", "uy"))
-    binned = points.where(usable(["x", "y"])).select("pid", "x", "y", bin_of(F.col("x"), h).alias("bx"), bin_of(F.col("y"), h).alias("by"))
+    met = _met(boxes.where(sound), ("x", "y"), h, "l", "u")
+    binned = _probing(points.where(usable(["x", "y"])).select("pid", "x", "y"), ("x", "y"), h, met)
     hit = in_box([F.col("x"), F.col("y")], [F.col("lx"), F.col("ly")], [F.col("ux"), F.col("uy")])
-    return binned.join(cells, ["bx", "by"]).where(hit).select("box_id", "pid")
+    return binned.join(met, ["_level", "_bx", "_by"]).where(hit).select("box_id", "pid")
 
 
-def locate_all(points: DataFrame, mesh: Mesh, h: float, geometry: DataFrame | None = None) -> DataFrame:
-    """pid, cell_id and the barycentric coordinates z0, z1, ... in every cell that contains a point (pid, x, y[, z])."""
+def locate_all(points: DataFrame, mesh: Mesh, h: float | None = None, geometry: DataFrame | None = None) -> DataFrame:
+    """pid, cell_id and the barycentric coordinates z0, z1, ... in every cell that contains a point (pid, x, y[, z]).
+
+    Cells go to the grid of their own size, so graded meshes need no width; with ``h`` there is one grid. Points and cells with a null, NaN or infinite coordinate meet nothing.
+    """
     simplex, axes = mesh.simplex(), mesh.axes
     low, high = simplex.bounding_box()
     cells = (geometry if geometry is not None else mesh.geometry()).select("*", *[c.alias(f"_l{a}") for a, c in zip(axes, low, strict=True)], *[c.alias(f"_u{a}") for a, c in zip(axes, high, strict=True)])
-    bins = [f"_b{a}" for a in axes]
-    for a, b in zip(axes, bins, strict=True):
-        cells = cells.withColumn(b, F.explode(F.sequence(bin_of(F.col(f"_l{a}"), h), bin_of(F.col(f"_u{a}"), h))))
-    binned = points.select("*", *[bin_of(F.col(a), h).alias(b) for a, b in zip(axes, bins, strict=True)])
+    met = _met(cells.where(usable([f"_{k}{a}" for a in axes for k in "lu"])), axes, h, "_l", "_u")
+    binned = _probing(points.where(usable(axes)), axes, h, met)
     z = simplex.barycentric([F.col(a) for a in axes])
     near = in_box([F.col(a) for a in axes], [F.col(f"_l{a}") for a in axes], [F.col(f"_u{a}") for a in axes])
     names = [f"z{i}" for i in range(len(z))]
-    hits = binned.join(cells, bins).where(near).select(*points.columns, "cell_id", *mesh.vertices, *[c.alias(n) for n, c in zip(names, z, strict=True)])
+    hits = binned.join(met, ["_level", *[f"_b{a}" for a in axes]]).where(near).select(*points.columns, "cell_id", *mesh.vertices, *[c.alias(n) for n, c in zip(names, z, strict=True)])
     return hits.where(F.least(*names) >= -EPSILON)
 
 
-def locate(points: DataFrame, mesh: Mesh, h: float) -> DataFrame:
+def locate(points: DataFrame, mesh: Mesh, h: float | None = None) -> DataFrame:
     """pid, cell_id: the containing cell of smallest id, -1 outside."""
     found = locate_all(points, mesh, h).groupBy("pid").agg(F.min("cell_id").alias("cell_id"))
     return points.select("pid").join(found, "pid", "left").select("pid", F.coalesce("cell_id", F.lit(-1)).alias("cell_id"))
@@ -165,6 +225,30 @@ def locate_interval(points: DataFrame, knots: list[float], x: str = "x") -> Data
     return points.withColumn("cell_id", cell.cast("bigint"))
 
 
+def locate_knots(points: DataFrame, knots: DataFrame, x: str = "x") -> DataFrame:
+    """As ``locate_interval``, where the knots are a table (u): the last knot that isn't behind each point, by one merge of points and knots in the order of x.
+
+    Points and knots are range-partitioned together, many points of one place over several partitions; a partition that has no knot of its own yet goes on with the
+    last one of those before it (one row for each partition). Null and NaN points have a null cell, knots that aren't finite are ignored, of equal knots the last counts.
+    """
+    line = number_rows(knots.where(usable(["u"])).select(F.col("u").cast("double").alias("u")), "u").select("u", F.col(ROW).alias("k"))
+    row = F.struct(*[F.col(c) for c in points.columns])
+    at = points.select(F.col(x).cast("double").alias("u"), F.lit(None).cast("bigint").alias("k"), row.alias("row"), F.xxhash64(*points.columns).alias("salt"))
+    both = line.select("u", "k", F.lit(None).cast(at.schema["row"].dataType).alias("row"), F.lit(0).cast("bigint").alias("salt")).unionByName(at)
+    order = ["u", F.col("k").isNull(), "salt"]
+    ranged = written(both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "merged")
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = ranged.groupBy("_part").agg(F.max("k").alias("last"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each partition
+    carried = parts.select("_part", F.max("last").over(before).alias("carry"))
+    ends = line.agg(F.max("k").alias("n"), F.max("u").alias("high"))
+    known = ranged.select("*", F.max("k").over(inside).alias("own")).where("row IS NOT NULL").join(F.broadcast(carried), "_part").crossJoin(F.broadcast(ends))
+    k = F.coalesce("own", "carry", F.lit(-1).cast("bigint"))
+    cell = F.when(F.col("u").isNull() | F.isnan("u"), F.lit(None)).when((F.col("u") > F.col("high")) | F.col("n").isNull() | (F.col("n") < 1), -1).otherwise(F.least(k, F.col("n") - 1))
+    return known.select("row.*", cell.cast("bigint").alias("cell_id"))
+
+
 def project(points: DataFrame, mesh: Mesh, geometry: DataFrame | None = None) -> DataFrame:
     """pid, cell_id, d2 and the nearest point of the mesh (px, ...), over all cells: exact.
 

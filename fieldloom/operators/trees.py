@@ -1,25 +1,87 @@
-"""Binary trees as relations (node_id, parent_id, is_left, value): paths make the orders, subtrees and leaves simple."""
+"""Trees as relations (node_id, parent_id, is_left, value): an Euler tour gives the orders, depths and subtrees as numbers, paths give places in shallow binary trees.
+
+Defined cases: roots are nodes with a null parent, of which there may be several; nodes that no root reaches (on a cycle, below one, or below a parent that isn't there) have
+null numbers and null paths; nodes are told apart by their id, so a repeated id, or a null one, is no tree and counts as reached by no root; an empty tree gives no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import drop_older, scratch, written
 from .frame import ROW, number_rows
 
 #: Children of a block in the tree of minima; a power of two.
 WIDE = 64
+#: Characters of a path, far beyond those of shallow trees.
+LONGEST_PATH = 1 << 20
 
 
 def with_paths(tree: DataFrame) -> DataFrame:
-    """``tree`` with path (L and R from the root) and depth. Pointers double each round, so rounds grow with the log of the depth."""
+    """``tree`` with path (L and R from the root) and depth. Pointers double each round, so rounds grow with the log of the depth; paths are as long as the depth, for deep trees see ``toured``."""
     step = F.when(F.col("parent_id").isNull(), "").when(F.col("is_left"), "L").otherwise("R")
-    state = written(tree.select("node_id", F.col("parent_id").alias("up"), step.alias("path")), "paths")
-    while not state.where("up IS NOT NULL").isEmpty():
-        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        state = written(state.join(above, "up", "left").select("node_id", F.col("up2").alias("up"), F.concat(F.coalesce("path2", F.lit("")), "path").alias("path")), "paths")
-    return tree.join(state.select("node_id", "path", F.length("path").alias("depth")), "node_id")
+    state = written(tree.select("node_id", F.col("parent_id").alias("up"), step.alias("path"), F.lit(True).alias("reached")), "paths")
+    # after so many doublings, what still has a node above is on a cycle or below one
+    for _ in range(max(1, state.count()).bit_length() + 1):
+        if state.where("up IS NOT NULL").isEmpty():
+            break
+        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("reached").alias("reached2"))
+        # long paths of a cycle aren't made: they would double each round
+        path = F.when(F.length("path") + F.length(F.coalesce("path2", F.lit(""))) < LONGEST_PATH, F.concat(F.coalesce("path2", F.lit("")), "path"))
+        found = F.col("up").isNull() | F.coalesce("reached2", F.lit(False))
+        state = written(state.join(above, "up", "left").select("node_id", F.col("up2").alias("up"), path.alias("path"), (F.col("reached") & found).alias("reached")), "paths")
+    sound = F.when(F.col("up").isNull() & F.col("reached"), F.col("path"))
+    return tree.join(state.select("node_id", sound.alias("path")).withColumn("depth", F.length("path")), "node_id")
+
+
+def toured(tree: DataFrame) -> DataFrame:
+    """``tree`` with root, pre (place in pre-order below its root, from 0), depth and size (nodes of its subtree, itself included).
+
+    The Euler tour goes down and up each edge. Every such arc points to the one after it: down to the first child, or back up; up to the next sibling, or
+    further up. Pointers jump over twice the distance each round and add up what they pass, so numbers of any depth, a chain's too, take a logarithm of rounds, of one
+    join by arc each. The nodes below one are those with pre from its own on, ``size`` of them. Any number of children is allowed: left ones come first, then by node_id.
+    """
+    kids = Window.partitionBy("parent_id").orderBy(F.coalesce("is_left", F.lit(False)).desc(), "node_id")
+    known = tree.select("node_id", "parent_id", "is_left").where("node_id IS NOT NULL")
+    whole = known.where("parent_id IS NOT NULL").select("node_id", "parent_id", F.lead("node_id").over(kids).alias("next"), F.row_number().over(kids).alias("k"))
+    first = whole.where("k = 1").select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"))
+    roots = known.where("parent_id IS NULL").select(F.col("node_id").alias("parent_id"), F.lit(True).alias("top"))
+    rows = written(whole.join(first, "node_id", "left").join(roots, "parent_id", "left").select("node_id", "parent_id", "next", "child", F.coalesce("top", F.lit(False)).alias("top")), "edges")
+    # arcs: 2 id is down to a node, 2 id + 1 up from it
+    down = rows.select((F.col("node_id") * 2).alias("arc"), F.coalesce(F.col("child") * 2, F.col("node_id") * 2 + 1).alias("to"), F.lit(1).cast("bigint").alias("nodes"), F.lit(1).cast("bigint").alias("deep"), F.lit(None).cast(rows.schema["node_id"].dataType).alias("root"))
+    back = F.when(F.col("next").isNotNull(), F.col("next") * 2).when(~F.col("top"), F.col("parent_id") * 2 + 1)
+    up = rows.select((F.col("node_id") * 2 + 1).alias("arc"), back.alias("to"), F.lit(0).cast("bigint").alias("nodes"), F.lit(-1).cast("bigint").alias("deep"), F.when(F.col("next").isNull() & F.col("top"), F.col("parent_id")).alias("root"))
+    with scratch(tree.sparkSession, keep=1) as paths:
+        state = written(down.unionByName(up), "arcs")
+        for _ in range(max(1, 2 * state.count()).bit_length() + 1):
+            if state.where("to IS NOT NULL").isEmpty():
+                break
+            after = state.select(F.col("arc").alias("to"), F.col("to").alias("to2"), F.col("nodes").alias("nodes2"), F.col("deep").alias("deep2"), F.col("root").alias("root2"))
+            both = state.join(after, "to", "left")
+            state = written(both.select("arc", F.col("to2").alias("to"), *[(F.col(c) + F.coalesce(f"{c}2", F.lit(0))).alias(c) for c in ("nodes", "deep")], F.coalesce("root", "root2").alias("root")), "arcs")
+            drop_older(tree.sparkSession, paths, 1)
+        # sums from each arc to the end of its tour; an end that isn't at a root is none
+        ended = state.where("to IS NULL AND root IS NOT NULL")
+        side = lambda up: ended.where(F.col("arc") % 2 == up).select(F.floor(F.col("arc") / 2).cast("bigint").alias("node_id"), "root", "nodes", "deep")
+        downs = side(0).join(side(1).select("node_id", F.col("nodes").alias("rest")), "node_id")
+        total = downs.groupBy("root").agg(F.max("nodes").alias("all"))
+        inner = downs.join(total, "root").select("node_id", "root", (F.col("all") - F.col("nodes") + 1).alias("pre"), (1 - F.col("deep")).alias("depth"), (F.col("nodes") - F.col("rest")).alias("size"))
+        tops = known.where("parent_id IS NULL").select("node_id", F.col("node_id").alias("root"), F.lit(0).cast("bigint").alias("pre"), F.lit(0).cast("bigint").alias("depth"))
+        tops = tops.join(total, "root", "left").select("node_id", "root", "pre", "depth", (F.coalesce("all", F.lit(0)) + 1).alias("size"))
+        numbers = written(inner.unionByName(tops.select("node_id", "root", "pre", "depth", "size")), "tour")
+    return tree.join(numbers, "node_id", "left")
+
+
+def below(tour: DataFrame, node_id: int) -> DataFrame:
+    """The subtree of a node: a range of its root's pre-order."""
+    top = tour.where(F.col("node_id") == node_id).select(F.col("root").alias("_root"), F.col("pre").alias("_from"), (F.col("pre") + F.col("size")).alias("_to"))
+    return tour.join(F.broadcast(top), (F.col("root") == F.col("_root")) & (F.col("pre") >= F.col("_from")) & (F.col("pre") < F.col("_to"))).drop("_root", "_from", "_to")
+
+
+def without(tour: DataFrame, node_id: int) -> DataFrame:
+    """Erase a node and all below it; nodes that no root reaches stay."""
+    return tour.join(below(tour, node_id).select("node_id"), "node_id", "left_anti")
 
 
 def depth_first() -> list[Column]:

@@ -295,7 +295,7 @@ LATTICE_SQL = "pts AS (SELECT p_partkey AS pid, p_size / 16e0 AS x, (p_partkey %
 @register(f"WITH {LATTICE_SQL}, {mesh_sql(8)}, {G_SQL} SELECT pid, cell_id FROM pts JOIN g ON x >= least(x0, x1, x2) AND x <= greatest(x0, x1, x2) AND y >= least(y0, y1, y2) AND y <= greatest(y0, y1, y2) WHERE ((x1 - x) * (y2 - y) - (x2 - x) * (y1 - y)) >= 0 AND ((x2 - x) * (y0 - y) - (x0 - x) * (y2 - y)) >= 0 AND ((x0 - x) * (y1 - y) - (x1 - x) * (y0 - y)) >= 0")
 def locate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), (F.col("p_size") / 16.0).alias("x"), ((F.col("p_partkey") % 17) / 16.0).alias("y"))
-    return sp.locate_all(p, ms.square(spark, 8), 1 / 8).select("pid", "cell_id")
+    return sp.locate_all(p, ms.square(spark, 8)).select("pid", "cell_id")
 
 
 @register(f"WITH {W_SQL}, p AS (SELECT unnest([v0, v1, v2]) AS node_id, cell_id FROM cells) SELECT node_id, count(*) AS n_cells, min(cell_id) AS first_cell FROM p GROUP BY 1")
@@ -308,6 +308,14 @@ def locate_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.locate_interval(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), [5, 10, 25, 45], "l_quantity").drop("l_quantity")
 
 
+@register("WITH u AS (SELECT p_partkey AS k, 1000 * p_partkey + p_size * 1e0 AS u FROM part), n AS (SELECT max(k) AS n FROM u), p AS (SELECT l_orderkey, l_linenumber, l_extendedprice * 3 AS x FROM lineitem), g AS (SELECT p.*, CAST(floor(x / 1000) AS BIGINT) AS b FROM p) SELECT l_orderkey, l_linenumber, CASE WHEN x > (SELECT max(u) FROM u) THEN -1 ELSE least(coalesce((SELECT n - 1 FROM n), -1), CASE WHEN x >= u.u THEN b ELSE b - 1 END) END AS cell_id FROM g JOIN u ON u.k = least(b, (SELECT n FROM n))")
+def locate_knots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items between knots that all parts give."""
+    knots = table(spark, sf_dir, "part").select((1000 * F.col("p_partkey") + F.col("p_size") * 1.0).alias("u"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 3).alias("x"))
+    return sp.locate_knots(items, knots).drop("x")
+
+
 @register(f"WITH {C_SQL}, q AS (SELECT pid, x * 2 - 0.5e0 AS x, y * 2 - 0.5e0 AS y FROM pts) SELECT pid, round((greatest(0e0, -x, x - 1) * greatest(0e0, -x, x - 1)) + (greatest(0e0, -y, y - 1) * greatest(0e0, -y, y - 1)), 6) + 0e0 AS d2, round(greatest(0e0, least(1e0, x)), 6) + 0e0 AS px, round(greatest(0e0, least(1e0, y)), 6) + 0e0 AS py FROM q")
 def project_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = customers(spark, sf_dir).select("pid", (F.col("x") * 2 - 0.5).alias("x"), (F.col("y") * 2 - 0.5).alias("y"))
@@ -1029,6 +1037,7 @@ def bfgs_wolfe(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- trees
 
 TREE_SQL = "WITH RECURSIVE t AS (SELECT CAST(0 AS BIGINT) AS node_id, '' AS path UNION ALL SELECT n.n_nationkey, t.path || CASE WHEN n.n_nationkey % 2 = 1 THEN 'L' ELSE 'R' END FROM nation n JOIN t ON n.n_nationkey > 0 AND (n.n_nationkey - 1) // 2 = t.node_id)"
+PARTS_SQL = TREE_SQL.replace("n.n_nationkey", "n.p_partkey").replace("nation n", "part n")
 
 
 def heap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1036,28 +1045,39 @@ def heap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(k.alias("node_id"), F.when(k > 0, F.floor((k - 1) / 2).cast("bigint")).alias("parent_id"), (k % 2 == 1).alias("is_left"))
 
 
-def ranked(paths: DataFrame, *order: Column) -> DataFrame:
-    return number_rows(paths.select("node_id", "path", "depth"), *order).select(F.col(ROW).alias("pos"), "node_id")
+def part_heap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of all parts, in which k has the children 2 k + 1 and 2 k + 2."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("node_id"), F.when(k > 0, F.floor((k - 1) / 2).cast("bigint")).alias("parent_id"), (k % 2 == 1).alias("is_left"))
 
 
-@register(f"{TREE_SQL} SELECT row_number() OVER (ORDER BY path) - 1 AS pos, node_id FROM t")
+@register(f"{PARTS_SQL} SELECT row_number() OVER (ORDER BY path) - 1 AS pos, node_id FROM t")
 def tree_dfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(tr.with_paths(heap(spark, sf_dir)), *tr.depth_first())
+    return tr.toured(part_heap(spark, sf_dir)).select(F.col("pre").alias("pos"), "node_id")
 
 
-@register(f"{TREE_SQL} SELECT row_number() OVER (ORDER BY length(path), path) - 1 AS pos, node_id FROM t")
+@register(f"{PARTS_SQL} SELECT row_number() OVER (ORDER BY length(path), path) - 1 AS pos, node_id FROM t")
 def tree_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(tr.with_paths(heap(spark, sf_dir)), *tr.breadth_first())
+    return number_rows(tr.toured(part_heap(spark, sf_dir)).select("node_id", "depth", "pre"), "depth", "pre").select(F.col(ROW).alias("pos"), "node_id")
+
+
+@register("SELECT o_orderkey AS node_id, o_orderkey % 50 AS depth, 50 - o_orderkey % 50 AS size FROM orders WHERE o_orderkey < (SELECT count(*) // 50 * 50 FROM orders)")
+def tree_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of fifty orders each."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    whole = orders.crossJoin(F.broadcast(orders.agg((F.floor(F.count("*") / 50) * 50).alias("n")))).where(k < F.col("n"))  # one row
+    return tr.toured(whole.select(k.alias("node_id"), F.when(k % 50 > 0, k - 1).alias("parent_id"), F.lit(True).alias("is_left"))).select("node_id", "depth", "size")
 
 
-@register("SELECT CAST(n_nationkey AS BIGINT) AS node_id FROM nation WHERE 2 * n_nationkey + 1 > 24")
+@register("SELECT p_partkey AS node_id FROM part WHERE 2 * p_partkey + 1 > (SELECT max(p_partkey) FROM part)")
 def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.leaves(heap(spark, sf_dir)).select("node_id")
+    return tr.leaves(part_heap(spark, sf_dir)).select("node_id")
 
 
-@register(f"{TREE_SQL} SELECT node_id FROM t WHERE NOT starts_with(path, 'LR')")
+@register(f"{PARTS_SQL} SELECT node_id FROM t WHERE NOT starts_with(path, 'LR')")
 def tree_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.without_subtree(tr.with_paths(heap(spark, sf_dir)), "LR").select("node_id")
+    return tr.without(tr.toured(part_heap(spark, sf_dir)), 4).select("node_id")
 
 
 @register(f"{TREE_SQL} SELECT CASE WHEN path = 'LL' THEN 100 ELSE node_id END AS node_id, path FROM t UNION ALL SELECT 101, 'RRRRR'")

@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Lists of paths written inside the ``scratch`` blocks that are open, innermost last.
-_OPEN: list[list[str]] = []
+#: Lists of paths written inside the ``scratch`` blocks that this thread or task has open, innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open_blocks", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,8 +38,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     system, hadoop = _file_system(spark, path)
     system.deleteOnExit(hadoop)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
     return path
 
 
@@ -54,16 +55,17 @@ def scratch(spark: SparkSession, keep: int = 0) -> Iterator[list[str]]:
     What the block returns must read none of the removed ones. The list of paths is given, so that loops can drop what they are done with.
     """
     paths: list[str] = []
-    _OPEN.append(paths)
+    around = _OPEN.get()
+    token = _OPEN.set((*around, paths))
     try:
         yield paths
     finally:
-        _OPEN.pop()
+        _OPEN.reset(token)
         cut = len(paths) - keep
         for p in paths[:cut]:
             remove(spark, p)
-        if _OPEN:
-            _OPEN[-1].extend(paths[cut:])
+        if around:
+            around[-1].extend(paths[cut:])
 
 
 def drop_older(spark: SparkSession, paths: list[str], most: int) -> None:

@@ -105,3 +105,61 @@ def test_no_plan_has_all_pairs(spark):
     for df in (sp.nearest(p.withColumnRenamed("pid", "qid"), p), sp.project(p, ms.square(spark, 2)), sp.range_join(p, spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], "box_id int, lx double, ly double, ux double, uy double"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_nearest_with_infinite_and_huge_coordinates(spark):
+    inf = math.inf
+    points = [*crowd()[:40], (900, inf, 0.0), (901, 0.0, -inf), (902, 1e300, 1e300), (903, -1e300, 2.0), (904, 1e200, -1e200)]
+    queries = [(1, inf, 1.0), (2, 1.0, -inf), (3, 1e300, 0.9e300), (4, -0.9e300, 5.0), (5, 1e200, 0.0), (6, 0.0, 0.0), (7, 1e120, 0.0), (8, 3e-4, 1e-4)]
+    found = {r.qid: r.pid for r in sp.nearest(points_of(spark, queries, "qid"), points_of(spark, points)).collect()}
+    finite = [p for p in points if all(map(math.isfinite, p[1:]))]
+    want = {q[0]: min((math.hypot(p[1] - q[1], p[2] - q[2]), p[0]) for p in finite)[1] if all(map(math.isfinite, q[1:])) else None for q in queries}
+    assert found == want
+
+
+def test_boxes_of_all_sizes(spark):
+    """Each box on the grid of its own size: the same pairs as all with all, and cells in proportion to boxes."""
+    rng = np.random.default_rng(8)
+    points = [(i, *p) for i, p in enumerate(rng.uniform(0, 1, (300, 2)).tolist())] + [(400, None, 0.5), (401, math.inf, 0.5), (402, NAN, 0.5), (403, 0.25, 0.25)]
+    corner = rng.uniform(0, 1, (500, 2))
+    side = 10.0 ** rng.uniform(-7, 0.5, (500, 2))
+    side[:20] = 0
+    corner[:20] = [p[1:] for p in points[:20]]
+    boxes = [(i, *c, *(c + s)) for i, (c, s) in enumerate(zip(corner, side, strict=True))] + [(600, 0.0, 0.0, math.inf, 1.0), (601, 0.9, 0.9, 0.1, 0.1), (602, None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame([(i, *[None if x is None else float(x) for x in b]) for i, *b in boxes], "box_id long, lx double, ly double, ux double, uy double")
+    want = sorted((b[0], p[0]) for b in boxes[:500] for p in points if p[1] is not None and b[1] <= p[1] <= b[3] and b[2] <= p[2] <= b[4])
+    assert sorted((r.box_id, r.pid) for r in sp.range_join(points_of(spark, points), df).collect()) == want
+    assert sorted((r.box_id, r.pid) for r in sp.range_join(points_of(spark, points), df.where("ux - lx > 0.05 AND uy - ly > 0.05"), 0.5).collect()) == [w for w in want if min(side[w[0]]) > 0.05]
+    many = spark.range(100_000).selectExpr("id AS box_id", "id % 317 / 317D AS lx", "id % 311 / 311D AS ly").selectExpr("*", "lx + CASE WHEN box_id < 10 THEN 1D ELSE 1e-6 END AS ux", "ly + CASE WHEN box_id < 10 THEN 1D ELSE 1e-6 END AS uy")
+    assert sp._met(many, ("x", "y"), None, "l", "u").count() < 500_000
+
+
+def test_location_on_a_graded_mesh(spark):
+    """Cells of widths from 1 to 2 ** -20: no width is given."""
+    xs = [0.0, *[2.0 ** -k for k in range(20, -1, -1)]]
+    nodes = [(i * 2 + j, x, 1.0 * j) for i, x in enumerate(xs) for j in (0, 1)]
+    cells = [(2 * i + k, *v) for i in range(len(xs) - 1) for k, v in enumerate([(2 * i, 2 * i + 2, 2 * i + 3), (2 * i, 2 * i + 3, 2 * i + 1)])]
+    mesh = ms.Mesh(spark.createDataFrame(nodes, "node_id long, x double, y double"), spark.createDataFrame(cells, "cell_id long, v0 long, v1 long, v2 long"), 2)
+    rng = np.random.default_rng(5)
+    at = [(i, 2.0 ** -rng.uniform(0, 22), rng.uniform()) for i in range(200)] + [(300, 2.0, 0.5), (301, math.inf, 0.5), (302, None, 0.5)]
+    found = {r.pid: r.cell_id for r in sp.locate(points_of(spark, at), mesh).collect()}
+    for pid, x, y in at:
+        if x is None or x > 1:
+            assert found[pid] == -1
+        else:
+            i = max(k for k in range(len(xs) - 1) if xs[k] <= x)
+            assert found[pid] in (2 * i, 2 * i + 1)
+            assert found[pid] % 2 == int(y > (x - xs[i]) / (xs[i + 1] - xs[i]))
+
+
+def test_knots_as_a_table(spark):
+    """The same cells as between knots of a list; many points of one place, equal knots, and no knots."""
+    rng = np.random.default_rng(2)
+    knots = sorted([*rng.integers(0, 40, 60).tolist(), 3, 3])
+    points = [(i, float(x), 0.0) for i, x in enumerate(rng.uniform(-3, 43, 200))] + [(500 + i, 3.0, 0.0) for i in range(300)] + [(900, None, 0.0), (901, NAN, 0.0), (902, float(knots[-1]), 0.0), (903, float(knots[0]), 0.0)]
+    df = points_of(spark, points)
+    table = spark.createDataFrame([(float(k),) for k in rng.permutation(knots)] + [(None,), (math.inf,)], "u double")
+    found = {r.pid: r.cell_id for r in sp.locate_knots(df.repartition(5), table).collect()}
+    want = {r.pid: r.cell_id for r in sp.locate_interval(df.where("pid < 900 OR pid > 901"), [float(k) for k in knots]).collect()}
+    assert found == want | {900: None, 901: None}
+    assert {r.cell_id for r in sp.locate_knots(df.where("pid < 10"), table.limit(0)).collect()} == {-1}
