@@ -1,4 +1,7 @@
-"""Simplices and hyperplanes as expressions over coordinate columns: one row, one simplex."""
+"""Simplices and hyperplanes as expressions over coordinate columns: one row, one simplex.
+
+Defined cases: a null coordinate gives null results, NaN gives NaN; a degenerate simplex has measure 0, and no finite barycentric coordinates or circumcenter.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Small vectors and matrices as lists of Columns; Catalyst folds and fuses what they build."""
+"""Small vectors and matrices as lists of Columns; Catalyst folds and fuses what they build.
+
+Defined cases: as for arithmetic of columns, a null component makes what depends on it null, and NaN makes it NaN; lengths that differ are an error when the expression is built.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Bit matrices as sets of true cells (row, col)."""
+"""Bit matrices as sets of true cells (row, col).
+
+Defined cases: a cell that is there is true, however often it is given to ``of``; null conditions are false; an empty table is a matrix of false cells.
+"""
 
 from __future__ import annotations
 

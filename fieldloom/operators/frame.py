@@ -1,4 +1,7 @@
-"""A typed column-block frame over a DataFrame with an explicit row id."""
+"""A typed column-block frame over a DataFrame with an explicit row id.
+
+Defined cases: nulls and NaN are values like others; equal rows are told apart by their row id; ids that a gather asks for and that aren't there have no row; an empty table is a frame of no rows.
+"""
 
 from __future__ import annotations
 

@@ -225,11 +225,37 @@ def interval_of(nodes: DataFrame) -> Mesh:
     return Mesh(nodes, after.select(F.col("node_id").alias("cell_id"), F.col("node_id").alias("v0"), (F.col("node_id") + 1).alias("v1")), 1)
 
 
+#: Cells of a block at a node of a network.
+HUB = 256
+
+
+def network_incidence(cells: DataFrame) -> DataFrame:
+    """node_id, cell_id of a network (cell_id, v0, v1): the relation from which adjacency follows, two rows for each cell, whatever the hubs."""
+    return cells.select(F.explode(F.array_distinct(F.array("v0", "v1"))).alias("node_id"), "cell_id").where("node_id IS NOT NULL")
+
+
 def network_adjacency(cells: DataFrame) -> DataFrame:
-    """cell_id, neighbor_id of a network (cell_id, v0, v1): cells that share a node, both ways, each once."""
-    ends = cells.select("cell_id", F.explode(F.array("v0", "v1")).alias("node_id"))
-    pairs = ends.join(ends.withColumnRenamed("cell_id", "neighbor_id"), "node_id").where("cell_id <> neighbor_id")
-    return pairs.select("cell_id", "neighbor_id").distinct()
+    """cell_id, neighbor_id of a network (cell_id, v0, v1): cells that share a node, both ways, each once.
+
+    The pairs of a hub are made in a triangle of blocks of HUB cells, so no task has all of them. Two cells with both nodes in common are a pair at the smaller
+    one only; so no pair is made twice, and pairs aren't shuffled to tell them apart. Repeated cells count once; null nodes are shared with nobody.
+    """
+    kept = cells.select("cell_id", "v0", "v1").distinct()
+    ends = kept.select("cell_id", F.explode(F.array_distinct(F.array("v0", "v1"))).alias("node_id"), "v0", "v1").where("node_id IS NOT NULL")
+    # a cell with both its ends at one node has no other
+    ends = ends.select("cell_id", "node_id", F.when(F.col("v0") == F.col("node_id"), F.col("v1")).otherwise(F.col("v0")).alias("far"))
+    degree = ends.groupBy("node_id").agg(F.ceil(F.count("*") / F.lit(HUB)).cast("int").alias("blocks"))
+    # hubs alone are copied to all salts, so that the ends of one are spread
+    hubs = degree.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    placed = ends.withColumn("salt", F.pmod(F.xxhash64("cell_id"), F.lit(32)).cast("int")).join(hubs, ["node_id", "salt"], "left")
+    placed = placed.select("cell_id", "node_id", "far", F.coalesce("blocks", F.lit(1)).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("cell_id", F.lit(1)), F.col("blocks")).cast("int"))
+    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
+    dealt = placed.withColumn("at", other).select("cell_id", "node_id", "far", "block", "at.i", "at.j")
+    right = dealt.select(F.col("cell_id").alias("neighbor_id"), "node_id", F.col("far").alias("far_b"), F.col("block").alias("block_b"), "i", "j")
+    once = ((F.col("i") == F.col("j")) | (F.col("block") != F.col("block_b"))) & (F.col("cell_id") != F.col("neighbor_id"))
+    both = F.col("far").eqNullSafe(F.col("far_b")) & F.col("far").isNotNull()
+    pairs = dealt.join(right, ["node_id", "i", "j"]).where(once & (~both | (F.col("node_id") <= F.col("far"))))
+    return pairs.select("cell_id", "neighbor_id")
 
 
 def clockwise(x: Column, y: Column, cx: Column, cy: Column) -> Column:

@@ -1,4 +1,7 @@
-"""Voronoi diagrams that are dual to triangulations of the plane, and to intervals."""
+"""Voronoi diagrams that are dual to triangulations of the plane, and to intervals.
+
+Defined cases: nodes without a cell of the mesh have no ring; cells with a null coordinate add no vertex; points with a null, NaN or infinite coordinate are in no cell; an empty mesh has no rings.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Differential operators as small sums of terms, and their assembly into sparse matrices by one join and one aggregation."""
+"""Differential operators as small sums of terms, and their assembly into sparse matrices by one join and one aggregation.
+
+Defined cases: cells with a vertex that has no node are left out, null coordinates or coefficients add nothing, NaN stays NaN; unknowns without a cell have no entries; an empty mesh gives a matrix of zeros.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Minimisation of objectives that Spark evaluates: sums over rows, at several points in one pass."""
+"""Minimisation of objectives that Spark evaluates: sums over rows, at several points in one pass.
+
+Defined cases: rows whose term is null add nothing to an objective, NaN makes it NaN and ends a descent; in a grid search null values are never the best one, and of equal ones the smallest row_id is taken.
+"""
 
 from __future__ import annotations
 
@@ -63,7 +66,7 @@ def grid_search(grid: DataFrame, f: Column, row: str = "row_id", callbacks: Sequ
 
     With callbacks, rows are taken in batches by their dense ids; a ``post_update`` (best row so far, its ``f``) that returns True ends the search.
     """
-    best_of = lambda df: df.withColumn("f", f).agg(F.min_by(F.struct(*grid.columns, "f"), F.struct("f", row)).alias("best")).select("best.*")
+    best_of = lambda df: df.withColumn("f", f).where("f IS NOT NULL").agg(F.min_by(F.struct(*grid.columns, "f"), F.struct("f", row)).alias("best")).select("best.*")
     if not callbacks:
         return best_of(grid)
     best, last = None, grid.agg(F.max(row)).first()[0]

@@ -1,4 +1,7 @@
-"""Quadrature over simplices and intervals: cells joined to a literal table of nodes and weights."""
+"""Quadrature over simplices and intervals: cells joined to a literal table of nodes and weights.
+
+Defined cases: cells with a null coordinate add nothing to an integral and have a null one of their own, NaN stays NaN; given values without a node of the mesh, or nodes without a value, are left out; an empty mesh has a null integral.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Point location of a stream: the mesh is a static side, every micro-batch is an ordinary join with it."""
+"""Point location of a stream: the mesh is a static side, every micro-batch is an ordinary join with it.
+
+Defined cases: points outside of the mesh, and those with a null, NaN or infinite coordinate, have cell -1; an empty batch gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -373,3 +373,60 @@ def test_opaque_fields_with_nulls(spark):
     rows = spark.createDataFrame([(4.0,), (None,), (float("nan"),)], "x double").select(f(F.col("x")).alias("v")).collect()
     assert rows[0].v == 2 and all(r.v is None or np.isnan(r.v) for r in rows[1:])
     assert [r.v for r in spark.range(3).select(fl.ScalarField(fl.opaque(lambda x: 7.0), 1)(F.col("id")).alias("v")).collect()] == [7.0] * 3
+
+
+def test_hubs_are_paired_in_blocks(spark, monkeypatch):
+    """The same neighbours as by all pairs: hubs, parallel cells, loops, repeated cells and null nodes."""
+    monkeypatch.setattr(ms, "HUB", 7)
+    rng = np.random.default_rng(9)
+    cells = [(k, 0, int(rng.integers(1, 30))) for k in range(60)] + [(100 + k, int(rng.integers(0, 40)), int(rng.integers(0, 40))) for k in range(60)]
+    cells += [(300, 5, 5), (301, 5, 5), (302, None, 3), (303, None, 4), (304, 8, None), cells[0], cells[3]]
+    found = ms.network_adjacency(spark.createDataFrame(cells, "cell_id long, v0 long, v1 long")).collect()
+    ends = {c: {v for v in vs if v is not None} for c, *vs in cells}
+    want = sorted((a, b) for a in ends for b in ends if a != b and ends[a] & ends[b])
+    assert sorted((r.cell_id, r.neighbor_id) for r in found) == want
+    incidence = ms.network_incidence(spark.createDataFrame(list(dict.fromkeys(cells)), "cell_id long, v0 long, v1 long")).collect()
+    assert sorted((r.cell_id, r.node_id) for r in incidence) == sorted((c, v) for c, vs in ends.items() for v in vs)
+
+
+#: The first rows of the cubic spline mass and bilaplacian matrices on [0, 2] in ten cells, by three Gauss nodes each.
+SPLINE_MASS = [
+    [0.0285, 0.017625, 0.003625, 0.00025, 0, 0, 0, 0],
+    [0.017625, 0.0440625, 0.031375, 0.006875, 0.0000625, 0, 0, 0],
+    [0.003625, 0.031375, 0.065270833333, 0.044958333333, 0.004729166667, 0.000041666667, 0, 0],
+    [0.00025, 0.006875, 0.044958333333, 0.095833333333, 0.047291666667, 0.00475, 0.000041666667, 0],
+    [0, 0.0000625, 0.004729166667, 0.047291666667, 0.095833333333, 0.047291666667, 0.00475, 0.000041666667],
+]
+SPLINE_BILAPLACIAN = [
+    [1500, -2062.5, 437.5, 125, 0, 0, 0, 0],
+    [-2062.5, 3000, -843.75, -125, 31.25, 0, 0, 0],
+    [437.5, -843.75, 562.5, -166.666666667, -10.416666667, 20.833333333, 0, 0],
+    [125, -125, -166.666666667, 333.333333333, -187.5, 0, 20.833333333, 0],
+    [0, 31.25, -10.416666667, -187.5, 333.333333333, -187.5, 0, 20.833333333],
+]
+
+
+def test_spline_matrices_have_the_known_values(spark):
+    knots = [k / 5 for k in range(11)]
+    splines = ba.Splines(knots, 3)
+    spans = spark.createDataFrame(list(zip(knots[:-1], knots[1:], strict=True)), "a double, b double")
+    for operator, known in ((asm.reaction(1.0), SPLINE_MASS), (-asm.bilaplacian(), SPLINE_BILAPLACIAN)):
+        m = np.zeros((13, 13))
+        for r in asm.assemble_splines(operator, splines, spans).df.collect():
+            m[r.row, r.col] += r.value
+        scale = np.abs(known).max()
+        assert np.allclose(m[:5, :8], known, atol=1e-9 * scale) and np.allclose(m[::-1, ::-1][:5, :8], known, atol=1e-9 * scale)
+        assert np.allclose(m, m.T)
+
+
+def test_lattices_with_holes(spark):
+    """Squares and cubes are cut where all corners are there."""
+    flat = spark.range(20).where("id <> 6").selectExpr("id AS node_id", "id % 5 * 1D AS x", "floor(id / 5) * 1D AS y")
+    cells = ms.lattice(flat, 5).cells.collect()
+    squares = {(c.cell_id // 2) for c in cells}
+    assert squares == {s for s in range(12) if not {s // 4 * 5 + s % 4 + d for d in (0, 1, 5, 6)} & {6}} and len(cells) == 2 * len(squares)
+    solid = ms.lattice(spark.range(24).selectExpr("id AS node_id", "id % 3 * 1D AS x", "floor(id / 3) % 4 * 1D AS y", "floor(id / 12) * 1D AS z"), 3, 4)
+    assert solid.order == 3 and solid.cells.count() == 6 * 2 * 3
+    assert solid.cells.selectExpr("min(cell_id)", "max(cell_id)").first()[:] == (0, 35)
+    volume = solid.geometry().select(solid.simplex().measure().alias("m")).agg({"m": "sum"}).first()[0]
+    assert abs(volume - 6) < 1e-9
