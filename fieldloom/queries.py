@@ -22,7 +22,7 @@ from .plans import basis as ba
 from .plans import optimize as op
 from .plans import quadrature as qu
 from .plans import solve as so
-from .sources import files
+from .sources import files, shapefile
 from .sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,6 +257,28 @@ def csv_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.df.select("row", "col", "value", F.lit(m.n_rows).cast("bigint").alias("n_rows"), F.lit(m.n_cols).cast("bigint").alias("n_cols"))
 
 
+@register(f"WITH {C_SQL} SELECT pid, x, y FROM pts")
+def shape_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers as points of shapefiles with their ids in attribute tables, both read in parts and joined by record."""
+    folder = new_path(spark, "shapes")
+    shapefile.write_points(customers(spark, sf_dir), folder, ("pid",))
+    stem = F.regexp_extract("path", "(part-[0-9]+)", 1).alias("stem")
+    at = shapefile.read_shapes_in_parts(spark, f"{folder}/*.shp", records=500).select(stem, "record", F.col("rings")[0][0].alias("p"))
+    values = shapefile.read_attributes_in_parts(spark, f"{folder}/*.dbf", records=400).select(stem, "record", F.col("values")["PID"].cast("bigint").alias("pid"))
+    return at.join(values, ["stem", "record"]).select("pid", "p.x", "p.y")
+
+
+@register(f"WITH {C_SQL} SELECT pid, x, y FROM pts WHERE x BETWEEN 0.25e0 AND 0.5e0 AND y BETWEEN 0.1e0 AND 0.3e0")
+def shape_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``shape_parts``, of the records that a box given to the reader lets through, by whole files of attributes."""
+    folder = new_path(spark, "shapes")
+    shapefile.write_points(customers(spark, sf_dir), folder, ("pid",))
+    stem = F.regexp_extract("path", "(part-[0-9]+)", 1).alias("stem")
+    at = shapefile.read_shapes_in_parts(spark, f"{folder}/*.shp", records=500, box=(0.25, 0.1, 0.5, 0.3)).select(stem, "record", F.col("rings")[0][0].alias("p"))
+    values = shapefile.read_attributes(spark, f"{folder}/*.dbf").select(stem, "record", F.col("values")["PID"].cast("bigint").alias("pid"))
+    return at.join(values, ["stem", "record"]).select("pid", "p.x", "p.y")
+
+
 # ---------------------------------------------------------------- search
 
 
