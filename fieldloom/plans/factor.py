@@ -129,7 +129,7 @@ def _shape(f: pd.DataFrame, symmetric: bool) -> tuple[np.ndarray, ...]:
 
 
 def _values(node: int, ids: np.ndarray, own: int, v: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"node": node, "idx": ids, "own": np.arange(len(ids)) < own, "v": list(v)})
+    return pd.DataFrame({"node": node, "idx": ids, "own": np.arange(len(ids)) < own, "v": pd.Series(list(v), dtype=object)})
 
 
 def _up(symmetric: bool):
@@ -267,7 +267,7 @@ def factorise(a: Coo, places: DataFrame | None = None, symmetric: bool = True, l
         for h in range(levels + 1):
             own = entries.where(F.col("h") == h).drop("h")
             if tables:
-                below = tables[-1].select(F.shiftright("node", BITS).alias("node"), "bound", "heights", "rest")
+                below = tables[-1].where(F.octet_length("bound") > 0).select(F.shiftright("node", BITS).alias("node"), "bound", "heights", "rest")
             else:
                 below = own.sparkSession.createDataFrame([], "node bigint, bound binary, heights binary, rest binary")
             tables.append(written(own.groupBy("node").cogroup(below.groupBy("node")).applyInPandas(_eliminate(h, symmetric), NODE), "factors"))
