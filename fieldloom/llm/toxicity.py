@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import base_columns, scratch, small_batches, text_groups, written
+from .vectors import unpacked
 
 DECAY, SPAN, CLASSES, START, END = 0.6, 6, 41, 39, 40
 #: Log-likelihood ratio from which a word counts as a witness.
@@ -45,6 +46,8 @@ LEAST_RATIO = 13.0
 MOST_TOXIC, MOST_CLEAN, LANDMARKS, HARDER, ROUNDS, BEST, WORST = 1_500, 3_500, 320, 80, 3, 3, 2
 #: Longest word that becomes a landmark, in characters (longer ones are learnt from and scored like any other); places whose features are summed at once.
 LONGEST, STRETCH = 256, 1 << 21
+#: Rows that a step of the fit takes at once.
+BLOCK = 1024
 #: One of so many documents of the sample is kept for the logistic.
 FOLDS = 5
 SENTENCE = re.compile(r"[^.!?|\n]+")
@@ -257,21 +260,31 @@ def margins(texts: list[str | None], table: np.ndarray, bias: float) -> np.ndarr
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise half the squared weights plus the sum of c times the squared hinge losses (Newton)."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    ridge = np.eye(z.shape[1])
+    """Weights and bias that minimise half the squared weights plus the sum of c times the squared hinge losses (Newton).
+
+    ``x`` may be of single precision; sums are of double precision, over BLOCK rows at a time, so nothing as large as ``x`` is made.
+    """
+    n, d = x.shape
+    w, ridge = np.zeros(d + 1), np.eye(d + 1)
     ridge[-1, -1] = 1e-6
-    loss = lambda v: 0.5 * v @ ridge @ v + (c * np.maximum(0, 1 - y * (z @ v)) ** 2).sum()
+    blocks = [slice(a, a + BLOCK) for a in range(0, n, BLOCK)]
+    wide = lambda k: np.hstack([x[k].astype(np.float64), np.ones((len(x[k]), 1))])
+    gaps = lambda v: np.concatenate([np.zeros(0), *[1 - y[k] * (wide(k) @ v) for k in blocks]])
+    loss = lambda v, gap: 0.5 * v @ ridge @ v + (c * np.maximum(0, gap) ** 2).sum()
+    gap = gaps(w)
     for _ in range(rounds):
-        gap = 1 - y * (z @ w)
-        on = gap > 0
-        gradient = ridge @ w - 2 * z[on].T @ (c[on] * y[on] * gap[on])
-        step = np.linalg.solve(ridge + 2 * (z[on].T * c[on]) @ z[on], gradient)
-        size, now = 1.0, loss(w)
-        while size > 1e-6 and loss(w - size * step) > now - 1e-4 * size * gradient @ step:
+        gradient, hessian = ridge @ w, ridge.copy()
+        for k in blocks:
+            on = gap[k] > 0
+            z = wide(k)[on]
+            gradient -= 2 * z.T @ (c[k] * y[k] * gap[k])[on]
+            hessian += 2 * (z.T * c[k][on]) @ z
+        step = np.linalg.solve(hessian, gradient)
+        size, now = 1.0, loss(w, gap)
+        while size > 1e-6 and loss(w - size * step, gaps(w - size * step)) > now - 1e-4 * size * gradient @ step:
             size /= 2
         w = w - size * step
+        gap = gaps(w)
         if np.abs(size * step).max() < 1e-6:
             break
     return w[:-1], float(w[-1])
@@ -343,11 +356,15 @@ def fit_table(parts: DataFrame, marks: Sequence[str]) -> Machine:
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(keys), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "key", "x"])
 
     found = parts.select("label", "sentence").mapInArrow(measure, "label int, key bigint, x binary").toArrow()
-    labels = found.column("label").to_numpy().astype(np.float64)
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(len(labels), root.shape[1])
+    labels, keys, x = found.column("label").to_numpy().astype(np.float64), found.column("key").to_numpy(), np.zeros((len(found), root.shape[1]), np.float32)
+    at = 0
+    for chunk in found.column("x").chunks:
+        x[at : at + len(chunk)] = unpacked(chunk, "<f4", root.shape[1])
+        at += len(chunk)
+    del found
     # whatever the order of tasks, the same sums
-    order = np.lexsort((found.column("key").to_numpy(), -labels))
-    return folded(x[order].astype(np.float64), labels[order], marks, root)
+    order = np.lexsort((keys, -labels))
+    return folded(x[order], labels[order], marks, root)
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
