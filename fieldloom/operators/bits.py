@@ -1,4 +1,4 @@
-"""Bit matrices as sets of true cells (row, col).
+"""Bit matrices as sets of true cells (row, col), or for dense ones in packed words (``Words``).
 
 Defined cases: a cell that is there is true, however often it is given to ``of``; null conditions are false; an empty table is a matrix of false cells.
 """
@@ -127,3 +127,90 @@ def of(entries: DataFrame, n_rows: int, n_cols: int, condition: Column | None =
     """Cells of the entries (row, col, value) that aren't zero, or that meet a condition."""
     true = condition if condition is not None else F.col("value") != 0
     return Bits(entries.where(true).select("row", "col").distinct(), n_rows, n_cols)
+
+
+# ---------------------------------------------------------------- packed words
+
+WORD = 64
+
+
+@dataclass(frozen=True)
+class Words:
+    """The same matrices as ``Bits`` in words of 64 columns: rows (row, word, bits) of words that aren't zero, each once.
+
+    Operations are bitwise expressions and aggregates of words, so dense matrices and complements have a row for 64 cells and not for each.
+    """
+
+    df: DataFrame
+    n_rows: int
+    n_cols: int
+
+    @property
+    def n_words(self) -> int:
+        return -(-self.n_cols // WORD)
+
+    def _new(self, df: DataFrame, n_rows: int | None = None, n_cols: int | None = None) -> Words:
+        return Words(df.where("bits <> 0").select("row", "word", "bits"), self.n_rows if n_rows is None else n_rows, self.n_cols if n_cols is None else n_cols)
+
+    def _both(self, other: Words) -> DataFrame:
+        if (self.n_rows, self.n_cols) != (other.n_rows, other.n_cols):
+            raise ValueError("dimensions differ")
+        return self.df.unionByName(other.df).groupBy("row", "word")
+
+    def __and__(self, other: Words) -> Words:
+        return self._new(self._both(other).agg(F.bit_and("bits").alias("bits"), F.count("*").alias("n")).where("n = 2"))
+
+    def __or__(self, other: Words) -> Words:
+        return self._new(self._both(other).agg(F.bit_or("bits").alias("bits")))
+
+    def __xor__(self, other: Words) -> Words:
+        return self._new(self._both(other).agg(F.bit_xor("bits").alias("bits")))
+
+    def _inside(self, n_cols: int) -> Column:
+        """The columns of a word that a matrix of ``n_cols`` columns has."""
+        left = F.lit(n_cols) - F.col("word") * WORD
+        ones = F.lit(-1).cast("bigint")
+        return F.when(left >= WORD, ones).otherwise(F.call_function("shiftrightunsigned", ones, (WORD - left).cast("int"))) if n_cols % WORD else ones
+
+    def __invert__(self) -> Words:
+        """A row for each word of the matrix, whatever it holds."""
+        i = F.col("id")
+        grid = self.df.sparkSession.range(self.n_rows * self.n_words).select(F.floor(i / self.n_words).cast("bigint").alias("row"), (i % self.n_words).alias("word"))
+        known = grid.join(self.df, ["row", "word"], "left")
+        return self._new(known.withColumn("bits", F.bitwise_not(F.coalesce("bits", F.lit(0).cast("bigint"))).bitwiseAND(self._inside(self.n_cols))))
+
+    def clear(self, other: Words) -> Words:
+        """Without the true cells of ``other``."""
+        return self ^ (self & other)
+
+    def block(self, row: int, col: int, n_rows: int, n_cols: int) -> Words:
+        """The block from (row, col) on: words shifted by the odd part of the column, the two halves of a word added by bits."""
+        skip, odd = divmod(col, WORD)
+        at, bits = F.col("word") - skip, F.col("bits")
+        halves = [F.struct(at.alias("word"), F.shiftrightunsigned(bits, odd).alias("bits"))]
+        if odd:
+            halves.append(F.struct((at - 1).alias("word"), F.shiftleft(bits, WORD - odd).alias("bits")))
+        cut = self.df.where(F.col("row").between(row, row + n_rows - 1)).select((F.col("row") - row).alias("row"), F.explode(F.array(*halves)).alias("h")).select("row", "h.*")
+        cut = cut.where(F.col("word").between(0, -(-n_cols // WORD) - 1)).groupBy("row", "word").agg(F.bit_or("bits").alias("bits"))
+        return self._new(cut.withColumn("bits", F.col("bits").bitwiseAND(self._inside(n_cols))), n_rows, n_cols)
+
+    def summary(self) -> DataFrame:
+        """n (true cells), all and any: one row."""
+        n = F.coalesce(F.sum(F.bit_count("bits").cast("bigint")), F.lit(0))
+        return self.df.agg(n.alias("n")).select("n", (F.col("n") == self.n_rows * self.n_cols).alias("all"), (F.col("n") > 0).alias("any"))
+
+    def row_counts(self) -> DataFrame:
+        """row, n: true cells of every row that has any."""
+        return self.df.groupBy("row").agg(F.sum(F.bit_count("bits").cast("bigint")).alias("n"))
+
+    def cells(self) -> DataFrame:
+        """(row, col) of the true cells."""
+        own = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.getbit("bits", k) == 1)
+        return self.df.select("row", "word", F.explode(own).alias("k")).select("row", (F.col("word") * WORD + F.col("k")).alias("col"))
+
+
+def packed(cells: DataFrame, n_rows: int, n_cols: int) -> Words:
+    """Words of true cells (row, col), repeated ones once; cells outside of the matrix, or with a null, are left out."""
+    inside = cells.where(F.col("row").between(0, n_rows - 1) & F.col("col").between(0, n_cols - 1))
+    bit = F.expr("shiftleft(1L, cast(col % 64 AS int))")
+    return Words(inside.groupBy(F.col("row").cast("bigint").alias("row"), F.floor(F.col("col") / WORD).cast("bigint").alias("word")).agg(F.bit_or(bit).alias("bits")), n_rows, n_cols)

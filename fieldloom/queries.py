@@ -996,6 +996,34 @@ def bits_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return months(spark, sf_dir)[0].select(quantities(spark, sf_dir).df)
 
 
+PACKED_SQL = "a AS (SELECT DISTINCT l_suppkey AS \"row\", l_partkey AS col FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_suppkey AS \"row\", l_partkey AS col FROM lineitem WHERE l_returnflag = 'A'), d AS (SELECT (SELECT max(s_suppkey) + 1 FROM supplier) AS m, (SELECT max(p_partkey) + 1 FROM part) AS n)"
+
+
+def flags(spark: SparkSession, sf_dir: str) -> tuple[bt.Words, bt.Words]:
+    """Which suppliers returned which parts, and which had them accepted, in packed words."""
+    m = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] + 1
+    n = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] + 1
+    of = lambda f: bt.packed(table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == f).select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col")), m, n)
+    return of("R"), of("A")
+
+
+def packed_query(name: str, sql: str, f: Callable[[bt.Words, bt.Words], DataFrame]) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(*flags(spark, sf_dir))
+
+    query.__name__ = name
+    register(f"WITH {PACKED_SQL} {sql}")(query)
+
+
+packed_query("packed_and", "SELECT * FROM a INTERSECT SELECT * FROM b", lambda a, b: (a & b).cells())
+packed_query("packed_or", "SELECT * FROM a UNION SELECT * FROM b", lambda a, b: (a | b).cells())
+packed_query("packed_xor", "(SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)", lambda a, b: (a ^ b).cells())
+packed_query("packed_clear", "SELECT * FROM a EXCEPT SELECT * FROM b", lambda a, b: a.clear(b).cells())
+packed_query("packed_not", 'SELECT r AS "row", n - coalesce(k, 0) AS n FROM d, (SELECT unnest(range(m)) AS r FROM d) LEFT JOIN (SELECT "row", count(*) AS k FROM a GROUP BY 1) ON "row" = r WHERE n > coalesce(k, 0)', lambda a, b: (~a).row_counts())
+packed_query("packed_block", 'SELECT "row" - 2 AS "row", col - 37 AS col FROM a WHERE "row" BETWEEN 2 AND 8 AND col BETWEEN 37 AND 166', lambda a, b: a.block(2, 37, 7, 130).cells())
+packed_query("packed_summary", 'SELECT CAST(m * n AS BIGINT) AS n, true AS "all", true AS "any" FROM d UNION ALL SELECT count(*), false, true FROM a', lambda a, b: (a | ~a).summary().unionByName(a.summary()))
+
+
 # ---------------------------------------------------------------- optimisation
 
 

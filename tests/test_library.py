@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import fields as fl
 from fieldloom.functions import vectors as ve
 from fieldloom.functions.geometry import Hyperplane, Simplex
+from fieldloom.operators import bits as bt
 from fieldloom.operators import coo as cm
 from fieldloom.operators import mesh as ms
 from fieldloom.operators import spatial as sp
@@ -430,3 +431,22 @@ def test_lattices_with_holes(spark):
     assert solid.cells.selectExpr("min(cell_id)", "max(cell_id)").first()[:] == (0, 35)
     volume = solid.geometry().select(solid.simplex().measure().alias("m")).agg({"m": "sum"}).first()[0]
     assert abs(volume - 6) < 1e-9
+
+
+@pytest.mark.parametrize("n_cols", [1, 63, 64, 65, 200])
+def test_packed_words(spark, n_cols):
+    """Bits in words against arrays: ends of words, the sign bit, blocks at odd columns, empty matrices."""
+    rng = np.random.default_rng(n_cols)
+    a, b = rng.random((5, n_cols)) < 0.4, rng.random((5, n_cols)) < 0.6
+    a[0], a[1], b[2] = True, False, True
+    cells = lambda m: [(int(i), int(j)) for i, j in zip(*np.nonzero(m), strict=True)]
+    of = lambda m: bt.packed(spark.createDataFrame([*cells(m), *cells(m)[:3], (9, 0), (0, n_cols), (None, 0)], "row long, col long"), 5, n_cols)
+    x, y = of(a), of(b)
+    found = lambda w: sorted((r.row, r.col) for r in w.cells().collect())
+    for got, want in ((x, a), (x & y, a & b), (x | y, a | b), (x ^ y, a ^ b), (~x, ~a), (x.clear(y), a & ~b)):
+        assert found(got) == cells(want)
+    for row, col, h, w in ((1, 0, 3, n_cols), (0, n_cols // 3, 5, n_cols - n_cols // 3), (2, n_cols - 1, 2, 1)):
+        assert found(x.block(row, col, h, w)) == cells(a[row : row + h, col : col + w])
+    assert x.summary().first()[:] == (a.sum(), False, True) and (x | ~x).summary().first()[:] == (5 * n_cols, True, True)
+    assert {r.row: r.n for r in x.row_counts().collect()} == {i: int(s) for i, s in enumerate(a.sum(1)) if s}
+    assert (x & ~x).summary().first()[:] == (0, False, False)
