@@ -148,7 +148,11 @@ class FilePart(InputPartition):
 
 
 def _plain(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:")
+    """A path of the file system; others can't be opened in parts."""
+    plain = path.removeprefix("file://").removeprefix("file:")
+    if "://" in plain:
+        raise ValueError(f"{path} isn't in a folder that is mounted")
+    return plain
 
 
 def record_offsets(path: str) -> list[int]:

@@ -60,3 +60,10 @@ def test_points_written_and_read(spark, tmp_path):
     at = {(r.path.split("/")[-1][:-4], r.record): (r.rings[0][0].x, r.rings[0][0].y) if r.rings else (None, None) for r in shapes.collect()}
     found = {int(v["PID"]): (*at[p[:-4], k], v["NAME"]) for (p, k), v in whole.items()}
     assert found == {r.pid: (r.x, r.y if r.x is not None else None, r.name or "") for r in points.collect()}
+
+
+def test_stores_that_are_not_mounted(spark):
+    with pytest.raises(ValueError):
+        shapefile.write_points(spark.range(1).selectExpr("1D AS x", "1D AS y"), "hdfs://store/points")
+    with pytest.raises(Exception, match="mounted"):
+        shapefile.read_shapes_in_parts(spark, "hdfs://store/*.shp").count()
