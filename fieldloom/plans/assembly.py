@@ -116,13 +116,13 @@ def _form(term: Term, i: int, j: int, phi: Vec, grad: list[Vec], x: Vec) -> Colu
     return value * term.factor
 
 
-def _tabulated(basis: Lagrange) -> tuple[DataFrame, Vec, list[Vec], Vec]:
-    """Rows of ``_quadrature`` with values and gradients of the shape functions as columns, so that every form reads them."""
+def tabulated(basis: Lagrange, keep: Sequence[str] = ("cell_id",)) -> tuple[DataFrame, Vec, list[Vec], Vec]:
+    """Rows of ``_quadrature`` (their columns ``keep``) with values and gradients of the shape functions as columns, so that every form reads them."""
     rows, z, x = _quadrature(basis)
     phi, grad = shape_functions(z, basis.order), basis.physical_gradients(z)
     n, axes = basis.n_local, basis.mesh.axes
     wide = rows.select(
-        "cell_id", *axes, (F.col("w") * F.col("measure")).alias("wm"), *[phi[i].alias(f"phi{i}") for i in range(n)],
+        *keep, *axes, (F.col("w") * F.col("measure")).alias("wm"), *[phi[i].alias(f"phi{i}") for i in range(n)],
         *[grad[i][k].alias(f"g{i}_{k}") for i in range(n) for k in range(len(axes))],
     )
     return wide, [F.col(f"phi{i}") for i in range(n)], [[F.col(f"g{i}_{k}") for k in range(len(axes))] for i in range(n)], x
@@ -135,17 +135,22 @@ def _quadrature(basis: Lagrange) -> tuple[DataFrame, Vec, Vec]:
     return rows, [1.0 - sum(q[1:], q[0]), *q], [F.col(a) for a in basis.mesh.axes]
 
 
-def assemble(operator: Operator, basis: Lagrange) -> Coo:
-    """The matrix of an operator: local matrices as expressions, then one sum by (row, col). Symmetric operators compute a triangle."""
-    rows, phi, grad, x = _tabulated(basis)
-    entries = []
-    for i in range(basis.n_local):
-        for j in range(i + 1 if operator.is_symmetric else basis.n_local):
+def entries(operator: Operator, n: int, phi: Vec, grad: list[Vec], x: Vec) -> list[Column]:
+    """Structs (i, j, v) of a row of ``tabulated``: what it adds to the local matrix of n x n entries, of symmetric operators to its lower triangle."""
+    out = []
+    for i in range(n):
+        for j in range(i + 1 if operator.is_symmetric else n):
             forms = [f for t in operator.terms if (f := _form(t, i, j, phi, grad, x)) is not None]
             if forms:
                 value = sum(forms[1:], forms[0]) * F.col("wm")
-                entries.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), value.alias("v")))
-    local = rows.select("cell_id", F.explode(F.array(*entries)).alias("e")).groupBy("cell_id", F.col("e.i").alias("i"), F.col("e.j").alias("j")).agg(F.sum("e.v").alias("v"))
+                out.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), value.alias("v")))
+    return out
+
+
+def assemble(operator: Operator, basis: Lagrange) -> Coo:
+    """The matrix of an operator: local matrices as expressions, then one sum by (row, col). Symmetric operators compute a triangle."""
+    rows, phi, grad, x = tabulated(basis)
+    local = rows.select("cell_id", F.explode(F.array(*entries(operator, basis.n_local, phi, grad, x))).alias("e")).groupBy("cell_id", F.col("e.i").alias("i"), F.col("e.j").alias("j")).agg(F.sum("e.v").alias("v"))
     if operator.is_symmetric:
         local = local.unionByName(local.where("i <> j").select("cell_id", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
     dofs = basis.cell_dofs()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..operators.coo import Coo
@@ -43,12 +43,11 @@ class _Vectors:
         self.kept = 1
         self.table = start.join(scale, "idx", "left").withColumn("m", F.coalesce("m", F.lit(1.0)))
 
-    def step(self, columns: dict[str, Column], sums: dict[str, Column], product: tuple[str, str] | None = None) -> dict[str, float]:
-        """Adds ``columns``, and after them with ``product`` (x, y) the column y = A x; gives ``sums`` over the new table."""
+    def step(self, columns: dict[str, Column], sums: dict[str, Column], *products: tuple[str, str] | tuple[str, str, Coo]) -> dict[str, float]:
+        """Adds ``columns``, and after them with each of ``products`` (x, y) the column y = A x, or of (x, y, m) y = m x; gives ``sums`` over the new table."""
         table = self.table.withColumns(columns)
-        if product:
-            x, y = product
-            table = table.drop(y).join(self.a.times_vector(table.select("idx", F.col(x).alias("value"))).withColumnRenamed("value", y), "idx", "left").withColumn(y, F.coalesce(y, F.lit(0.0)))
+        for x, y, *by in products:
+            table = table.drop(y).join((by[0] if by else self.a).times_vector(table.select("idx", F.col(x).alias("value"))).withColumnRenamed("value", y), "idx", "left").withColumn(y, F.coalesce(y, F.lit(0.0)))
         seen = Observation()
         self.table = written(table.observe(seen, *[F.sum(c).alias(n) for n, c in sums.items()]), "vectors")
         while len(self.paths) > self.kept + 2:
@@ -60,18 +59,25 @@ def _dot(x: str, y: str) -> Column:
     return F.col(x) * F.col(y)
 
 
-def solve(a: Coo, b: DataFrame, symmetric: bool = True, tolerance: float = 1e-11, most: int = 10_000) -> DataFrame:
+def solve(a: Coo, b: DataFrame, symmetric: bool = True, tolerance: float = 1e-11, most: int = 10_000, low: Coo | None = None) -> DataFrame:
     """(idx, value) with a x = b: conjugate gradients, or where ``a`` isn't symmetric and positive, stabilised biconjugate gradients, scaled by the diagonal.
 
     A product is one join and one sum; a step writes one table, and its sums reach the driver with the writing. The residual falls to
     ``tolerance`` times that of zero; if it doesn't within ``most`` steps, ``NotConverged`` is raised. Entries of ``b`` of one index add up.
+
+    With ``low``, a written L of an approximate inverse L Lt (``sparse_inverse``), conjugate gradients take it in place of the diagonal: fewer steps, of two tables each.
     """
     if a.n_rows != a.n_cols:
         raise ValueError("a square matrix is needed")
     with scratch(b.sparkSession, keep=1) as paths:
         start = _filled(b, a.n_rows).select("idx", F.lit(0.0).alias("x"), F.col("value").alias("r"))
         state = _Vectors(a, start, paths)
-        (_conjugate if symmetric else _stabilised)(state, tolerance, most)
+        if low:
+            if not symmetric:
+                raise ValueError("an approximate inverse L Lt is for symmetric matrices")
+            _preconditioned(state, low, tolerance, most)
+        else:
+            (_conjugate if symmetric else _stabilised)(state, tolerance, most)
         return written(state.table.select("idx", F.col("x").alias("value")), "solution")
 
 
@@ -94,6 +100,24 @@ def _conjugate(v: _Vectors, tolerance: float, most: int) -> None:
     raise NotConverged(f"residual {rr ** 0.5:g} after {most} steps")
 
 
+def _preconditioned(v: _Vectors, low: Coo, tolerance: float, most: int) -> None:
+    """Two tables for each step: the direction and its product, then the residual and what the approximate inverse makes of it."""
+    sums, apply = {"rr": _dot("r", "r"), "rz": _dot("r", "z")}, (("r", "t", low.transpose()), ("t", "z", low))
+    s = v.step({}, sums, *apply)
+    goal, p = s["rr"] * tolerance**2, F.col("z")
+    for _ in range(most):
+        if s["rr"] <= goal:
+            return
+        pq = v.step({"p": p}, {"pq": _dot("p", "q")}, ("p", "q"))["pq"]
+        if not pq or not s["rz"]:
+            break
+        alpha, rz = s["rz"] / pq, s["rz"]
+        s = v.step({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("q")}, sums, *apply)
+        p = F.col("z") + s["rz"] / rz * F.col("p")
+    if s["rr"] > goal:
+        raise NotConverged(f"residual {s['rr'] ** 0.5:g} after {most} steps")
+
+
 def _stabilised(v: _Vectors, tolerance: float, most: int) -> None:
     """Two tables for each step, one for each product."""
     rr = rho = v.step({"s0": F.col("r"), "p": F.col("r")}, {"rr": _dot("r", "r")})["rr"]
@@ -169,49 +193,51 @@ def woodbury(solve_a: Factors | Callable[[DataFrame], DataFrame], u: Coo, invers
 
 
 def sparse_inverse(a: Coo, alpha: int = 2, beta: int = 4, epsilon: float = 1e-3) -> Coo:
-    """L of an approximate inverse L Lt of a symmetric positive matrix, each column by itself.
+    """L of an approximate inverse L Lt of a symmetric positive matrix, whose pattern grows in ``alpha`` rounds, for all columns at once.
+
+    In a round the residual A L of all columns is one join and one sum; below a column's diagonal, beside its new entries, those rows whose residual would
+    fall by more than ``epsilon`` and more than the mean come to its pattern, ``beta`` of them at most, the largest first (of equal ones the smallest row). Then the
+    matrix within each pattern, of up to 1 + ``alpha`` * ``beta`` rows, is gathered by two joins, and systems of one size are solved together. A round writes two tables.
 
-    A column's pattern can only reach entries within ``alpha`` + 1 steps of its diagonal, so these are gathered by joins, and
-    the columns are groups of bounded size.
+    Entries of one place add up; columns without a positive diagonal entry are left out; a matrix of zeros has an L of zeros.
     """
-    reach = a.df.select(F.col("row").alias("k"), F.col("row").alias("j")).distinct()
-    for _ in range(alpha + 1):
-        reach = reach.join(a.df.select(F.col("row").alias("j"), F.col("col").alias("to")), "j").select("k", F.col("to").alias("j")).where("j >= k").distinct()
-    rows = reach.withColumnRenamed("j", "row").join(a.df, "row")
-    local = rows.join(reach.withColumnRenamed("j", "col"), ["k", "col"]).select("k", "row", "col", "value")
-
-    def column(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["k"].iloc[0])
-        ids = np.unique(np.r_[pdf["row"], pdf["col"]])
-        m = np.zeros((len(ids), len(ids)))
-        m[np.searchsorted(ids, pdf["row"]), np.searchsorted(ids, pdf["col"])] = pdf["value"]
-        d = int(np.searchsorted(ids, k))
-        pattern, new = [d], [d]
-        while True:
-            rest = [j for j in pattern if j != d]
-            y = np.linalg.solve(m[np.ix_(rest, rest)], m[rest, d]) if rest else np.zeros(0)
-            diagonal = 1 / np.sqrt(m[d, d] - m[d, rest] @ y)
-            values = np.zeros(len(ids))
-            values[d], values[rest] = diagonal, -diagonal * y
-            if alpha_left[0] == 0 or not new:
-                break
-            alpha_left[0] -= 1
-            near = [j for j in np.flatnonzero((m[new] != 0).any(0)) if j > d and j not in pattern]
-            tau = np.array([(m[j] @ values) ** 2 / m[j, j] for j in near])
-            new = []
-            if len(tau) and tau.max() > epsilon:
-                order = [near[i] for i in np.argsort(-tau, kind="stable") if tau[i] > tau.mean() or len(near) == 1 or tau.min() == tau.max()]
-                new = order[:beta]
-                pattern = sorted([*pattern, *new])
-        keep = np.array(sorted(pattern))
-        return pd.DataFrame({"row": ids[keep], "col": k, "value": values[keep]})
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        alpha_left[0] = alpha
-        return column(pdf)
-
-    alpha_left = [alpha]
-    return Coo(local.groupBy("k").applyInPandas(whole, "row bigint, col bigint, value double"), a.n_rows, a.n_cols)
+    spark = a.df.sparkSession
+    with scratch(spark, keep=1):
+        m = written(a.summed().df.where("value <> 0"), "matrix")
+        diagonal = m.where("row = col AND value > 0").select(F.col("row").alias("j"), F.col("value").alias("d"))
+        low = written(diagonal.select(F.col("j").alias("k"), F.col("j").alias("row"), (1 / F.sqrt("d")).alias("value"), F.lit(True).alias("new")), "inverse")
+        beside = m.select(F.col("row").alias("j"), F.col("col").alias("row"), F.col("value").alias("a"))
+        each = Window.partitionBy("k")
+        for _ in range(alpha):
+            residual = low.join(beside, "row").where("j > k").groupBy("k", "j").agg(F.sum(F.col("a") * F.col("value")).alias("r"), F.bool_or("new").alias("near")).where("near")
+            gain = residual.join(low.select("k", F.col("row").alias("j")), ["k", "j"], "left_anti").join(diagonal, "j").select("k", "j", (F.col("r") * F.col("r") / F.col("d")).alias("tau"))
+            ranked = gain.select("*", *[f("tau").over(each).alias(n) for f, n in ((F.max, "most"), (F.min, "least"), (F.avg, "mean"))], F.row_number().over(each.orderBy(F.desc("tau"), "j")).alias("place"))
+            chosen = ranked.where((F.col("most") > epsilon) & (F.col("place") <= beta) & ((F.col("tau") > F.col("mean")) | (F.col("least") == F.col("most"))))
+            pattern = written(low.select("k", "row", F.lit(False).alias("new")).unionByName(chosen.select("k", F.col("j").alias("row"), F.lit(True).alias("new"))), "pattern")
+            inside = pattern.join(m, "row").where("row >= col").join(pattern.select("k", F.col("row").alias("col")), ["k", "col"])
+            # at most as many as a pattern has pairs
+            systems = inside.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("row", "col", "value", "new"))).alias("e"))
+            low = written(systems.select("k", *[F.col(f"e.{c}").alias(c) for c in ("row", "col", "value", "new")]).mapInPandas(_small_systems, "k bigint, row bigint, value double, new boolean"), "inverse")
+        return Coo(low.select("row", F.col("k").alias("col"), "value"), a.n_rows, a.n_cols)
+
+
+def _small_systems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Columns of the approximate inverse on their patterns (the lower triangles ``row``, ``col``, ``value`` in order), those of one size together."""
+    for pdf in batches:
+        by_size: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for k, row, col, value, new in pdf.itertuples(index=False):
+            ids, first = np.unique(row, return_index=True)
+            dense = np.zeros((len(ids), len(ids)))
+            at, to = np.searchsorted(ids, row), np.searchsorted(ids, col)
+            dense[at, to] = dense[to, at] = value
+            by_size.setdefault(len(ids), []).append((k, ids, np.asarray(new)[first], dense))
+        for size, group in by_size.items():
+            m = np.stack([g[3] for g in group])
+            # a pattern begins with its diagonal
+            y = np.linalg.solve(m[:, 1:, 1:], m[:, 1:, :1])[:, :, 0]
+            top = 1 / np.sqrt(m[:, 0, 0] - (m[:, 0, 1:] * y).sum(1))
+            values = np.concatenate([top[:, None], -top[:, None] * y], axis=1)
+            yield pd.DataFrame({"k": np.repeat([g[0] for g in group], size), "row": np.concatenate([g[1] for g in group]), "value": values.ravel(), "new": np.concatenate([g[2] for g in group]).astype(bool)})
 
 
 @dataclass

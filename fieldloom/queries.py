@@ -20,10 +20,11 @@ from .operators.frame import ROW, BlockFrame, BlockVector, number_rows
 from .plans import assembly as asm
 from .plans import basis as ba
 from .plans import optimize as op
+from .plans import parts as pa
 from .plans import quadrature as qu
 from .plans import solve as so
 from .sources import files, shapefile
-from .sources.shared import new_path
+from .sources.shared import new_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -958,6 +959,64 @@ def sparse_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return low.df.groupBy(F.col("col").alias("idx")).agg(F.bool_and(F.col("row") >= F.col("col")).alias("lower")).join(diagonal, "idx")
 
 
+@register(f"WITH {W_SQL} SELECT DISTINCT unnest([v0, v1, v2]) AS idx, true AS near FROM cells")
+def sparse_inverse_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether L Lt is near the inverse of a short heat step's matrix (lumped mass) in each row: the absolute values of A L Lt - I sum to less than a half, so corrections by it converge."""
+    basis = ba.Lagrange(warped(spark, sf_dir))
+    a = asm.mass(basis).lump().scale(4000.0).plus(asm.assemble(-asm.laplacian(), basis))
+    low = so.sparse_inverse(a, alpha=4, beta=8, epsilon=1e-6)
+    product = a.times(low).times(low.transpose()).df
+    apart = F.sum(F.abs(F.col("value") - F.when(F.col("row") == F.col("col"), 1.0).otherwise(0.0)))
+    return product.groupBy(F.col("row").alias("idx")).agg((apart < 0.5).alias("near"))
+
+
+@register(f"WITH {W_SQL} SELECT DISTINCT node_id AS idx, round(x * x - y, 6) + 0e0 AS value FROM nodes JOIN (SELECT unnest([v0, v1, v2]) AS node_id FROM cells) USING (node_id)")
+def solve_preconditioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conjugate gradients with an approximate inverse: a right side is made of a known field, which comes back."""
+    mesh = warped(spark, sf_dir)
+    a = asm.assemble(asm.reaction(400.0) - asm.laplacian(), ba.Lagrange(mesh)).summed()
+    known = mesh.nodes.select(F.col("node_id").alias("idx"), (F.col("x") * F.col("x") - F.col("y")).alias("value"))
+    # part keys begin at 1, so the last index is their number
+    system = cm.Coo(written(a.df, "matrix"), a.n_rows + 1, a.n_cols + 1)
+    found = so.solve(system, system.times_vector(known), low=so.sparse_inverse(system))
+    held = system.df.select(F.col("row").alias("idx")).distinct()
+    return found.join(held, "idx").select("idx", r6("value").alias("value"))
+
+
+# ---------------------------------------------------------------- meshes in parts
+
+#: Cells of a part in the queries, so that their meshes have borders at every scale factor.
+CELLS = 512
+
+
+@register(SQL["mass_p1"])
+def mass_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries(pa.assemble_in_parts(asm.reaction(1.0), pa.in_parts(warped(spark, sf_dir), CELLS)))
+
+
+@register(SQL["advection_p1"])
+def advection_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries(pa.assemble_in_parts(asm.advection([1.0, 2.0]), pa.in_parts(warped(spark, sf_dir), CELLS)))
+
+
+@register(f"WITH {W_SQL}, {SIDES_SQL} SELECT n0, n1, min(cell_id) AS cell_a, CASE WHEN count(*) > 1 THEN max(cell_id) ELSE -1 END AS cell_b, count(*) AS n_cells FROM sides GROUP BY n0, n1")
+def edges_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pa.in_parts(warped(spark, sf_dir), CELLS).edges()
+
+
+@register(SQL["neighbors"])
+def neighbors_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pa.in_parts(warped(spark, sf_dir), CELLS).neighbors()
+
+
+@register(SQL["quad_mesh"])
+def quad_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``quad_mesh``, summed over parts."""
+    mesh = pa.in_parts(regular(spark, sf_dir), CELLS)
+    found, area = pa.integrate_in_parts(mesh, lambda x, y: x * x * y * y + y, nodes=12), pa.integrate_in_parts(mesh, lambda x, y: x * 0.0 + 1.0, nodes=1)
+    return found.agg(F.sum("integral").alias("a")).crossJoin(F.broadcast(area.agg(F.sum("integral").alias("b")))).select(r6(F.col("a") / F.col("b")).alias("mean"))  # one row each
+
+
 # ---------------------------------------------------------------- bit matrices
 
 BITS_SQL = 'a AS (SELECT DISTINCT o_custkey % 8 AS "row", CAST(month(o_orderdate) - 1 AS BIGINT) AS col FROM orders WHERE o_totalprice > 400000), b AS (SELECT DISTINCT o_custkey % 8 AS "row", CAST(month(o_orderdate) - 1 AS BIGINT) AS col FROM orders WHERE o_orderstatus = \'P\' AND o_custkey % 3 = 0 AND o_orderkey % 5 = 0)'

@@ -200,6 +200,47 @@ def test_approximate_inverse(spark):
     assert np.abs(low @ low.T - np.linalg.inv(a)).max() < 0.02
 
 
+def approximate_inverse(a, alpha, beta, epsilon):
+    """Column by column, on dense arrays."""
+    n = len(a)
+    out = np.zeros((n, n))
+    for k in range(n):
+        pattern, new = [k], [k]
+        for step in range(alpha + 1):
+            rest = [j for j in pattern if j != k]
+            y = np.linalg.solve(a[np.ix_(rest, rest)], a[rest, k])
+            out[:, k] = 0
+            out[k, k] = 1 / np.sqrt(a[k, k] - a[k, rest] @ y)
+            out[rest, k] = -out[k, k] * y
+            near = [j for j in range(k + 1, n) if j not in pattern and any(a[j, i] for i in new)]
+            tau = np.array([(a[j] @ out[:, k]) ** 2 / a[j, j] for j in near])
+            if step == alpha or not len(tau) or tau.max() <= epsilon:
+                break
+            new = [near[i] for i in np.argsort(-tau, kind="stable") if tau[i] > tau.mean() or tau.min() == tau.max()][:beta]
+            pattern = sorted([*pattern, *new])
+    return out
+
+
+@pytest.mark.parametrize("alpha, beta", [(0, 3), (1, 1), (2, 4), (5, 2)])
+def test_pattern_growth_against_columns(spark, alpha, beta):
+    rng = np.random.default_rng(7)
+    a = np.where(rng.random((30, 30)) < 0.15, rng.normal(size=(30, 30)), 0.0)
+    a = a + a.T + np.diag(np.abs(a + a.T).sum(1) + 0.5)
+    low = dense(so.sparse_inverse(matrix(spark, a), alpha, beta, 1e-6))
+    assert np.allclose(low, approximate_inverse(a, alpha, beta, 1e-6), atol=1e-12)
+
+
+def test_preconditioned_gradients_take_fewer_steps(spark):
+    a = asm.assemble(asm.reaction(5.0) - asm.laplacian(), ba.Lagrange(ms.square(spark, 8))).summed()
+    m = dense(a)
+    b = np.random.default_rng(8).normal(size=len(m))
+    right = spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "idx long, value double")
+    x = {r.idx: r.value for r in so.solve(a, right, tolerance=1e-6, most=20, low=so.sparse_inverse(a, 4, 4, 1e-4)).collect()}
+    assert np.abs(m @ [x[i] for i in range(len(m))] - b).max() < 1e-4
+    with pytest.raises(so.NotConverged):
+        so.solve(a, right, tolerance=1e-6, most=30)
+
+
 def test_heat_equation_converges_with_second_order(spark):
     """exp(-t) sin-like solution: the error falls by four when the mesh is halved and the steps are quartered."""
     exact = lambda x, y, t: F.exp(-t) * (x * x + y * y)
