@@ -14,8 +14,10 @@ from ..sources.shared import scratch, written
 from .frame import ROW, number_rows
 from .mesh import Mesh
 
-#: Points of a grid cell from which the width is cut, how often at most, and how many widths are counted in one pass; rows of a block where every query meets every point.
+#: Points of a grid cell from which the width is cut, how often at most, and how many widths are counted in one pass; rows of a block where every query meets every point, points of a ring around a pivot.
 FULL, CUTS, AT_ONCE, BLOCK = 64, 12, 4, 4096
+#: Vectors of one length that others are ordered around; copies of what all queries read.
+PIVOTS, SALTS = 32, 32
 #: Bins beyond it are one bin.
 LAST_BIN = 1 << 60
 #: Extents from which squares of distances may be too large for doubles.
@@ -148,6 +150,77 @@ def nearest_vectors(queries: DataFrame, points: DataFrame, q_id: str, p_id: str,
     return best.select(q_id, F.col(f"best.{p_id}").alias(p_id), F.col("best.d2").alias("d2"))
 
 
+def _squared(a: Column, b: Column) -> Column:
+    """Squared distance of two arrays of numbers."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+
+
+def _finite(vector: str) -> Column:
+    """Whether an array has finite numbers only."""
+    return F.coalesce(F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False))), F.lit(False))
+
+
+def pivots_of(points: DataFrame, vector: str) -> DataFrame:
+    """pivot, _at: for each length of vectors PIVOTS different ones at most, each the least of a range of hashes. The choice tells how much is skipped, not what is found."""
+    hashed, size = F.xxhash64(vector), F.size(vector)
+    pick = F.pmod(hashed, F.lit(PIVOTS))
+    return points.groupBy((size.cast("bigint") * PIVOTS + pick).alias("pivot")).agg(F.min_by(vector, hashed).alias("_at"))
+
+
+def nearest_by_pivots(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vector: str) -> DataFrame:
+    """The exact nearest other vector of the same length (of equal distances the smallest id) for a stated set of queries against all rows: q_id, p_id, d2, and n_compared, the number of points looked at.
+
+    Grids don't prune in many dimensions, distances to pivots do. Points go to the cell of their nearest pivot, and there, in the order of their distance to it, to rings of
+    BLOCK points at most: a ring is a range of distances. A query is compared with the ring that holds its own distance in the cell of its nearest pivot, which bounds its answer; by the triangle
+    inequality only rings whose range comes as near to its distance from their pivot can hold a nearer point. Rings are keys of equi-joins: large cells have many, and a ring that
+    many queries meet is copied for blocks of BLOCK of them. Where nothing can be skipped (vectors without any structure) queries meet every ring, which is what the search then asks for.
+
+    Vectors that are null or hold a null, NaN or infinite number have no neighbour and are none; queries without another vector of their length are left out; points with a
+    query's own id are never its neighbour; equal query ids are answered each by themselves. d2 is infinite where a double can't hold it.
+    """
+    with scratch(queries.sparkSession, keep=1):
+        sound = lambda df, i, v: df.where(_finite(vector)).select(F.col(i).alias(f"{v}_id"), F.col(vector).alias(v), F.monotonically_increasing_id().alias(f"{v}_row"))
+        own, asked = written(sound(points, p_id, "_p"), "points"), written(sound(queries, q_id, "_q"), "queries")
+        pivots = written(pivots_of(own, "_p"), "pivots")
+        # every vector meets the pivots of its length
+        every = F.explode(F.transform(F.sequence(F.lit(0), F.lit(PIVOTS - 1)), lambda k: F.size("_v") * F.lit(PIVOTS).cast("bigint") + k))
+        meet = lambda df, v: df.withColumnRenamed(v, "_v").withColumn("pivot", every).join(pivots, "pivot").select(f"{v}_row", "pivot", F.sqrt(_squared(F.col("_v"), F.col("_at"))).alias("d"))
+        nearest_pivot = meet(own, "_p").groupBy("_p_row").agg(F.min(F.struct("d", "pivot")).alias("n")).select("_p_row", "n.*")
+        ordered = number_rows(own.join(nearest_pivot, "_p_row"), "pivot", "d", "_p_row")
+        ringed = written(ordered.select("_p_id", "_p", "pivot", "d", F.floor(F.col(ROW) / BLOCK).cast("bigint").alias("ring")), "rings")
+        ranges = ringed.groupBy("pivot", "ring").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n"))
+        # 24 bytes for each BLOCK points of a cell, copied to salts so that queries that meet a pivot are spread
+        salt, salts = F.pmod(F.xxhash64("_q_row"), F.lit(SALTS)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+        ranges = written(ranges.groupBy("pivot").agg(F.collect_list(F.struct("ring", "low", "high", "n")).alias("rings")), "ranges").withColumn("salt", salts)
+        far = written(meet(asked, "_q").withColumn("salt", salt), "distances")
+        gap = lambda r: F.greatest(r["low"] - F.col("d"), F.col("d") - r["high"], F.lit(0.0))
+
+        def compare(pairs: DataFrame, name: str) -> DataFrame:
+            """_q_row, the best (d2, id) of its rings, and their points."""
+            pairs = written(pairs, name)
+            load = pairs.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+            dealt = pairs.join(load, ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("_q_row", F.lit(1)), F.col("blocks"))).join(asked, "_q_row")
+            blocks = ringed.drop("d").join(load, ["pivot", "ring"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
+            found = dealt.join(blocks, ["pivot", "ring", "block"])
+            other = F.when(F.col("_p_id") != F.col("_q_id"), F.struct(_squared(F.col("_q"), F.col("_p")).alias("d2"), "_p_id"))
+            return found.groupBy("_q_row").agg(F.min(other).alias("best"), F.count("*").alias("n_compared"))
+
+        cell = far.groupBy("_q_row", "salt").agg(F.min(F.struct("d", "pivot")).alias("n")).select("_q_row", "salt", "n.*")
+        # a ring of one point may be the query itself
+        first = F.array_min(F.transform("rings", lambda r: F.struct((r["n"] < 2).alias("alone"), gap(r).alias("gap"), r["ring"].alias("ring"))))
+        start = written(cell.join(ranges, ["pivot", "salt"]).select("_q_row", "pivot", first["ring"].alias("ring")), "first")
+        known = written(compare(start, "first_pairs"), "bounds")
+        bound = known.join(start, "_q_row", "right").select("_q_row", F.sqrt("best.d2").alias("u"), F.col("pivot").alias("_c"), F.col("ring").alias("_r"))
+        # rounding must not skip anything; a distance that overflowed decides nothing
+        near = lambda r: F.col("u").isNull() | F.isnan(gap(r)) | (gap(r) <= F.col("u") + (F.col("u") + F.col("d") + r["high"]) * 1e-9)
+        new = lambda r: F.coalesce((F.col("pivot") != F.col("_c")) | (r["ring"] != F.col("_r")), F.lit(True))
+        left = far.join(bound, "_q_row", "left").join(ranges, ["pivot", "salt"])
+        more = left.select("_q_row", "pivot", F.explode(F.transform(F.filter("rings", lambda r: near(r) & new(r)), lambda r: r["ring"])).alias("ring"))
+        both = known.unionByName(compare(more, "pairs")).groupBy("_q_row").agg(F.min("best").alias("best"), F.sum("n_compared").alias("n_compared")).where("best IS NOT NULL")
+        out = asked.join(both, "_q_row").select(F.col("_q_id").alias(q_id), F.col("best._p_id").alias(p_id), F.col("best.d2").alias("d2"), "n_compared")
+        return written(out, "answers")
+
+
 def in_box(point: Vec, low: Vec, high: Vec) -> Column:
     """Whether a point is in a closed box."""
     out = point[0].between(low[0], high[0])

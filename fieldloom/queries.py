@@ -296,6 +296,13 @@ def knn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "near_id", r6("d2").alias("d2"))
 
 
+@register(SQL["knn_embeddings"])
+def knn_embeddings_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = sp.nearest_by_pivots(e.where("vec_id % 20 = 0"), e.withColumnRenamed("vec_id", "near_id"), "vec_id", "near_id", "embedding")
+    return found.select("vec_id", "near_id", r6("d2").alias("d2"))
+
+
 @register(f"WITH {C_SQL} SELECT pid FROM pts WHERE x BETWEEN 0.25e0 AND 0.5e0 AND y BETWEEN 0.1e0 AND 0.3e0")
 def range_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers(spark, sf_dir).where(sp.in_box(ve.vec("x", "y"), ve.vec(0.25, 0.1), ve.vec(0.5, 0.3))).select("pid")

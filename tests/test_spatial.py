@@ -57,13 +57,14 @@ def test_bins_of_a_crowd_hold_few(spark):
     assert most <= sp.FULL
 
 
+@pytest.mark.parametrize("search", [sp.nearest_vectors, sp.nearest_by_pivots])
 @pytest.mark.parametrize("block", [4096, 7])
-def test_nearest_vectors_against_all_pairs(spark, monkeypatch, block):
+def test_nearest_vectors_against_all_pairs(spark, monkeypatch, block, search):
     monkeypatch.setattr(sp, "BLOCK", block)
     v = np.random.default_rng(3).normal(size=(30, 4))
     rows = [(i, x) for i, x in enumerate(v.tolist())] + [(40, None)]
     df = spark.createDataFrame(rows, "a long, v array<double>")
-    found = {r.a: (r.b, r.d2) for r in sp.nearest_vectors(df.where("a % 5 = 0"), df.withColumnRenamed("a", "b"), "a", "b", "v").collect()}
+    found = {r.a: (r.b, r.d2) for r in search(df.where("a % 5 = 0"), df.withColumnRenamed("a", "b"), "a", "b", "v").collect()}
     assert set(found) == {0, 5, 10, 15, 20, 25}
     for i, (j, d2) in found.items():
         d = ((v - v[i]) ** 2).sum(1)
@@ -71,6 +72,38 @@ def test_nearest_vectors_against_all_pairs(spark, monkeypatch, block):
         assert j == d.argmin() and np.isclose(d2, d.min())
 
 
+def vectors_found(spark, rows, every=5):
+    df = spark.createDataFrame(rows, "a long, v array<double>")
+    return {r.a: r for r in sp.nearest_by_pivots(df.where(f"a % {every} = 0"), df.withColumnRenamed("a", "b"), "a", "b", "v").collect()}
+
+
+def test_pivots_skip_and_stay_exact(spark, monkeypatch):
+    """Vectors in groups: rings of other groups are skipped."""
+    monkeypatch.setattr(sp, "BLOCK", 16)
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(25, 8))[rng.integers(0, 25, 1500)] * 10 + rng.normal(size=(1500, 8)) * 0.1
+    v[100:140] = v[100]
+    found = vectors_found(spark, list(enumerate(v.tolist())))
+    assert len(found) == 300
+    for i, r in found.items():
+        d = ((v - v[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert r.b == d.argmin() and np.isclose(r.d2, d.min())
+    assert sum(r.n_compared for r in found.values()) < 0.2 * 300 * 1500
+
+
+def test_pivots_defined_cases(spark, monkeypatch):
+    monkeypatch.setattr(sp, "BLOCK", 2)
+    rows = [(0, [0.0, 0.0]), (1, [3.0, 4.0]), (2, None), (5, [NAN, 1.0]), (10, [1.0, None]), (15, [1e200, 0.0]), (16, [1e200, 1e200]), (20, [1.0]), (25, [1.0, 2.0, 3.0]), (26, [1.0, 2.0, 4.0]), (30, []), (35, [0.0, 0.0])]
+    found = vectors_found(spark, rows)
+    assert {i: (r.b, r.d2) for i, r in found.items()} == {0: (35, 0.0), 35: (0, 0.0), 15: (0, float("inf")), 25: (26, 1.0)}
+    # ties go to the smallest id, and repeated queries are answered each
+    df = spark.createDataFrame([(9, [1.0]), (7, [1.0]), (8, [1.0])], "b long, v array<double>")
+    q = spark.createDataFrame([(1, [1.0]), (1, [2.0])], "a long, v array<double>")
+    assert sorted((r.a, r.b, r.d2) for r in sp.nearest_by_pivots(q, df, "a", "b", "v").collect()) == [(1, 7, 0.0), (1, 7, 1.0)]
+    assert sp.nearest_by_pivots(q, df.limit(0), "a", "b", "v").count() == 0 and sp.nearest_by_pivots(q.limit(0), df, "a", "b", "v").count() == 0
+
+
 def test_range_join_against_all_pairs(spark):
     points = [*crowd(), (900, None, 1.0), (901, NAN, 0.0)]
     boxes = [(1, -1.0, -1.0, 1.0, 1.0), (2, 4.9, 4.9, 5.0, 5.0), (3, 0.0, 0.0, 0.0, 0.0), (4, 2.0, 2.0, 1.0, 1.0), (5, NAN, 0.0, 1.0, 1.0), (6, None, 0.0, 1.0, 1.0), (7, -60.0, -10.0, 20.0, 10.0)]
