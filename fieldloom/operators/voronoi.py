@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Simplex
 from .frame import ROW, number_rows
 from .mesh import Mesh, clockwise
-from .spatial import locate_all, nearest, range_join, squared_distance
+from .spatial import located, nearest, range_join, squared_distance
 
 
 def vertices(mesh: Mesh) -> DataFrame:
@@ -97,7 +97,7 @@ def dual(mesh: Mesh) -> DataFrame:
 def locate(points: DataFrame, mesh: Mesh, h: float) -> DataFrame:
     """pid, node_id: the nearest vertex of the Delaunay cell that contains a point; of equal distances the first in the cell."""
     geometry = mesh.geometry()
-    hits = locate_all(points, mesh, h, geometry).groupBy("pid").agg(F.min("cell_id").alias("cell_id"))
+    hits = located(points, mesh, h, geometry).select("pid", "cell_id")
     rows = points.join(hits, "pid").join(geometry, "cell_id")
     p = [F.col("x"), F.col("y")]
     options = [F.struct(squared_distance(p, [F.col(f"x{k}"), F.col(f"y{k}")]).alias("d2"), F.lit(k).alias("k"), F.col(f"v{k}").alias("node_id")) for k in range(mesh.order + 1)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import TOLERANCE, Mat, Vec, apply, transpose
 from ..operators.coo import Coo
 from ..operators.mesh import Mesh
-from ..operators.spatial import locate_all
+from ..operators.spatial import located
 from .quadrature import quadrature_rows, rule
 
 
@@ -73,9 +73,9 @@ class Lagrange:
         return rows.select("*", F.posexplode(parts).alias("local", name))
 
     def evaluate(self, points: DataFrame, h: float) -> DataFrame:
-        """Evaluation matrix (pid, dof_id, value): no entries for points outside, the cell of smallest id on shared sides."""
+        """Evaluation matrix (pid, dof_id, value): no entries for points outside, on shared sides the cell of ``spatial.located``."""
         z = [f"z{i}" for i in range(self.mesh.order + 1)]
-        hits = locate_all(points, self.mesh, h).groupBy("pid").agg(F.min(F.struct("cell_id", *z)).alias("hit")).select("pid", "hit.*")
+        hits = located(points, self.mesh, h).select("pid", "cell_id", *z)
         values = self.values(hits, [F.col(n) for n in z])
         return values.join(self.cell_dofs(), ["cell_id", "local"]).select("pid", "dof_id", "value")
 

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.operators import mesh as ms
 from fieldloom.operators import spatial as sp
@@ -196,3 +197,31 @@ def test_knots_as_a_table(spark):
     want = {r.pid: r.cell_id for r in sp.locate_interval(df.where("pid < 900 OR pid > 901"), [float(k) for k in knots]).collect()}
     assert found == want | {900: None, 901: None}
     assert {r.cell_id for r in sp.locate_knots(df.where("pid < 10"), table.limit(0)).collect()} == {-1}
+
+
+def test_location_on_shared_sides(spark):
+    """Cells are half-open in the direction of x, then y; the last sides belong to the cell of smallest id."""
+    mesh = ms.square(spark, 4)
+    at = [(5 * i + j, i / 4, j / 4) for i in range(5) for j in range(5)] + [(100 + i, i / 4, 0.3) for i in range(4)] + [(200 + i, 0.3, i / 4) for i in range(4)]
+    found = {r.pid: r.cell_id for r in sp.locate(points_of(spark, at), mesh, 0.25).collect()}
+    for pid, x, y in at:
+        i, j = int(x * 4), int(y * 4)
+        if i < 4 and j < 4:
+            assert found[pid] == 2 * (4 * j + i) + int(y * 4 - j > x * 4 - i)
+    assert found[24] == 30 and found[4] == 25
+
+
+def test_queries_of_customers_on_shared_sides(spark, tmp_path):
+    """Balances that put customers on the sides between cells give what the SQL of these queries gives."""
+    import duckdb
+
+    from fieldloom import queries as library
+
+    sf = "/root/testdata/sf0.001"
+    balance = (687.5 * (F.col("c_custkey") % 16) - 1000).alias("c_acctbal")
+    spark.read.parquet(f"{sf}/customer.parquet").withColumn("c_acctbal", balance).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    for name in ("flagship", "locate_cell", "psi_point_p1", "psi_point_p2"):
+        found = sorted(map(tuple, library.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert found == sorted(con.execute(library.SQL[name]).fetchall()), name
