@@ -491,3 +491,18 @@ def test_packed_words(spark, n_cols):
     assert x.summary().first()[:] == (a.sum(), False, True) and (x | ~x).summary().first()[:] == (5 * n_cols, True, True)
     assert {r.row: r.n for r in x.row_counts().collect()} == {i: int(s) for i, s in enumerate(a.sum(1)) if s}
     assert (x & ~x).summary().first()[:] == (0, False, False)
+
+
+def test_spline_queries_beyond_the_last_knot(spark, tmp_path):
+    """Events beyond the knots, on either side, count as in the SQL of both queries."""
+    import duckdb
+
+    from fieldloom import queries as library
+
+    rows = [(i, 250 * x) for i, x in enumerate([-0.75, -0.25, 0.0, 0.3, 1.0, 2.0, 2.24084, 2.5, 7.0])]
+    spark.createDataFrame(rows, "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("spline_linear", "spline_expand"):
+        found = sorted(map(tuple, library.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert found == sorted(con.execute(library.SQL[name]).fetchall()), name
