@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_path, scratch, shared_dir, written
+from ..sources.shared import new_path, scratch, shared_dir
+from ..sources.shared import stored as written
 
 __all__ = ["base_columns", "new_path", "scratch", "shared_dir", "small_batches", "text_groups", "written"]
 

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import large
+
 
 @dataclass(frozen=True)
 class Coo:
@@ -43,12 +45,12 @@ class Coo:
 
     def times_vector(self, x: DataFrame) -> DataFrame:
         """(idx, value) of the product with a sparse vector (idx, value)."""
-        products = self.df.join(x.select(F.col("idx").alias("col"), F.col("value").alias("x")), "col")
+        products = large(self.df).join(x.select(F.col("idx").alias("col"), F.col("value").alias("x")), "col")
         return products.groupBy(F.col("row").alias("idx")).agg(F.sum(F.col("value") * F.col("x")).alias("value"))
 
     def times(self, other: Coo) -> Coo:
         right = other.df.select(F.col("row").alias("col"), F.col("col").alias("to"), F.col("value").alias("y"))
-        products = self.df.join(right, "col").groupBy("row", F.col("to").alias("col")).agg(F.sum(F.col("value") * F.col("y")).alias("value"))
+        products = large(self.df).join(right, "col").groupBy("row", F.col("to").alias("col")).agg(F.sum(F.col("value") * F.col("y")).alias("value"))
         return self._new(products, n_cols=other.n_cols)
 
     def kronecker(self, other: Coo) -> Coo:
@@ -74,7 +76,7 @@ class Coo:
     def replace_rows(self, rows: DataFrame) -> Coo:
         """The rows of ``rows`` (row) become those of the identity."""
         unit = rows.select("row", F.col("row").alias("col"), F.lit(1.0).alias("value"))
-        return self._new(self.df.join(rows, "row", "left_anti").select("row", "col", "value").unionByName(unit))
+        return self._new(large(self.df).join(rows, "row", "left_anti").select("row", "col", "value").unionByName(unit))
 
     def non_zeros(self) -> int:
         return self.df.count()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Simplex
+from ..sources.shared import large
 from .frame import ROW, number_rows
 
 AXES = ("x", "y", "z")
@@ -26,6 +27,8 @@ class Mesh:
     nodes: DataFrame
     cells: DataFrame
     order: int
+    #: Whether the mesh grows with the input, so that its relations are ``large``.
+    grows: bool = False
 
     @property
     def axes(self) -> list[str]:
@@ -67,7 +70,8 @@ class Mesh:
         point = F.struct(*self.axes)
         by_cell = long.join(self.nodes, "node_id").groupBy("cell_id").agg(*[F.min(F.when(F.col("k") == k, point)).alias(f"p{k}") for k in range(self.order + 1)])
         coordinates = [F.col(f"p{k}.{a}").alias(f"{a}{k}") for k in range(self.order + 1) for a in self.axes]
-        return self.cells.join(by_cell.select("cell_id", *coordinates), "cell_id")
+        found = self.cells.join(by_cell.select("cell_id", *coordinates), "cell_id")
+        return large(found) if self.grows else found
 
     def simplex(self) -> Simplex:
         """The cell of a row of ``geometry``."""
@@ -160,7 +164,7 @@ class Mesh:
         ids = first.select("node_id", F.col(ROW).alias("new_node"))
         cells = long.join(ids, "node_id").groupBy(F.col("new_cell").alias("cell_id")).agg(*[F.min(F.when(F.col("k") == k, F.col("new_node"))).alias(f"v{k}") for k in range(self.order)])
         nodes = self.nodes.join(ids, "node_id").select(F.col("new_node").alias("node_id"), *self.axes)
-        return Mesh(nodes, cells, self.order - 1)
+        return Mesh(nodes, cells, self.order - 1, self.grows)
 
 
 def square(spark: SparkSession, n: int) -> Mesh:
@@ -194,6 +198,7 @@ def lattice(nodes: DataFrame, *widths: int) -> Mesh:
 
     A square or cube is cut where all its corners are there, so missing nodes leave holes and the last row may be short. Nodes with a null id have no cells.
     """
+    nodes = large(nodes)
     w, *more = widths
     i, d = F.col("base"), len(widths) + 1
     steps = [1, w, *([w * more[0]] if more else [])]
@@ -209,7 +214,7 @@ def lattice(nodes: DataFrame, *widths: int) -> Mesh:
     shapes = CUBE if more else [(0, 1, 3), (0, 3, 2)]
     cut = F.array(*[F.struct(*[(i + offset(c)).alias(f"v{k}") for k, c in enumerate(shape)]) for shape in shapes])
     cells = whole.select(place.alias("place"), F.posexplode(cut).alias("t", "c")).select((F.col("place") * len(shapes) + F.col("t")).alias("cell_id"), "c.*")
-    return Mesh(nodes, cells, d)
+    return Mesh(nodes, large(cells), d, grows=True)
 
 
 def interval(spark: SparkSession, a: float, b: float, n: int) -> Mesh:
@@ -221,8 +226,9 @@ def interval(spark: SparkSession, a: float, b: float, n: int) -> Mesh:
 
 def interval_of(nodes: DataFrame) -> Mesh:
     """Cells between consecutive nodes (node_id from 0 in the order of x)."""
+    nodes = large(nodes)
     after = nodes.select((F.col("node_id") - 1).alias("node_id")).where("node_id >= 0")
-    return Mesh(nodes, after.select(F.col("node_id").alias("cell_id"), F.col("node_id").alias("v0"), (F.col("node_id") + 1).alias("v1")), 1)
+    return Mesh(nodes, after.select(F.col("node_id").alias("cell_id"), F.col("node_id").alias("v0"), (F.col("node_id") + 1).alias("v1")), 1, grows=True)
 
 
 #: Cells of a block at a node of a network.

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import drop_older, scratch, written
+from ..sources.shared import drop_older, large, scratch, written
 from .frame import ROW, number_rows
 
 #: Children of a block in the tree of minima; a power of two.
@@ -43,7 +43,7 @@ def toured(tree: DataFrame) -> DataFrame:
     join by arc each. The nodes below one are those with pre from its own on, ``size`` of them. Any number of children is allowed: left ones come first, then by node_id.
     """
     kids = Window.partitionBy("parent_id").orderBy(F.coalesce("is_left", F.lit(False)).desc(), "node_id")
-    known = tree.select("node_id", "parent_id", "is_left").where("node_id IS NOT NULL")
+    known = large(tree).select("node_id", "parent_id", "is_left").where("node_id IS NOT NULL")
     whole = known.where("parent_id IS NOT NULL").select("node_id", "parent_id", F.lead("node_id").over(kids).alias("next"), F.row_number().over(kids).alias("k"))
     first = whole.where("k = 1").select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"))
     roots = known.where("parent_id IS NULL").select(F.col("node_id").alias("parent_id"), F.lit(True).alias("top"))
@@ -81,7 +81,7 @@ def below(tour: DataFrame, node_id: int) -> DataFrame:
 
 def without(tour: DataFrame, node_id: int) -> DataFrame:
     """Erase a node and all below it; nodes that no root reaches stay."""
-    return tour.join(below(tour, node_id).select("node_id"), "node_id", "left_anti")
+    return large(tour).join(below(tour, node_id).select("node_id"), "node_id", "left_anti")
 
 
 def depth_first() -> list[Column]:
@@ -103,7 +103,7 @@ def without_subtree(paths: DataFrame, root_path: str) -> DataFrame:
 
 
 def leaves(tree: DataFrame) -> DataFrame:
-    return tree.join(tree.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_anti")
+    return large(tree).join(tree.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_anti")
 
 
 def put(paths: DataFrame, nodes: DataFrame) -> DataFrame:

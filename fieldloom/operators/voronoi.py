@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Simplex
+from ..sources.shared import large
 from .frame import ROW, number_rows
 from .mesh import Mesh, clockwise
 from .spatial import located, nearest, range_join, squared_distance
@@ -37,7 +38,7 @@ def cells(mesh: Mesh) -> DataFrame:
     long = vertices(mesh).select(F.explode("sites").alias("site"), "x", "y")
     middle = long.groupBy("site").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.collect_set(F.struct(F.round("x", 12).alias("x"), F.round("y", 12).alias("y"))).alias("points"))
     keyed = F.transform("points", lambda p: F.struct(clockwise(p["x"], p["y"], F.col("cx"), F.col("cy")).alias("k"), p["x"].alias("x"), p["y"].alias("y")))
-    return middle.select("site", F.transform(F.array_sort(keyed), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))
+    return large(middle).select("site", F.transform(F.array_sort(keyed), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))
 
 
 def measures(rings: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def containing(points: DataFrame, rings: DataFrame, slack: float = 1e-9) -> Data
     far = lambda pick, c: pick(F.transform("ring", lambda p: p[c]))
     boxes = rings.select("*", *[(far(F.array_min, c) - slack).alias(f"l{c}") for c in "xy"], *[(far(F.array_max, c) + slack).alias(f"u{c}") for c in "xy"])
     near = range_join(points, boxes.withColumnRenamed("site", "box_id"))
-    pairs = near.join(points.select("pid", "x", "y").distinct(), "pid").join(rings.withColumnRenamed("site", "box_id"), "box_id")
+    pairs = near.join(large(points).select("pid", "x", "y").distinct(), "pid").join(rings.withColumnRenamed("site", "box_id"), "box_id")
     return contains(pairs, F.col("x"), F.col("y"), slack).where("inside").select("pid", F.col("box_id").alias("site"))
 
 
@@ -98,7 +99,7 @@ def locate(points: DataFrame, mesh: Mesh, h: float) -> DataFrame:
     """pid, node_id: the nearest vertex of the Delaunay cell that contains a point; of equal distances the first in the cell."""
     geometry = mesh.geometry()
     hits = located(points, mesh, h, geometry).select("pid", "cell_id")
-    rows = points.join(hits, "pid").join(geometry, "cell_id")
+    rows = large(points).join(hits, "pid").join(geometry, "cell_id")
     p = [F.col("x"), F.col("y")]
     options = [F.struct(squared_distance(p, [F.col(f"x{k}"), F.col(f"y{k}")]).alias("d2"), F.lit(k).alias("k"), F.col(f"v{k}").alias("node_id")) for k in range(mesh.order + 1)]
     return rows.select("pid", F.least(*options)["node_id"].alias("node_id"))

@@ -12,6 +12,7 @@ from ..functions.vectors import TOLERANCE, Mat, Vec, apply, transpose
 from ..operators.coo import Coo
 from ..operators.mesh import Mesh
 from ..operators.spatial import located
+from ..sources.shared import large
 from .quadrature import quadrature_rows, rule
 
 
@@ -49,7 +50,7 @@ class Lagrange:
             return vertices
         n = self.mesh.nodes.count()
         edges = self.mesh.cell_edges().select("cell_id", (F.col("side") + self.mesh.order + 1).alias("local"), (F.col("edge_id") + n).alias("dof_id"))
-        return vertices.unionByName(edges)
+        return large(vertices.unionByName(edges))
 
     def dofs(self) -> DataFrame:
         """dof_id, its coordinates and on_boundary."""
@@ -88,7 +89,7 @@ class Lagrange:
         parts = regions.join(local, "cell_id").join(self.cell_dofs(), ["cell_id", "local"])
         sums = parts.groupBy("sub_id", "dof_id").agg(F.sum("integral").alias("integral"))
         sizes = parts.where("local = 0").groupBy("sub_id").agg(F.sum("measure").alias("measure"))
-        return sums.join(sizes, "sub_id").select("sub_id", "dof_id", (F.col("integral") / F.col("measure")).alias("value"))
+        return sums.join(large(sizes), "sub_id").select("sub_id", "dof_id", (F.col("integral") / F.col("measure")).alias("value"))
 
     def expand(self, coefficients: DataFrame, points: DataFrame, h: float) -> DataFrame:
         """pid, value of the expansion with coefficients (dof_id, c); null outside."""

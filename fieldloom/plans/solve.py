@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.coo import Coo
 from ..operators.mesh import Mesh
-from ..sources.shared import remove, scratch, written
+from ..sources.shared import large, remove, scratch, written
 from .assembly import Operator, assemble, forcing, mass
 from .basis import Lagrange
 from .factor import Factors, FrontTooLarge, factorise
@@ -28,7 +28,7 @@ class NotConverged(RuntimeError):
 
 def _filled(b: DataFrame, n: int) -> DataFrame:
     grid = b.sparkSession.range(n).withColumnRenamed("id", "idx")
-    return grid.join(b.groupBy("idx").agg(F.sum("value").alias("value")), "idx", "left").select("idx", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return grid.join(large(b).groupBy("idx").agg(F.sum("value").alias("value")), "idx", "left").select("idx", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 class _Vectors:
@@ -150,15 +150,15 @@ def _stabilised(v: _Vectors, tolerance: float, most: int) -> None:
 
 def fixed_rows(a: Coo, rows: DataFrame) -> Coo:
     """``a`` with the rows and columns of ``rows`` (row) as those of the identity: whatever the values there, the same matrix."""
-    rows = rows.distinct()
-    inner = a.df.join(rows, "row", "left_anti").join(rows.withColumnRenamed("row", "col"), "col", "left_anti").select("row", "col", "value")
+    rows = large(rows).distinct()
+    inner = large(a.df).join(rows, "row", "left_anti").join(rows.withColumnRenamed("row", "col"), "col", "left_anti").select("row", "col", "value")
     return Coo(inner.unionByName(rows.select("row", F.col("row").alias("col"), F.lit(1.0).alias("value"))), a.n_rows, a.n_cols)
 
 
 def fixed_right(a: Coo, b: DataFrame, fixed: DataFrame) -> DataFrame:
     """The right side of ``fixed_rows``: values of ``fixed`` (idx, value) in their rows, and what they add to the others."""
     known = a.times_vector(fixed).withColumn("value", -F.col("value"))
-    return b.unionByName(known).groupBy("idx").agg(F.sum("value").alias("value")).join(fixed.select("idx"), "idx", "left_anti").unionByName(fixed.select("idx", "value"))
+    return b.unionByName(known).groupBy("idx").agg(F.sum("value").alias("value")).join(large(fixed).select("idx"), "idx", "left_anti").unionByName(fixed.select("idx", "value"))
 
 
 def dirichlet(a: Coo, b: DataFrame, fixed: DataFrame) -> tuple[Coo, DataFrame]:

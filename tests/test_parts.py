@@ -60,3 +60,21 @@ def test_integrals_and_defined_cases(spark):
     cells = spark.createDataFrame([(0, 0, 1, 5), (1, 0, 1, 2), (2, 0, 1, 3), (3, 0, 1, 4)], "cell_id bigint, v0 bigint, v1 bigint, v2 bigint")
     parted = pa.in_parts(ms.Mesh(odd, cells, 2), 1)
     assert rows(parted.edges().where("n0 = 0 AND n1 = 1"), "cell_a", "cell_b", "n_cells") == [(0, 3, 4)]
+
+
+def test_large_relations_stay_off_the_driver(spark):
+    """Meshes of tables are small to Spark by the size of their files; their joins don't broadcast them all the same."""
+    from fieldloom.operators import mesh as ms
+    from fieldloom.operators import voronoi as vo
+    from fieldloom.plans import assembly as asm
+    from fieldloom.plans import basis as ba
+
+    nodes = spark.range(100).selectExpr("id AS node_id", "id % 10 / 9D AS x", "floor(id / 10) / 9D AS y")
+    mesh = ms.lattice(nodes, 10)
+    stiff = asm.assemble(-asm.laplacian(), ba.Lagrange(mesh))
+    for df in (mesh.geometry(), stiff.df, stiff.times(stiff).df, stiff.replace_rows(mesh.boundary_nodes().selectExpr("node_id AS row")).df, mesh.neighbors(), vo.sites(mesh)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan, plan
+    # one row for each partition is what numbers need
+    plan = mesh.cell_edges()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1
