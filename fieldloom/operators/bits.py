@@ -5,11 +5,14 @@ Defined cases: a cell that is there is true, however often it is given to ``of``
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import large
+
 
 @dataclass(frozen=True)
 class Bits:
@@ -132,39 +135,57 @@ def of(entries: DataFrame, n_rows: int, n_cols: int, condition: Column | None =
 # ---------------------------------------------------------------- packed words
 
 WORD = 64
+#: Words that a task sums at most, about.
+SPREAD = 1_000_000
 
 
 @dataclass(frozen=True)
 class Words:
     """The same matrices as ``Bits`` in words of 64 columns: rows (row, word, bits) of words that aren't zero, each once.
 
-    Operations are bitwise expressions and aggregates of words, so dense matrices and complements have a row for 64 cells and not for each.
+    Operations are bitwise expressions and aggregates of words, so dense matrices have a row for 64 cells and not for each. A complement is the same words with ``flipped`` set:
+    operations and counts work on what is stored, and only ``cells`` of a complement makes its words, as many as the matrix has.
     """
 
     df: DataFrame
     n_rows: int
     n_cols: int
+    flipped: bool = False
+    #: Tasks that sum words; Spark would merge them by the size of what it shuffles, which is a small part of what a sum holds.
+    tasks: int = 1
 
     @property
     def n_words(self) -> int:
         return -(-self.n_cols // WORD)
 
-    def _new(self, df: DataFrame, n_rows: int | None = None, n_cols: int | None = None) -> Words:
-        return Words(df.where("bits <> 0").select("row", "word", "bits"), self.n_rows if n_rows is None else n_rows, self.n_cols if n_cols is None else n_cols)
+    def _new(self, df: DataFrame, n_rows: int | None = None, n_cols: int | None = None, flipped: bool = False) -> Words:
+        return Words(df.where("bits <> 0").select("row", "word", "bits"), self.n_rows if n_rows is None else n_rows, self.n_cols if n_cols is None else n_cols, flipped, self.tasks)
 
-    def _both(self, other: Words) -> DataFrame:
+    def _with(self, other: Words, of: Callable[[Column, Column], Column], flipped: bool = False) -> Words:
+        """``of`` the stored bits of both, absent words as zeros: one sum by word."""
         if (self.n_rows, self.n_cols) != (other.n_rows, other.n_cols):
             raise ValueError("dimensions differ")
-        return self.df.unionByName(other.df).groupBy("row", "word")
+        none = F.lit(0).cast("bigint")
+        sides = self.df.select("row", "word", F.col("bits").alias("a"), none.alias("b")).unionByName(other.df.select("row", "word", none.alias("a"), F.col("bits").alias("b")))
+        tasks = max(self.tasks, other.tasks)
+        both = sides.repartition(tasks, "row", "word").groupBy("row", "word").agg(F.bit_or("a").alias("a"), F.bit_or("b").alias("b"))
+        out = self._new(both.select("row", "word", of(F.col("a"), F.col("b")).alias("bits")), flipped=flipped)
+        return replace(out, tasks=tasks)
 
     def __and__(self, other: Words) -> Words:
-        return self._new(self._both(other).agg(F.bit_and("bits").alias("bits"), F.count("*").alias("n")).where("n = 2"))
+        if self.flipped and other.flipped:
+            return self._with(other, lambda a, b: a.bitwiseOR(b), True)
+        if self.flipped:
+            return other & self
+        return self._with(other, lambda a, b: a.bitwiseAND(F.bitwise_not(b) if other.flipped else b))
 
     def __or__(self, other: Words) -> Words:
-        return self._new(self._both(other).agg(F.bit_or("bits").alias("bits")))
+        if self.flipped or other.flipped:
+            return ~(~self & ~other)
+        return self._with(other, lambda a, b: a.bitwiseOR(b))
 
     def __xor__(self, other: Words) -> Words:
-        return self._new(self._both(other).agg(F.bit_xor("bits").alias("bits")))
+        return self._with(other, lambda a, b: a.bitwiseXOR(b), self.flipped != other.flipped)
 
     def _inside(self, n_cols: int) -> Column:
         """The columns of a word that a matrix of ``n_cols`` columns has."""
@@ -173,7 +194,12 @@ class Words:
         return F.when(left >= WORD, ones).otherwise(F.call_function("shiftrightunsigned", ones, (WORD - left).cast("int"))) if n_cols % WORD else ones
 
     def __invert__(self) -> Words:
-        """A row for each word of the matrix, whatever it holds."""
+        return replace(self, flipped=not self.flipped)
+
+    def _plain(self) -> Words:
+        """Without ``flipped``: of a complement a row for each word of the matrix, whatever it holds."""
+        if not self.flipped:
+            return self
         i = F.col("id")
         grid = self.df.sparkSession.range(self.n_rows * self.n_words).select(F.floor(i / self.n_words).cast("bigint").alias("row"), (i % self.n_words).alias("word"))
         known = grid.join(self.df, ["row", "word"], "left")
@@ -181,10 +207,12 @@ class Words:
 
     def clear(self, other: Words) -> Words:
         """Without the true cells of ``other``."""
-        return self ^ (self & other)
+        return self & ~other
 
     def block(self, row: int, col: int, n_rows: int, n_cols: int) -> Words:
-        """The block from (row, col) on: words shifted by the odd part of the column, the two halves of a word added by bits."""
+        """The block from (row, col) on: words shifted by the odd part of the column, the two halves of a word added by bits. Cells outside of the matrix are false."""
+        if self.flipped and (row < 0 or col < 0 or row + n_rows > self.n_rows or col + n_cols > self.n_cols):
+            return self._plain().block(row, col, n_rows, n_cols)
         skip, odd = divmod(col, WORD)
         at, bits = F.col("word") - skip, F.col("bits")
         halves = [F.struct(at.alias("word"), F.shiftrightunsigned(bits, odd).alias("bits"))]
@@ -192,25 +220,33 @@ class Words:
             halves.append(F.struct((at - 1).alias("word"), F.shiftleft(bits, WORD - odd).alias("bits")))
         cut = self.df.where(F.col("row").between(row, row + n_rows - 1)).select((F.col("row") - row).alias("row"), F.explode(F.array(*halves)).alias("h")).select("row", "h.*")
         cut = cut.where(F.col("word").between(0, -(-n_cols // WORD) - 1)).groupBy("row", "word").agg(F.bit_or("bits").alias("bits"))
-        return self._new(cut.withColumn("bits", F.col("bits").bitwiseAND(self._inside(n_cols))), n_rows, n_cols)
+        return self._new(cut.withColumn("bits", F.col("bits").bitwiseAND(self._inside(n_cols))), n_rows, n_cols, self.flipped)
 
     def summary(self) -> DataFrame:
         """n (true cells), all and any: one row."""
         n = F.coalesce(F.sum(F.bit_count("bits").cast("bigint")), F.lit(0))
+        if self.flipped:
+            n = F.lit(self.n_rows * self.n_cols).cast("bigint") - n
         return self.df.agg(n.alias("n")).select("n", (F.col("n") == self.n_rows * self.n_cols).alias("all"), (F.col("n") > 0).alias("any"))
 
     def row_counts(self) -> DataFrame:
         """row, n: true cells of every row that has any."""
-        return self.df.groupBy("row").agg(F.sum(F.bit_count("bits").cast("bigint")).alias("n"))
+        counts = self.df.groupBy("row").agg(F.sum(F.bit_count("bits").cast("bigint")).alias("n"))
+        if not self.flipped:
+            return counts
+        rows = self.df.sparkSession.range(self.n_rows).withColumnRenamed("id", "row").join(large(counts), "row", "left")
+        return rows.select("row", (F.lit(self.n_cols).cast("bigint") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
 
     def cells(self) -> DataFrame:
         """(row, col) of the true cells."""
         own = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.getbit("bits", k) == 1)
-        return self.df.select("row", "word", F.explode(own).alias("k")).select("row", (F.col("word") * WORD + F.col("k")).alias("col"))
+        return self._plain().df.select("row", "word", F.explode(own).alias("k")).select("row", (F.col("word") * WORD + F.col("k")).alias("col"))
 
 
 def packed(cells: DataFrame, n_rows: int, n_cols: int) -> Words:
     """Words of true cells (row, col), repeated ones once; cells outside of the matrix, or with a null, are left out."""
     inside = cells.where(F.col("row").between(0, n_rows - 1) & F.col("col").between(0, n_cols - 1))
     bit = F.expr("shiftleft(1L, cast(col % 64 AS int))")
-    return Words(inside.groupBy(F.col("row").cast("bigint").alias("row"), F.floor(F.col("col") / WORD).cast("bigint").alias("word")).agg(F.bit_or(bit).alias("bits")), n_rows, n_cols)
+    tasks = max(cells.sparkSession.sparkContext.defaultParallelism, -(-inside.count() // SPREAD))
+    words = inside.select(F.col("row").cast("bigint").alias("row"), F.floor(F.col("col") / WORD).cast("bigint").alias("word"), bit.alias("bit")).repartition(tasks, "row", "word")
+    return Words(words.groupBy("row", "word").agg(F.bit_or("bit").alias("bits")), n_rows, n_cols, tasks=tasks)

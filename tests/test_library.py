@@ -506,3 +506,18 @@ def test_spline_queries_beyond_the_last_knot(spark, tmp_path):
     for name in ("spline_linear", "spline_expand"):
         found = sorted(map(tuple, library.QUERIES[name](spark, str(tmp_path)).collect()))
         assert found == sorted(con.execute(library.SQL[name]).fetchall()), name
+
+
+def test_complements_of_packed_words_are_not_made(spark):
+    """A matrix of 10 ** 12 cells and its complement: counts and operations take the words that are stored."""
+    n = 1_000_000
+    of = lambda cells: bt.packed(spark.createDataFrame(cells, "row long, col long"), n, n)
+    a, b = of([(0, 0), (0, n - 1), (5, 70)]), of([(0, 0), (7, 7)])
+    cells = lambda w: sorted(map(tuple, w.cells().collect()))
+    one = lambda w: tuple(w.summary().first())
+    assert one(~a) == (n * n - 3, False, True) and one(a | ~a) == (n * n, True, True) and one(a & ~a) == (0, False, False)
+    assert one(~a & ~b) == (n * n - 4, False, True) and one(~a | b) == (n * n - 2, False, True) and one(~a ^ b) == (n * n - 3, False, True)
+    assert cells(a & ~b) == cells(~b & a) == cells(a.clear(b)) == [(0, n - 1), (5, 70)] and cells(~a ^ ~b) == [(0, n - 1), (5, 70), (7, 7)]
+    assert one((~a).block(0, 0, 6, 100)) == (598, False, True) and len(cells((~a).block(5, 64, 1, 20))) == 19
+    counts = {r.row: r.n for r in (~a).row_counts().where("row IN (0, 1, 5)").collect()}
+    assert counts == {0: n - 2, 1: n, 5: n - 1}
