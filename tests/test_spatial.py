@@ -225,3 +225,13 @@ def test_queries_of_customers_on_shared_sides(spark, tmp_path):
     for name in ("flagship", "locate_cell", "psi_point_p1", "psi_point_p2"):
         found = sorted(map(tuple, library.QUERIES[name](spark, str(tmp_path)).collect()))
         assert found == sorted(con.execute(library.SQL[name]).fetchall()), name
+
+
+def test_range_join_is_dealt_by_its_pairs(spark, monkeypatch):
+    """Points and boxes of one place: few rows, but many pairs, are cut in blocks for as many tasks; each pair comes once."""
+    monkeypatch.setattr(sp, "PAIRS", 1000)
+    points = spark.createDataFrame([(i, 0.5, 0.5) for i in range(200)], "pid long, x double, y double")
+    boxes = spark.createDataFrame([(i, 0.4, 0.4, 0.6, 0.6) for i in range(50)], "box_id long, lx double, ly double, ux double, uy double")
+    found = sp.range_join(points, boxes)
+    assert found.rdd.getNumPartitions() >= 10 and max(map(len, found.rdd.glom().collect())) <= 4000
+    assert sorted(map(tuple, found.collect())) == [(b, p) for b in range(50) for p in range(200)]
