@@ -46,11 +46,15 @@ class Singular(RuntimeError):
     """A matrix without an inverse, or too near to one."""
 
 
-def curve_key(axes: dict[str, tuple[float, float]], bits: int = 16) -> Column:
-    """Place on a Z-order curve over the box of ``axes`` (low, high), the bits of the axes in turn."""
+def curve_key(axes: dict[str, tuple[float, float]], bits: int = 20) -> Column:
+    """Place on a Z-order curve over the box of ``axes`` (low, high), the bits of the axes in turn.
+
+    The longest side scales all axes, so a strip is first cut across, and the borders of its parts are as short as it is narrow.
+    """
     out = F.lit(0).cast("bigint")
-    for k, (name, (low, high)) in enumerate(axes.items()):
-        q = F.floor((F.col(name) - low) / ((high - low) or 1.0) * ((1 << bits) - 1)).cast("bigint")
+    side = max([high - low for low, high in axes.values()], default=0.0) or 1.0
+    for k, (name, (low, _)) in enumerate(axes.items()):
+        q = F.floor((F.col(name) - low) / side * ((1 << bits) - 1)).cast("bigint")
         for b in range(bits):
             out = out.bitwiseOR(F.shiftleft(F.shiftright(q, b).bitwiseAND(F.lit(1).cast("bigint")), b * len(axes) + k))
     return F.coalesce(out, F.lit(0).cast("bigint"))

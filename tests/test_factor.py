@@ -103,3 +103,14 @@ def test_woodbury_with_many_columns(spark):
     f = fa.factorise(matrix(spark, a), leaf=20)
     found = values(so.woodbury(f, matrix(spark, u), np.linalg.inv(c), matrix(spark, u.T), vector(spark, b)), 60)
     assert np.allclose(found, x, atol=1e-8)
+
+
+def test_strip_is_cut_across(spark):
+    """Parts of a long strip have borders as short as it is narrow, so fronts don't grow with its length."""
+    w, n = 5, 1500
+    edges = [(i, j) for i in range(n) for j in ((i + 1) if i % w < w - 1 else -1, i + w) if 0 <= j < n]
+    rows = [(i, i, 5.0) for i in range(n)] + [e for i, j in edges for e in ((i, j, -1.0), (j, i, -1.0))]
+    places = spark.createDataFrame([(i, float(i % w), float(i // w)) for i in range(n)], "idx long, x double, y double")
+    f = fa.factorise(cm.Coo(spark.createDataFrame(rows, "row long, col long, value double"), n, n), places, leaf=50)
+    fronts = [t.agg(F.max((F.octet_length("own") + F.octet_length("bound")) / 8)).first()[0] for t in f.levels]
+    assert len(fronts) == 4 and max(fronts) <= 50 + 2 * (w + 2)
