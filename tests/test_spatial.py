@@ -73,6 +73,16 @@ def test_nearest_vectors_against_all_pairs(spark, monkeypatch, block, search):
         assert j == d.argmin() and np.isclose(d2, d.min())
 
 
+def test_pairs_of_vectors_are_no_rows(spark):
+    """Pairs are compared block by block in tasks, not joined and sorted; components that aren't there add nothing."""
+    rows = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, [9.0, 2.0]), (3, [1.0, 2.5, 7.0]), (4, []), (5, [NAN, 0.0]), (10, [float("inf"), 2.0])]
+    df = spark.createDataFrame(rows, "a long, v array<float>")
+    found = sp.nearest_vectors(df.where("a % 5 = 0"), df.withColumnRenamed("a", "b"), "a", "b", "v")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "Join" not in plan
+    assert sorted((r.a, r.b, repr(r.d2)) for r in found.collect()) == [(0, 1, "0.0"), (5, 0, "nan"), (10, 0, "inf")]
+
+
 def vectors_found(spark, rows, every=5):
     df = spark.createDataFrame(rows, "a long, v array<double>")
     return {r.a: r for r in sp.nearest_by_pivots(df.where(f"a % {every} = 0"), df.withColumnRenamed("a", "b"), "a", "b", "v").collect()}
