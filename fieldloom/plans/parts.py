@@ -30,8 +30,8 @@ from .basis import Lagrange
 from .factor import curve_key
 from .quadrature import quadrature_rows, rule
 
-#: Cells of a part, and buckets of a stored mesh at most (more parts share buckets).
-PART, MOST_BUCKETS = 50_000, 20_000
+#: Cells of a part, cells of a bucket where parts are smaller (they share buckets), and buckets of a stored mesh at most.
+PART, BUCKET, MOST_BUCKETS = 50_000, 50_000, 20_000
 
 
 def _bit(k: Column) -> Column:
@@ -92,7 +92,7 @@ class PartedMesh:
 def in_parts(mesh: Mesh, size: int = PART) -> PartedMesh:
     """``mesh`` stored in parts of ``size`` cells, as a bucketed table of the session's catalog over the shared folder."""
     axes, order, spark = mesh.axes, mesh.order, mesh.nodes.sparkSession
-    n, box = box_of(mesh.nodes.where(usable(axes)), axes)
+    _, box = box_of(mesh.nodes.where(usable(axes)), axes)
     middle = {f"_m{a}": reduce(lambda x, y: x + y, [F.col(f"{a}{k}") for k in range(order + 1)]) / (order + 1) for a in axes}
     key = F.when(usable(list(middle)), curve_key(dict(zip(middle, box, strict=True)))).otherwise(F.lit(-1))
     numbered = number_rows(mesh.geometry().withColumns(middle).withColumn("_key", key), "_key", "cell_id")
@@ -103,7 +103,9 @@ def in_parts(mesh: Mesh, size: int = PART) -> PartedMesh:
     fat = cells.join(bits, ROW, "left").select(
         "part", "cell_id", *mesh.vertices, *[f"{a}{k}" for k in range(order + 1) for a in axes], F.coalesce("border", F.lit(0)).alias("border")
     )
-    buckets = max(1, min(MOST_BUCKETS, -(-numbered.count() // size)))
+    n = numbered.count()
+    # each is a file and a task of every query, so their number is that of the cells, not of small parts
+    buckets = max(1, min(MOST_BUCKETS, -(-n // size), max(spark.sparkContext.defaultParallelism, -(-n // BUCKET))))
     name = f"parts_{uuid.uuid4().hex}"
     # each bucket is written by one task, as one file
     fat.repartition(buckets, "part").write.bucketBy(buckets, "part").sortBy("part").option("path", new_path(spark, "parts")).saveAsTable(name)

@@ -50,6 +50,13 @@ def test_exchanges_of_parts(spark):
     assert shared < parted.sides(1).count() / 3
 
 
+def test_small_parts_share_buckets(spark):
+    """Files and tasks are as many as the cells need, however small parts are."""
+    parted = pa.in_parts(ms.square(spark, 32), 16)
+    assert parted.cells.select("part").distinct().count() == 128
+    assert parted.cells.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_integrals_and_defined_cases(spark):
     mesh = ms.square(spark, 5)
     found = pa.integrate_in_parts(pa.in_parts(mesh, 7), lambda x, y: x * y, 2).collect()
