@@ -14,6 +14,8 @@ from .frame import ROW, number_rows
 
 #: Children of a block in the tree of minima; a power of two.
 WIDE = 64
+#: Arcs of a tour that a task joins; one arc in STOPS is a stop, where there are more than FEW.
+ARCS, STOPS, FEW = 1_000_000, 8, 200_000
 #: Characters of a path, far beyond those of shallow trees.
 LONGEST_PATH = 1 << 20
 
@@ -35,42 +37,68 @@ def with_paths(tree: DataFrame) -> DataFrame:
     return tree.join(state.select("node_id", sound.alias("path")).withColumn("depth", F.length("path")), "node_id")
 
 
+def _dealt(df: DataFrame, n: int, key: str) -> DataFrame:
+    """One side of a join or the rows of a window over ``key``, in tasks as many as ``n`` rows need, so that no task grows with the input; Spark deals few rows by itself."""
+    return df.repartition(-(-n // ARCS), key) if n > ARCS else df
+
+
+def _summed(arcs: DataFrame, n: int, level: int = 0) -> DataFrame:
+    """``arcs`` (arc, to, nodes, deep, root), written, with sums over all arcs that follow, and the root where they end; ``to`` is null then.
+
+    Pointers jump over twice the distance each round, but not beyond a stop, which a hash of the arc tells. So after a few rounds, whatever the length, all point to a stop or the end; then the
+    stops, which are few, are summed in the same way. What goes round on a cycle gets no root.
+    """
+    spark, sums = arcs.sparkSession, ("nodes", "deep")
+    stop = lambda c: (F.pmod(F.xxhash64(c, F.lit(level)), F.lit(STOPS)) == 0) if n > FEW else F.lit(False)
+    goes_on, at_stop = F.col("to").isNotNull() & ~stop("to"), F.col("to").isNotNull() & stop("to")
+    added = [(F.col(c) + F.coalesce(f"{c}2", F.lit(0))).alias(c) for c in sums]
+    named = lambda df: _dealt(df.select(F.col("arc").alias("to"), F.col("to").alias("to2"), *[F.col(c).alias(f"{c}2") for c in (*sums, "root")]), n, "to")
+    jumped = lambda moving, after: _dealt(moving, n, "to").join(named(after), "to", "left").select("arc", F.col("to2").alias("to"), *added, F.coalesce("root", "root2").alias("root"))
+    with scratch(spark, keep=1) as paths:
+        state = arcs
+        for _ in range(max(1, n).bit_length() + 1):
+            if state.where(goes_on).isEmpty():
+                break
+            moved = jumped(state.where(goes_on), state.where(~stop("arc")))
+            state = written(moved.unionByName(state.where(~goes_on)), "arcs")
+            drop_older(spark, paths, 1)
+        if n <= FEW:
+            return state
+        stops = written(state.where(stop("arc") & ~goes_on), "stops")
+        known = _summed(stops, stops.count(), level + 1)
+        return written(jumped(state.where(at_stop), known).unionByName(state.where(~at_stop)), "summed")
+
+
 def toured(tree: DataFrame) -> DataFrame:
     """``tree`` with root, pre (place in pre-order below its root, from 0), depth and size (nodes of its subtree, itself included).
 
-    The Euler tour goes down and up each edge. Every such arc points to the one after it: down to the first child, or back up; up to the next sibling, or
-    further up. Pointers jump over twice the distance each round and add up what they pass, so numbers of any depth, a chain's too, take a logarithm of rounds, of one
-    join by arc each. The nodes below one are those with pre from its own on, ``size`` of them. Any number of children is allowed: left ones come first, then by node_id.
+    The Euler tour goes down and up each edge. Every such arc points to the one before it: from down to a child to the last way up from the child before, or to the way down to the parent; from up
+    to the way up from the last child below, or to its own way down. Sums back to the start of the tour (see ``_summed``) are the numbers, of any depth, a chain's too.
+    The nodes below one are those with pre from its own on, ``size`` of them. Any number of children is allowed: left ones come first, then by node_id.
     """
     kids = Window.partitionBy("parent_id").orderBy(F.coalesce("is_left", F.lit(False)).desc(), "node_id")
     known = large(tree).select("node_id", "parent_id", "is_left").where("node_id IS NOT NULL")
-    whole = known.where("parent_id IS NOT NULL").select("node_id", "parent_id", F.lead("node_id").over(kids).alias("next"), F.row_number().over(kids).alias("k"))
-    first = whole.where("k = 1").select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"))
-    roots = known.where("parent_id IS NULL").select(F.col("node_id").alias("parent_id"), F.lit(True).alias("top"))
-    rows = written(whole.join(first, "node_id", "left").join(roots, "parent_id", "left").select("node_id", "parent_id", "next", "child", F.coalesce("top", F.lit(False)).alias("top")), "edges")
-    # arcs: 2 id is down to a node, 2 id + 1 up from it
-    down = rows.select((F.col("node_id") * 2).alias("arc"), F.coalesce(F.col("child") * 2, F.col("node_id") * 2 + 1).alias("to"), F.lit(1).cast("bigint").alias("nodes"), F.lit(1).cast("bigint").alias("deep"), F.lit(None).cast(rows.schema["node_id"].dataType).alias("root"))
-    back = F.when(F.col("next").isNotNull(), F.col("next") * 2).when(~F.col("top"), F.col("parent_id") * 2 + 1)
-    up = rows.select((F.col("node_id") * 2 + 1).alias("arc"), back.alias("to"), F.lit(0).cast("bigint").alias("nodes"), F.lit(-1).cast("bigint").alias("deep"), F.when(F.col("next").isNull() & F.col("top"), F.col("parent_id")).alias("root"))
-    with scratch(tree.sparkSession, keep=1) as paths:
-        state = written(down.unionByName(up), "arcs")
-        for _ in range(max(1, 2 * state.count()).bit_length() + 1):
-            if state.where("to IS NOT NULL").isEmpty():
-                break
-            after = state.select(F.col("arc").alias("to"), F.col("to").alias("to2"), F.col("nodes").alias("nodes2"), F.col("deep").alias("deep2"), F.col("root").alias("root2"))
-            both = state.join(after, "to", "left")
-            state = written(both.select("arc", F.col("to2").alias("to"), *[(F.col(c) + F.coalesce(f"{c}2", F.lit(0))).alias(c) for c in ("nodes", "deep")], F.coalesce("root", "root2").alias("root")), "arcs")
-            drop_older(tree.sparkSession, paths, 1)
-        # sums from each arc to the end of its tour; an end that isn't at a root is none
+    with scratch(tree.sparkSession, keep=1):
+        n = known.count()
+        roots = known.where("parent_id IS NULL").select(F.col("node_id").alias("parent_id"), F.lit(True).alias("top"))
+        below = _dealt(known.where("parent_id IS NOT NULL"), n, "parent_id").join(_dealt(roots, n, "parent_id"), "parent_id", "left")
+        whole = written(below.select("node_id", "parent_id", F.coalesce("top", F.lit(False)).alias("top"), F.lag("node_id").over(kids).alias("before"), F.lead("node_id").over(kids).isNull().alias("last")), "children")
+        last = whole.where("last").select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"))
+        rows = written(_dealt(whole, n, "node_id").join(_dealt(last, n, "node_id"), "node_id", "left").select("node_id", "parent_id", "before", "child", "top"), "edges")
+        # arcs: 2 id is down to a node, 2 id + 1 up from it
+        back = F.when(F.col("before").isNotNull(), F.col("before") * 2 + 1).when(~F.col("top"), F.col("parent_id") * 2)
+        down = rows.select((F.col("node_id") * 2).alias("arc"), back.alias("to"), F.lit(1).cast("bigint").alias("nodes"), F.lit(1).cast("bigint").alias("deep"), F.when(F.col("before").isNull() & F.col("top"), F.col("parent_id")).alias("root"))
+        up = rows.select((F.col("node_id") * 2 + 1).alias("arc"), F.coalesce(F.col("child") * 2 + 1, F.col("node_id") * 2).alias("to"), F.lit(0).cast("bigint").alias("nodes"), F.lit(-1).cast("bigint").alias("deep"), F.lit(None).cast(rows.schema["node_id"].dataType).alias("root"))
+        state = _summed(written(down.unionByName(up), "arcs"), 2 * n)
+        # a start that isn't at a root is none
         ended = state.where("to IS NULL AND root IS NOT NULL")
-        side = lambda up: ended.where(F.col("arc") % 2 == up).select(F.floor(F.col("arc") / 2).cast("bigint").alias("node_id"), "root", "nodes", "deep")
-        downs = side(0).join(side(1).select("node_id", F.col("nodes").alias("rest")), "node_id")
-        total = downs.groupBy("root").agg(F.max("nodes").alias("all"))
-        inner = downs.join(total, "root").select("node_id", "root", (F.col("all") - F.col("nodes") + 1).alias("pre"), (1 - F.col("deep")).alias("depth"), (F.col("nodes") - F.col("rest")).alias("size"))
+        side = lambda up: _dealt(ended.where(F.pmod("arc", F.lit(2)) == up).select(F.floor(F.col("arc") / 2).cast("bigint").alias("node_id"), "root", "nodes", "deep"), n, "node_id")
+        inner = side(0).join(side(1).select("node_id", F.col("nodes").alias("end")), "node_id").select("node_id", "root", F.col("nodes").alias("pre"), F.col("deep").alias("depth"), (F.col("end") - F.col("nodes") + 1).alias("size"))
+        total = ended.groupBy("root").agg(F.max("nodes").alias("all"))
         tops = known.where("parent_id IS NULL").select("node_id", F.col("node_id").alias("root"), F.lit(0).cast("bigint").alias("pre"), F.lit(0).cast("bigint").alias("depth"))
-        tops = tops.join(total, "root", "left").select("node_id", "root", "pre", "depth", (F.coalesce("all", F.lit(0)) + 1).alias("size"))
-        numbers = written(inner.unionByName(tops.select("node_id", "root", "pre", "depth", "size")), "tour")
-    return tree.join(numbers, "node_id", "left")
+        tops = _dealt(tops, n, "root").join(_dealt(total, n, "root"), "root", "left").select("node_id", "root", "pre", "depth", (F.coalesce("all", F.lit(0)) + 1).alias("size"))
+        numbers = written(inner.unionByName(tops), "tour")
+    return _dealt(tree, n, "node_id").join(_dealt(numbers, n, "node_id"), "node_id", "left")
 
 
 def below(tour: DataFrame, node_id: int) -> DataFrame:

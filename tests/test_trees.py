@@ -52,6 +52,29 @@ def test_chains(spark, n):
     assert tr.toured(chain.limit(0)).count() == 0
 
 
+def test_tours_with_stops(spark, monkeypatch):
+    """Stops on two levels, a cycle among the arcs, and tasks that are as many as the arcs need."""
+    monkeypatch.setattr(tr, "FEW", 60)
+    monkeypatch.setattr(tr, "ARCS", 100)
+    seen, put = [], tr.written
+
+    def spied(df, name):
+        out = put(df, name)
+        seen.append((name, df.rdd.getNumPartitions(), out.count()))
+        return out
+
+    monkeypatch.setattr(tr, "written", spied)
+    rng = random.Random(5)
+    rows = [(n, None if n < 2 else n - 1 if n > 300 else rng.randrange(n), rng.random() < 0.5) for n in range(600)]
+    rows += [(n, 1000 + (n + 1) % 40, True) for n in range(1000, 1040)]
+    found = {r.node_id: [r.root, r.pre, r.depth, r.size] for r in tr.toured(spark.createDataFrame(rows, COLUMNS)).collect()}
+    want = walk(rows)
+    assert found == {n: want.get(n, [None] * 4) for n, _, _ in rows}
+    assert dict((name, parts) for name, parts, _ in seen)["children"] == 7
+    # pointers that had come to a stop don't go on: not all of some 1,200 arcs are joined in a logarithm of rounds
+    assert any(name == "stops" and count < 400 for name, _, count in seen)
+
+
 def test_paths_end_on_cycles(spark):
     rows = [(0, None, False), (1, 0, True), (2, 1, False), (5, 6, True), (6, 5, True), (7, 6, False), (8, 77, True)]
     found = {r.node_id: (r.path, r.depth) for r in tr.with_paths(spark.createDataFrame(rows, COLUMNS)).collect()}
