@@ -44,9 +44,9 @@ class Coo:
         return self._new(self.df.unionByName(other.df)).summed()
 
     def times_vector(self, x: DataFrame) -> DataFrame:
-        """(idx, value) of the product with a sparse vector (idx, value)."""
+        """(idx, value) of the product with a sparse vector (idx, value); it grows with the matrix, so it is ``large``."""
         products = large(self.df).join(x.select(F.col("idx").alias("col"), F.col("value").alias("x")), "col")
-        return products.groupBy(F.col("row").alias("idx")).agg(F.sum(F.col("value") * F.col("x")).alias("value"))
+        return large(products.groupBy(F.col("row").alias("idx")).agg(F.sum(F.col("value") * F.col("x")).alias("value")))
 
     def times(self, other: Coo) -> Coo:
         right = other.df.select(F.col("row").alias("col"), F.col("col").alias("to"), F.col("value").alias("y"))

@@ -38,7 +38,7 @@ class _Vectors:
         self.spark, self.paths = start.sparkSession, paths
         n = F.abs(F.when(F.col("row") == F.col("col"), F.col("value")).otherwise(0.0))
         # rows without a diagonal entry are left as they are
-        scale = a.df.groupBy(F.col("row").alias("idx")).agg(F.sum(n).alias("d")).select("idx", F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(1.0).alias("m"))
+        scale = large(a.df).groupBy(F.col("row").alias("idx")).agg(F.sum(n).alias("d")).select("idx", F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(1.0).alias("m"))
         self.a = Coo(written(a.df, "matrix"), a.n_rows, a.n_cols)
         self.kept = 1
         self.table = start.join(scale, "idx", "left").withColumn("m", F.coalesce("m", F.lit(1.0)))

@@ -94,3 +94,17 @@ def test_solution_takes_no_system_to_the_driver(spark, monkeypatch):
     assert max(seen, default=0) <= 1
     monkeypatch.undo()
     assert np.allclose(values(x, 12), np.linalg.solve(a, np.ones(12)), atol=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["diagonal", "inverse", "stabilised"])
+def test_steps_broadcast_no_vector(spark, monkeypatch, kind):
+    """Vectors compress well, so Spark would take products for small ones: every join of a step asks for a merge, the second product's, too."""
+    plans = []
+    writing = so.written
+    monkeypatch.setattr(so, "written", lambda df, name, *a: (name == "vectors" and plans.append(df._jdf.queryExecution().optimizedPlan().toString())) or writing(df, name, *a))
+    a = np.diag(np.full(12, 3.0)) - np.eye(12, k=1) - np.eye(12, k=-1)
+    m = matrix(spark, a)
+    x = so.solve(m, vector(spark, np.ones(12)), kind != "stabilised", low=so.sparse_inverse(m) if kind == "inverse" else None)
+    joins = [line for p in plans for line in p.splitlines() if "Join " in line]
+    assert joins and not [line for line in joins if "strategy=merge" not in line]
+    assert np.allclose(values(x, 12), np.linalg.solve(a, np.ones(12)), atol=1e-9)
