@@ -245,3 +245,16 @@ def test_range_join_is_dealt_by_its_pairs(spark, monkeypatch):
     found = sp.range_join(points, boxes)
     assert found.rdd.getNumPartitions() >= 10 and max(map(len, found.rdd.glom().collect())) <= 4000
     assert sorted(map(tuple, found.collect())) == [(b, p) for b in range(50) for p in range(200)]
+
+
+def test_crowded_bins_are_cut(spark, monkeypatch):
+    """Rows of one bin go to blocks of CROWD rows about, and each still meets all of the other side; projection and nearest neighbours are the same."""
+    monkeypatch.setattr(sp, "CROWD", 100)
+    left = spark.range(3000).select(F.col("id").alias("_q"), F.when(F.col("id") < 2950, 0).otherwise(F.col("id")).alias("_b"))
+    right = spark.createDataFrame([(0, "a"), (0, "b"), (2950, "c")], "_b long, name string")
+    a, b, keys = sp._spread(left, right, "_q", ["_b"])
+    assert a.groupBy(*keys).count().agg(F.max("count")).first()[0] < 200
+    assert sorted(tuple(r) for r in a.join(b, keys).groupBy("name").count().collect()) == [("a", 2950), ("b", 2950), ("c", 1)]
+    points = spark.range(400).select(F.col("id").alias("pid"), (0.3 + F.col("id") / 4000).alias("x"), (-0.5 - F.col("id") / 4000).alias("y"))
+    found = sp.project(points, ms.square(spark, 2)).agg(F.count("*"), F.max(F.abs(F.col("px") - (0.3 + F.col("pid") / 4000))), F.max(F.abs(F.col("py"))), F.max(F.abs(F.sqrt("d2") - 0.5 - F.col("pid") / 4000))).first()
+    assert found[0] == 400 and max(found[1:]) < 1e-9
