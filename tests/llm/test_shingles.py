@@ -135,3 +135,33 @@ def test_odd_rows(odd, no_rows):
     assert sorted(ids, key=str) == sorted([1, 2, 5, 6, 8, None, 9, 10], key=str)
     for _, t in ROWS:
         assert len(shingles.shingles(t)) == len(plain(t.replace("\x1c", "x") if t else t))
+
+
+def test_a_shared_passage_makes_no_candidates(spark, monkeypatch):
+    """Pairs of texts with a fifth in common share shingles of their lists, but not enough for their places in the order; copies with one other word do."""
+    seen, real = [], shingles.candidates
+    monkeypatch.setattr(shingles, "candidates", lambda *a: (out := real(*a), seen.append(out.count()))[0])
+    rng = np.random.default_rng(11)
+    texts = [[f"t{i}x{k}" for k in range(160)] + [f"p{i // 2}x{k}" for k in range(40)] for i in range(30)]
+    alone = [[f"a{i}x{k}" for k in range(200)] for i in range(4)]
+    texts += alone + [[*t[:70], f"other{i}", *t[71:]] for i, t in enumerate(alone)]
+    rows = [(int(i), " ".join(texts[k])) for i, k in enumerate(rng.permutation(len(texts)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in shingles.keep_one(docs).collect()) == groups(rows)
+    assert seen == [4]
+
+
+def test_far_copies_of_one_text_are_compared_once(spark, monkeypatch):
+    """Of a text with near copies and with copies too far from all others, sets are sent for each copy and block, not for each of their lists."""
+    seen, real = {}, shingles.written
+    monkeypatch.setattr(shingles, "written", lambda df, name, *a: (out := real(df, name, *a), seen.update({name: out.count()}))[0])
+    rng = np.random.default_rng(12)
+    base, rows = [f"w{x}" for x in rng.integers(0, 5000, 300)], []
+    for i in range(260):
+        w = list(base)
+        for k, at in enumerate(rng.permutation(300)[: 3 if i < 200 else 9 + i % 4]):
+            w[at] = f"n{i}x{k}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in shingles.keep_one(docs).collect()) == groups(rows)
+    assert seen["long"] > 20 * 260 and seen.get("facing", seen["mixed"]) <= 2 * 260
