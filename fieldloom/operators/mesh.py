@@ -104,9 +104,9 @@ class Mesh:
             found = found.join(flags.select(F.col("node_id").alias(n), F.col("hit").alias(f"{n}_hit")), n, "left")
         return found.withColumn("on_boundary", F.coalesce(F.col("n0_hit") & F.col("n1_hit"), F.lit(False))).drop("n0_hit", "n1_hit")
 
-    def cell_edges(self) -> DataFrame:
-        """cell_id, side, edge_id."""
-        edges = self.edges().select("edge_id", F.col("n0").alias("s0"), F.col("n1").alias("s1"))
+    def cell_edges(self, edges: DataFrame | None = None) -> DataFrame:
+        """cell_id, side, edge_id; ``edges``: those of ``edges``, where they are there already."""
+        edges = (self.edges() if edges is None else edges).select("edge_id", F.col("n0").alias("s0"), F.col("n1").alias("s1"))
         return self.sides(2).join(edges, ["s0", "s1"]).select("cell_id", "side", "edge_id")
 
     def cell_facets(self) -> DataFrame:

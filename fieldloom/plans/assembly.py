@@ -1,4 +1,4 @@
-"""Differential operators as small sums of terms, and their assembly into sparse matrices by one join and one aggregation.
+"""Differential operators as small sums of terms, and their assembly into sparse matrices by one join of cells and one aggregation of entries.
 
 Defined cases: cells with a vertex that has no node are left out, null coordinates or coefficients add nothing, NaN stays NaN; unknowns without a cell have no entries; an empty mesh gives a matrix of zeros.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import Vec, dot
 from ..operators.coo import Coo
+from ..sources.shared import large
 from .basis import Lagrange, Splines, shape_functions
 from .quadrature import LEGENDRE, interval_rows, quadrature_rows, rule
 
@@ -148,16 +149,29 @@ def entries(operator: Operator, n: int, phi: Vec, grad: list[Vec], x: Vec) -> li
 
 
 def assemble(operator: Operator, basis: Lagrange) -> Coo:
-    """The matrix of an operator: local matrices as expressions, then one sum by (row, col). Symmetric operators compute a triangle."""
+    """The matrix of an operator: local matrices as expressions, one row for each cell, then one sum by (row, col). Symmetric operators compute and sum a triangle."""
     rows, phi, grad, x = tabulated(basis)
-    local = rows.select("cell_id", F.explode(F.array(*entries(operator, basis.n_local, phi, grad, x))).alias("e")).groupBy("cell_id", F.col("e.i").alias("i"), F.col("e.j").alias("j")).agg(F.sum("e.v").alias("v"))
+    n, n_local = basis.n_dofs(), basis.n_local
+    places = [(i, j) for i in range(n_local) for j in range(i + 1 if operator.is_symmetric else n_local)]
+    forms = entries(operator, n_local, phi, grad, x)
+    if not forms:
+        return Coo(rows.sparkSession.createDataFrame([], "row bigint, col bigint, value double"), n, n)
+    # the entries of a cell stay one row until they have their place
+    local = rows.groupBy("cell_id").agg(*[F.sum(e["v"]).alias(f"v{i}_{j}") for e, (i, j) in zip(forms, places, strict=True)])
+    dofs = basis.cell_dofs().groupBy("cell_id").agg(*[F.max(F.when(F.col("local") == k, F.col("dof_id"))).alias(f"d{k}") for k in range(n_local)])
+    placed = []
+    for i, j in places:
+        r, c, v = F.col(f"d{i}"), F.col(f"d{j}"), F.col(f"v{i}_{j}")
+        if operator.is_symmetric and i != j:
+            # both of (i, j) and (j, i), which are one place where the unknowns are the same
+            r, c, v = F.greatest(r, c), F.least(r, c), F.when(r == c, 2 * v).otherwise(v)
+        placed.append(F.struct(r.alias("row"), c.alias("col"), v.alias("v")))
+    wide = large(local).join(large(dofs), "cell_id").select(F.explode(F.array(*placed)).alias("e")).where("e.row IS NOT NULL AND e.col IS NOT NULL")
+    summed = wide.groupBy(F.col("e.row").alias("row"), F.col("e.col").alias("col")).agg(F.sum("e.v").alias("value"))
     if operator.is_symmetric:
-        local = local.unionByName(local.where("i <> j").select("cell_id", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
-    dofs = basis.cell_dofs()
-    to = lambda k, name: dofs.select("cell_id", F.col("local").alias(k), F.col("dof_id").alias(name))
-    placed = local.join(to("i", "row"), ["cell_id", "i"]).join(to("j", "col"), ["cell_id", "j"])
-    n = basis.n_dofs()
-    return Coo(placed.groupBy("row", "col").agg(F.sum("v").alias("value")), n, n)
+        own, other = F.struct("row", "col"), F.struct(F.col("col").alias("row"), F.col("row").alias("col"))
+        summed = summed.select(F.explode(F.when(F.col("row") == F.col("col"), F.array(own)).otherwise(F.array(own, other))).alias("at"), "value").select("at.row", "at.col", "value")
+    return Coo(summed, n, n)
 
 
 def mass(basis: Lagrange) -> Coo:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -43,13 +44,18 @@ class Lagrange:
         d = mesh.order
         self.n_local = d + 1 if order == 1 else (d + 1) * (d + 2) // 2
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        """The edges of the mesh, numbered (and written) once."""
+        return self.mesh.edges()
+
     def cell_dofs(self) -> DataFrame:
         """cell_id, local, dof_id."""
         vertices = self.mesh.cells.select("cell_id", F.posexplode(F.array(*self.mesh.vertices)).alias("local", "dof_id"))
         if self.order == 1:
             return vertices
         n = self.mesh.nodes.count()
-        edges = self.mesh.cell_edges().select("cell_id", (F.col("side") + self.mesh.order + 1).alias("local"), (F.col("edge_id") + n).alias("dof_id"))
+        edges = self.mesh.cell_edges(self.edges).select("cell_id", (F.col("side") + self.mesh.order + 1).alias("local"), (F.col("edge_id") + n).alias("dof_id"))
         return large(vertices.unionByName(edges))
 
     def dofs(self) -> DataFrame:
@@ -59,14 +65,14 @@ class Lagrange:
         nodes = mesh.nodes.join(flags, "node_id", "left").select(F.col("node_id").alias("dof_id"), *axes, F.coalesce("on_boundary", F.lit(False)).alias("on_boundary"))
         if self.order == 1:
             return nodes
-        n, edges = mesh.nodes.count(), mesh.edges()
+        n, edges = mesh.nodes.count(), self.edges
         for end in ("n0", "n1"):
             edges = edges.join(mesh.nodes.select(F.col("node_id").alias(end), *[F.col(a).alias(f"{a}_{end}") for a in axes]), end)
         middle = [((F.col(f"{a}_n0") + F.col(f"{a}_n1")) / 2).alias(a) for a in axes]
         return nodes.unionByName(edges.select((F.col("edge_id") + n).alias("dof_id"), *middle, "on_boundary"))
 
     def n_dofs(self) -> int:
-        return self.mesh.nodes.count() + (self.mesh.edges().count() if self.order == 2 else 0)
+        return self.mesh.nodes.count() + (self.edges.count() if self.order == 2 else 0)
 
     def values(self, rows: DataFrame, z: Vec, name: str = "value") -> DataFrame:
         """``rows`` (with cell_id) once for each local dof, with local and its value at the barycentric coordinates ``z``."""

@@ -4,7 +4,8 @@ Unknowns are dealt to parts along a space-filling curve, and parts are the leave
 unknown with a neighbour in another part is kept until the node where both parts meet. A node eliminates the unknowns that nobody above
 it needs, by a small dense inverse, and hands what is left of its rows and columns (its boundary) to the node above. So all nodes
 of a level are worked on at the same time, each by one task; a level is one shuffle and one written table, and levels grow with the logarithm of the
-unknowns. A solution goes up and down these tables with the right sides, all of them at once, and is held against the matrix.
+unknowns. Leaves are most of the unknowns, and their inverses would be many times the matrix: they keep their few entries and solve with them anew. Of symmetric
+matrices the tables hold lower triangles. A solution goes up and down these tables with the right sides, all of them at once, and is held against the matrix.
 
 A front (the unknowns of a node and its boundary) grows like the border of a part: on meshes of the plane with the root of the unknowns. Where one is
 larger than ``MOST_FRONT``, ``FrontTooLarge`` is raised, and an iteration is the way (``solve.solve``).
@@ -29,12 +30,14 @@ from ..operators.frame import ROW, number_rows
 from ..sources.shared import scratch, written
 
 #: Unknowns of a part, nodes that meet in one above (a power of two), the largest front (8 bytes for each pair of its unknowns).
-LEAF, BITS, MOST_FRONT = 400, 2, 6000
+LEAF, BITS, MOST_FRONT = 800, 2, 6000
 FAN = 1 << BITS
 #: Largest residual of a solution, relative to its right side, before and after one correction.
 CLOSE, WRONG = 1e-10, 1e-6
 
-NODE = "node bigint, own binary, bound binary, heights binary, inverse binary, right binary, left binary, rest binary"
+NODE = "node bigint, own binary, bound binary, heights binary, front binary, inverse binary, right binary, left binary, rest binary"
+#: An entry of a leaf's front.
+ENTRY = np.dtype([("i", "<i4"), ("j", "<i4"), ("v", "<f8")])
 VALUES = "node bigint, idx bigint, own boolean, v array<double>"
 
 
@@ -88,6 +91,19 @@ def _numbers(raw: bytes, kind: str = "<f8") -> np.ndarray:
     return np.frombuffer(raw, kind)
 
 
+def _packed(x: np.ndarray, symmetric: bool) -> np.ndarray:
+    """A square matrix, or the lower triangle of a symmetric one."""
+    return x[np.tri(len(x), dtype=bool)] if symmetric else x
+
+
+def _square(v: np.ndarray, n: int, symmetric: bool) -> np.ndarray:
+    if not symmetric:
+        return v.reshape(n, n)
+    x = np.zeros((n, n))
+    x[np.tri(n, dtype=bool)] = v
+    return x + np.tril(x, -1).T
+
+
 def _eliminate(level: int, symmetric: bool):
     """The work of a node: its entries and what its nodes below hand up, in one dense front."""
 
@@ -108,28 +124,49 @@ def _eliminate(level: int, symmetric: bool):
         np.add.at(m, (at(entries["row"].to_numpy()), at(entries["col"].to_numpy())), entries["value"].to_numpy())
         for b, _, s in fronts:
             p = at(b)
-            m[np.ix_(p, p)] += s.reshape(len(b), len(b))
+            m[np.ix_(p, p)] += _square(s, len(b), symmetric)
+        front, none = np.zeros(0, ENTRY), np.zeros((0, 0))
+        inverse, left = none, none
         try:
-            inverse = np.linalg.inv(m[:n, :n])
+            if level:
+                inverse = np.linalg.inv(m[:n, :n])
+                right = inverse @ m[:n, n:]
+            else:
+                # with one column at least, so that a singular matrix is seen
+                right = np.linalg.solve(m[:n, :n], np.c_[m[:n, n:], np.zeros(n)])[:, :-1]
         except np.linalg.LinAlgError:
             raise Singular(f"no inverse at level {level}") from None
-        right = inverse @ m[:n, n:]
-        left = np.zeros((0, 0)) if symmetric else m[n:, :n] @ inverse
         rest = m[n:, n:] - m[n:, :n] @ right
+        if level:
+            left = none if symmetric else m[n:, :n] @ inverse
+            inverse = _packed(inverse, symmetric)
+        else:
+            i, j = np.nonzero(np.tril(m) if symmetric else m)
+            front, right = np.empty(len(i), ENTRY), none
+            front["i"], front["j"], front["v"] = i, j, m[i, j]
         pack = lambda x, kind="<f8": np.ascontiguousarray(x).astype(kind).tobytes()
         ids, heights = ids[order], heights[order]
-        row = (node, pack(ids[:n], "<i8"), pack(ids[n:], "<i8"), pack(heights[n:], "<i8"), pack(inverse), pack(right), pack(left), pack(rest))
+        row = (node, pack(ids[:n], "<i8"), pack(ids[n:], "<i8"), pack(heights[n:], "<i8"), front.tobytes(), pack(inverse), pack(right), pack(left), pack(_packed(rest, symmetric)))
         return pd.DataFrame([row], columns=[c.split()[0] for c in NODE.split(", ")])
 
     return run
 
 
-def _shape(f: pd.DataFrame, symmetric: bool) -> tuple[np.ndarray, ...]:
+def _shape(f: pd.DataFrame, symmetric: bool) -> tuple:
+    """A node's own unknowns and its boundary; what right sides of its own add to the boundary, and its own solution from right sides and boundary."""
     r = f.iloc[0]
     own, bound = _numbers(r["own"], "<i8"), _numbers(r["bound"], "<i8")
-    n, m = len(own), len(bound)
-    right = _numbers(r["right"]).reshape(n, m)
-    return own, bound, _numbers(r["inverse"]).reshape(n, n), right, right.T if symmetric else _numbers(r["left"]).reshape(m, n)
+    n, k = len(own), len(bound)
+    if front := r["front"]:
+        m, e = np.zeros((n + k, n + k)), np.frombuffer(front, ENTRY)
+        m[e["i"], e["j"]] = e["v"]
+        if symmetric:
+            m[e["j"], e["i"]] = e["v"]
+        inner, to, of = m[:n, :n], m[n:, :n], m[:n, n:]
+        return own, bound, lambda t: to @ np.linalg.solve(inner, t), lambda t, x: np.linalg.solve(inner, t - of @ x)
+    right = _numbers(r["right"]).reshape(n, k)
+    left = right.T if symmetric else _numbers(r["left"]).reshape(k, n)
+    return own, bound, lambda t: left @ t, lambda t, x: _square(_numbers(r["inverse"]), n, symmetric) @ t - right @ x
 
 
 def _values(node: int, ids: np.ndarray, own: int, v: np.ndarray) -> pd.DataFrame:
@@ -140,7 +177,7 @@ def _up(symmetric: bool):
     """Right sides of a node's own unknowns with what the nodes below add; what it adds to its boundary."""
 
     def run(factor: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        own, bound, _, _, left = _shape(factor, symmetric)
+        own, bound, added, _ = _shape(factor, symmetric)
         v = np.stack(values["v"].to_numpy()) if len(values) else np.zeros((0, 1))
         ids = np.r_[own, bound]
         order = np.argsort(ids)
@@ -148,7 +185,7 @@ def _up(symmetric: bool):
         if len(v):
             np.add.at(t, order[np.searchsorted(ids[order], values["idx"].to_numpy())], v)
         n = len(own)
-        t[n:] -= left @ t[:n]
+        t[n:] -= added(t[:n])
         return _values(int(factor["node"].iloc[0]), ids, n, t)
 
     return run
@@ -158,7 +195,7 @@ def _down(symmetric: bool):
     """A node's own unknowns, from its right sides and the solution on its boundary."""
 
     def run(factor: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        own, bound, inverse, right, _ = _shape(factor, symmetric)
+        own, bound, _, solution = _shape(factor, symmetric)
         n, ids = len(own), np.r_[own, bound]
         order = np.argsort(ids)
         known = ids[order]
@@ -169,7 +206,7 @@ def _down(symmetric: bool):
         v = np.stack(values["v"].to_numpy())
         t = np.zeros((len(ids), v.shape[1]))
         t[order[at[hit]]] = v[hit]
-        t[:n] = inverse @ t[:n] - right @ t[n:]
+        t[:n] = solution(t[:n], t[n:])
         return _values(int(factor["node"].iloc[0]), ids, n, t)
 
     return run
@@ -228,20 +265,22 @@ class Factors:
         right = self.unknowns.join(b.groupBy("idx").agg(of.alias("m")).select("idx", array.alias("v")), "idx")
         right = written(right.select("h", "node", "idx", "v"), "sides")
         ups: list[DataFrame] = []
-        for h, factors in enumerate(self.levels):
+        # what went up to the level above stays where it is
+        levels = [t.drop("heights", "rest") for t in self.levels]
+        for h, factors in enumerate(levels):
             values = right.where(F.col("h") == h).select("node", "idx", "v")
             if ups:
                 values = values.unionByName(ups[-1].where("NOT own").select(F.shiftright("node", BITS).alias("node"), "idx", "v"))
             ups.append(written(factors.groupBy("node").cogroup(values.groupBy("node")).applyInPandas(_up(self.symmetric), VALUES), "up"))
         found, out = None, []
-        for h in range(len(self.levels) - 1, -1, -1):
+        for h in range(len(levels) - 1, -1, -1):
             values = ups[h].where("own").select("node", "idx", "own", "v")
             if found is not None:
                 children = F.explode(F.array(*[F.lit(c) for c in range(FAN)]))
                 sent = found.select("node", "idx", F.lit(False).alias("own"), "v").withColumn("child", children)
-                sent = sent.select((F.col("node") * FAN + F.col("child")).alias("node"), "idx", "own", "v").join(self.levels[h].select("node"), "node", "left_semi")
+                sent = sent.select((F.col("node") * FAN + F.col("child")).alias("node"), "idx", "own", "v").join(levels[h].select("node"), "node", "left_semi")
                 values = values.unionByName(sent)
-            found = written(self.levels[h].groupBy("node").cogroup(values.groupBy("node")).applyInPandas(_down(self.symmetric), VALUES), "down")
+            found = written(levels[h].groupBy("node").cogroup(values.groupBy("node")).applyInPandas(_down(self.symmetric), VALUES), "down")
             out.append(found.where("own").select("idx", "v"))
         long = reduce(DataFrame.unionByName, out).select("idx", F.posexplode("v").alias("k", "value"))
         names = F.array(*[F.lit(c) for c in sides])
@@ -256,16 +295,19 @@ def factorise(a: Coo, places: DataFrame | None = None, symmetric: bool = True, l
     while leaf * FAN**levels < n:
         levels += 1
     inside = F.col("row").between(0, n - 1) & F.col("col").between(0, n - 1)
-    whole = Coo(written(a.df.where(inside).select("row", "col", F.coalesce("value", F.lit(0.0)).alias("value")), "system"), n, n)
     if not n:
-        return Factors(whole, symmetric, whole.df.limit(0), [])
-    unknowns = written(_heights(whole, written(_parts(whole, places, levels), "parts"), levels), "unknowns")
-    of = lambda name: unknowns.select(F.col("idx").alias(name), F.col("h").alias(f"h_{name}"), F.col("node").alias(f"node_{name}"))
-    # each unknown is in its node, even where its row is empty
-    zeros = unknowns.select(F.col("idx").alias("row"), F.col("idx").alias("col"), F.lit(0.0).alias("value"))
-    both = whole.df.unionByName(zeros).join(of("row"), "row").join(of("col"), "col")
-    first = F.col("h_row") <= F.col("h_col")
-    entries = written(both.select(F.least("h_row", "h_col").alias("h"), F.when(first, F.col("node_row")).otherwise(F.col("node_col")).alias("node"), "row", "col", "value", "h_row", "h_col"), "entries")
+        empty = a.df.sparkSession.createDataFrame([], "row bigint, col bigint, value double")
+        return Factors(Coo(empty, n, n), symmetric, empty, [])
+    with scratch(a.df.sparkSession, keep=2):
+        whole = Coo(written(a.df.where(inside).select("row", "col", F.coalesce("value", F.lit(0.0)).alias("value")), "system"), n, n)
+        unknowns = written(_heights(whole, written(_parts(whole, places, levels), "parts"), levels), "unknowns")
+        of = lambda name: unknowns.select(F.col("idx").alias(name), F.col("h").alias(f"h_{name}"), F.col("node").alias(f"node_{name}"))
+        # each unknown is in its node, even where its row is empty
+        zeros = unknowns.select(F.col("idx").alias("row"), F.col("idx").alias("col"), F.lit(0.0).alias("value"))
+        both = whole.df.unionByName(zeros).join(of("row"), "row").join(of("col"), "col")
+        first = F.col("h_row") <= F.col("h_col")
+        # from here on these are the matrix
+        entries = written(both.select(F.least("h_row", "h_col").alias("h"), F.when(first, F.col("node_row")).otherwise(F.col("node_col")).alias("node"), "row", "col", "value", "h_row", "h_col"), "entries")
     tables: list[DataFrame] = []
     try:
         for h in range(levels + 1):
@@ -274,7 +316,7 @@ def factorise(a: Coo, places: DataFrame | None = None, symmetric: bool = True, l
                 below = tables[-1].where(F.octet_length("bound") > 0).select(F.shiftright("node", BITS).alias("node"), "bound", "heights", "rest")
             else:
                 below = own.sparkSession.createDataFrame([], "node bigint, bound binary, heights binary, rest binary")
-            tables.append(written(own.groupBy("node").cogroup(below.groupBy("node")).applyInPandas(_eliminate(h, symmetric), NODE), "factors"))
+            tables.append(written(own.groupBy("node").cogroup(below.groupBy("node")).applyInPandas(_eliminate(h, symmetric), NODE), "factors", "zstd"))
     except PythonException as e:
         raise _raised(e) from None
-    return Factors(whole, symmetric, unknowns, tables)
+    return Factors(Coo(entries.select("row", "col", "value"), n, n), symmetric, unknowns, tables)

@@ -258,9 +258,11 @@ class PDE:
         self.mass: Coo | None = None
 
     def init(self) -> PDE:
-        """Assemble the matrices; written, since every step reads them."""
-        stiff, m = assemble(self.operator.without("dt"), self.basis), mass(self.basis)
-        self.stiff, self.mass = (Coo(written(x.df, "assembled"), x.n_rows, x.n_cols) for x in (stiff, m))
+        """Assemble the matrices, that of the mass for parabolic problems alone; written, since every step reads them."""
+        assembled = lambda x: Coo(written(x.df, "assembled"), x.n_rows, x.n_cols)
+        self.stiff = assembled(assemble(self.operator.without("dt"), self.basis))
+        if self.operator.is_parabolic:
+            self.mass = assembled(mass(self.basis))
         self.points = written(self.basis.dofs(), "dofs")
         return self
 

@@ -114,3 +114,17 @@ def test_strip_is_cut_across(spark):
     f = fa.factorise(cm.Coo(spark.createDataFrame(rows, "row long, col long, value double"), n, n), places, leaf=50)
     fronts = [t.agg(F.max((F.octet_length("own") + F.octet_length("bound")) / 8)).first()[0] for t in f.levels]
     assert len(fronts) == 4 and max(fronts) <= 50 + 2 * (w + 2)
+
+
+def test_leaves_keep_their_entries(spark):
+    """Tables of factors hold some entries for each unknown, not the inverses of their parts."""
+    n = 40
+    a = asm.assemble(asm.reaction(1.0) - asm.laplacian(), ba.Lagrange(ms.square(spark, n)))
+    f = fa.factorise(a, leaf=500)
+    m = np.zeros((a.n_rows, a.n_rows))
+    for r in a.df.collect():
+        m[r.row, r.col] = r.value
+    size = sum(F.octet_length(c) for c in f.levels[0].columns if c != "node")
+    assert f.levels[0].agg(F.sum(size)).first()[0] < 600 * a.n_rows
+    b = np.random.default_rng(3).random(a.n_rows)
+    assert np.allclose(m @ values(f.solve(vector(spark, b)), a.n_rows), b)
